@@ -25,6 +25,12 @@ from lorespark.llm.common import table
 
 PER_LANG, DICT_BYTES, LEVEL, LANGS = 400, 96_000, 3, 200
 UNKNOWN = "und"
+#: ASCII bytes that are not letters become spaces, so that case, digits and punctuation do not decide.
+_LETTERS = bytes(i if i >= 128 or 97 <= i <= 122 else 32 for i in range(256))
+
+
+def folded(text: str) -> bytes:
+    return text.lower().encode().translate(_LETTERS)
 
 
 def fit(labelled: DataFrame, per_lang: int = PER_LANG, dict_bytes: int = DICT_BYTES, langs: int = LANGS) -> dict[str, bytes]:
@@ -35,7 +41,7 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG, dict_bytes: int = DICT_BY
     texts: dict[str, list[str]] = {}
     for row in first.orderBy("lang").limit(langs).collect():
         texts[row.lang] = row.texts
-    return {lang: "\n".join(x[: 4 * piece] for x in own).encode()[:dict_bytes] for lang, own in texts.items()}
+    return {lang: b" ".join(folded(x) for x in own)[:dict_bytes] for lang, own in texts.items()}
 
 
 def _smallest(rows: DataFrame, count: int) -> DataFrame:
@@ -59,7 +65,7 @@ class Model:
     def predict(self, text: str | None, narrow: float) -> tuple[str, float, bool]:
         if not text or not self.langs or not self.letter(text):
             return UNKNOWN, 0.0, False
-        data = text.encode()
+        data = folded(text)
         sizes = sorted((len(c.compress(data)), lang) for c, lang in zip(self.coders, self.langs))
         if len(sizes) == 1:
             return sizes[0][1], 1.0, True
