@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from lorespark.llm import bpe, langid, quality
+from lorespark.llm import bpe, decontaminate, langid, licenses, pii, quality
 
 
 def queries() -> dict:
     return {
+        "op1_license_scan": licenses.op1_license_scan,
+        "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op4_pii": pii.op4_pii,
         "op5_bpe_roundtrip": bpe.op5_bpe_roundtrip,
         "op9_language_id": langid.op9_language_id,
         "op10_quality": quality.op10_quality,
@@ -14,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": licenses.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL}
