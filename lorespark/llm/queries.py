@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorespark.llm import bpe, decontaminate, langid, licenses, pii, quality
+from lorespark.llm import bpe, decontaminate, fingerprint, langid, licenses, pii, quality, urls
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op4_pii": pii.op4_pii,
         "op5_bpe_roundtrip": bpe.op5_bpe_roundtrip,
+        "op6_fingerprints": fingerprint.op6_fingerprints,
+        "op8_url_filter": urls.op8_url_filter,
         "op9_language_id": langid.op9_language_id,
         "op10_quality": quality.op10_quality,
     }
