@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorespark.llm import bpe, decontaminate, fingerprint, langid, licenses, pii, quality, urls
+from lorespark.llm import bpe, decontaminate, fingerprint, jaccard, langid, licenses, pii, quality, urls
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_pii": pii.op4_pii,
         "op5_bpe_roundtrip": bpe.op5_bpe_roundtrip,
         "op6_fingerprints": fingerprint.op6_fingerprints,
+        "op7_jaccard_join": jaccard.op7_jaccard_join,
         "op8_url_filter": urls.op8_url_filter,
         "op9_language_id": langid.op9_language_id,
         "op10_quality": quality.op10_quality,
