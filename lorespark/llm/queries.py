@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lorespark.llm import bpe, decontaminate, fingerprint, jaccard, langid, licenses, pii, quality, urls
+from lorespark.llm import bpe, decontaminate, fingerprint, jaccard, langid, licenses, pii, quality, repeats, urls
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": licenses.op1_license_scan,
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_suffix_dedup": repeats.op3_suffix_dedup,
         "op4_pii": pii.op4_pii,
         "op5_bpe_roundtrip": bpe.op5_bpe_roundtrip,
         "op6_fingerprints": fingerprint.op6_fingerprints,
