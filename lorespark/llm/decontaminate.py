@@ -108,6 +108,10 @@ def agreeing(a: str, b: str) -> Column:
     return F.when(first > 0, first - 1).otherwise(F.size(a)).cast("int")
 
 
+def _places(runs: Column, n: int, fields: str) -> Column:
+    return F.transform(runs, lambda v: F.struct(F.lit(-n).alias("n"), *fingerprint(n, 0, v)).cast(fields))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per doc_id: doc_id, n_words, hit (set of runs: first word a, the word after the last b), item_ids."""
     keys, short = item_fingerprints(benchmark)
@@ -121,7 +125,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found.append(F.transform(kept, lambda v: F.struct(F.lit(K).alias("n"), *fingerprint(K, SPAN - 1, v)).cast(fields)))
     for n in short:
         runs = F.filter(F.col(f"values{n}"), lambda v: seen(bits, v))
-        found.append(F.transform(runs, lambda v, n=n: F.struct(F.lit(-n).alias("n"), *fingerprint(n, 0, v)).cast(fields)))
+        found.append(_places(runs, n, fields))
     rows = own.select("doc_id", "n_words", F.explode(F.concat(*found)).alias("f")).select("doc_id", "n_words", "f.*")
     both = rows.join(small_side(keys), ["n", "hash", "m"], "left")
     left, right = (F.when(F.col("n") > 0, agreeing(*x)).otherwise(0) for x in (("l", "il"), ("r", "ir")))
