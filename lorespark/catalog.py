@@ -2,10 +2,285 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorespark.functions import files, markup, text
+from lorespark.operators import delta, fuzzy, graph, reports, resolve, search
+from lorespark.sources.corpus import CORPUS_SQL, corpus, markdown
+from lorespark.streaming import changes
+
+UP, LOW = text.UPPER, text.LOWER
+TOKENS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '' AND octet_length(encode(t)) < 40)"
+CENTRE = 1  # the document that graph queries start from
+SPAN = "30 minutes"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def on_corpus(name: str, sql: str | None, f: Callable[[DataFrame], DataFrame]) -> None:
+    """Registers a query over the corpus; sql may use the relation `corpus`."""
+    query(name, f"WITH {CORPUS_SQL} {sql}" if sql else None)(lambda spark, sf_dir: f(corpus(spark, sf_dir)))
+
+
+# search
+
+
+def _search_sql(groups: list[tuple[list[str], dict[str, float], bool]], where: str = "TRUE", top: int = 50) -> str:
+    """Plain SQL for ranked search: groups of (words, boosts, negated)."""
+    fields = {"title": "title", "aliases": "array_to_string(aliases, ' ')", "headings": "array_to_string(headings, ' ')", "body": "body"}
+    own = ", ".join(f"{TOKENS.format(e)} AS t_{f}" for f, e in fields.items())
+    pairs = sorted({(f, w) for words, boosts, _ in groups for w in words for f in boosts})
+    tf = "".join(f", len(list_filter(t_{f}, lambda x: x = '{w}')) AS tf{i}" for i, (f, w) in enumerate(pairs))
+    df = "".join(f", count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(pairs)))
+    score, conditions = [], [where]
+    for words, boosts, negated in groups:
+        at = [(pairs.index((f, w)), f, b) for w in words for f, b in boosts.items()]
+        hit = " OR ".join(f"tf{i} > 0" for i, _, _ in at)
+        conditions.append(f"NOT ({hit})" if negated else f"({hit})")
+        if not negated:
+            score += [f"{b} * CASE WHEN tf{i} > 0 THEN ln(1 + (s.n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len(t_{f}) / avg_{f})) ELSE 0 END" for i, f, b in at]
+    return f""", tk AS (SELECT *, {own} FROM corpus), r AS (SELECT *{tf} FROM tk),
+s AS (SELECT wiki, count(*) AS n, {', '.join(f'avg(len(t_{f})) AS avg_{f}' for f in fields)}{df} FROM r GROUP BY wiki),
+h AS (SELECT r.wiki, relative, title, round({' + '.join(score) or '1.0'}, 4) AS score FROM r JOIN s ON r.wiki = s.wiki WHERE {' AND '.join(conditions).replace(' wiki ', ' r.wiki ')}),
+k AS (SELECT wiki, CAST(row_number() OVER (PARTITION BY wiki ORDER BY score DESC, string_split(relative, '/')) AS INTEGER) AS rank, relative, title, CAST(score AS DOUBLE) AS score FROM h)
+SELECT * FROM k WHERE rank <= {top}"""
+
+
+BOOSTS = search.BOOSTS
+WORD, OTHER = "the", "und"
+
+
+def _search(name: str, text_query: str, sql: str, **options) -> None:
+    query(name, f"WITH {CORPUS_SQL} {sql}")(lambda spark, sf_dir: search.search(corpus(spark, sf_dir), text_query, **options))
+
+
+_search("search_single_term", WORD, _search_sql([([WORD], BOOSTS, False)]))
+_search("search_and_terms", "the that", _search_sql([(["the"], BOOSTS, False), (["that"], BOOSTS, False)]))
+_search("search_quoted_or", '"und que"', _search_sql([(["und", "que"], BOOSTS, False)]))
+_search("search_tag_filter", "tag:src3 the", _search_sql([(["the"], BOOSTS, False)], "list_contains(tags, 'src3')"))
+_search("search_not_tag", "the -tag:src3", _search_sql([(["the"], BOOSTS, False)], "NOT list_contains(tags, 'src3')"))
+_search("search_not_word", "the -that", _search_sql([(["the"], BOOSTS, False), (["that"], BOOSTS, True)]))
+_search("search_wiki_type_ext", "wiki:de type:markdown ext:md und", _search_sql([(["und"], BOOSTS, False)], " wiki = 'de' AND content_type = 'markdown' AND ends_with(relative, '.md')"))
+_search("search_path", "path:src5/page_000005.md", _search_sql([], "relative = 'src5/page_000005.md'"))
+_search("search_title_boost", "title:src7 the", _search_sql([(["src7"], {"title": 10.0}, False), (["the"], BOOSTS, False)]))
+_search("search_alias", "doc77", _search_sql([(["doc77"], BOOSTS, False)]))
+_search("search_match_all", "", _search_sql([]))
+_search("search_topk_per_wiki", "de", _search_sql([(["de"], BOOSTS, False)], top=10), top=10)
+on_corpus("scan_search", "SELECT wiki, relative FROM corpus WHERE (contains(lower(title), 'loser') OR contains(lower(body), 'loser') OR contains(lower(relative), 'loser')) AND NOT (len(list_filter(tags, lambda t: lower(t) = 'src1')) > 0)", lambda c: search.scan_search(c, "LOSER -tag:SRC1"))
+on_corpus("token_stats", f"SELECT wiki, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(max(n) AS BIGINT) AS longest FROM (SELECT wiki, len({TOKENS.format('body')}) AS n FROM corpus) GROUP BY wiki", search.token_stats)
+on_corpus("doc_freq", f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOKENS.format('body')})) AS term FROM corpus) GROUP BY term HAVING count(*) >= 20", search.doc_freq)
+on_corpus(
+    "postings",
+    f"""SELECT wiki, field, term, relative, CAST(count(*) AS INTEGER) AS tf, CAST(any_value(dl) AS INTEGER) AS dl FROM (SELECT wiki, relative, field, len(t) AS dl, unnest(t) AS term FROM (
+SELECT wiki, relative, 'title' AS field, {TOKENS.format('title')} AS t FROM corpus UNION ALL SELECT wiki, relative, 'aliases', {TOKENS.format("array_to_string(aliases, ' ')")} FROM corpus UNION ALL SELECT wiki, relative, 'body', {TOKENS.format('body')} FROM corpus)) GROUP BY wiki, field, term, relative""",
+    search.postings,
+)
+on_corpus("in_page_search", "SELECT wiki, relative, CAST(list_position(l, true) AS INTEGER) AS line FROM (SELECT wiki, relative, list_transform(string_split(body, chr(10)), lambda x: contains(lower(x), 'license')) AS l FROM corpus) WHERE list_contains(l, true)", lambda c: search.in_page(c, "License"))
+on_corpus("snippets", None, lambda c: search.with_snippets(search.search(c, "loser", top=10), c, "loser"))
+
+# reports
+
+on_corpus("tag_counts", "SELECT tag, count(*) AS pages FROM (SELECT unnest(tags) AS tag FROM corpus) GROUP BY tag", reports.tag_counts)
+on_corpus("tag_pages", "SELECT unnest(tags) AS tag, wiki, relative FROM corpus", reports.tag_pages)
+on_corpus("tag_lookup_ci", f"SELECT wiki, relative, title FROM corpus WHERE len(list_filter(tags, lambda t: translate(t, '{UP}', '{LOW}') = 'src4')) > 0", lambda c: reports.with_tag(c, "SRC4"))
+on_corpus(
+    "wiki_stats",
+    """, t AS (SELECT wiki, count(*) AS tags FROM (SELECT DISTINCT wiki, unnest(tags) AS tag FROM corpus) GROUP BY wiki)
+SELECT c.wiki, count(*) AS files, count(*) FILTER (content_type = 'markdown') AS markdown, count(*) FILTER (content_type = 'text') AS text, count(*) FILTER (content_type = 'code') AS code, count(*) FILTER (content_type = 'image') AS image,
+count(*) FILTER (content_type = 'binary') AS binary, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (content_type IN ('markdown', 'text')) AS pages, any_value(t.tags) AS tags FROM corpus c JOIN t ON c.wiki = t.wiki GROUP BY c.wiki""",
+    reports.wiki_stats,
+)
+HUMAN = "CASE WHEN {0} < 1024 THEN {0} || ' B' WHEN {0} < 1048576 THEN printf('%.1f KiB', {0} / 1024.0) ELSE printf('%.1f MiB', {0} / 1048576.0) END"
+on_corpus("files_by_type", f"SELECT wiki, relative, content_type, size, {HUMAN.format('size')} AS human FROM corpus WHERE content_type = 'markdown'", lambda c: reports.list_files(c, "md"))
+on_corpus("overview", "SELECT wiki, relative, title FROM corpus WHERE content_type IN ('markdown', 'text')", reports.overview)
+KNOWN = f", known AS (SELECT DISTINCT wiki, unnest([translate(regexp_replace(relative, '\\.[^./]*$', ''), '{UP}', '{LOW}'), translate(regexp_replace(string_split(relative, '/')[-1], '\\.[^./]*$', ''), '{UP}', '{LOW}')]) AS name FROM corpus), issues AS (SELECT wiki, relative, target FROM (SELECT wiki, relative, unnest(links) AS target FROM corpus) l WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.wiki = l.wiki AND k.name = translate(l.target, '{UP}', '{LOW}')))"
+on_corpus("lint_broken_links", f"{KNOWN} SELECT wiki, relative, target FROM issues", reports.lint_links)
+on_corpus("lint_summary", f"{KNOWN} SELECT wiki, count(*) AS issues FROM issues GROUP BY wiki", lambda c: reports.lint_summary(reports.lint_links(c)))
+
+# graph
+
+EDGES = """, nm AS (SELECT name, min({'w': wiki, 'p': string_split(relative, '/')}) AS k FROM (SELECT wiki, relative, regexp_replace(string_split(relative, '/')[-1], '\\.[^.]*$', '') AS name FROM corpus UNION ALL SELECT wiki, relative, title FROM corpus) GROUP BY name),
+lk AS (SELECT wiki, relative, unnest(range(len(links))) AS pos, unnest(links) AS target FROM corpus),
+edges AS (SELECT lk.wiki, lk.relative, 'links_to' AS kind, CAST(pos AS INTEGER) AS pos, target, coalesce(x.wiki, nm.k.w) AS to_wiki, coalesce(x.relative, array_to_string(nm.k.p, '/')) AS to_relative, x.relative IS NULL AND nm.k IS NULL AS broken
+FROM lk LEFT JOIN corpus x ON x.wiki = lk.wiki AND x.relative = lk.target || '.md' LEFT JOIN nm ON nm.name = lk.target)"""
+MINE = f"(SELECT wiki, relative, tags FROM corpus WHERE doc_id = {CENTRE})"
+
+
+def _centre(c: DataFrame) -> tuple[str, str]:
+    row = c.filter(F.col("doc_id") == CENTRE).select("wiki", "relative").first()
+    return (row.wiki, row.relative) if row else ("", "")
+
+
+def _near(depth: int) -> str:
+    hops = [f"d0 AS (SELECT wiki, relative, 0 AS depth FROM {MINE}), st AS (SELECT wiki, relative, to_wiki, to_relative FROM edges WHERE NOT broken UNION SELECT to_wiki, to_relative, wiki, relative FROM edges WHERE NOT broken)"]
+    for i in range(1, depth + 1):
+        hops.append(f"d{i} AS (SELECT * FROM d{i - 1} UNION SELECT to_wiki, to_relative, {i} FROM d{i - 1} d JOIN st USING (wiki, relative))")
+    return f", {', '.join(hops)}, near AS (SELECT wiki, relative, min(depth) AS depth FROM d{depth} GROUP BY ALL)"
+
+
+def _neighbours(depth: int, most: int | None = None):
+    def run(c: DataFrame) -> DataFrame:
+        return graph.neighborhood(graph.nodes(c), graph.edges(c), *_centre(c), depth, most)
+
+    return run
+
+
+on_corpus("graph_nodes", "SELECT wiki, relative, 'page' AS kind, title, array_to_string(tags, ',') AS tags FROM corpus", lambda c: graph.nodes(c).withColumn("tags", F.concat_ws(",", "tags")))
+on_corpus("graph_edges", f"{EDGES} SELECT * FROM edges", graph.edges)
+on_corpus("outgoing_links", f"{EDGES} SELECT edges.* FROM edges JOIN {MINE} m USING (wiki, relative)", lambda c: graph.outgoing(graph.edges(c), *_centre(c)).select("wiki", "relative", "kind", "pos", "target", "to_wiki", "to_relative", "broken"))
+SQL["outgoing_links"] = f"WITH {CORPUS_SQL} {EDGES} SELECT e.* FROM edges e SEMI JOIN {MINE} m ON e.wiki = m.wiki AND e.relative = m.relative"
+on_corpus("backlinks", f"{EDGES} SELECT DISTINCT e.wiki, e.relative FROM edges e JOIN {MINE} m ON e.to_wiki = m.wiki AND e.to_relative = m.relative", lambda c: graph.backlinks(graph.edges(c), *_centre(c)))
+on_corpus("broken_links", f"{EDGES} SELECT wiki, relative, target FROM edges WHERE broken", lambda c: graph.broken(graph.edges(c)))
+on_corpus("graph_stats", f"{EDGES} SELECT (SELECT count(*) FROM corpus) AS nodes, count(*) AS edges, count(*) FILTER (broken) AS broken_edges FROM edges", lambda c: graph.stats(graph.nodes(c), graph.edges(c)))
+on_corpus(
+    "degrees",
+    f"{EDGES} SELECT c.wiki, c.relative, coalesce(o.n, 0) AS n_out, coalesce(i.n, 0) AS n_in FROM corpus c LEFT JOIN (SELECT wiki, relative, count(*) AS n FROM edges GROUP BY ALL) o ON o.wiki = c.wiki AND o.relative = c.relative LEFT JOIN (SELECT to_wiki, to_relative, count(*) AS n FROM edges WHERE NOT broken GROUP BY ALL) i ON i.to_wiki = c.wiki AND i.to_relative = c.relative",
+    lambda c: graph.degrees(graph.nodes(c), graph.edges(c)),
+)
+for _depth in (1, 2, 3):
+    on_corpus(f"neighborhood_{_depth}", f"{EDGES} {_near(_depth)} SELECT wiki, relative, CAST(depth AS INTEGER) AS depth FROM near", _neighbours(_depth))
+on_corpus("neighborhood_capped", None, _neighbours(3, 12))
+on_corpus(
+    "neighborhood_edges",
+    f"""{EDGES} {_near(2)} SELECT e.* FROM edges e JOIN near a ON a.wiki = e.wiki AND a.relative = e.relative LEFT JOIN near b ON b.wiki = e.to_wiki AND b.relative = e.to_relative
+WHERE (e.broken OR b.depth IS NOT NULL) AND least(a.depth, coalesce(b.depth, a.depth)) < 2""",
+    lambda c: graph.subgraph_edges(graph.edges(c), _neighbours(2)(c), 2).select("wiki", "relative", "kind", "pos", "target", "to_wiki", "to_relative", "broken"),
+)
+on_corpus(
+    "related_pages",
+    f"""{EDGES}, m AS {MINE}, o AS (SELECT e.to_wiki AS wiki, e.to_relative AS relative FROM edges e SEMI JOIN m ON e.wiki = m.wiki AND e.relative = m.relative WHERE NOT e.broken), i AS (SELECT e.wiki, e.relative FROM edges e JOIN m ON e.to_wiki = m.wiki AND e.to_relative = m.relative),
+ev AS (SELECT wiki, relative, 10.0 AS s, 'Direct link' AS reason FROM o UNION ALL SELECT wiki, relative, 8.0, 'Backlink' FROM i
+UNION ALL SELECT c.wiki, c.relative, 5.0, 'Shared tag: ' || t.tag FROM (SELECT wiki, relative, unnest(tags) AS tag FROM corpus) t JOIN corpus c USING (wiki, relative) WHERE t.tag IN (SELECT unnest(tags) FROM m)
+UNION ALL SELECT c.wiki, c.relative, 3.0, 'Same directory' FROM corpus c, m WHERE string_split(c.relative, '/')[1] = string_split(m.relative, '/')[1]
+UNION ALL SELECT wiki, relative, 2.0 * n, n || ' shared outgoing links' FROM (SELECT e.wiki, e.relative, count(DISTINCT (e.to_wiki, e.to_relative)) AS n FROM edges e SEMI JOIN o ON e.to_wiki = o.wiki AND e.to_relative = o.relative GROUP BY ALL)
+UNION ALL SELECT wiki, relative, 2.0 * n, n || ' shared incoming links' FROM (SELECT e.to_wiki AS wiki, e.to_relative AS relative, count(DISTINCT (e.wiki, e.relative)) AS n FROM edges e SEMI JOIN i ON e.wiki = i.wiki AND e.relative = i.relative WHERE NOT broken GROUP BY ALL))
+SELECT ev.wiki, ev.relative, any_value(c.title) AS title, CAST(sum(s) AS DOUBLE) AS score, string_agg(reason, '; ' ORDER BY reason) AS reasons FROM ev JOIN corpus c ON c.wiki = ev.wiki AND c.relative = ev.relative WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.wiki = ev.wiki AND m.relative = ev.relative)
+GROUP BY ev.wiki, ev.relative ORDER BY score DESC, title, ev.wiki, string_split(ev.relative, '/') LIMIT 10""",
+    lambda c: graph.related(c, graph.edges(c), *_centre(c)).withColumn("reasons", F.concat_ws("; ", "reasons")),
+)
+on_corpus("dot_edges", f"""{EDGES} SELECT '  "' || wiki || ':' || relative || '" -> "' || to_wiki || ':' || to_relative || '";' AS line FROM edges WHERE NOT broken""", lambda c: graph.dot_lines(graph.edges(c)))
+on_corpus(
+    "ring_layout",
+    f"""{EDGES} {_near(2)} SELECT wiki, relative, round(15.0 * depth * cos(a), 4) + 0.0 AS x, round(15.0 * depth * sin(a), 4) + 0.0 AS y FROM (SELECT *, 2 * pi() * (row_number() OVER (PARTITION BY depth ORDER BY wiki, string_split(relative, '/')) - 1) / count(*) OVER (PARTITION BY depth) AS a FROM near)""",
+    lambda c: graph.ring_layout(_neighbours(2)(c)).select("wiki", "relative", (F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y")),
+)
+on_corpus("force_layout", None, lambda c: graph.force_layout(_neighbours(2)(c), graph.edges(c)))
+on_corpus("layout_bounds", None, lambda c: reports.bounding_box(graph.ring_layout(_neighbours(2)(c))))
+
+# names
+
+query("resolve_candidates")(lambda spark, sf_dir: resolve.candidates(spark, "Heap Exploitation"))
+on_corpus("resolve_shallow", "SELECT wiki, relative, 'exact_stem' AS kind FROM corpus WHERE relative = 'src5/page_000005.md'", lambda c: resolve.shallow(c, "src5/page_000005"))
+on_corpus("resolve_listed", "SELECT wiki, relative, 'case_insensitive' AS kind FROM corpus WHERE lower(relative) = 'src5/page_000005.md'", lambda c: resolve.listed(c, "src5/PAGE_000005"))
+on_corpus(
+    "resolve_ranked",
+    """SELECT * FROM (SELECT wiki, relative, CASE WHEN relative = 'page12' THEN 'exact_path' WHEN lower(title) = 'page12' THEN 'title' WHEN list_contains(list_transform(aliases, lambda a: lower(a)), 'page12') THEN 'alias' END AS kind,
+CASE WHEN list_contains(list_transform(aliases, lambda a: lower(a)), 'page12') THEN 6 END AS kind_rank, CAST(len(string_split(relative, '/')) AS INTEGER) AS depth FROM corpus) WHERE kind IS NOT NULL""",
+    lambda c: resolve.ranked(c, "PAGE12"),
+)
+on_corpus(
+    "suggestions",
+    """, nm AS (SELECT DISTINCT regexp_replace(string_split(relative, '/')[-1], '\\.[^.]*$', '') AS name FROM corpus), s AS (SELECT name, round(1.0 - levenshtein('page_00012', name) / CAST(greatest(10, length(name)) AS DOUBLE), 4) AS similarity FROM nm)
+SELECT name, CAST(similarity AS DOUBLE) AS similarity FROM s WHERE similarity >= 0.55 ORDER BY similarity DESC, name LIMIT 5""",
+    lambda c: fuzzy.suggestions(fuzzy.page_stems(c), "page_00012"),
+)
+on_corpus("levenshtein_sim", "SELECT doc_id, CASE WHEN levenshtein(title, 'Document 000500 Topic src0') > 4 THEN 5 ELSE levenshtein(title, 'Document 000500 Topic src0') END AS distance, round(1.0 - levenshtein(lower(title), 'document 000500 topic src0') / CAST(greatest(length(title), 26) AS DOUBLE), 4) AS similarity FROM corpus", lambda c: c.select("doc_id", text.bounded_levenshtein(F.col("title"), F.lit("Document 000500 Topic src0"), 4).cast("long").alias("distance"), F.round(text.similarity(F.col("title"), F.lit("Document 000500 Topic src0")), 4).alias("similarity")))
+on_corpus("fuzzy_find", None, lambda c: fuzzy.find(c, "src7 0042"))
+on_corpus("fuzzy_positions", None, lambda c: c.select("doc_id", fuzzy.scorer("dts7")("title").alias("m")).select("doc_id", "m.score", F.concat_ws(",", F.col("m.positions").cast("array<string>")).alias("positions")))
+
+# text and files
+
+on_corpus("heading_slug", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(title || ' (' || wiki || ')'), '[^\p{L}\p{N}\-_\s]', '', 'g'), '[\-_\s]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM corpus", lambda c: c.select("doc_id", text.heading_slug(F.concat("title", F.lit(" ("), "wiki", F.lit(")"))).alias("slug")))
+on_corpus(
+    "naming_policy",
+    r"SELECT doc_id, array_to_string(list_filter(string_split_regex(title, '[^\p{L}\p{N}]+'), lambda x: x <> ''), '-') AS kebab, array_to_string(list_filter(string_split_regex(title, '[^\p{L}\p{N}]+'), lambda x: x <> ''), '_') AS snake, lower(array_to_string(list_filter(string_split_regex(title, '[^\p{L}\p{N}]+'), lambda x: x <> ''), '-')) AS slug FROM corpus",
+    lambda c: c.select("doc_id", *[text.naming(F.col("title"), p).alias(p) for p in ("kebab", "snake", "slug")]),
+)
+on_corpus("sanitize_text", r"SELECT doc_id, sha256(regexp_replace(body || chr(27) || '[31m' || chr(8238) || 'x' || chr(7), '[\x00-\x09\x0B-\x1F\x7F\x{80}-\x{9F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{FEFF}]', '', 'g')) AS digest FROM corpus WHERE NOT contains(body, chr(9))", lambda c: c.filter(~F.contains("body", F.lit("\t"))).select("doc_id", F.sha2(text.sanitize_text(F.concat("body", F.lit("\x1b[31m‮x\x07"))), 256).alias("digest")))
+on_corpus("human_size", f"SELECT doc_id, {HUMAN.format('(size * 37)')} AS human FROM corpus", lambda c: c.select("doc_id", files.human_size(F.col("size") * 37).alias("human")))
+on_corpus("content_hash", "SELECT doc_id, sha256(body) AS digest FROM corpus", lambda c: c.select("doc_id", files.content_hash(F.col("body")).alias("digest")))
+on_corpus(
+    "classify_ext",
+    "SELECT doc_id, path, CASE WHEN e IN ('rs', 'py') OR path LIKE '%CMakeLists.txt' THEN 'code' WHEN e = 'md' THEN 'markdown' WHEN e = 'txt' THEN 'text' WHEN e = 'png' THEN 'image' WHEN e = 'tex' THEN 'latex' END AS kind, CASE WHEN path LIKE '%CMakeLists.txt' THEN 'CMake' WHEN e = 'rs' THEN 'Rust' WHEN e = 'py' THEN 'Python' END AS language FROM (SELECT doc_id, path, CASE WHEN path LIKE '%/.gitignore' THEN NULL ELSE nullif(regexp_extract(path, '\\.([^./]+)$', 1), '') END AS e FROM (SELECT doc_id, replace(relative, '.md', ['.md', '.rs', '.txt', '.png', '.tex', '.py', '.zzz', '/CMakeLists.txt', '/.gitignore'][1 + doc_id % 9]) AS path FROM corpus))",
+    lambda c: c.withColumn("path", F.replace(F.col("relative"), F.lit(".md"), F.get(F.array(*map(F.lit, [".md", ".rs", ".txt", ".png", ".tex", ".py", ".zzz", "/CMakeLists.txt", "/.gitignore"])), (F.col("doc_id") % 9).cast("int")))).select("doc_id", "path", files.classify_extension(F.col("path")).alias("kind"), files.language(F.col("path")).alias("language")),
+)
+query("format_timestamp", "SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at FROM events")(lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", files.format_timestamp(F.unix_timestamp("ts")).alias("at")))
+
+# markup
+
+LINKED = "(SELECT doc_id, '[[' || links[1] || ']] [[en::' || links[2] || '#Part ' || doc_id || '|see]] [[file:a/b.rs#L' || (doc_id % 90 + 20) || '-L7]] [[ |x]] [[Symbol: run ]] [[#Top]] [[open' || chr(10) || ']]' AS s FROM corpus)"
+
+
+def _linked(c: DataFrame) -> DataFrame:
+    i = F.col("doc_id").cast("string")
+    return c.select("doc_id", F.concat(F.lit("[["), F.get("links", 0), F.lit("]] [[en::"), F.get("links", 1), F.lit("#Part "), i, F.lit("|see]] [[file:a/b.rs#L"), (F.col("doc_id") % 90 + 20).cast("string"), F.lit("-L7]] [[ |x]] [[Symbol: run ]] [[#Top]] [[open\n]]")).alias("s"))
+
+
+on_corpus("link_extract", f"SELECT doc_id, unnest(range(6)) AS pos, unnest(regexp_extract_all(s, '\\[\\[([^\\n]*?)\\]\\]', 1)) AS inner_text FROM {LINKED}", lambda c: _linked(c).select("doc_id", F.posexplode(markup.link_spans(F.col("s"))).alias("pos", "inner_text")).withColumn("pos", F.col("pos").cast("long")))
+on_corpus(
+    "link_parse",
+    """SELECT doc_id, pos, kind, wiki, name, anchor, line_start, line_end, label FROM (
+SELECT doc_id, 0 AS pos, 'page' AS kind, NULL AS wiki, links[1] AS name, NULL AS anchor, CAST(NULL AS INTEGER) AS line_start, CAST(NULL AS INTEGER) AS line_end, NULL AS label FROM corpus
+UNION ALL SELECT doc_id, 1, 'page', 'en', links[2], 'Part ' || doc_id, NULL, NULL, 'see' FROM corpus UNION ALL SELECT doc_id, 2, 'file', NULL, 'a/b.rs', NULL, 7, CAST(doc_id % 90 + 20 AS INTEGER), NULL FROM corpus
+UNION ALL SELECT doc_id, 4, 'symbol', NULL, 'run', NULL, NULL, NULL, NULL FROM corpus UNION ALL SELECT doc_id, 5, 'page', NULL, '', 'Top', NULL, NULL, NULL FROM corpus)""",
+    lambda c: _linked(c).select("doc_id", F.posexplode(F.transform(markup.link_spans(F.col("s")), markup.parse_link)).alias("pos", "x")).filter("x IS NOT NULL").select("doc_id", "pos", "x.*"),
+)
+on_corpus("page_links", "SELECT doc_id, array_to_string(links, ',') AS links FROM corpus", lambda c: markdown(c).select("doc_id", F.concat_ws(",", markup.page_links(F.col("markdown"))).alias("links")))
+on_corpus("frontmatter_parse", "SELECT doc_id, title, array_to_string(aliases, ',') AS aliases, array_to_string(list_filter(tags, lambda t, i: list_position(tags, t) = i), ',') AS tags, 0 AS problems FROM corpus", lambda c: markdown(c).withColumn("f", markup.frontmatter("markdown")).select("doc_id", "f.title", F.concat_ws(",", "f.aliases").alias("aliases"), F.concat_ws(",", "f.tags").alias("tags"), F.size("f.diagnostics").alias("problems")))
+on_corpus("first_heading", "SELECT doc_id, title AS heading FROM corpus", lambda c: markdown(c).select("doc_id", markup.first_heading(F.col("markdown")).alias("heading")))
+on_corpus("markdown_outline", None, lambda c: markdown(c).select("doc_id", F.explode(markup.outline(F.col("markdown"))).alias("h")).select("doc_id", "h.level", "h.text", "h.line"))
+query("pages_href_links", "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages")(lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")))
+
+# changes
+
+STATE_SQL = """now AS (SELECT wiki, relative, size, 1000 + doc_id AS mtime, sha256(body) AS content_hash, doc_id FROM corpus),
+was AS (SELECT wiki, relative, CASE WHEN doc_id % 10 = 7 THEN size + 1 ELSE size END AS size, CASE WHEN doc_id % 10 IN (5, 7) THEN 1 ELSE mtime END AS mtime, CASE WHEN doc_id % 10 = 7 THEN 'other' ELSE content_hash END AS content_hash FROM now WHERE doc_id % 10 <> 3
+ UNION ALL SELECT 'en', 'gone/page_' || i || '.md', 1, 1, 'x' FROM range(5) t(i)),
+delta AS (SELECT coalesce(a.wiki, b.wiki) AS wiki, coalesce(a.relative, b.relative) AS relative, CASE WHEN b.relative IS NULL THEN 'added' WHEN a.relative IS NULL THEN 'deleted' WHEN (a.size = b.size AND a.mtime = b.mtime) OR a.content_hash = b.content_hash THEN 'unchanged' ELSE 'modified' END AS change,
+ coalesce(NOT (a.size = b.size AND a.mtime = b.mtime) AND a.content_hash = b.content_hash, FALSE) AS touched FROM now a FULL JOIN was b ON a.wiki = b.wiki AND a.relative = b.relative)"""
+
+
+def states(c: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Current files and a previous state: a tenth added, modified and touched each, and five deleted."""
+    now = c.select("doc_id", "wiki", "relative", "size", (F.col("doc_id") + 1000).alias("mtime"), F.sha2("body", 256).alias("content_hash"))
+    digit = F.col("doc_id") % 10
+    was = now.filter(digit != 3).select("wiki", "relative", F.when(digit == 7, F.col("size") + 1).otherwise(F.col("size")).alias("size"), F.when(digit.isin(5, 7), F.lit(1)).otherwise(F.col("mtime")).alias("mtime"), F.when(digit == 7, "other").otherwise(F.col("content_hash")).alias("content_hash"))
+    gone = c.sparkSession.range(5).select(F.lit("en").alias("wiki"), F.concat(F.lit("gone/page_"), F.col("id").cast("string"), F.lit(".md")).alias("relative"), F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("mtime"), F.lit("x").alias("content_hash"))
+    return now.drop("doc_id"), was.unionByName(gone)
+
+
+on_corpus("delta_classify", f", {STATE_SQL} SELECT * FROM delta", lambda c: delta.changes(*states(c)))
+on_corpus("delta_summary", f", {STATE_SQL} SELECT change, count(*) AS n FROM delta GROUP BY change", lambda c: delta.summary(delta.changes(*states(c))))
+on_corpus("apply_delta_equals_rebuild", f", {STATE_SQL} SELECT wiki, relative, CASE WHEN touched THEN 1 ELSE mtime END AS mtime, content_hash FROM now JOIN delta USING (wiki, relative)", lambda c: delta.apply(states(c)[1], delta.changes(*states(c)), states(c)[0]).select("wiki", "relative", "mtime", "content_hash"))
+EVENTS = "ev AS (SELECT CAST(user_id AS VARCHAR) AS path, ts, event_id, CASE event_type WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'rename' WHEN 'error' THEN 'delete' ELSE 'modify' END AS kind FROM events), g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM ev WINDOW w AS (PARTITION BY path ORDER BY ts, event_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, event_id) AS session FROM g)"
+FOLD = "list_reduce(list(kind ORDER BY ts, event_id), lambda s, k: CASE WHEN s = 'create' AND k = 'modify' THEN 'create' WHEN s = 'create' AND k = 'delete' THEN 'delete' WHEN s = 'rename' AND k = 'modify' THEN 'rename' WHEN s = 'delete' AND k = 'create' THEN 'modify' WHEN s = 'delete' AND k = 'modify' THEN 'delete' ELSE k END)"
+
+
+def _settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.settled(changes.from_events(spark.read.parquet(f"{sf_dir}/events.parquet")), ["path"], SPAN)
+
+
+query("change_sessions", f"WITH {EVENTS} SELECT path, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY path, session")(lambda spark, sf_dir: _settled(spark, sf_dir).drop("kind"))
+query("change_coalesce", f"WITH {EVENTS} SELECT path, min(ts) AS start, {FOLD} AS kind FROM s GROUP BY path, session")(lambda spark, sf_dir: _settled(spark, sf_dir).select("path", "start", "kind"))

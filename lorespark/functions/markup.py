@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lorespark.functions.arrow import arrow_function
 from lorespark.functions.text import ascii_lower, dedupe_ci
 
 LINK = r"\[\[([^\n]*?)\]\]"
@@ -171,7 +172,7 @@ def parse_frontmatter(text: str) -> dict:
     return out
 
 
-@F.pandas_udf(FRONTMATTER)
+@arrow_function(FRONTMATTER)
 def frontmatter(texts: pd.Series) -> pd.DataFrame:
     """A header block is a state machine over lines, so Arrow batches."""
     rows = [parse_frontmatter(t or "") for t in texts]
@@ -268,12 +269,12 @@ def parse_markdown(text: str) -> dict:
     return {"headings": headings, "body": " ".join(body), "links": links}
 
 
-@F.pandas_udf(MARKDOWN)
+@arrow_function(MARKDOWN)
 def markdown(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_markdown(t or "") for t in texts], columns=["headings", "body", "links"])
 
 
-@F.pandas_udf(BLOCK)
+@arrow_function(BLOCK)
 def markdown_blocks(texts: pd.Series) -> pd.Series:
     return pd.Series([blocks(t or "") for t in texts], dtype="object")
 
@@ -285,7 +286,7 @@ def outline(text: Column) -> Column:
 
 def first_heading(text: Column) -> Column:
     """The first `# ` heading outside fences within 400 lines, or null."""
-    lines = F.transform(F.slice(F.split(text, "\r?\n"), 1, 400), F.trim)
+    lines = F.transform(F.slice(F.split(text, "\r?\n"), 1, 400), lambda line: F.trim(line))
     start = F.struct(F.lit(False).alias("fence"), F.lit(None).cast("string").alias("title"))
 
     def step(s: Column, line: Column) -> Column:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lorespark.functions.arrow import arrow_function
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Control characters, bidirectional overrides and the byte order mark; the second class keeps line feeds.
 FORBIDDEN = r"[\x00-\x1F\x7F\x{80}-\x{9F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{FEFF}]"
@@ -60,7 +62,7 @@ def _width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) or unicodedata.category(c) in ("Mn", "Me", "Cf") else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
-@F.pandas_udf("int")
+@arrow_function("int")
 def display_width(texts: pd.Series) -> pd.Series:
     """Columns that a terminal uses; needs Unicode tables, so Arrow batches."""
     return texts.map(lambda t: _width(t or "")).astype("int32")
@@ -120,7 +122,7 @@ def expand_tabs_in(text: str) -> str:
     return "\n".join(out)
 
 
-@F.pandas_udf("string")
+@arrow_function("string")
 def expand_tabs(texts: pd.Series) -> pd.Series:
     """Only for texts with tabs: stops depend on display width."""
     return texts.map(lambda t: None if t is None else expand_tabs_in(t))
@@ -153,7 +155,7 @@ def cache_component(c: Column) -> Column:
 def dedupe_ci(c: Column) -> Column:
     """Without empty entries and without those that an earlier one equals but for ASCII case."""
     kept = F.filter(c, lambda x: x != "")
-    folded = F.transform(kept, ascii_lower)
+    folded = F.transform(kept, lambda x: ascii_lower(x))
     return F.filter(kept, lambda x, i: F.array_position(folded, ascii_lower(x)) == i + 1)
 
 

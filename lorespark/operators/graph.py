@@ -24,7 +24,7 @@ def place(wiki: str = "wiki", relative: str = "relative") -> Column:
 
 
 def _path(key: Column) -> Column:
-    return F.concat_ws("/", key["parts"])
+    return F.when(key.isNotNull(), F.concat_ws("/", key["parts"]))
 
 
 def nodes(docs: DataFrame) -> DataFrame:
@@ -176,7 +176,8 @@ def force_layout(kept: DataFrame, links: DataFrame, iterations: int = 100) -> Da
     rows = kept.select("wiki", "relative").join(out, ["wiki", "relative"], "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["wiki", "relative"], key=lambda s: s.map(lambda v: v.split("/"))).reset_index(drop=True)
+        order = sorted(range(len(pdf)), key=lambda i: (pdf.wiki[i], pdf.relative[i].split("/")))
+        pdf = pdf.iloc[order].reset_index(drop=True)
         n = len(pdf)
         at = {(w, r): i for i, (w, r) in enumerate(zip(pdf.wiki, pdf.relative))}
         ends = [(i, at[t["to_wiki"], t["to_relative"]]) for i, to in enumerate(pdf.to) if to is not None for t in to if at[t["to_wiki"], t["to_relative"]] != i]

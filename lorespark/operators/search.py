@@ -74,7 +74,7 @@ def search(docs: DataFrame, query: str, top: int = TOP, strict: bool = True, rou
     base = docs
     own = with_tokens(base)
     pairs = sorted({(f, w) for words, fields, _ in groups for w in words for f in fields})
-    rows = own.select("wiki", "relative", "title", "tags", "content_type", *[F.size(f"t_{f}").alias(f"dl_{f}") for f in BOOSTS], *[F.size(F.filter(f"t_{f}", lambda x, w=w: x == w)).alias(f"tf{i}") for i, (f, w) in enumerate(pairs)])
+    rows = own.select("wiki", "relative", "title", "tags", "content_type", *[F.size(f"t_{f}").alias(f"dl_{f}") for f in BOOSTS], *[_count(f, w).alias(f"tf{i}") for i, (f, w) in enumerate(pairs)])
     stats = rows.groupBy("wiki").agg(F.count("*").alias("n"), *[F.avg(f"dl_{f}").alias(f"avg_{f}") for f in BOOSTS], *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(pairs))])
     kept = reduce(lambda a, b: a & b, filters, F.lit(True))
     scored = rows.filter(kept)
@@ -96,6 +96,10 @@ def search(docs: DataFrame, query: str, top: int = TOP, strict: bool = True, rou
     return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("wiki", "rank", "relative", F.coalesce(F.nullif("title", F.lit("")), "relative").alias("title"), "score")
 
 
+def _count(field: str, word: str) -> Column:
+    return F.size(F.filter(f"t_{field}", lambda x: x == word))
+
+
 def text_words(value: str) -> list[str]:
     """The words of a query term as the index has them."""
     import regex
