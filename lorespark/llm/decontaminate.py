@@ -12,7 +12,7 @@ Native: DataFrame functions only. The carried context has a fixed size, hits are
 they meet, and no document is read twice.
 
 Defined results: words are maximal runs of digits, letters a-z after lower-casing A-Z, and characters
-beyond ASCII; null or empty texts have none; items without words never match; equal documents get
+beyond ASCII; null or empty texts have none; items without words never match; items with a null item_id hit words but are not listed; equal documents get
 equal rows (a repeated doc_id is judged as the union of its rows' hits, over the longest of its texts);
 other columns are ignored; an empty benchmark leaves every document clean.
 """
@@ -146,7 +146,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], s["end"]))).alias("n"), F.greatest(s["end"], x["b"]).alias("end")),
     )["n"]
-    ids = F.array_sort(F.transform("item_ids", lambda x: F.coalesce(x.cast("string"), F.lit(""))))
+    ids = F.array_sort(F.transform("item_ids", lambda x: x.cast("string")))
     return hits(docs, benchmark).select("doc_id", "n_words", covered.cast("long").alias("n_hit"), ids.alias("item_ids")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
@@ -169,7 +169,7 @@ dw AS (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS s
        FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS i FROM d, ns WHERE len(w) >= n)),
 m AS (SELECT doc_id, dw.n, i, item_id FROM dw JOIN iw ON dw.s = iw.s AND dw.n = iw.n),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM m) GROUP BY doc_id)
+t AS (SELECT doc_id, count(item_id) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM m) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
