@@ -279,7 +279,8 @@ FOLD = "list_reduce(list(kind ORDER BY ts, event_id), lambda s, k: CASE WHEN s =
 
 
 def _settled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes.settled(changes.from_events(spark.read.parquet(f"{sf_dir}/events.parquet")), ["path"], SPAN)
+    out = changes.settled(changes.from_events(spark.read.parquet(f"{sf_dir}/events.parquet")), ["path"], SPAN)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
 query("change_sessions", f"WITH {EVENTS} SELECT path, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY path, session")(lambda spark, sf_dir: _settled(spark, sf_dir).drop("kind"))

@@ -170,4 +170,4 @@ def from_events(events: DataFrame) -> DataFrame:
     #: Event types and the changes that they stand for.
     kinds = {"signup": "create", "click": "modify", "view": "modify", "purchase": "rename", "error": "delete"}
     kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
-    return events.select(F.lit("main").alias("wiki"), F.col("user_id").cast("string").alias("path"), F.element_at(kind, F.col("event_type")).alias("kind"), F.lit(None).cast("string").alias("from_path"), "ts", F.col("event_id").alias("seq"))
+    return events.select(F.lit("main").alias("wiki"), F.col("user_id").cast("string").alias("path"), F.element_at(kind, F.col("event_type")).alias("kind"), F.lit(None).cast("string").alias("from_path"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
