@@ -1,6 +1,6 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences at line ends and sentence marks; each is normalised (lower case, only letters and
+A text is cut into sentences at sentence marks and line ends (or ends of paragraphs, if that knows more of them); each is normalised (lower case, only letters and
 digits, single spaces) and looked up among known licence sentences; the identifiers found, in order,
 are matched against ordered rules over identifier sequences, most specific first; every rule whose
 sequence occurs, and that is not part of one matched before it, names a licence.
@@ -70,7 +70,8 @@ RULES = [
 ]
 #: A word of each known sentence.
 HINT = "(?i)licen[sc]e|permission|software|redistribution|warrant|rights reserved|the name of the copyright holder"
-CUT = r"[\r\n]+|[.;:?](?=\s)\s*"
+#: Where sentences end: line by line, and over the line ends within a paragraph.
+LINES, PARAGRAPHS = r"[\r\n]+|[.?](?=\s)\s*", r"\r?\n\s*\n\s*|[.?](?=\s)\s*"
 
 
 def _table() -> Column:
@@ -78,12 +79,16 @@ def _table() -> Column:
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
+    """Identifiers of the known sentences of a text, in order; of its two ways to end sentences the one that knows more, lines if equal."""
     lower = lambda s: F.translate(s, UPPER, LOWER)
     normal = lambda s: F.trim(F.regexp_replace(lower(s), "[^a-z0-9]+", " "))
-    lines = F.filter(F.split(text, CUT), lambda s: s.rlike(HINT))
-    known = F.transform(lines, lambda s: F.element_at(_table(), normal(s)))
-    return F.when(text.rlike(HINT), F.filter(known, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+
+    def known(cut: str) -> Column:
+        ids = F.transform(F.filter(F.split(text, cut), lambda s: s.rlike(HINT)), lambda s: F.element_at(_table(), normal(s)))
+        return F.filter(ids, lambda x: x.isNotNull())
+
+    lines, paragraphs = known(LINES), known(PARAGRAPHS)
+    return F.when(text.rlike(HINT), F.when(F.size(paragraphs) > F.size(lines), paragraphs).otherwise(lines)).otherwise(F.array().cast("array<string>"))
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
@@ -121,11 +126,15 @@ def _op1_sql() -> str:
     for step in steps[1:]:
         query = step % query
     first = ", ".join(f"CASE WHEN {' OR '.join([f'{expr[j]} IS NOT NULL' for j in range(i) if RULES[j][0] == RULES[i][0]]) or 'FALSE'} THEN NULL ELSE {x} END" for i, x in enumerate(expr))
+    cut = r"string_split_regex(regexp_replace(text, '([.?])\s+', '\1' || chr(10) || chr(10), 'g'), '{}')"
     return rf"""
-WITH s AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS s FROM (SELECT doc_id, string_split_regex(regexp_replace(text, '([.;:?])\s+', '\1' || chr(10), 'g'), '[\r\n]+') AS x FROM documents)),
-n AS (SELECT doc_id, i, trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')) AS s FROM s),
+WITH x AS (SELECT doc_id, 1 AS way, {cut.format(r'[\r\n]+')} AS x FROM documents UNION ALL SELECT doc_id, 0, {cut.format(r'\r?\n\s*\n\s*')} FROM documents),
+s AS (SELECT doc_id, way, unnest(range(len(x))) AS i, unnest(x) AS s FROM x),
+n AS (SELECT doc_id, way, i, trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')) AS s FROM s),
 k(s, id) AS (VALUES {known}),
-g AS (SELECT d.doc_id, coalesce(list(id ORDER BY i) FILTER (id IS NOT NULL), []) AS ids FROM documents d LEFT JOIN (SELECT doc_id, i, id FROM n JOIN k USING (s)) m ON d.doc_id = m.doc_id GROUP BY d.doc_id)
+m AS (SELECT doc_id, list(id ORDER BY i) AS ids, way FROM n JOIN k USING (s) GROUP BY doc_id, way),
+b AS (SELECT doc_id, ids FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len(ids) DESC, way DESC) = 1),
+g AS (SELECT d.doc_id, coalesce(b.ids, []) AS ids FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id)
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ',') AS sentence_ids, concat_ws(',', {first}) AS licenses FROM ({query})
 """
 

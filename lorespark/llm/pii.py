@@ -183,15 +183,15 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """df with `text` rewritten and n_found, n_replaced added."""
     maybe = F.col(text).rlike("[0-9@]")  # every pattern needs one
     found = F.when(maybe, F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    out = df.withColumn("_found", found).withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
+    out = df.withColumn("__pii_found", found).withColumn("__pii_new", F.transform("__pii_found", lambda m: pseudonym(m, key)))
     gaps = F.split(F.col(text), ANY, -1)
-    joined = F.concat_ws("", F.zip_with(gaps, "_new", lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))))
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
+    joined = F.concat_ws("", F.zip_with(gaps, "__pii_new", lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))))
+    changed = F.size(F.filter(F.zip_with("__pii_found", "__pii_new", lambda a, b: a != b), lambda x: x))
     return (
-        out.withColumn("n_found", F.coalesce(F.size("_found"), F.lit(0)).cast("long"))
+        out.withColumn("n_found", F.coalesce(F.size("__pii_found"), F.lit(0)).cast("long"))
         .withColumn("n_replaced", F.greatest(changed, F.lit(0)).cast("long"))
         .withColumn(text, F.when(F.col("n_replaced") > 0, joined).otherwise(F.col(text)))
-        .drop("_found", "_new")
+        .drop("__pii_found", "__pii_new")
     )
 
 

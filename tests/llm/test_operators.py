@@ -179,7 +179,7 @@ def test_components_of_a_long_path(spark):
 def test_licences(spark):
     texts = [
         "Code.\nLicensed under the Apache License, Version 2.0.", "LICENSED UNDER THE MIT LICENSE", "nothing about it", None, "",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU\nGeneral Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     ]
     got = {r.doc_id: r.licenses for r in licenses.scan(docs_of(spark, texts)).collect()}
     assert got == {0: ["Apache-2.0"], 1: ["MIT"], 2: [], 3: [], 4: [], 5: ["GPL-3.0-or-later"]}
