@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions import files, markup, text
-from lorespark.operators import delta, fuzzy, graph, reports, resolve, search
+from lorespark.operators import delta, fuzzy, graph, outputs, reports, resolve, search
 from lorespark.sources.corpus import CORPUS_SQL, corpus, markdown
 from lorespark.streaming import changes
 
@@ -100,6 +100,12 @@ SELECT wiki, relative, 'title' AS field, {TOKENS.format('title')} AS t FROM corp
 on_corpus("in_page_search", "SELECT wiki, relative, CAST(list_position(l, true) AS INTEGER) AS line FROM (SELECT wiki, relative, list_transform(string_split(body, chr(10)), lambda x: contains(lower(x), 'license')) AS l FROM corpus) WHERE list_contains(l, true)", lambda c: search.in_page(c, "License"))
 on_corpus("snippets", None, lambda c: search.with_snippets(search.search(c, "loser", top=10), c, "loser"))
 
+_JSON = "SELECT '{\"wiki\":\"' || wiki || '\",\"relative\":\"' || relative || '\",\"title\":\"' || title || '\"}' AS line FROM corpus WHERE list_contains(tags, 'src4')"
+on_corpus("output_json_lines", _JSON, lambda c: outputs.lines(reports.with_tag(c, "src4"), "json"))
+on_corpus("output_paths", "SELECT wiki || ':' || relative AS line FROM corpus WHERE list_contains(tags, 'src4')", lambda c: outputs.lines(reports.with_tag(c, "src4"), "paths"))
+on_corpus("numbered_lines", "SELECT wiki, relative, CAST(i AS INTEGER) AS number, l[i] AS line FROM (SELECT wiki, relative, l, unnest(range(1, least(3, len(l)) + 1)) AS i FROM (SELECT wiki, relative, string_split(body, chr(10)) AS l FROM corpus))", lambda c: outputs.numbered(c, 1, 3))
+on_corpus("name_prefix", "SELECT DISTINCT 'page_' || printf('%06d', doc_id) AS name FROM corpus WHERE doc_id < 100", lambda c: outputs.starting(fuzzy.page_stems(c), "page_0000").distinct())
+
 # reports
 
 on_corpus("tag_counts", "SELECT tag, count(*) AS pages FROM (SELECT unnest(tags) AS tag FROM corpus) GROUP BY tag", reports.tag_counts)
@@ -181,6 +187,8 @@ GROUP BY ev.wiki, ev.relative ORDER BY score DESC, title, ev.wiki, string_split(
     lambda c: graph.related(c, graph.edges(c), *_centre(c)).withColumn("reasons", F.concat_ws("; ", "reasons")),
 )
 on_corpus("dot_edges", f"""{EDGES} SELECT '  "' || wiki || ':' || relative || '" -> "' || to_wiki || ':' || to_relative || '";' AS line FROM edges WHERE NOT broken""", lambda c: graph.dot_lines(graph.edges(c)))
+on_corpus("dot_subgraph", f"""{EDGES} {_near(1)}, sub AS (SELECT e.* FROM edges e JOIN near a ON a.wiki = e.wiki AND a.relative = e.relative JOIN near b ON b.wiki = e.to_wiki AND b.relative = e.to_relative WHERE least(a.depth, b.depth) < 1)
+SELECT 0 AS ord, 'digraph wiki {{' AS line UNION ALL SELECT 2, '}}' UNION ALL SELECT 1, '  "' || wiki || ':' || relative || '" -> "' || to_wiki || ':' || to_relative || '";' FROM sub""", lambda c: outputs.dot(graph.edges(c), _neighbours(1)(c), 1))
 on_corpus(
     "ring_layout",
     f"""{EDGES} {_near(2)} SELECT wiki, relative, round(15.0 * depth * cos(a), 4) + 0.0 AS x, round(15.0 * depth * sin(a), 4) + 0.0 AS y FROM (SELECT *, 2 * pi() * (row_number() OVER (PARTITION BY depth ORDER BY wiki, string_split(relative, '/')) - 1) / count(*) OVER (PARTITION BY depth) AS a FROM near)""",
@@ -241,11 +249,11 @@ def _linked(c: DataFrame) -> DataFrame:
 on_corpus("link_extract", f"SELECT doc_id, unnest(range(6)) AS pos, unnest(regexp_extract_all(s, '\\[\\[([^\\n]*?)\\]\\]', 1)) AS inner_text FROM {LINKED}", lambda c: _linked(c).select("doc_id", F.posexplode(markup.link_spans(F.col("s"))).alias("pos", "inner_text")).withColumn("pos", F.col("pos").cast("long")))
 on_corpus(
     "link_parse",
-    """SELECT doc_id, pos, kind, wiki, name, anchor, line_start, line_end, label FROM (
+    """SELECT doc_id, pos, kind, wiki, name, anchor, CAST(line_start AS VARCHAR) AS line_start, CAST(line_end AS VARCHAR) AS line_end, label FROM (
 SELECT doc_id, 0 AS pos, 'page' AS kind, NULL AS wiki, links[1] AS name, NULL AS anchor, CAST(NULL AS INTEGER) AS line_start, CAST(NULL AS INTEGER) AS line_end, NULL AS label FROM corpus
 UNION ALL SELECT doc_id, 1, 'page', 'en', links[2], 'Part ' || doc_id, NULL, NULL, 'see' FROM corpus UNION ALL SELECT doc_id, 2, 'file', NULL, 'a/b.rs', NULL, 7, CAST(doc_id % 90 + 20 AS INTEGER), NULL FROM corpus
 UNION ALL SELECT doc_id, 4, 'symbol', NULL, 'run', NULL, NULL, NULL, NULL FROM corpus UNION ALL SELECT doc_id, 5, 'page', NULL, '', 'Top', NULL, NULL, NULL FROM corpus)""",
-    lambda c: _linked(c).select("doc_id", F.posexplode(F.transform(markup.link_spans(F.col("s")), markup.parse_link)).alias("pos", "x")).filter("x IS NOT NULL").select("doc_id", "pos", "x.*"),
+    lambda c: _linked(c).select("doc_id", F.posexplode(F.transform(markup.link_spans(F.col("s")), markup.parse_link)).alias("pos", "x")).filter("x IS NOT NULL").select("doc_id", "pos", "x.*").withColumns({x: F.col(x).cast("string") for x in ("line_start", "line_end")}),
 )
 on_corpus("page_links", "SELECT doc_id, array_to_string(links, ',') AS links FROM corpus", lambda c: markdown(c).select("doc_id", F.concat_ws(",", markup.page_links(F.col("markdown"))).alias("links")))
 on_corpus("frontmatter_parse", "SELECT doc_id, title, array_to_string(aliases, ',') AS aliases, array_to_string(list_filter(tags, lambda t, i: list_position(tags, t) = i), ',') AS tags, 0 AS problems FROM corpus", lambda c: markdown(c).withColumn("f", markup.frontmatter("markdown")).select("doc_id", "f.title", F.concat_ws(",", "f.aliases").alias("aliases"), F.concat_ws(",", "f.tags").alias("tags"), F.size("f.diagnostics").alias("problems")))
@@ -280,8 +288,8 @@ FOLD = "list_reduce(list(kind ORDER BY ts, event_id), lambda s, k: CASE WHEN s =
 
 def _settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = changes.settled(changes.from_events(spark.read.parquet(f"{sf_dir}/events.parquet")), ["path"], SPAN)
-    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("start", "end")})
 
 
-query("change_sessions", f"WITH {EVENTS} SELECT path, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY path, session")(lambda spark, sf_dir: _settled(spark, sf_dir).drop("kind"))
-query("change_coalesce", f"WITH {EVENTS} SELECT path, min(ts) AS start, {FOLD} AS kind FROM s GROUP BY path, session")(lambda spark, sf_dir: _settled(spark, sf_dir).select("path", "start", "kind"))
+query("change_sessions", f"WITH {EVENTS} SELECT path, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS \"end\", count(*) AS n FROM s GROUP BY path, session")(lambda spark, sf_dir: _settled(spark, sf_dir).drop("kind"))
+query("change_coalesce", f"WITH {EVENTS} SELECT path, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, {FOLD} AS kind FROM s GROUP BY path, session")(lambda spark, sf_dir: _settled(spark, sf_dir).select("path", "start", "kind"))

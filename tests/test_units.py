@@ -246,3 +246,18 @@ def test_lint_and_tables(spark, small):
     assert [r.target for r in reports.lint_links(small).collect()] == ["broken"]
     cells = spark.createDataFrame([(0, 0, "日本語"), (1, 0, "a"), (0, 1, "b")], "row int, column int, text string")
     assert sorted(tuple(r) for r in reports.table_widths(cells).collect()) == [(0, 6), (1, 4)]
+
+
+def test_pages(spark, tmp_path):
+    from lorespark.errors import UsageError
+    from lorespark.operators import outputs
+
+    assert outputs.new_page(spark, str(tmp_path), "Notes/Heap Exploitation") == "Notes/Heap-Exploitation.md"
+    with pytest.raises(FileExistsError):
+        outputs.new_page(spark, str(tmp_path), "Notes/Heap Exploitation")
+    with pytest.raises(UsageError):
+        outputs.delete_page(str(tmp_path), "Notes/Heap-Exploitation.md")
+    with pytest.raises(UsageError):
+        outputs.delete_page(str(tmp_path), "../x", True)
+    outputs.delete_page(str(tmp_path), "Notes/Heap-Exploitation.md", True)
+    assert not (tmp_path / "Notes/Heap-Exploitation.md").exists()
