@@ -6,13 +6,15 @@ Every byte covered by a SPAN-byte string that also starts earlier (smaller doc_i
    the same place, so strings need comparing only within an anchor. Consecutive strings with one anchor form a context; equal contexts
    met in one batch are reduced to the first before anything is shuffled.
 2. Sorted by anchor and context, every context but the first of its equals holds only repeats. An anchor with one context is done.
-3. Anchors with different contexts (where repeats begin and end) are decided by a suffix array of their contexts, built by linear
-   grouping, anchors together up to CHUNK bytes at a time: strings with SPAN equal bytes lie next to each other, and all but the first in the
-   corpus repeat it. Anchors with more than MANY contexts, which no task should gather, are decided string by string: each string's
-   128-bit hash is grouped over the cluster instead.
-4. Runs are joined to their document by doc_id, merged and cut out.
+3. Contexts of the other anchors (where repeats begin and end) are cut into stretches of at most WIDE strings that share a core of
+   SPAN - WIDE + 1 bytes. Stretches are sorted by core as contexts by anchor: equal ones are repeats, a core with one stretch is done.
+4. What differs around an equal core is decided by a suffix array, built by linear grouping, of the stretches with the core as one
+   letter, cores together up to CHUNK letters at a time: strings with equal bytes begin suffixes with WIDE equal letters and lie next to each other,
+   and all but the first in the corpus repeat it. A core with more than MANY stretches, which no task should gather, is decided string by string:
+   what stands around the core is grouped over the cluster instead.
+5. Runs are joined to their document by doc_id, merged and cut out.
 
-Contexts and, for the anchors of step 3 with MANY contexts, strings are told apart by 128 bits of hashes.
+Contexts and stretches are told apart by 128 bits of hashes.
 
 Defined results: a null or empty text has no bytes and no removed ones; texts of less than SPAN bytes are kept whole; texts are handled whole; a null
 doc_id comes before all others; rows with equal doc_id count as one place, so both lose what either of them repeats; other columns are
@@ -33,9 +35,10 @@ from pyspark.sql import functions as F
 from lorespark.llm.common import materialize, table
 from lorespark.llm.suffixes import suffix_array
 
-SPAN, K, CHUNK, MANY, BROADCAST = 100, 32, 100_000, 4096, 400_000
+SPAN, K, WIDE, CHUNK, MANY, BROADCAST = 100, 32, 12, 100_000, 4096, 1_000_000
+CORE = SPAN - WIDE + 1
 STEP = SPAN - K  # starts of K-byte strings in a SPAN-byte one, less one
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 1_000_000
 NO_ID = -(1 << 63)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64((1 << 28) - 1)
@@ -97,38 +100,84 @@ def _parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
         start = end
 
 
+def _known(group: np.ndarray, own: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by group, own, doc and start, and in it: whether an equal one comes before."""
+    order = np.lexsort((start, doc, own, group))
+    group, own = group[order], own[order]
+    known = np.zeros(len(order), bool)
+    known[1:] = (group[1:] == group[:-1]) & (own[1:] == own[:-1])
+    return order, known
+
+
+def _anywhere(known: np.ndarray, group: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """group, but what is known needs no partner and goes anywhere."""
+    return np.where(known, (doc * 31 + start).view(np.uint64) * _M1, group.view(np.uint64)).view(np.int64)
+
+
 def contexts(docs: DataFrame) -> DataFrame:
-    """(anchor, context, doc_id, at: start, count and known); known: an equal one that comes earlier was seen in the batch."""
+    """(anchor, context, doc_id, at: start, count, place of the anchor and whether an equal one comes earlier in the batch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in _parts(batch):
-                text, start, count, _, anchor, context = contexts_of(texts)
+                text, start, count, place, anchor, context = contexts_of(texts)
                 doc = ids[text] if len(text) else np.zeros(0, np.int64)
-                order = np.lexsort((start, doc, context, anchor))
-                anchor, context, doc, start, count = (x[order] for x in (anchor, context, doc, start, count))
-                known = np.zeros(len(order), bool)
-                known[1:] = (anchor[1:] == anchor[:-1]) & (context[1:] == context[:-1])
-                # what is known needs no partner: it goes anywhere
-                anchor = np.where(known, (doc * 31 + start).astype(np.uint64) * _M1, anchor.view(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(context), pa.array(doc), pa.array(start << 8 | count << 1 | known)], ["anchor", "context", "doc_id", "at"])
+                order, known = _known(anchor, context, doc, start)
+                anchor, context, doc, start, count, place = (x[order] for x in (anchor, context, doc, start, count, place))
+                at = start << 16 | place << 8 | count << 1 | known
+                yield pa.RecordBatch.from_arrays([pa.array(_anywhere(known, anchor, doc, start)), pa.array(context), pa.array(doc), pa.array(at)], ["anchor", "context", "doc_id", "at"])
 
     return docs.mapInArrow(run, "anchor long, context long, doc_id long, at long")
 
 
-def _decide(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int]]:
-    """(doc_id, start) of the strings in rows (doc_id, start, count, bytes) that have an equal one earlier among them."""
-    text = b"".join(r[3] for r in rows)
+def _stretches(data: bytes, start: int, place: int, count: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """Of a context: (core, own hash, start, at: letters before the core and count, bytes around the core)."""
+    digest, anchor = xxhash.xxh3_64_intdigest, start + place
+    first = start
+    while first < start + count:
+        klass = (anchor - first) // WIDE  # by the anchor's place in the string; the last of a class has the smallest
+        last = min(start + count - 1, anchor - klass * WIDE)
+        core = anchor - klass * WIDE
+        n, before = last - first + 1, core - first
+        left, right = data[first:core], data[core + CORE : last + SPAN]
+        around = left + right
+        yield digest(data[core : core + CORE], klass), digest(around, before << 8 | n), first, before << 8 | n, around
+        first = last + 1
+
+
+def stretches(docs: DataFrame) -> DataFrame:
+    """(core, own, doc_id, start, at, around, known) from docs(doc_id, data, wanted: contexts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 200):
+                batch = whole.slice(k, 200)
+                rows = [(doc, *x) for doc, data, wanted in zip(*(c.to_pylist() for c in batch.columns)) for w in wanted for x in _stretches(data, w >> 16, w >> 8 & 255, w >> 1 & 127)]
+                doc, core, own, start, at = (np.array([r[i] for r in rows], t) for i, t in enumerate((np.int64, np.uint64, np.uint64, np.int64, np.int64)))
+                order, known = _known(core, own, doc, start)
+                core, own, doc, start, at = (x[order] for x in (core, own, doc, start, at))
+                around = pa.array([b"" if gone else rows[i][5] for i, gone in zip(order.tolist(), known.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(_anywhere(known, core, doc, start)), pa.array(own.view(np.int64)), pa.array(doc), pa.array(start), pa.array(at), around, pa.array(known)], ["core", "own", "doc_id", "start", "at", "around", "known"])
+
+    return docs.mapInArrow(run, "core long, own long, doc_id long, start long, at long, around binary, known boolean")
+
+
+def _decide(rows: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int, int]]:
+    """(doc_id, start) of the strings in rows (core, doc_id, start, at, around) that have an equal one earlier among them."""
+    text: list[int] = []
     owner: dict[int, tuple[int, int]] = {}
-    base = 0
-    for doc, start, count, data in rows:
-        for i in range(count):
-            owner[base + i] = doc, start + i
-        base += len(data)
+    letters: dict[int, int] = {}
+    for core, doc, start, at, around in rows:
+        before = at >> 8
+        for i in range(at & 255):
+            owner[len(text) + i] = doc, start + i
+        text += around[:before]
+        text.append(256 + letters.setdefault(core, len(letters)))
+        text += around[before:]
     found, last, run = [], None, []
     for p in suffix_array(text):
         if p in owner:
-            here = text[p : p + SPAN]
+            here = text[p : p + WIDE]
             if here != last:
                 if len(run) > 1:
                     found += sorted(run)[1:]
@@ -139,58 +188,62 @@ def _decide(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int]]:
     return found
 
 
-def by_suffix_array(pieces: DataFrame) -> DataFrame:
-    """(doc_id, start, count) of repeated strings from pieces (anchor, doc_id, start, count, data), anchors whole and in one partition."""
+def by_suffix_array(rows: DataFrame) -> DataFrame:
+    """(doc_id, start, count) of repeated strings from rows (core, doc_id, start, at, around)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, own, total, last = [], [], 0, None
+        held, total, last = [], 0, None
 
         def out() -> pa.RecordBatch:
-            found = _decide(rows)
+            found = _decide(held)
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([1] * len(found), pa.int64())], ["doc_id", "start", "count"])
 
         for batch in batches:
-            for anchor, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if anchor != last and total >= CHUNK:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] != last and total >= CHUNK:
                     yield out()
-                    rows.clear()
+                    held.clear()
                     total = 0
-                rows.append(tuple(row))
-                total += len(row[3])
-                last = anchor
-        if rows:
+                held.append(row)
+                total += len(row[4]) + 1
+                last = row[0]
+        if held:
             yield out()
 
-    dealt = pieces.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "doc_id long, start long, count long")
+    return rows.repartition("core").sortWithinPartitions("core").mapInArrow(run, "doc_id long, start long, count long")
+
+
+def kinds(rows: DataFrame, group: str, own: str, known, *order: str) -> DataFrame:
+    """rows with kind: 0 for those that an equal one comes before, 1 for other ones of a group with different ones, 2 if those are more than MANY, else null."""
+    by = Window.partitionBy(group)
+    out = rows.withColumn("previous", F.lag(own).over(by.orderBy(own, *order))).withColumn("low", F.min(own).over(by)).withColumn("high", F.max(own).over(by)).withColumn("n", F.count("*").over(by))
+    again = known | F.coalesce(F.col("previous") == F.col(own), F.lit(False))
+    return out.withColumn("kind", F.when(again, 0).when(F.col("low") != F.col("high"), F.when(F.col("n") <= MANY, 1).otherwise(2))).filter("kind IS NOT NULL")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, start, count): runs of starts of repeated SPAN-byte strings of docs(doc_id, data)."""
-    rows = contexts(docs)
-    order = Window.partitionBy("anchor").orderBy("context", "doc_id", "at")
-    group = Window.partitionBy("anchor")
-    rows = rows.withColumn("previous", F.lag("context").over(order)).withColumn("low", F.min("context").over(group)).withColumn("high", F.max("context").over(group)).withColumn("n", F.count("*").over(group))
-    known = (F.col("at").bitwiseAND(1) == 1) | (F.col("previous") == F.col("context"))
-    kind = F.when(F.coalesce(known, F.lit(False)), 0).when(F.col("low") != F.col("high"), F.when(F.col("n") <= MANY, 1).otherwise(2))
-    rows = rows.select(kind.alias("kind"), "anchor", "doc_id", F.shiftright("at", 8).alias("start"), F.shiftright("at", 1).bitwiseAND(127).alias("count"))
-    rows = materialize(rows.filter("kind IS NOT NULL"))
+    rows = kinds(contexts(docs), "anchor", "context", F.col("at").bitwiseAND(1) == 1, "doc_id", "at")
+    rows = materialize(rows.select("kind", "doc_id", "at"))
+    whole = rows.filter("kind = 0").select("doc_id", F.shiftright("at", 16).alias("start"), F.shiftright("at", 1).bitwiseAND(127).alias("count"))
 
     open_ = rows.filter("kind > 0")
-    wanted = open_.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "count", "kind")).alias("wanted"))
+    wanted = open_.groupBy("doc_id").agg(F.collect_list("at").alias("wanted"))
     if open_.limit(BROADCAST + 1).count() <= BROADCAST:
         wanted = F.broadcast(wanted)
-    piece = F.explode("wanted").alias("w")
-    pieces = docs.join(wanted, "doc_id").select("doc_id", "data", piece).select("w.anchor", "doc_id", "w.start", "w.count", F.expr("substring(data, CAST(w.start + 1 AS INT), CAST(w.count + 99 AS INT))").alias("data"), "w.kind")
-    pieces = materialize(pieces)
-    few = by_suffix_array(pieces.filter("kind = 1").select("anchor", "doc_id", "start", "count", "data"))
-
-    each = pieces.filter("kind = 2").select("doc_id", "start", "data", F.explode(F.expr("sequence(0, CAST(count - 1 AS INT))")).alias("i"))
-    string = F.expr(f"substring(data, i + 1, {SPAN})")
-    each = each.select("doc_id", (F.col("start") + F.col("i")).alias("start"), F.xxhash64(F.lit(1), string).alias("a"), F.xxhash64(F.lit(2), string).alias("b"))
-    first = each.groupBy("a", "b").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    many = each.join(first, ["a", "b"]).filter(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", F.lit(1).cast("long").alias("count"))
-    return rows.filter("kind = 0").select("doc_id", "start", "count").unionByName(few).unionByName(many)
+    parts = kinds(stretches(docs.join(wanted, "doc_id").select("doc_id", "data", "wanted")), "core", "own", F.col("known"), "doc_id", "start")
+    parts = materialize(parts.select("kind", "core", "doc_id", "start", "at", "around"))
+    count = F.col("at").bitwiseAND(255)
+    equal = parts.filter("kind = 0").select("doc_id", "start", count.alias("count"))
+    few = by_suffix_array(parts.filter("kind = 1").select("core", "doc_id", "start", "at", "around"))
+
+    # each string of a large core by what stands around it
+    i, before = F.col("i"), F.shiftright("at", 8).cast("int")
+    each = parts.filter("kind = 2").withColumn("i", F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))))
+    each = each.select("core", "doc_id", (F.col("start") + i).alias("start"), (before - i).alias("left"), F.substring("around", i + 1, F.lit(WIDE - 1)).alias("around"))
+    first = each.groupBy("core", "left", "around").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    many = each.join(first, ["core", "left", "around"]).filter(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", F.lit(1).cast("long").alias("count"))
+    return whole.unionByName(equal).unionByName(few).unionByName(many)
 
 
 def merged(starts: list[int], counts: list[int], length: int) -> list[tuple[int, int]]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 
-def suffix_array(text: bytes) -> list[int]:
-    """Starts of all suffixes of text in ascending order; the end of the text sorts first and is left out.
+
+def suffix_array(text: Sequence[int]) -> list[int]:
+    """Starts of all suffixes of a text of small non-negative integers (or bytes) in ascending order; the end of the text sorts first and is left out.
 
     Phase 1 visits groups of suffixes with equal context in descending order. For each member it finds the nearest place
     before it in a lower group (the previous smaller one, along pointers of places already visited); such a place's context grows by
@@ -15,14 +17,15 @@ def suffix_array(text: bytes) -> list[int]:
     n = len(text)
     if not n:
         return []
-    counts = [0] * 257
+    letters = max(text) + 1
+    counts = [0] * letters
     for c in text:
-        counts[c + 1] += 1
-    starts = [0] * 257
+        counts[c] += 1
+    starts = [0] * letters
     at = 0
-    for c in range(256):
+    for c in range(letters):
         starts[c] = at
-        at += counts[c + 1]
+        at += counts[c]
     order, slot, group = [0] * n, [0] * n, [0] * n
     fill = starts[:]
     for i, c in enumerate(text):
@@ -30,9 +33,9 @@ def suffix_array(text: bytes) -> list[int]:
         fill[c] = k + 1
         order[k], slot[i], group[i] = i, k, starts[c]
     size = [0] * n  # by first slot of a group
-    for c in range(256):
-        if counts[c + 1]:
-            size[starts[c]] = counts[c + 1]
+    for c in range(letters):
+        if counts[c]:
+            size[starts[c]] = counts[c]
     before = [-1] * n
 
     end = n
