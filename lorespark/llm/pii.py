@@ -8,8 +8,8 @@ stays as it is.
 
 * Card numbers keep their separators and end in a valid check digit; IBANs keep country and length, with
   new check digits; phone numbers keep +country and the exchange layout; octets permute in 0-255; a date
-  permutes within its century; hexadecimal tokens and the local part of an e-mail permute digit by
-  digit class (letters stay letters, digits stay digits); e-mail domains stay.
+  permutes within its century; hexadecimal tokens, the body of an IBAN and the local part of an e-mail permute in blocks among the strings of
+  their layout (letters stay letters, digits stay digits); e-mail domains stay.
 
 Native: DataFrame functions only; the match list of a text is rewritten in its row, nothing shuffles.
 
@@ -89,17 +89,38 @@ def mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), lambda s, c: (s * F.when(c.rlike("[0-9]"), 10).otherwise(100) + code(c)) % 97)
 
 
-def by_class(text: Column, key: str, tweak: str) -> Column:
-    """Every digit, lower-case and upper-case letter shifted within its class by a keyed amount that depends on the whole: not reversible by
-    position alone, equal for equal texts."""
-    whole = F.lower(text)
+def _class(c: Column) -> tuple[Column, Column]:
+    """How many characters there are of a character's class (digits, lower and upper case letters; others are alone), and the first."""
+    digit, low, up = c.rlike("[0-9]"), c.rlike("[a-z]"), c.rlike("[A-Z]")
+    return F.when(digit, 10).when(low | up, 26).otherwise(1).cast("bigint"), F.when(digit, 48).when(low, 97).otherwise(65).cast("bigint")
 
-    def one(c: Column, i: Column) -> Column:
-        shift = _prf(key, F.lit(tweak), whole, i)
-        letter = lambda base, n: F.char(F.lit(base) + F.pmod(F.ascii(c) - base + shift, F.lit(n)))
-        return F.when(c.rlike("[0-9]"), letter(48, 10)).when(c.rlike("[a-z]"), letter(97, 26)).when(c.rlike("[A-Z]"), letter(65, 26)).otherwise(c)
 
-    return F.concat_ws("", F.transform(F.split(text, ""), one))
+def permute_classes(text: Column, key: str, tweak: str) -> Column:
+    """Digits stay digits, letters stay letters of their case, the rest stays: blocks of 12 characters, each permuted by a Feistel network among those
+    of its layout."""
+
+    def number(part: Column) -> Column:
+        def add(s: Column, c: Column) -> Column:
+            size, first = _class(c)
+            return F.struct((s["v"] * size + F.when(size > 1, F.ascii(c) - first).otherwise(0)).alias("v"), (s["n"] * size).alias("n"))
+
+        return F.aggregate(F.split(part, ""), F.struct(F.lit(0).cast("bigint").alias("v"), F.lit(1).cast("bigint").alias("n")), add)
+
+    def spelled(value: Column, part: Column) -> Column:
+        def put(s: Column, c: Column) -> Column:
+            size, first = _class(c)
+            return F.struct(F.floor(s["v"] / size).cast("bigint").alias("v"), F.concat(F.when(size > 1, F.char(first + s["v"] % size)).otherwise(c), s["out"]).alias("out"))
+
+        return F.aggregate(F.reverse(F.split(part, "")), F.struct(value.alias("v"), F.lit("").alias("out")), put)["out"]
+
+    def block(b: Column, i: Column) -> Column:
+        u = F.floor(F.length(b) / 2).cast("int")
+        x, y = b.substr(F.lit(1), u), b.substr(u + 1, F.length(b))
+        out = feistel(number(x)["v"], number(y)["v"], number(x)["n"], number(y)["n"], key, F.concat(F.lit(tweak), i.cast("string")))
+        return F.concat(spelled(out["a"], x), spelled(out["b"], y))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length(text) - 1) / 12).cast("int"), F.lit(0))), lambda i: text.substr(i * 12 + 1, F.lit(12)))
+    return F.concat_ws("", F.transform(blocks, block))
 
 
 def permute_hex(text: Column, key: str) -> Column:
@@ -137,7 +158,7 @@ def pseudonym(m: Column, key: str) -> Column:
     card = F.when(luhn_sum(digits, False) % 10 == 0, fill(m, F.concat(new_core, ((10 - luhn_sum(new_core, True) % 10) % 10).cast("string")))).otherwise(m)
     flat = F.regexp_replace(m, " ", "")
     body = flat.substr(F.lit(5), F.length(flat))
-    new_body = by_class(body, key, "iban")
+    new_body = permute_classes(body, key, "iban")
     checks = F.lpad((98 - mod97(F.concat(new_body, flat.substr(1, 2), F.lit("00")))).cast("string"), 2, "0")
     new_flat = F.split(F.concat(flat.substr(1, 2), checks, new_body), "")
     iban = F.when(mod97(F.concat(body, flat.substr(1, 4))) == 1, F.concat_ws("", F.zip_with(F.split(m, "[A-Z0-9]", -1), new_flat, lambda g, c: F.concat(g, F.coalesce(c, F.lit("")))))).otherwise(m)
@@ -162,7 +183,7 @@ def pseudonym(m: Column, key: str) -> Column:
     phone = F.concat(head, fill(rest, permute_digits(F.regexp_replace(rest, "[^0-9]", ""), key, "phone")))
     local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
     return (
-        F.when(F.contains(m, F.lit("@")), F.concat(by_class(local, key, "mail"), F.lit("@"), domain))
+        F.when(F.contains(m, F.lit("@")), F.concat(permute_classes(local, key, "mail"), F.lit("@"), domain))
         .when(whole("iban"), iban)
         .when(whole("ipv4"), F.when(valid_ip, dotted).otherwise(m))
         .when(whole("date"), date)

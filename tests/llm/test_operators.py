@@ -208,6 +208,10 @@ def test_pseudonyms(spark):
 def test_feistel_is_a_permutation(spark):
     got = spark.range(1000).select(pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("x")).distinct()
     assert got.count() == 1000 and got.filter("length(x) <> 3").count() == 0
+    names = spark.range(2600).select(F.concat(F.char(97 + F.col("id") % 26), F.lit("."), F.lpad(F.floor(F.col("id") / 26).cast("string"), 2, "0")).alias("s")).select(pii.permute_classes(F.col("s"), "k", "t").alias("x")).distinct()
+    assert names.count() == 2600 and names.filter("NOT x RLIKE '^[a-z][.][0-9]{2}$'").count() == 0
+    hexes = spark.range(4096).select(pii.permute_hex(F.lower(F.lpad(F.hex("id"), 3, "0")), "k").alias("x")).distinct()
+    assert hexes.count() == 4096
     days = spark.sql("SELECT explode(sequence(DATE'1900-01-01', DATE'1999-12-31')) AS d").select(pii.permute_date(F.col("d"), "k").alias("x"))
     assert days.distinct().count() == 36524 and days.filter("year(x) NOT BETWEEN 1900 AND 1999").count() == 0
 
