@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions import files, text
+from lorespark.operators import fuzzy
 
 #: Extensions and home pages that are tried, in order.
 EXTENSIONS = ["md", "markdown", "txt", "rst", "org", "tex", "rs", "py", "c", "h", "go", "sh"]
@@ -74,3 +75,18 @@ def resolve(docs: DataFrame, name: str) -> DataFrame:
         if not found.isEmpty():
             return found.orderBy("wiki").limit(1)
     return ranked(docs, name).orderBy("kind_rank", "depth", F.split("relative", "/"), "wiki").limit(1).select("wiki", "relative", "kind")
+
+
+def home(docs: DataFrame, configured: str | None = None) -> DataFrame:
+    """(wiki, relative): each wiki's home page, the configured one before the usual names."""
+    names = [*([configured] if configured else []), *HOMES]
+    rank = F.array_position(F.array(*map(F.lit, names)), F.col("relative"))
+    return docs.filter(F.col("relative").isin(names)).groupBy("wiki").agg(F.min_by("relative", rank).alias("relative"))
+
+
+def or_suggestions(docs: DataFrame, name: str, limit: int = 5) -> tuple[DataFrame, DataFrame | None]:
+    """The best match, or where there is none also names like it."""
+    found = resolve(docs, name)
+    if not found.isEmpty():
+        return found, None
+    return found, fuzzy.suggestions(fuzzy.page_stems(docs), name, limit)

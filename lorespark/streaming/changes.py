@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
+from lorespark.functions import files
+
 WINDOW = "150 milliseconds"
 CHANGES = "wiki string, path string, kind string, from_path string, ts timestamp, seq long"
 
@@ -171,3 +173,20 @@ def from_events(events: DataFrame) -> DataFrame:
     kinds = {"signup": "create", "click": "modify", "view": "modify", "purchase": "rename", "error": "delete"}
     kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
     return events.select(F.lit("main").alias("wiki"), F.col("user_id").cast("string").alias("path"), F.element_at(kind, F.col("event_type")).alias("kind"), F.lit(None).cast("string").alias("from_path"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+
+
+def owned(events: DataFrame, wikis: DataFrame) -> DataFrame:
+    """events(path, ...) with wiki and relative, of wikis(name, root): the longest root above a path; others fall away. The registry is small: one row per wiki."""
+    roots = F.broadcast(wikis.select(F.col("name").alias("_name"), F.regexp_replace("root", "/+$", "").alias("_root")).limit(10_000))
+    by = [F.col(c) for c in events.columns if c not in ("wiki", "relative")]
+    found = events.select(*by).join(roots, F.startswith(F.col("path"), F.concat(F.col("_root"), F.lit("/"))))
+    best = found.groupBy(*by).agg(F.max(F.struct(F.length("_root").alias("n"), F.col("_name").alias("name"), F.col("_root").alias("root"))).alias("own"))
+    return best.select(*by, F.col("own.name").alias("wiki"), F.substring("path", F.col("own.n") + 2, F.length("path")).alias("relative"))
+
+
+def not_ignored(events: DataFrame, rules: list[tuple[str, bool]], path: str = "relative") -> DataFrame:
+    """events whose path no ignore rule (see sources.files.ignore_rules) and no version control folder covers; the last rule that fits decides."""
+    gone = files.is_vcs_internal(F.col(path))
+    for pattern, kept in rules:
+        gone = F.when(F.col(path).rlike(pattern), not kept).otherwise(gone)
+    return events.filter(~gone)

@@ -66,3 +66,13 @@ def test_folder_source(spark, tmp_path):
     wait(3)
     query.stop()
     assert [r.kind for r in spark.table("folder").orderBy("seq").collect()] == ["create", "modify", "delete"]
+
+
+def test_owners_and_ignored(spark):
+    from lorespark.sources.files import ignore_rules
+
+    events = spark.createDataFrame([("/w/a/x.md", "modify"), ("/w/a/b/y.log", "create"), ("/w/a/b/.git/z", "create"), ("/other/q", "create")], "path string, kind string")
+    wikis = spark.createDataFrame([("a", "/w/a"), ("b", "/w/a/b/")], "name string, root string")
+    own = changes.owned(events, wikis)
+    assert sorted((r.wiki, r.relative) for r in own.collect()) == [("a", "x.md"), ("b", ".git/z"), ("b", "y.log")]
+    assert [r.relative for r in changes.not_ignored(own, ignore_rules(["*.log"])).collect()] == ["x.md"]

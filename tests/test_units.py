@@ -261,3 +261,9 @@ def test_pages(spark, tmp_path):
         outputs.delete_page(str(tmp_path), "../x", True)
     outputs.delete_page(str(tmp_path), "Notes/Heap-Exploitation.md", True)
     assert not (tmp_path / "Notes/Heap-Exploitation.md").exists()
+
+
+def test_home_and_suggestions(spark):
+    docs = docs_of(spark, [{"relative": "README.md"}, {"relative": "index.md"}, {"relative": "Heap.md"}])
+    assert resolve.home(docs).first().relative == "index.md" and resolve.home(docs, "Heap.md").first().relative == "Heap.md"
+    assert [r.name for r in resolve.or_suggestions(docs, "Heep")[1].collect()] == ["Heap"] and resolve.or_suggestions(docs, "Heap")[1] is None
