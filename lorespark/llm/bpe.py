@@ -30,9 +30,9 @@ from lorespark.llm.common import table, text_or_empty
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Longest pre-token whose ids a worker remembers, and how many it keeps in each of two generations.
-MEMO_CHARS, MEMO_SIZE = 48, 350_000
+MEMO_CHARS, MEMO_SIZE = 48, 200_000
 #: Pair checks that a worker remembers.
-MEMO_PAIRS = 400_000
+MEMO_PAIRS = 200_000
 #: Characters of text that are handled before a batch of results leaves a worker.
 BATCH_CHARS = 1_000_000
 #: What public_tokenizers.PATTERN means for texts of ASCII characters alone, for the standard library's faster matcher.

@@ -37,7 +37,9 @@ from lorespark.llm.common import materialize, small_side, table
 from lorespark.llm.graphs import components
 
 #: Ratio of the sizes within a band, longs of the folded sketch, nodes of a key that meet in one tile.
-RATIO, FOLD_LONGS, TILE = 1.25, 8, 2048
+RATIO, FOLD_LONGS, TILE = 1.4, 8, 2048
+#: Keys of more than two nodes up to which they are broadcast; beyond it the join shuffles.
+BROADCAST_KEYS = 1_000_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -169,12 +171,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id; documents link if den * intersection >= num * union."""
     rows = materialize(sketches(docs, n, num, den))
     nodes = materialize(rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.min("fold").alias("fold")))
-    own = rows.join(nodes.select(F.col("rep").alias("doc_id"), F.col("node").alias("own")), "doc_id").filter("node = own").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
-    shared = own.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).filter("first <> last")
-    members = materialize(own.join(shared.select("key", "first", "n"), "key"))
+    again = rows.select("doc_id", "node").join(nodes.select("node", "rep"), "node").filter("doc_id <> rep").select("doc_id").distinct()
+    own = rows.filter("doc_id IS NOT NULL").join(small_side(materialize(again)), "doc_id", "left_anti").select("node", F.explode("keys").alias("key"))
+    shared = materialize(own.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).filter("first <> last"))
+    # a key of two nodes names both; only larger ones need their members
+    members = materialize(own.join(small_side(shared.filter("n > 2").select("key", "first"), BROADCAST_KEYS), "key"))
 
     named = lambda c: nodes.select(F.col("node").alias(c), F.struct("size", "fold").alias(f"of_{c}"))
-    tries = members.select(F.col("first").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
+    tries = shared.filter("n = 2").select(F.col("first").alias("a"), F.col("last").alias("b")).unionByName(members.select(F.col("first").alias("a"), F.col("node").alias("b")).filter("a <> b")).distinct()
     tries = tries.join(named("a"), "a").join(named("b"), "b").filter(may_link("of_a", "of_b", num, den)).select("a", "b")
     links = materialize(verified(materialize(tries), nodes, docs, n, num, den))
 
