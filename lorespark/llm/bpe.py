@@ -85,13 +85,13 @@ class Codec:
         """The entries at one end of a token as it is merged, each with the rank at which it goes into the next."""
         known = self.edges[side].get(token)
         if known is None:
-            known, upto = [], 1 << 60
+            known, part, upto = [], token, 1 << 60
             while True:
-                known.append((self.bytes_of[token], upto))
-                if token not in self.halves:
+                known.append((self.bytes_of[part], upto))
+                if part not in self.halves:
                     break
-                token, upto = self.halves[token][side], token
-            self.edges[side][known and self.ranks[known[0][0]]] = known
+                part, upto = self.halves[part][side], part
+            self.edges[side][token] = known
         return known
 
     def fits(self, left: int, right: int) -> bool:
