@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from lorespark.llm.common import materialize, table
 from lorespark.llm.suffixes import suffix_array
 
-SPAN, K, WIDE, CHUNK, MANY, BROADCAST = 100, 32, 12, 100_000, 4096, 1_000_000
+SPAN, K, WIDE, CHUNK, MANY, BROADCAST = 100, 32, 12, 100_000, 4096, 3_000_000
 CORE = SPAN - WIDE + 1
+#: BROADCAST: places in documents (a few bytes each) up to which they are broadcast to the documents; beyond it both are shuffled by doc_id.
 STEP = SPAN - K  # starts of K-byte strings in a SPAN-byte one, less one
 BATCH_BYTES = 1_000_000
 NO_ID = -(1 << 63)
@@ -246,13 +247,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     return whole.unionByName(equal).unionByName(few).unionByName(many)
 
 
-def merged(starts: list[int], counts: list[int], length: int) -> list[tuple[int, int]]:
+def merged(starts: list[int], counts: list[int]) -> list[tuple[int, int]]:
     """Covered byte ranges, apart and ascending."""
     out: list[list[int]] = []
     for a, c in sorted(zip(starts, counts)):
-        b = min(length, a + c - 1 + SPAN)
-        if a >= length:
-            continue
+        b = a + c - 1 + SPAN
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -260,27 +259,45 @@ def merged(starts: list[int], counts: list[int], length: int) -> list[tuple[int,
     return [(a, b) for a, b in out]
 
 
+SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def spans_of(runs: DataFrame) -> DataFrame:
+    """(doc_id, spans) from runs (doc_id, start, count); a document's runs are as many as its length allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                batch = whole.slice(k, 500)
+                spans = [[{"a": a, "b": b} for a, b in merged(*x)] for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, SPANS)], ["doc_id", "spans"])
+
+    lists = runs.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts"))
+    return lists.mapInArrow(run, "doc_id long, spans array<struct<a:long,b:long>>")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_bytes, spans (removed byte ranges), kept (the remaining bytes)."""
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
-    runs = repeated(own).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts"))
+    spans = materialize(spans_of(repeated(own)))
+    if (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST:
+        spans = F.broadcast(spans)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, kept = [], []
-            for data, starts, counts in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                ranges = merged(starts or [], counts or [], len(data))
-                at, parts = 0, []
-                for a, b in ranges:
-                    parts.append(data[at:a])
-                    at = b
-                parts.append(data[at:])
-                spans.append([{"a": a, "b": b} for a, b in ranges])
-                kept.append(b"".join(parts))
-            kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(d) for d in batch.column(1).to_pylist()], pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
-
-    out = own.join(runs, "doc_id", "left").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<a:long,b:long>>, kept binary")
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                batch = whole.slice(k, 500)
+                gone, kept, sizes = [], [], []
+                for data, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    # of rows that share a doc_id, a shorter one ends before some spans
+                    ranges = [{"a": s["a"], "b": min(s["b"], len(data))} for s in spans or [] if s["a"] < len(data)]
+                    ends = [0, *(r["b"] for r in ranges)]
+                    kept.append(b"".join(data[a:b] for a, b in zip(ends, [*(r["a"] for r in ranges), len(data)])))
+                    gone.append(ranges)
+                    sizes.append(len(data))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, SPANS), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+
+    out = own.join(spans, "doc_id", "left").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<a:long,b:long>>, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
