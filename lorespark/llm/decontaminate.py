@@ -29,7 +29,8 @@ WINDOW = K + SPAN - 1
 #: Longs of 32 bits each in the table that documents' hashes are held against before the join.
 TABLE_LONGS = 4096
 #: Low bits of a K-gram's value that hold its place, so that the smallest value of a window also says where it is.
-PLACE = (1 << 24) - 1
+PLACE_BITS = 28
+PLACE = (1 << PLACE_BITS) - 1
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -43,7 +44,7 @@ def upto(n: Column) -> Column:
 
 
 def grams(n: int) -> Column:
-    """Values of all runs of n words: 40 bits of their hash, then the place, later ones smaller."""
+    """Values of all runs of n words: the high bits of their hash, then the place, later ones smaller."""
     x = F.col("x")
     return F.transform(
         upto(F.size("x") - (n - 1)),
@@ -90,7 +91,7 @@ def item_fingerprints(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
 
 def bit_table(keys: DataFrame) -> Column:
     """A literal array of longs with a bit set for each hash; its size is fixed."""
-    place = F.pmod(F.shiftright("hash", 24), F.lit(TABLE_LONGS * 32))
+    place = F.pmod(F.shiftright("hash", PLACE_BITS), F.lit(TABLE_LONGS * 32))
     longs = [0] * TABLE_LONGS
     for row in keys.select((place / 32).cast("int").alias("i"), (place % 32).cast("int").alias("b")).distinct().collect():
         longs[row.i] |= 1 << row.b
@@ -98,7 +99,7 @@ def bit_table(keys: DataFrame) -> Column:
 
 
 def seen(bits: Column, value: Column) -> Column:
-    place = F.pmod(F.shiftright(value, 24), F.lit(TABLE_LONGS * 32))
+    place = F.pmod(F.shiftright(value, PLACE_BITS), F.lit(TABLE_LONGS * 32))
     return F.call_function("getbit", F.get(bits, (place / 32).cast("int")), (place % 32).cast("int")) == 1
 
 

@@ -16,7 +16,7 @@ Every byte covered by a SPAN-byte string that also starts earlier (smaller doc_i
 
 Contexts and stretches are told apart by 128 bits of hashes.
 
-Defined results: a null or empty text has no bytes and no removed ones; texts of less than SPAN bytes are kept whole; texts are handled whole; a null
+Defined results: a null or empty text has no bytes and no removed ones; texts of less than SPAN bytes are kept whole; texts are handled whole (a single one may have up to 2^28 bytes); a null
 doc_id comes before all others; rows with equal doc_id count as one place, so both lose what either of them repeats; other columns are
 ignored.
 """
