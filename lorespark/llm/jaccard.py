@@ -38,8 +38,6 @@ from lorespark.llm.graphs import components
 
 #: Ratio of the sizes within a band, longs of the folded sketch, nodes of a key that meet in one tile.
 RATIO, FOLD_LONGS, TILE = 1.4, 8, 2048
-#: Keys of more than two nodes up to which they are broadcast; beyond it the join shuffles.
-BROADCAST_KEYS = 1_000_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -117,22 +115,37 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
 
 
-def sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(doc_id, node, size, fold, keys) of every row; node is null for empty sets."""
+def sketches(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, node, size, fold) of every row; node is null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int64)
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
                 sets = [shingles(x, n) for x in batch.column(1).to_pylist()]
-                nodes = [np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists([folded(s) for s in sets]), _lists([block_keys(s, num, den) if len(s) else none for s in sets])],
-                    ["doc_id", "node", "size", "fold", "keys"],
-                )
+                nodes = [_node(s) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists([folded(s) for s in sets])], ["doc_id", "node", "size", "fold"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, size long, fold array<long>, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, size long, fold array<long>")
+
+
+def _node(tokens: np.ndarray) -> int:
+    """Digest of a set, as a signed 64-bit number."""
+    return int.from_bytes(xxhash.xxh3_64_digest(tokens.tobytes()), "big", signed=True)
+
+
+def node_keys(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(node, key): the keys of every set that is not empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 100):
+                sets = [s for s in (shingles(x, n) for x in whole.slice(start, 100).column(0).to_pylist()) if len(s)]
+                keys = [block_keys(s, num, den) for s in sets]
+                nodes = np.repeat(np.array([_node(s) for s in sets], np.int64), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], ["node", "key"])
+
+    return docs.select("text").mapInArrow(run, "node long, key long")
 
 
 def token_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -169,13 +182,14 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: i
 
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id; documents link if den * intersection >= num * union."""
-    rows = materialize(sketches(docs, n, num, den))
+    rows = materialize(sketches(docs, n))
     nodes = materialize(rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.min("fold").alias("fold")))
     again = rows.select("doc_id", "node").join(nodes.select("node", "rep"), "node").filter("doc_id <> rep").select("doc_id").distinct()
-    own = rows.filter("doc_id IS NOT NULL").join(small_side(materialize(again)), "doc_id", "left_anti").select("node", F.explode("keys").alias("key"))
+    # one document of each node; its keys are made again where they are needed, which costs less than to keep them
+    own = node_keys(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").join(small_side(materialize(again)), "doc_id", "left_anti"), n, num, den)
     shared = materialize(own.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).filter("first <> last"))
     # a key of two nodes names both; only larger ones need their members
-    members = materialize(own.join(small_side(shared.filter("n > 2").select("key", "first"), BROADCAST_KEYS), "key"))
+    members = materialize(own.join(shared.filter("n > 2").select("key", "first"), "key"))
 
     named = lambda c: nodes.select(F.col("node").alias(c), F.struct("size", "fold").alias(f"of_{c}"))
     tries = shared.filter("n = 2").select(F.col("first").alias("a"), F.col("last").alias("b")).unionByName(members.select(F.col("first").alias("a"), F.col("node").alias("b")).filter("a <> b")).distinct()
