@@ -12,13 +12,16 @@ Every byte covered by a SPAN-byte string that also starts earlier (smaller doc_i
    letter, cores together up to CHUNK letters at a time: strings with equal bytes begin suffixes with WIDE equal letters and lie next to each other,
    and all but the first in the corpus repeat it. A core with more than MANY stretches, which no task should gather, is decided string by string:
    what stands around the core is grouped over the cluster instead.
-5. Runs are joined to their document by doc_id, merged and cut out.
+5. Runs are joined to their document by its place (doc_id, tie), merged and cut out.
+
+Places: doc_id decides; where one doc_id (or null) comes with different texts, tie, a 64-bit digest of the text, orders them, else tie is 0. Rows with equal
+doc_id and text are one place, and a place is not earlier than itself.
 
 Contexts and stretches are told apart by 128 bits of hashes.
 
 Defined results: a null or empty text has no bytes and no removed ones; texts of less than SPAN bytes are kept whole; texts are handled whole (a single one may have up to 2^28 bytes); a null
-doc_id comes before all others; rows with equal doc_id count as one place, so both lose what either of them repeats; other columns are
-ignored.
+doc_id comes before all others; of different texts with one doc_id each loses only its own bytes, and one copy of what they share stays; rows with equal
+doc_id and text are handled alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,47 +91,48 @@ def contexts_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return text, start - offsets[text], count, place - start, h[place].view(np.int64), context.view(np.int64)
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """Rows of (doc_id, bytes) in parts of about BATCH_BYTES."""
-    ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Rows of (doc_id, tie, bytes) in parts of about BATCH_BYTES."""
+    ids, ties, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
     start = 0
     while start < len(texts):
         end, total = start, 0
         while end < len(texts) and (end == start or total + len(texts[end]) <= BATCH_BYTES):
             total += len(texts[end])
             end += 1
-        yield ids[start:end], texts[start:end]
+        yield ids[start:end], ties[start:end], texts[start:end]
         start = end
 
 
-def _known(group: np.ndarray, own: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by group, own, doc and start, and in it: whether an equal one comes before."""
-    order = np.lexsort((start, doc, own, group))
-    group, own = group[order], own[order]
+def _known(group: np.ndarray, own: np.ndarray, doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by group, own and place (doc, tie, start), equal places once, and in it: whether an equal one comes before."""
+    order = np.lexsort((start, tie, doc, own, group))
+    same = lambda *columns: np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in columns])
+    order = order[np.concatenate(([True], ~same(group, own, doc, tie, start)))] if len(order) else order
     known = np.zeros(len(order), bool)
-    known[1:] = (group[1:] == group[:-1]) & (own[1:] == own[:-1])
+    known[1:] = same(group, own)
     return order, known
 
 
-def _anywhere(known: np.ndarray, group: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+def _anywhere(known: np.ndarray, group: np.ndarray, doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> np.ndarray:
     """group, but what is known needs no partner and goes anywhere."""
-    return np.where(known, (doc * 31 + start).view(np.uint64) * _M1, group.view(np.uint64)).view(np.int64)
+    return np.where(known, (doc * 31 + tie + start).view(np.uint64) * _M1, group.view(np.uint64)).view(np.int64)
 
 
 def contexts(docs: DataFrame) -> DataFrame:
-    """(anchor, context, doc_id, at: start, count, place of the anchor and whether an equal one comes earlier in the batch)."""
+    """(anchor, context, doc_id, tie, at: start, count, place of the anchor and whether an equal one comes earlier in the batch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in _parts(batch):
+            for ids, ties, texts in _parts(batch):
                 text, start, count, place, anchor, context = contexts_of(texts)
-                doc = ids[text] if len(text) else np.zeros(0, np.int64)
-                order, known = _known(anchor, context, doc, start)
-                anchor, context, doc, start, count, place = (x[order] for x in (anchor, context, doc, start, count, place))
+                doc, tie = (ids[text], ties[text]) if len(text) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                order, known = _known(anchor, context, doc, tie, start)
+                anchor, context, doc, tie, start, count, place = (x[order] for x in (anchor, context, doc, tie, start, count, place))
                 at = start << 16 | place << 8 | count << 1 | known
-                yield pa.RecordBatch.from_arrays([pa.array(_anywhere(known, anchor, doc, start)), pa.array(context), pa.array(doc), pa.array(at)], ["anchor", "context", "doc_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(_anywhere(known, anchor, doc, tie, start)), pa.array(context), pa.array(doc), pa.array(tie), pa.array(at)], ["anchor", "context", "doc_id", "tie", "at"])
 
-    return docs.mapInArrow(run, "anchor long, context long, doc_id long, at long")
+    return docs.mapInArrow(run, "anchor long, context long, doc_id long, tie long, at long")
 
 
 def _stretches(data: bytes, start: int, place: int, count: int) -> Iterator[tuple[int, int, int, int, bytes]]:
@@ -147,31 +151,31 @@ def _stretches(data: bytes, start: int, place: int, count: int) -> Iterator[tupl
 
 
 def stretches(docs: DataFrame) -> DataFrame:
-    """(core, own, doc_id, start, at, around, known) from docs(doc_id, data, wanted: contexts)."""
+    """(core, own, doc_id, tie, start, at, around, known) from docs(doc_id, tie, data, wanted: contexts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 200):
                 batch = whole.slice(k, 200)
-                rows = [(doc, *x) for doc, data, wanted in zip(*(c.to_pylist() for c in batch.columns)) for w in wanted for x in _stretches(data, w >> 16, w >> 8 & 255, w >> 1 & 127)]
-                doc, core, own, start, at = (np.array([r[i] for r in rows], t) for i, t in enumerate((np.int64, np.uint64, np.uint64, np.int64, np.int64)))
-                order, known = _known(core, own, doc, start)
-                core, own, doc, start, at = (x[order] for x in (core, own, doc, start, at))
-                around = pa.array([b"" if gone else rows[i][5] for i, gone in zip(order.tolist(), known.tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(_anywhere(known, core, doc, start)), pa.array(own.view(np.int64)), pa.array(doc), pa.array(start), pa.array(at), around, pa.array(known)], ["core", "own", "doc_id", "start", "at", "around", "known"])
+                rows = [(doc, tie, *x) for doc, tie, data, wanted in zip(*(c.to_pylist() for c in batch.columns)) for w in wanted for x in _stretches(data, w >> 16, w >> 8 & 255, w >> 1 & 127)]
+                doc, tie, core, own, start, at = (np.array([r[i] for r in rows], t) for i, t in enumerate((np.int64, np.int64, np.uint64, np.uint64, np.int64, np.int64)))
+                order, known = _known(core, own, doc, tie, start)
+                core, own, doc, tie, start, at = (x[order] for x in (core, own, doc, tie, start, at))
+                around = pa.array([b"" if gone else rows[i][6] for i, gone in zip(order.tolist(), known.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(_anywhere(known, core, doc, tie, start)), pa.array(own.view(np.int64)), pa.array(doc), pa.array(tie), pa.array(start), pa.array(at), around, pa.array(known)], ["core", "own", "doc_id", "tie", "start", "at", "around", "known"])
 
-    return docs.mapInArrow(run, "core long, own long, doc_id long, start long, at long, around binary, known boolean")
+    return docs.mapInArrow(run, "core long, own long, doc_id long, tie long, start long, at long, around binary, known boolean")
 
 
-def _decide(rows: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int, int]]:
-    """(doc_id, start) of the strings in rows (core, doc_id, start, at, around) that have an equal one earlier among them."""
+def _decide(rows: list[tuple[int, int, int, int, int, bytes]]) -> list[tuple[int, int, int]]:
+    """(doc_id, tie, start) of the strings in rows (core, doc_id, tie, start, at, around) that have an equal one earlier among them."""
     text: list[int] = []
-    owner: dict[int, tuple[int, int]] = {}
+    owner: dict[int, tuple[int, int, int]] = {}
     letters: dict[int, int] = {}
-    for core, doc, start, at, around in rows:
+    for core, doc, tie, start, at, around in rows:
         before = at >> 8
         for i in range(at & 255):
-            owner[len(text) + i] = doc, start + i
+            owner[len(text) + i] = doc, tie, start + i
         text += around[:before]
         text.append(256 + letters.setdefault(core, len(letters)))
         text += around[before:]
@@ -190,14 +194,14 @@ def _decide(rows: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int, int
 
 
 def by_suffix_array(rows: DataFrame) -> DataFrame:
-    """(doc_id, start, count) of repeated strings from rows (core, doc_id, start, at, around)."""
+    """(doc_id, tie, start, count) of repeated strings from rows (core, doc_id, tie, start, at, around)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total, last = [], 0, None
 
         def out() -> pa.RecordBatch:
             found = _decide(held)
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([1] * len(found), pa.int64())], ["doc_id", "start", "count"])
+            return pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in found], pa.int64()) for i in range(3)), pa.array([1] * len(found), pa.int64())], ["doc_id", "tie", "start", "count"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -206,44 +210,44 @@ def by_suffix_array(rows: DataFrame) -> DataFrame:
                     held.clear()
                     total = 0
                 held.append(row)
-                total += len(row[4]) + 1
+                total += len(row[5]) + 1
                 last = row[0]
         if held:
             yield out()
 
-    return rows.repartition("core").sortWithinPartitions("core").mapInArrow(run, "doc_id long, start long, count long")
+    return rows.repartition("core").sortWithinPartitions("core").mapInArrow(run, "doc_id long, tie long, start long, count long")
 
 
 def kinds(rows: DataFrame, group: str, own: str, known, *order: str) -> DataFrame:
-    """rows with kind: 0 for those that an equal one comes before, 1 for other ones of a group with different ones, 2 if those are more than MANY, else null."""
+    """rows, of those equal in own and order (the place) one, with kind: 0 for those that an equal one comes before, 1 for other ones of a group with different ones, 2 if those are more than MANY, else null."""
     by = Window.partitionBy(group)
-    out = rows.withColumn("previous", F.lag(own).over(by.orderBy(own, *order))).withColumn("low", F.min(own).over(by)).withColumn("high", F.max(own).over(by)).withColumn("n", F.count("*").over(by))
-    again = known | F.coalesce(F.col("previous") == F.col(own), F.lit(False))
-    return out.withColumn("kind", F.when(again, 0).when(F.col("low") != F.col("high"), F.when(F.col("n") <= MANY, 1).otherwise(2))).filter("kind IS NOT NULL")
+    out = rows.withColumn("previous", F.lag(F.struct(own, *order)).over(by.orderBy(own, *order))).withColumn("low", F.min(own).over(by)).withColumn("high", F.max(own).over(by)).withColumn("n", F.count("*").over(by))
+    again = known | F.coalesce(F.col("previous")[own] == F.col(own), F.lit(False))
+    return out.filter(~F.col("previous").eqNullSafe(F.struct(own, *order))).withColumn("kind", F.when(again, 0).when(F.col("low") != F.col("high"), F.when(F.col("n") <= MANY, 1).otherwise(2))).filter("kind IS NOT NULL")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, count): runs of starts of repeated SPAN-byte strings of docs(doc_id, data)."""
-    rows = kinds(contexts(docs), "anchor", "context", F.col("at").bitwiseAND(1) == 1, "doc_id", "at")
-    rows = materialize(rows.select("kind", "doc_id", "at"))
-    whole = rows.filter("kind = 0").select("doc_id", F.shiftright("at", 16).alias("start"), F.shiftright("at", 1).bitwiseAND(127).alias("count"))
+    """(doc_id, tie, start, count): runs of starts of repeated SPAN-byte strings of docs(doc_id, tie, data)."""
+    rows = kinds(contexts(docs), "anchor", "context", F.col("at").bitwiseAND(1) == 1, "doc_id", "tie", "at")
+    rows = materialize(rows.select("kind", "doc_id", "tie", "at"))
+    whole = rows.filter("kind = 0").select("doc_id", "tie", F.shiftright("at", 16).alias("start"), F.shiftright("at", 1).bitwiseAND(127).alias("count"))
 
     open_ = rows.filter("kind > 0")
-    wanted = open_.groupBy("doc_id").agg(F.collect_list("at").alias("wanted"))
+    wanted = open_.groupBy("doc_id", "tie").agg(F.collect_set("at").alias("wanted"))
     if open_.limit(BROADCAST + 1).count() <= BROADCAST:
         wanted = F.broadcast(wanted)
-    parts = kinds(stretches(docs.join(wanted, "doc_id").select("doc_id", "data", "wanted")), "core", "own", F.col("known"), "doc_id", "start")
-    parts = materialize(parts.select("kind", "core", "doc_id", "start", "at", "around"))
+    parts = kinds(stretches(docs.join(wanted, ["doc_id", "tie"]).select("doc_id", "tie", "data", "wanted")), "core", "own", F.col("known"), "doc_id", "tie", "start")
+    parts = materialize(parts.select("kind", "core", "doc_id", "tie", "start", "at", "around"))
     count = F.col("at").bitwiseAND(255)
-    equal = parts.filter("kind = 0").select("doc_id", "start", count.alias("count"))
-    few = by_suffix_array(parts.filter("kind = 1").select("core", "doc_id", "start", "at", "around"))
+    equal = parts.filter("kind = 0").select("doc_id", "tie", "start", count.alias("count"))
+    few = by_suffix_array(parts.filter("kind = 1").select("core", "doc_id", "tie", "start", "at", "around"))
 
     # each string of a large core by what stands around it
     i, before = F.col("i"), F.shiftright("at", 8).cast("int")
     each = parts.filter("kind = 2").withColumn("i", F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))))
-    each = each.select("core", "doc_id", (F.col("start") + i).alias("start"), (before - i).alias("left"), F.substring("around", i + 1, F.lit(WIDE - 1)).alias("around"))
-    first = each.groupBy("core", "left", "around").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    many = each.join(first, ["core", "left", "around"]).filter(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", F.lit(1).cast("long").alias("count"))
+    each = each.select("core", "doc_id", "tie", (F.col("start") + i).alias("start"), (before - i).alias("left"), F.substring("around", i + 1, F.lit(WIDE - 1)).alias("around"))
+    first = each.groupBy("core", "left", "around").agg(F.min(F.struct("doc_id", "tie", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    many = each.join(first, ["core", "left", "around"]).filter(F.struct("doc_id", "tie", "start") != F.col("first")).select("doc_id", "tie", "start", F.lit(1).cast("long").alias("count"))
     return whole.unionByName(equal).unionByName(few).unionByName(many)
 
 
@@ -263,22 +267,25 @@ SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def spans_of(runs: DataFrame) -> DataFrame:
-    """(doc_id, spans) from runs (doc_id, start, count); a document's runs are as many as its length allows."""
+    """(doc_id, tie, spans) from runs (doc_id, tie, start, count); a document's runs are as many as its length allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
-                spans = [[{"a": a, "b": b} for a, b in merged(*x)] for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, SPANS)], ["doc_id", "spans"])
+                spans = [[{"a": a, "b": b} for a, b in merged(*x)] for x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, SPANS)], ["doc_id", "tie", "spans"])
 
-    lists = runs.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts"))
-    return lists.mapInArrow(run, "doc_id long, spans array<struct<a:long,b:long>>")
+    lists = runs.groupBy("doc_id", "tie").agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts"))
+    return lists.mapInArrow(run, "doc_id long, tie long, spans array<struct<a:long,b:long>>")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_bytes, spans (removed byte ranges), kept (the remaining bytes)."""
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
+    digest = F.xxhash64("data")
+    shared = own.select("doc_id", digest.alias("x")).groupBy("doc_id").agg(F.min("x").alias("low"), F.max("x").alias("high")).filter("low <> high")
+    own = own.select("doc_id", (F.lit(0).cast("long") if shared.isEmpty() else digest).alias("tie"), "data")
     spans = materialize(spans_of(repeated(own)))
     if (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST:
         spans = F.broadcast(spans)
@@ -288,16 +295,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
                 gone, kept, sizes = [], [], []
-                for data, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    # of rows that share a doc_id, a shorter one ends before some spans
-                    ranges = [{"a": s["a"], "b": min(s["b"], len(data))} for s in spans or [] if s["a"] < len(data)]
+                for data, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    ranges = ranges or []
                     ends = [0, *(r["b"] for r in ranges)]
                     kept.append(b"".join(data[a:b] for a, b in zip(ends, [*(r["a"] for r in ranges), len(data)])))
                     gone.append(ranges)
                     sizes.append(len(data))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, SPANS), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    out = own.join(spans, "doc_id", "left").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<a:long,b:long>>, kept binary")
+    out = own.join(spans, ["doc_id", "tie"], "left").select("doc_id", "data", "spans").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<a:long,b:long>>, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 

@@ -68,6 +68,19 @@ def test_repeats(spark, monkeypatch, tmp_path, many):
     assert got == plain_repeats(texts)
 
 
+@pytest.mark.parametrize("many", [4096, 2])
+def test_repeats_in_rows_of_one_id(spark, monkeypatch, many):
+    monkeypatch.setattr(repeats, "MANY", many)
+    pick = random.Random(9)
+    own = ["".join(pick.choice("abcdé \n") for _ in range(300)) for _ in range(9)]
+    rows = [(None, own[0]), (None, own[1] + own[2]), (None, own[3]), (None, own[3]), (1, own[4]), (1, own[4]), (2, own[5] + own[6]), (2, own[6] + own[7]), (3, own[2] + own[8]), (4, own[4])]
+    for parts in (1, 4):
+        got = [(r.doc_id, bytes(r.kept).decode()) for r in repeats.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(parts)).collect()]
+        assert sorted(k for i, k in got if i is None) == sorted(t for i, t in rows if i is None)
+        assert [k for i, k in got if i == 1] == [own[4]] * 2 and [k for i, k in got if i == 4] == [""]
+        assert sorted(k for i, k in got if i == 2) in (sorted([own[5] + own[6], own[7]]), sorted([own[5], own[6] + own[7]])) and [k for i, k in got if i == 3] == [own[8]]
+
+
 def test_repeats_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr(repeats, "BROADCAST", 0)
     rows = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect()
