@@ -3,7 +3,7 @@ that hold benchmark passages go, personal data become pseudonyms, and the rest i
 
 Every stage takes the columns of `documents` and all rows its predecessor kept; all but the last return those columns.
 Defined results: rows with a null doc_id have no duplicates and are judged by their text as all others; repeated rows (equal
-doc_id) count as one document in the near-duplicate stage, of which one row stays.
+doc_id) count as one document in the near-duplicate stage, of which one row stays (of different texts that are no copies of other documents, the longest).
 """
 
 from __future__ import annotations
@@ -28,16 +28,24 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents the one with the smallest doc_id stays."""
     docs = docs.select(*COLUMNS)
-    groups = jaccard.near_duplicates(docs, WORDS, *SIMILAR)
-    gone = materialize(groups.filter("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(small_side(gone), "doc_id", "left_anti")
+    groups = materialize(jaccard.grouped(docs, WORDS, *SIMILAR).select("doc_id", "digest", F.expr("doc_id <> component_id").alias("gone")))
+    gone = groups.filter("gone").select("doc_id", "digest").distinct()
+    kept = docs.withColumn("digest", jaccard.text_digest()).join(small_side(gone), ["doc_id", "digest"], "left_anti").select(*COLUMNS)
+    again = materialize(groups.filter("NOT gone").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    own = F.struct(F.char_length("text").alias("size"), *COLUMNS)
+    one = kept.join(small_side(again), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(own).alias("own")).select(*[F.col(f"own.{c}").alias(c) for c in COLUMNS])
+    return kept.join(small_side(again), "doc_id", "left_anti").unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     docs = docs.select(*COLUMNS)
-    hit = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id")
-    return docs.join(small_side(materialize(hit)), "doc_id", "left_anti")
+    # a text is judged alike in every row, so it stands for its rows, whatever their doc_id
+    digest = F.xxhash64("text")
+    hit = decontaminate.decontaminate(docs.select(digest.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("digest"))
+    return docs.withColumn("digest", digest).join(small_side(materialize(hit)), "digest", "left_anti").select(*COLUMNS)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ most d agree in one of d + 1 blocks of the sketch. Per band of sizes:
 Equal sets have equal 64-bit digests; digests of different sets are taken as different.
 
 Defined results: words are what white space (20, 09-0D) separates after lower-casing A-Z; a text with fewer words than n is one n-gram;
-null or empty texts have the empty set, link with nothing and are their own component; repeated rows are each returned; rows with a null doc_id link
+null or empty texts have the empty set, link with nothing and are their own component; repeated rows are each returned; different texts with one doc_id each
+look for partners, texts being told apart by doc_id and a 64-bit digest; rows with a null doc_id link
 with nothing; other columns are ignored.
 """
 
@@ -116,17 +117,17 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, node, size, fold) of every row; node is null for empty sets."""
+    """(doc_id, digest, node, size, fold) of every row; node is null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
-                sets = [shingles(x, n) for x in batch.column(1).to_pylist()]
+                sets = [shingles(x, n) for x in batch.column(2).to_pylist()]
                 nodes = [_node(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists([folded(s) for s in sets])], ["doc_id", "node", "size", "fold"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists([folded(s) for s in sets])], ["doc_id", "digest", "node", "size", "fold"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, size long, fold array<long>")
+    return docs.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest long, node long, size long, fold array<long>")
 
 
 def _node(tokens: np.ndarray) -> int:
@@ -171,8 +172,8 @@ def may_link(x: str, y: str, num: int, den: int) -> Column:
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Those of pairs (a, b) of nodes whose whole sets link."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    where = nodes.join(needed, "node").select("node", F.col("rep").alias("doc_id"))
-    texts = docs.select("doc_id", "text").filter("text IS NOT NULL").join(small_side(materialize(where)), "doc_id").select("node", "text")
+    where = nodes.join(needed, "node").select("node", F.col("rep").alias("doc_id"), "digest")
+    texts = docs.filter("text IS NOT NULL").join(small_side(materialize(where)), ["doc_id", "digest"]).select("node", "text")
     sets = materialize(token_sets(texts, n).dropDuplicates(["node"]))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b")), "b")
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
@@ -180,13 +181,23 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: i
     return both.filter(common * den >= union * num).select("a", "b")
 
 
+def text_digest() -> Column:
+    return F.xxhash64("text")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id; documents link if den * intersection >= num * union."""
+    return grouped(docs, n, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """near_duplicates with the digest of each row's text."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text", text_digest().alias("digest"))
     rows = materialize(sketches(docs, n))
-    nodes = materialize(rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.min("fold").alias("fold")))
-    again = rows.select("doc_id", "node").join(nodes.select("node", "rep"), "node").filter("doc_id <> rep").select("doc_id").distinct()
+    nodes = materialize(rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("r"), F.min("size").alias("size"), F.min("fold").alias("fold")).select("node", F.col("r.doc_id").alias("rep"), "r.digest", "size", "fold"))
+    again = rows.select("doc_id", "digest", "node").join(nodes.select("node", "rep"), "node").filter("doc_id <> rep").select("doc_id", "digest").distinct()
     # one document of each node; its keys are made again where they are needed, which costs less than to keep them
-    own = node_keys(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").join(small_side(materialize(again)), "doc_id", "left_anti"), n, num, den)
+    own = node_keys(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").join(small_side(materialize(again)), ["doc_id", "digest"], "left_anti"), n, num, den)
     shared = materialize(own.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).filter("first <> last"))
     # a key of two nodes names both; only larger ones need their members
     members = materialize(own.join(shared.filter("n > 2").select("key", "first"), "key"))
@@ -207,11 +218,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     more = left.join(right, ["key", "i", "j"]).where(fresh & may_link("of_a", "of_b", num, den)).select("a", "b").distinct()
     links = links.unionByName(verified(materialize(more), nodes, docs, n, num, den))
 
-    rep = lambda c: nodes.select(F.col("node").alias(c), F.col("rep").alias(f"rep_{c}"))
-    groups = components(links.join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
-    place = nodes.select("node", "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", "node", F.col("size").alias("n_shingles")).join(small_side(materialize(place)), "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    # by nodes, so that texts that share no more than their doc_id do not link others
+    label = materialize(nodes.select("node", "rep").join(components(links).select(F.col("id").alias("node"), "component"), "node", "left"))
+    least = label.filter("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"))
+    place = label.join(small_side(materialize(least)), "component", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
+    out = rows.select("doc_id", "digest", "node", F.col("size").alias("n_shingles")).join(small_side(materialize(place)), "node", "left")
+    return out.select("doc_id", "digest", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,19 @@ def test_stages(spark, docs):
         assert stage(spark, docs.limit(0), DATA).count() == 0
 
 
+def test_stages_judge_every_row(spark):
+    passage = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").first().text
+    rows = lambda texts: spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = lambda stage, texts: sorted(((r.doc_id, r.text) for r in stage(spark, rows(texts), DATA).collect()), key=repr)
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    texts = [(None, f"clean {passage} clean"), (None, a), (7, f"clean {passage}"), (7, a), (8, a), (8, a)]
+    assert kept(corpus_pipeline.drop_contaminated, texts) == sorted([(None, a), (7, a), (8, a), (8, a)], key=repr)
+    texts = [(1, a), (2, a), (2, b), (3, b + " end"), (4, c), (4, c), (5, c), (9, a + " end"), (9, d), (10, d + " end"), (None, a), (None, a)]
+    assert kept(corpus_pipeline.drop_near_duplicates, texts) == sorted([(1, a), (2, b), (4, c), (9, d), (None, a), (None, a)], key=repr)
+    got = {(r.doc_id, r.component_id) for r in jaccard.near_duplicates(rows(texts)).collect()}
+    assert got == {(1, 1), (2, 1), (2, 2), (3, 2), (4, 4), (5, 4), (9, 1), (9, 9), (10, 9), (None, None)}
+
+
 def test_pipeline_equals_its_definition(spark):
     from tests.llm.test_operators import plain_components
 
