@@ -1,6 +1,6 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences at sentence marks and line ends (or ends of paragraphs, if that knows more of them); each is normalised (lower case, only letters and
+A text is cut into sentences at sentence marks and ends of paragraphs, and those that are not known also at line ends; each is normalised (lower case, only letters and
 digits, single spaces) and looked up among known licence sentences; the identifiers found, in order,
 are matched against ordered rules over identifier sequences, most specific first; every rule whose
 sequence occurs, and that is not part of one matched before it, names a licence.
@@ -69,7 +69,7 @@ RULES = [
     ("All-rights-reserved", ["Reserved"]),
 ]
 #: A word of each known sentence.
-HINT = "(?i)licen[sc]e|permission|software|redistribution|warrant|rights reserved|the name of the copyright holder"
+HINT = "(?i)licen[sc]e|permission|software|redistribution|warrant|rights[^a-z0-9]+reserved|the[^a-z0-9]+name[^a-z0-9]+of[^a-z0-9]+the[^a-z0-9]+copyright[^a-z0-9]+holder"
 #: Where sentences end: line by line, and over the line ends within a paragraph.
 LINES, PARAGRAPHS = r"[\r\n]+|[.?](?=\s)\s*", r"\r?\n\s*\n\s*|[.?](?=\s)\s*"
 
@@ -79,16 +79,18 @@ def _table() -> Column:
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order; of its two ways to end sentences the one that knows more, lines if equal."""
+    """Identifiers of the known sentences of a text, in order: of each sentence of a paragraph its own, or else those of its lines."""
     lower = lambda s: F.translate(s, UPPER, LOWER)
     normal = lambda s: F.trim(F.regexp_replace(lower(s), "[^a-z0-9]+", " "))
 
-    def known(cut: str) -> Column:
-        ids = F.transform(F.filter(F.split(text, cut), lambda s: s.rlike(HINT)), lambda s: F.element_at(_table(), normal(s)))
-        return F.filter(ids, lambda x: x.isNotNull())
+    look = lambda s: F.element_at(_table(), normal(s))
+    hinted = lambda s, cut: F.filter(F.split(s, cut), lambda x: x.rlike(HINT))
 
-    lines, paragraphs = known(LINES), known(PARAGRAPHS)
-    return F.when(text.rlike(HINT), F.when(F.size(paragraphs) > F.size(lines), paragraphs).otherwise(lines)).otherwise(F.array().cast("array<string>"))
+    def known(s: Column) -> Column:
+        lines = F.filter(F.transform(hinted(s, LINES), look), lambda x: x.isNotNull())
+        return F.when(look(s).isNotNull(), F.array(look(s))).otherwise(lines)
+
+    return F.when(text.rlike(HINT), F.flatten(F.transform(hinted(text, PARAGRAPHS), known))).otherwise(F.array().cast("array<string>"))
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:

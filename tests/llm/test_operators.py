@@ -198,6 +198,13 @@ def test_licences(spark):
     assert got == {0: ["Apache-2.0"], 1: ["MIT"], 2: [], 3: [], 4: [], 5: ["GPL-3.0-or-later"]}
 
 
+def test_licences_of_both_cuts(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU\nGeneral Public License as published by the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    texts = [f"# Licensed under the MIT License\nimport os\n\n{gpl}\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the\nimplied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.", "All  Rights  Reserved", "all rights\nreserved"]
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in licenses.scan(docs_of(spark, texts)).collect()}
+    assert got == {0: (["MitRef", "Gpl3Later", "GplWarranty"], ["GPL-3.0-or-later", "MIT"]), 1: (["Reserved"], ["All-rights-reserved"]), 2: (["Reserved"], ["All-rights-reserved"])}
+
+
 def luhn(s):
     d = [int(c) for c in s if c.isdigit()][::-1]
     return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0
