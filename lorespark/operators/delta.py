@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import json
 import time
-from dataclasses import dataclass
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.errors import IndexMissing
+from lorespark.errors import IndexMissing, LoreError
 
 SCHEMA_VERSION = 3
+#: What is kept of each document to see whether it changed.
+STATE = ["wiki", "relative", "size", "mtime", "content_hash"]
+#: Versions that stay for readers which have one open; seconds after which a writer's lock is taken for left behind.
+VERSIONS, LOCK_SECONDS = 2, 3600
 
 
 def changes(current: DataFrame, previous: DataFrame, always_hash: bool = False) -> DataFrame:
-    """(wiki, relative, change, touched) from files (wiki, relative, size, mtime, content_hash) and the previous state of the same columns.
+    """(wiki, relative, change, touched) from files of STATE and the previous state of the same columns.
 
     Equal size and time mean unchanged, without a look at the hash; else equal hashes mean unchanged (touched), others modified; what only one
     side has is added or deleted.
@@ -24,8 +30,17 @@ def changes(current: DataFrame, previous: DataFrame, always_hash: bool = False)
     both = a.join(b, (F.col("a.wiki") == F.col("b.wiki")) & (F.col("a.relative") == F.col("b.relative")), "full_outer")
     same = (F.col("a.size") == F.col("b.size")) & (F.col("a.mtime") == F.col("b.mtime")) & F.lit(not always_hash)
     hashes = F.col("a.content_hash") == F.col("b.content_hash")
-    change = F.when(F.col("b.relative").isNull(), "added").when(F.col("a.relative").isNull(), "deleted").when(same | hashes, "unchanged").otherwise("modified")
-    return both.select(F.coalesce("a.wiki", "b.wiki").alias("wiki"), F.coalesce("a.relative", "b.relative").alias("relative"), change.alias("change"), F.coalesce(~same & hashes, F.lit(False)).alias("touched"))
+    change = F.when(F.col("b.relative").isNull(), "added").when(F.col("a.relative").isNull(), "deleted")
+    change = change.when(same | hashes, "unchanged").otherwise("modified")
+    touched = F.coalesce(~same & hashes, F.lit(False))
+    return both.select(
+        F.coalesce("a.wiki", "b.wiki").alias("wiki"), F.coalesce("a.relative", "b.relative").alias("relative"), change.alias("change"), touched.alias("touched")
+    )
+
+
+def suspects(listed: DataFrame, previous: DataFrame) -> DataFrame:
+    """Of listed files (wiki, relative, size, mtime, ...) those to be read: new ones, and those whose size or time differ."""
+    return listed.join(previous, ["wiki", "relative", "size", "mtime"], "left_anti")
 
 
 def summary(delta: DataFrame) -> DataFrame:
@@ -47,18 +62,30 @@ class Store:
 
     spark: SparkSession
     root: str
+    owner: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def _path(self, name: str):
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+        return path.getFileSystem(self._conf()), path
 
-    def meta(self) -> dict | None:
-        """The current version's metadata, or None."""
-        fs, path = self._path("CURRENT")
+    def _conf(self):
+        return self.spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _text(self, name: str) -> str | None:
+        fs, path = self._path(name)
         if not fs.exists(path):
             return None
-        return json.loads(self.spark.read.text(f"{self.root}/CURRENT", wholetext=True).first()[0])
+        stream = fs.open(path)
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def meta(self) -> dict | None:
+        """The current version's metadata, or None."""
+        text = self._text("CURRENT")
+        return None if text is None else json.loads(text)
 
     def read(self, name: str) -> DataFrame:
         meta = self.meta()
@@ -66,34 +93,74 @@ class Store:
             raise IndexMissing(f"no index in {self.root}; build it first")
         return self.spark.read.parquet(f"{self.root}/{meta['version']}/{name}")
 
-    def write(self, tables: dict[str, DataFrame], documents: int) -> dict:
-        """Writes a new version, then points to it by a rename."""
-        meta = {"schema_version": SCHEMA_VERSION, "built_at": int(time.time()), "document_count": documents, "version": f"v{time.time_ns()}"}
+    def write(self, tables: dict[str, DataFrame]) -> dict:
+        """Writes a new version, points to it by a rename that replaces the old pointer at once, and drops versions beyond VERSIONS.
+
+        `documents` gives the document count. Readers see the old version or the new one, never none.
+        """
+        version = f"v{time.time_ns()}"
         for name, df in tables.items():
-            df.write.parquet(f"{self.root}/{meta['version']}/{name}")
-        fs, temporary = self._path(f"CURRENT.{meta['version']}")
+            df.write.parquet(f"{self.root}/{version}/{name}")
+        count = self.spark.read.parquet(f"{self.root}/{version}/documents").count() if "documents" in tables else 0
+        meta = {"schema_version": SCHEMA_VERSION, "built_at": int(time.time()), "document_count": count, "version": version}
+        fs, temporary = self._path(f"CURRENT.{version}")
         out = fs.create(temporary)
         out.write(bytearray(json.dumps(meta).encode()))
         out.close()
-        _, current = self._path("CURRENT")
-        fs.delete(current, False)
-        fs.rename(temporary, current)
+        jvm = self.spark._jvm
+        replace = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        replace[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        root = fs.makeQualified(self._path("")[1])
+        qualified = [fs.makeQualified(self._path(n)[1]) for n in (f"CURRENT.{version}", "CURRENT")]
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), self._conf()).rename(*qualified, replace)
+        names = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName()[:1] == "v")
+        for old in names[:-VERSIONS]:
+            fs.delete(self._path(old)[1], True)
         return meta
 
     def lock(self) -> bool:
-        """Takes the writers' lock; False if another has it."""
+        """Takes the writers' lock; False if another has it. One older than LOCK_SECONDS was left behind and is taken over."""
         fs, path = self._path("LOCK")
-        try:
-            fs.create(path, False).close()
-            return True
-        except Exception as e:
-            if "exist" in str(e).lower():
+        for _ in range(2):
+            try:
+                out = fs.create(path, False)
+                out.write(bytearray(json.dumps({"owner": self.owner, "at": time.time()}).encode()))
+                out.close()
+                return True
+            except Exception as e:
+                if "exist" not in str(e).lower():
+                    raise
+            try:
+                left = time.time() - json.loads(self._text("LOCK") or "{}").get("at", 0) > LOCK_SECONDS
+            except ValueError:  # being written
+                left = False
+            if not left:
                 return False
-            raise
+            fs.delete(path, False)
+        return False
 
     def unlock(self) -> None:
-        fs, path = self._path("LOCK")
-        fs.delete(path, False)
+        """Gives the lock back if it is this writer's."""
+        text = self._text("LOCK")
+        if text and json.loads(text).get("owner") == self.owner:
+            fs, path = self._path("LOCK")
+            fs.delete(path, False)
+
+
+def open_or_create(spark: SparkSession, root: str, empty: Callable[[], dict[str, DataFrame]]) -> Store:
+    """The store of a folder; where it can't be opened one is created with empty(). If that fails too, the error names both reasons."""
+    store = Store(spark, root)
+    try:
+        if store.meta() is not None:
+            return store
+        opening = "no index"
+    except Exception as e:
+        opening = str(e)
+    try:
+        store.write(empty())
+        return store
+    except Exception as e:
+        raise LoreError(f"can't open {root} ({opening}) nor create it ({e})") from e
 
 
 def state(store: Store) -> str:
@@ -107,34 +174,44 @@ def state(store: Store) -> str:
     return "loaded" if meta.get("schema_version") == SCHEMA_VERSION else "schema_mismatch"
 
 
-def reconcile(store: Store, current: DataFrame, build, auto_update: bool = True) -> tuple[str, dict]:
-    """Brings the store up to date with the files `current`; build(files) makes the `documents` rows of the files it is given.
+def reconcile(store: Store, listed: DataFrame, read: Callable[[DataFrame], DataFrame], auto_update: bool = True, rebuild: bool = False) -> tuple[str, dict]:
+    """Brings the store up to date with the files `listed` (wiki, relative, size, mtime, ...); read(files) gives the documents of the files it
+    is given, with size, mtime and content_hash, and is called with all files on a rebuild, else with new and suspect ones alone.
 
-    Returns what was done: rebuilt (with the reason), as_stored, current, updated (with counts), or busy when another writer holds the lock. Changes
-    of time alone are stored too, so such a file is hashed once.
+    Returns what was done: rebuilt (with the reason), as_stored, current, updated (with counts), or busy when another writer holds the lock.
+    Changes of time alone are stored too, so such a file is hashed once. Files that were listed but could not be read keep their old rows and
+    are counted as skipped.
     """
     was = state(store)
-    if was == "loaded" and not auto_update:
+    if not auto_update and not rebuild and was in ("loaded", "absent"):
         return "as_stored", {}
     if not store.lock():
         return "busy", {}
     try:
-        if was != "loaded":
-            if was == "absent" and not auto_update:
-                return "as_stored", {}
-            rows = build(current)
-            meta = store.write({"documents": rows, "state": current}, current.count())
-            return "rebuilt", {"reason": was, "documents": meta["document_count"]}
-        previous = store.read("state")
-        delta = changes(current, previous).cache()
+        if was != "loaded" or rebuild:
+            rows = read(listed).persist()
+            meta = store.write({"documents": rows, "state": rows.select(*STATE)})
+            rows.unpersist()
+            return "rebuilt", {"reason": "asked" if was == "loaded" else was, "documents": meta["document_count"]}
+        previous = store.read("state").select(*STATE)
+        listed = listed.persist()
+        todo = suspects(listed, previous).persist()
+        rows = read(todo).persist()
+        unread = todo.join(rows, ["wiki", "relative"], "left_anti").select("wiki", "relative").persist()
+        same = previous.join(listed, ["wiki", "relative", "size", "mtime"], "left_semi")
+        kept = previous.join(unread, ["wiki", "relative"], "left_semi")
+        current = same.unionByName(rows.select(*STATE)).unionByName(kept)
+        delta = changes(current, previous).persist()
         counts = {r["change"]: r["n"] for r in summary(delta).collect()}
-        touched = delta.filter("touched").limit(1).count()
         changed = {k: counts.get(k, 0) for k in ("added", "modified", "deleted")}
-        if not any(changed.values()) and not touched:
-            return "current", {}
-        todo = current.join(delta.filter(F.col("change").isin("added", "modified")), ["wiki", "relative"], "left_semi")
-        store.write({"documents": apply(store.read("documents"), delta, build(todo)), "state": current}, current.count())
-        return "updated", changed
+        if skipped := unread.count():
+            changed["skipped"] = skipped
+        done = any(changed[k] for k in ("added", "modified", "deleted")) or not delta.filter("touched").isEmpty()
+        if done:
+            store.write({"documents": apply(store.read("documents"), delta, rows), "state": current})
+        for df in (delta, unread, rows, todo, listed):
+            df.unpersist()
+        return ("updated", changed) if done else ("current", {})
     finally:
         store.unlock()
 

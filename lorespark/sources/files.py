@@ -1,16 +1,25 @@
-"""Files of a wiki folder as rows."""
+"""Files of a wiki folder as rows.
+
+Folders are any that Hadoop's file systems reach. Spark's readers list them and read the contents, but skip names that begin with a
+dot or an underscore: those (few) are found by glob, skipped folders are listed as folders of their own, and skipped files are read
+through the file system's own interface.
+"""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions import files, markup, text
 
 CONFIG_FILES = [".lorespark.toml", "lorespark.toml"]
+#: Rule files, the stronger ones first; the last is the repository's own list.
+IGNORE_FILES = [".loreignore", ".gitignore", ".git/info/exclude"]
 MAX_SIZE = 16 * 1024 * 1024
+LISTED = "path string, length long, modificationTime timestamp"
 
 
 def glob_regex(pattern: str) -> str:
@@ -49,31 +58,104 @@ def ignore_rules(lines: list[str]) -> list[tuple[str, bool]]:
     return rules
 
 
-def scan(spark: SparkSession, root: str, wiki: str = "main", ignore: list[str] | None = None, hidden: bool = False, code: bool = True, max_size: int = MAX_SIZE) -> DataFrame:
-    """(wiki, path, relative, size, mtime, content_type, too_large); contents are not read.
+def _hadoop(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    Ignore rules are those of the folder's own .gitignore and .loreignore, then `ignore`.
-    """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
-    base = re.sub(r"^file:/*", "/", root.rstrip("/"))
-    relative = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), f"^{re.escape(base)}/", "")
-    rules = ignore_rules([*_lines(spark, root, ".gitignore"), *_lines(spark, root, ".loreignore"), *(ignore or [])])
-    gone = F.lit(False)
-    for pattern, kept in rules:
-        gone = F.when(F.col("relative").rlike(pattern), not kept).otherwise(gone)
-    out = raw.select(F.lit(wiki).alias("wiki"), "path", relative.alias("relative"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"))
-    out = out.filter(~gone & ~files.is_vcs_internal(F.col("relative")) & ~files.file_name(F.col("relative")).isin(CONFIG_FILES))
-    if not hidden:
-        out = out.filter(~F.col("relative").rlike(r"(?:^|/)\."))
-    out = out.withColumn("content_type", F.coalesce(files.classify_extension(F.col("relative")), F.lit("text"))).withColumn("too_large", F.col("size") > max_size)
-    return out if code else out.filter("content_type <> 'code'")
+
+def _escaped(path: str) -> str:
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
-def _lines(spark: SparkSession, root: str, name: str) -> list[str]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return []
-    return [r[0] for r in spark.read.text(f"{root}/{name}").collect()]  # a small configuration file
+def _skipped(spark: SparkSession, root: str) -> list[tuple[str, bool, int, int]]:
+    """(path, is a folder, length, milliseconds) of what begins with a dot or an underscore, at any depth."""
+    fs, _ = _hadoop(spark, root)
+    glob = lambda tail: fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{_escaped(root)}{tail}"))
+    found, level = [], ""
+    while glob(f"{level}/*"):
+        for s in glob(f"{level}/[._]*") or []:
+            found.append((s.getPath().toString(), s.isDirectory(), s.getLen(), s.getModificationTime()))
+        level += "/*"
+    return found
+
+
+def _relative(path: Column | str, root: str):
+    base = re.sub(r"^file:/*", "/", root.rstrip("/"))
+    if isinstance(path, str):
+        return re.sub(r"^file:/*", "/", path).removeprefix(f"{base}/")
+    return F.regexp_replace(F.regexp_replace(path, r"^file:/*", "/"), f"^{re.escape(base)}/", "")
+
+
+def _is_internal(relative: str) -> bool:
+    return any(part in files.VCS for part in relative.split("/"))
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """A file through the file system's own interface."""
+    fs, path = _hadoop(spark, path)
+    stream = fs.open(path)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def _rules(spark: SparkSession, root: str, skipped: list, ignore: list[str] | None) -> list[tuple[str, str, bool]]:
+    """(folder, regular expression, kept), the strongest first: settings, then by kind of file, then the deepest folder, then the last line."""
+    own = [("", r, kept) for r, kept in ignore_rules(ignore or [])][::-1]
+    for name in IGNORE_FILES:
+        at = [(_relative(p, root), p) for p, folder, _, _ in skipped if not folder and f"/{_relative(p, root)}".endswith(f"/{name}")]
+        if name == IGNORE_FILES[-1]:
+            fs, path = _hadoop(spark, f"{root}/{name}")
+            at = [(name, f"{root}/{name}")] if fs.exists(path) else []
+        for relative, path in sorted(at, key=lambda x: -x[0].count("/")):
+            lines = read_bytes(spark, path).decode("utf-8", "replace").splitlines()
+            folder = relative.removesuffix(name)
+            own += [(folder, r, kept) for r, kept in ignore_rules(lines)][::-1] if not _is_internal(folder) else []
+    return own
+
+
+def _gone(rules: list[tuple[str, str, bool]], hidden: bool) -> Column:
+    """Whether a path or a folder above it is ignored; what is in an ignored folder can't be kept. A kept name may be hidden."""
+
+    def prefix_gone(prefix: Column, last: Column) -> Column:
+        # a folder is seen with its slash, so that rules for folders fit it
+        seen = F.when(last, prefix).otherwise(F.concat(prefix, F.lit("/")))
+        is_hidden = F.startswith(F.element_at(F.split(prefix, "/"), -1), F.lit("."))
+        verdict = is_hidden & F.lit(not hidden)
+        for folder, pattern, kept in reversed(rules):
+            fits = F.startswith(seen, F.lit(folder)) & F.substr(seen, F.lit(len(folder) + 1)).rlike(pattern)
+            verdict = F.when(fits, F.lit(not kept)).otherwise(verdict)
+        return verdict
+
+    parts = F.split("relative", "/")
+    return F.exists(F.sequence(F.lit(1), F.size(parts)), lambda i: prefix_gone(F.concat_ws("/", F.slice(parts, F.lit(1), i)), i == F.size(parts)))
+
+
+def scan(
+    spark: SparkSession, root: str, wiki: str = "main", ignore: list[str] | None = None, hidden: bool = False, code: bool = True, max_size: int = MAX_SIZE
+) -> DataFrame:
+    """(wiki, path, relative, size, mtime, content_type, too_large), to be ordered by `relative` where order matters; contents are not read.
+
+    Ignore rules are those of .gitignore and .loreignore in any folder, for what is below it, and `ignore`, which is stronger; of one
+    file the last rule that fits decides.
+    """
+    root = root.rstrip("/")
+    skipped = [s for s in _skipped(spark, root) if not _is_internal(_relative(s[0], root))]
+    folders = [root, *[p for p, folder, _, _ in skipped if folder]]
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([_escaped(p) for p in folders])
+    rows = [(p, n, ms / 1000) for p, folder, n, ms in skipped if not folder]
+    more = spark.createDataFrame(rows, "path string, length long, seconds double").select("path", "length", F.timestamp_seconds("seconds"))
+    raw = raw.select("path", "length", "modificationTime").union(more)
+    out = raw.select(
+        F.lit(wiki).alias("wiki"), "path", _relative(F.col("path"), root).alias("relative"), F.col("length").alias("size"),
+        F.unix_timestamp("modificationTime").alias("mtime"),
+    )
+    out = out.filter(~files.is_vcs_internal(F.col("relative")) & ~files.file_name(F.col("relative")).isin([*CONFIG_FILES, *IGNORE_FILES[:1]]))
+    out = out.filter(~_gone(_rules(spark, root, skipped, ignore), hidden))
+    kind = F.coalesce(files.classify_extension(F.col("relative")), F.lit("text"))
+    out = out.withColumn("content_type", kind).withColumn("too_large", F.col("size") > max_size)
+    return out if code else out.filter("content_type <> 'code'")
 
 
 def read_limited(content, limit: int):
@@ -81,32 +163,84 @@ def read_limited(content, limit: int):
     return F.struct(F.substring(content, 1, limit).alias("data"), (F.octet_length(content) > limit).alias("truncated"))
 
 
-def with_content(spark: SparkSession, listed: DataFrame, root: str) -> DataFrame:
-    """listed with `content`; files too large count as empty."""
-    data = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
-    return listed.join(data, "path", "left").withColumn("content", F.when(~F.col("too_large"), F.col("content")).otherwise(F.lit(b"")))
+def should_index(listed: DataFrame) -> DataFrame:
+    """Of listed files those whose text is read and indexed."""
+    return listed.filter(~F.col("too_large") & ~F.col("content_type").isin("binary", "image"))
+
 
+def _there(spark: SparkSession, paths: list[str]) -> list[str]:
+    return [p for p in paths if (at := _hadoop(spark, p))[0].exists(at[1])]
 
-def documents(listed: DataFrame) -> DataFrame:
-    """Documents from files with content: header block, Markdown or plain body, title from the header or else the file's stem."""
-    kind = F.when(files.looks_binary(F.col("content")), "binary").otherwise(F.col("content_type"))
-    own = listed.withColumn("content_type", kind).withColumn("content_hash", files.content_hash(F.col("content")))
+
+def with_content(spark: SparkSession, listed: DataFrame, max_size: int = MAX_SIZE) -> DataFrame:
+    """listed with `content`; no other file is read. Files that are too large or have gone since have null."""
+    paths = [r.path for r in listed.filter(~F.col("too_large")).select("path").collect()]  # a listing, as Spark's own driver holds it
+    odd = _there(spark, [p for p in paths if p.rsplit("/", 1)[-1][0] in "._"])
+    plain = [p for p in paths if p.rsplit("/", 1)[-1][0] not in "._"]
+    data = spark.createDataFrame([(p, bytearray(read_bytes(spark, p))) for p in odd], "path string, content binary")
+    reader = spark.read.format("binaryFile").option("ignoreMissingFiles", True)
+    try:
+        read = reader.load([_escaped(p) for p in plain]) if plain else None
+    except AnalysisException:  # one of them has gone
+        plain = _there(spark, plain)
+        read = reader.load([_escaped(p) for p in plain]) if plain else None
+    if read is not None:
+        data = data.union(read.select("path", "content"))
+    return listed.join(data, "path", "left").withColumn("content", F.when(F.octet_length("content") <= max_size, F.col("content")))
+
+
+def skipped(read: DataFrame) -> DataFrame:
+    """(wiki, relative, reason) of listed files without content."""
+    out = read.filter("content IS NULL")
+    return out.select("wiki", "relative", F.when(F.col("too_large"), "too large").otherwise("gone").alias("reason"))
+
+
+def documents(listed: DataFrame, compat: bool = False) -> DataFrame:
+    """Documents from files with content: header block, Markdown or plain body; the title is the header's, else the first heading, else the
+    file's stem.
+
+    Files that are too large have no body and, as their hash, one of size and time, so a change of them is seen; compat=True hashes them as
+    empty. Files that have gone are left out.
+    """
+    listed = listed.filter(F.col("too_large") | F.col("content").isNotNull())
+    whole = F.coalesce("content", F.lit(b""))
+    stamp = F.concat_ws(":", "size", "mtime").cast("binary")
+    digest = files.content_hash(whole if compat else F.when(F.col("too_large"), stamp).otherwise(whole))
+    own = listed.withColumn("content_hash", digest).withColumn("content", whole)
+    own = own.withColumn("content_type", F.when(files.looks_binary(F.col("content")), "binary").otherwise(F.col("content_type")))
     readable = ~F.col("content_type").isin("binary", "image")
     own = own.withColumn("raw", F.when(readable, text.lossy_utf8(F.col("content"))).otherwise(""))
     is_markdown = F.col("content_type") == "markdown"
     own = own.withColumn("front", F.when(is_markdown, markup.frontmatter(F.col("raw"))))
-    rest = F.when(F.col("front.present"), F.expr("CAST(substring(CAST(raw AS BINARY), front.body_offset + 1) AS STRING)")).otherwise(F.col("raw"))
-    own = own.withColumn("rest", rest).withColumn("parsed", F.when(is_markdown, markup.markdown(F.col("rest"))))
+    after = F.expr("CAST(substring(CAST(raw AS BINARY), front.body_offset + 1) AS STRING)")
+    own = own.withColumn("rest", F.when(F.col("front.present"), after).otherwise(F.col("raw")))
+    own = own.withColumn("parsed", F.when(is_markdown, markup.markdown(F.col("rest"))))
     none = F.array().cast("array<string>")
-    title = F.coalesce(F.col("front.title"), files.stem(F.col("relative")))
+    title = F.coalesce(F.col("front.title"), F.when(is_markdown, markup.first_heading(F.col("rest"))), files.stem(F.col("relative")))
+    links = F.coalesce(F.when(is_markdown, markup.page_links(F.col("rest"))), none)
     return own.select(
         "wiki", "path", "relative", "size", "mtime", "content_hash", "content_type", text.sanitize_line(title).alias("title"),
-        F.coalesce("front.aliases", none).alias("aliases"), F.coalesce("front.tags", none).alias("tags"), F.coalesce("parsed.headings", none).alias("headings"),
-        text.sanitize_text(F.coalesce("parsed.body", "rest")).alias("body"), F.coalesce(F.when(is_markdown, markup.page_links(F.col("rest"))), none).alias("links"),
+        F.coalesce("front.aliases", none).alias("aliases"), F.coalesce("front.tags", none).alias("tags"),
+        F.coalesce("parsed.headings", none).alias("headings"), text.sanitize_text(F.coalesce("parsed.body", "rest")).alias("body"),
+        links.alias("links"),
         F.coalesce("front.diagnostics", F.array().cast("array<struct<line:int,message:string>>")).alias("diagnostics"),
-    )
+    )
 
 
 def build(spark: SparkSession, root: str, wiki: str = "main", **options) -> DataFrame:
     """All documents of a folder."""
-    return documents(with_content(spark, scan(spark, root, wiki, **options), root))
+    return documents(with_content(spark, scan(spark, root, wiki, **options), options.get("max_size", MAX_SIZE)))
+
+
+def render(spark: SparkSession, source, markdown: bool = True) -> DataFrame:
+    """(ord, kind, level, text, ...) blocks of one file by its path, or of an open text stream such as standard input."""
+    whole = source.read() if hasattr(source, "read") else read_bytes(spark, source).decode("utf-8", "replace")
+    row = spark.createDataFrame([(whole,)], "text string")
+    if not markdown:
+        return row.select(F.lit("text").alias("kind"), "text")
+    return row.select(F.posexplode(markup.markdown_blocks(F.col("text"))).alias("ord", "block")).select("ord", "block.*")
+
+
+def raw(docs_with_content: DataFrame, wiki: str, relative: str) -> DataFrame:
+    """(content): a file's bytes as they are."""
+    return docs_with_content.filter((F.col("wiki") == wiki) & (F.col("relative") == relative)).select("content")

@@ -1,10 +1,12 @@
+import hashlib
+import os
 import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from lorespark.errors import ConfigError, IndexMissing, NotFound, NotSearchable, UnclosedQuote
+from lorespark.errors import ConfigError, IndexMissing, LoreError, NotFound, NotSearchable, UnclosedQuote
 from lorespark.functions import files, markup, text
 from lorespark.operators import delta, fuzzy, graph, reports, resolve, search
 from lorespark.plans.query import Term, parse
@@ -197,37 +199,103 @@ def test_registry():
         layered({"nope": 1})
 
 
+def write_files(root, pages):
+    for name, body in pages.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(body)
+
+
 def test_index_lifecycle(spark, tmp_path):
     wiki, store = tmp_path / "wiki", delta.Store(spark, str(tmp_path / "index"))
-    wiki.mkdir()
-    write = lambda n, t: (wiki / n).write_text(t)
-    write("A.md", "---\ntitle: Page Alpha\ntags: [alpha]\n---\nallocation [[B]]")
-    write("B.md", "memory exploitation")
-    write("C.md", "networking")
-    (wiki / ".git").mkdir()
-    write(".git/x.md", "no")
-    write(".gitignore", "*.log\n")
-    write("x.log", "no")
-
-    def update():
-        rows = source.documents(source.with_content(spark, source.scan(spark, str(wiki)), str(wiki)))
-        current = rows.select("wiki", "relative", "size", "mtime", "content_hash")
-        return delta.reconcile(store, current.cache(), lambda f: rows.join(f.select("wiki", "relative"), ["wiki", "relative"], "left_semi"))
+    write_files(wiki, {
+        "Kiln.md": "---\ntitle: Firing a kiln\ntags: [clay]\n---\nglazes melt [[Loom]]", "Loom.md": "warp and weft", "Forge.md": "anvils",
+        ".git/x.md": "no", ".gitignore": "*.log\n", "x.log": "no",
+    })
+    read = []
+
+    def update(**options):
+        def documents(files):
+            read.append(sorted(r.relative for r in files.collect()))
+            return source.documents(source.with_content(spark, files))
+
+        return delta.reconcile(store, source.scan(spark, str(wiki)), documents, **options)
 
     hits = lambda q: sorted(r.relative for r in search.search(store.read("documents"), q).collect())
     with pytest.raises(IndexMissing):
         store.read("documents")
-    assert delta.state(store) == "absent" and update() == ("rebuilt", {"reason": "absent", "documents": 3}) and hits("allocation") == ["A.md"]
-    assert store.read("documents").filter("relative = 'A.md'").select("title", "tags", "links").first() == ("Page Alpha", ["alpha"], ["B"])
-    assert update() == ("current", {})
-    write("B.md", "patched content now")
-    assert update() == ("updated", {"added": 0, "modified": 1, "deleted": 0}) and hits("patched") == ["B.md"]
-    (wiki / "C.md").unlink()
-    (wiki / "A.md").rename(wiki / "X.md")
-    assert update() == ("updated", {"added": 1, "modified": 0, "deleted": 2}) and hits("networking") == [] and hits("allocation") == ["X.md"]
-    assert store.lock() and update() == ("busy", {}) and not store.lock()
+    assert delta.state(store) == "absent" and update() == ("rebuilt", {"reason": "absent", "documents": 3}) and hits("glazes") == ["Kiln.md"]
+    assert store.read("documents").filter("relative = 'Kiln.md'").select("title", "tags", "links").first() == ("Firing a kiln", ["clay"], ["Loom"])
+    assert update() == ("current", {}) and read[-1] == []
+    write_files(wiki, {"Loom.md": "shuttles fly to and fro"})
+    assert update() == ("updated", {"added": 0, "modified": 1, "deleted": 0}) and hits("shuttles") == ["Loom.md"] and read[-1] == ["Loom.md"]
+    (wiki / "Forge.md").unlink()
+    (wiki / "Kiln.md").rename(wiki / "Oven.md")
+    assert update() == ("updated", {"added": 1, "modified": 0, "deleted": 2}) and hits("anvils") == [] and hits("glazes") == ["Oven.md"]
+    os.utime(wiki / "Loom.md", (1, 1))
+    assert update() == ("updated", {"added": 0, "modified": 0, "deleted": 0}) and update() == ("current", {}) and read[-2:] == [["Loom.md"], []]
+    other = delta.Store(spark, store.root)
+    assert other.lock() and update() == ("busy", {}) and not store.lock()
     store.unlock()
-    assert delta.status(store)["document_count"] == 2
+    assert update() == ("busy", {})
+    other.unlock()
+    assert update(rebuild=True) == ("rebuilt", {"reason": "asked", "documents": 2}) and update(auto_update=False) == ("as_stored", {})
+    assert delta.status(store)["document_count"] == 2 and len(list((tmp_path / "index").glob("v*"))) == 2
+
+
+def test_left_lock_and_broken_pointer(spark, tmp_path, monkeypatch):
+    store = delta.Store(spark, str(tmp_path))
+    assert store.lock()
+    other = delta.Store(spark, str(tmp_path))
+    assert not other.lock()
+    monkeypatch.setattr(delta, "LOCK_SECONDS", -1)
+    assert other.lock()
+    (tmp_path / "CURRENT").write_text("{")
+    assert delta.state(store) == "unreadable"
+    empty = lambda: {"documents": spark.createDataFrame([], "wiki string")}
+    assert delta.status(delta.open_or_create(spark, str(tmp_path), empty))["document_count"] == 0
+    (tmp_path / "file").write_text("x")
+    with pytest.raises(LoreError, match="nor create"):
+        delta.open_or_create(spark, str(tmp_path / "file"), empty)
+
+
+def test_files_that_go_or_are_too_large(spark, tmp_path):
+    write_files(tmp_path, {"a.md": "# One\nfirst", "b.md": "second", "c.md": "x" * 50, "_u.md": "under", "d/_v/e.md": "deep"})
+    listed = source.scan(spark, str(tmp_path), max_size=40).cache()
+    assert sorted(r.relative for r in listed.collect()) == ["_u.md", "a.md", "b.md", "c.md", "d/_v/e.md"]
+    (tmp_path / "b.md").unlink()
+    read = source.with_content(spark, listed, 40).cache()
+    assert sorted(tuple(r) for r in source.skipped(read).collect()) == [("main", "b.md", "gone"), ("main", "c.md", "too large")]
+    got = {r.relative: r for r in source.documents(read).collect()}
+    assert {k: (r.title, r.body) for k, r in got.items()} == {"a.md": ("One", "first"), "c.md": ("c", ""), "_u.md": ("_u", "under"), "d/_v/e.md": ("e", "deep")}
+    assert got["c.md"].content_hash != hashlib.sha256(b"").hexdigest()
+    assert {r.relative: r.content_hash for r in source.documents(read, compat=True).collect()}["c.md"] == hashlib.sha256(b"").hexdigest()
+    assert [r.relative for r in source.should_index(listed).filter("relative LIKE 'c%'").collect()] == []
+
+
+def names(spark, root, **options):
+    return sorted(r.relative for r in source.scan(spark, str(root), **options).collect())
+
+
+def test_ignore_files(spark, tmp_path):
+    write_files(tmp_path, {
+        ".gitignore": "out/\n*.o\n!keep.o\n.cache/\n!.shown.md\n", "out/a.md": "x", "b.o": "x", "keep.o": "x", "sub/out/c.md": "x", "sub/d.md": "x",
+        "sub/.gitignore": "/d.md\n!e.o\n", "sub/e.o": "x", "sub/deep/d.md": "x", ".loreignore": "captures/\n!b.o\n", "captures/f.md": "x",
+        ".hidden.md": "x", ".shown.md": "x", ".dir/g.md": "x", ".git/info/exclude": "h.md\n", "h.md": "x", "lorespark.toml": "x", "i [1].md": "x", "_j.md": "x",
+    })
+    seen = [".shown.md", "_j.md", "b.o", "i [1].md", "keep.o", "sub/deep/d.md", "sub/e.o"]
+    assert names(spark, tmp_path) == seen
+    assert names(spark, tmp_path, hidden=True) == sorted([*seen, ".dir/g.md", ".gitignore", ".hidden.md", "sub/.gitignore"])
+    assert names(spark, tmp_path, ignore=["sub/", "*.o"]) == [".shown.md", "_j.md", "i [1].md"]
+    assert [r.content for r in source.with_content(spark, source.scan(spark, str(tmp_path)).filter("relative = 'i [1].md'")).collect()] == [b"x"]
+
+
+def test_render_and_raw(spark, tmp_path):
+    import io
+
+    write_files(tmp_path, {"a.md": "# T\n\ntext"})
+    kinds = lambda df: [r.kind for r in df.orderBy("ord").collect()]
+    assert kinds(source.render(spark, str(tmp_path / "a.md"))) == kinds(source.render(spark, io.StringIO("# T\n\ntext"))) != []
+    assert source.raw(source.with_content(spark, source.scan(spark, str(tmp_path))), "main", "a.md").first().content == b"# T\n\ntext"
 
 
 def test_scan_rules():
