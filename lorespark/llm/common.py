@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +45,19 @@ def ascii_lower(text: Column) -> Column:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+#: Bytes of text that a Python worker looks through together.
+SLICE_BYTES = 8 << 20
+
+
+def slices(batches: Iterable[pa.RecordBatch], text: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut into stretches of so many rows and SLICE_BYTES of text at most (or one row)."""
+    for batch in batches:
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(text)), 0).cast(pa.int64())).to_numpy()
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            end = min(start + rows, max(start + 1, int(ends.searchsorted(before + SLICE_BYTES, side="right"))))
+            yield batch.slice(start, end - start)
+            start = end

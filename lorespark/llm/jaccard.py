@@ -1,25 +1,30 @@
 """N-gram Jaccard join by parity sketches.
 
 A document is the set of hashes of its word n-grams. Every token flips one bit of a parity sketch, so two sketches
-differ in at most as many bits as the sets' symmetric difference has tokens, and by the pigeonhole two documents whose difference is at
-most d agree in one of d + 1 blocks of the sketch. Per band of sizes:
-
-1. The sketch is cut into d + 1 + g blocks, d being the most that linked documents of the band may differ. g more blocks let a document
-   leave out blocks with hardly a token, which say nothing: linked documents agree in g + 1 blocks, so one that both keep remains. A document
-   with more than g such blocks keeps them all. A block's key is the XOR of its tokens' hashes.
-2. Documents with equal sets are one node. Nodes that share a key are compared with the smallest node of the key, then verified
-   on whole sets; components follow.
-3. In keys that still hold different components, all nodes of different components are compared: inside the join, by size and by the
-   Hamming distance of a folded sketch, and only what may link leaves it and is verified. Large keys are cut in tiles. Nodes of one
-   component need no comparing, so a group of near copies costs links in proportion to its size and yet no link between
-   components is lost.
+differ in at most as many bits as the sets' symmetric difference has tokens, and by the pigeonhole two documents whose
+difference is at most d agree in one of d + 1 blocks of the sketch. Per band of sizes:
+
+1. The sketch is cut into d + 1 + g blocks, d being the most that linked documents of the band may differ. g more blocks
+   let a document leave out blocks with hardly a token, which say nothing. Linked documents agree in g + 1 blocks, so in
+   `need` = g + 1 less those left out of the blocks that a document keeps. A block's key is the XOR of its tokens' hashes.
+2. Documents with equal sets are one node. In each key that nodes share, all are compared with one of them, the one with
+   the most shared keys: of a family of near copies that is the least edited. What may link by size and by the Hamming
+   distance of whole sketches is verified on whole sets; components follow.
+3. Keys that still hold different components are looked at again, for a link between components whose ends both differ
+   from that one node. Both ends of such a link share `need` of these open keys, so a node with fewer leaves, and
+   the others are only looked up in the rarest ones, all but need - 1 (the prefix of an overlap join). The nodes outside a
+   key's largest component meet the others, once for all their keys, by size and sketch inside the join; what is left is
+   verified. Nodes of one component are never compared, so a group of near copies costs links in proportion to its size
+   and yet no link between components is lost.
+
+A key that many nodes of one stretch of rows share is dealt out by node, and large open keys are cut in tiles.
 
 Equal sets have equal 64-bit digests; digests of different sets are taken as different.
 
-Defined results: words are what white space (20, 09-0D) separates after lower-casing A-Z; a text with fewer words than n is one n-gram;
-null or empty texts have the empty set, link with nothing and are their own component; repeated rows are each returned; different texts with one doc_id each
-look for partners, texts being told apart by doc_id and a 64-bit digest; rows with a null doc_id link
-with nothing; other columns are ignored.
+Defined results: words are what white space (20, 09-0D) separates after lower-casing A-Z; a text with fewer words than n
+is one n-gram; null or empty texts have the empty set, link with nothing and are their own component; repeated rows are
+each returned; different texts with one doc_id each look for partners, texts being told apart by doc_id and a 64-bit
+digest; rows with a null doc_id link with nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,15 +36,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import materialize, small_side, table
+from lorespark.llm.common import materialize, slices, small_side, table
 from lorespark.llm.graphs import components
 
-#: Ratio of the sizes within a band, longs of the folded sketch, nodes of a key that meet in one tile.
-RATIO, FOLD_LONGS, TILE = 1.4, 8, 2048
+#: Ratio of the sizes within a band; nodes of a key that meet in one tile; keys by which a pair finds its first meeting.
+RATIO, TILE, LISTED = 1.4, 2048, 16
+#: Rows that are looked through together, how many of them make a key hot, and into how many groups a hot key is dealt.
+SLICE, HOT, SALTS = 512, 32, 64
+#: Words whose hashes, and nodes whose keys, a worker remembers.
+WORDS, SEEN = 1 << 17, 1 << 16
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: The lowest byte of a key is its band.
+BAND = np.uint64(255)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -48,12 +59,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class _Hashes(dict):
+    """Hashes of words, looked up or made."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+_hashes = _Hashes()
+
+
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams of a text."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     size = min(n, len(h))
     out = np.full(len(h) - size + 1, size, np.uint64)
     for i in range(size):
@@ -86,10 +110,11 @@ def band_of(size: float) -> int:
     return band
 
 
-def block_keys(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The keys under which a set looks for partners."""
+def block_keys(tokens: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]:
+    """The keys under which a set looks for partners, and of each of its bands the keys it shares with any partner,
+    as 256 times that number plus the band."""
     smallest = -(-len(tokens) * num // den)
-    out = []
+    keys, needs = [], []
     for band in range(band_of(max(1, smallest)), band_of(len(tokens)) + 1):
         blocks, spare, light = band_blocks(band, num, den)
         at = (_mix(tokens + np.uint64(band)) % np.uint64(blocks)).astype(np.int64)
@@ -99,15 +124,18 @@ def block_keys(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
         parity = np.zeros(blocks, np.uint64)
         parity[used] = np.bitwise_xor.reduceat(tokens[order], np.concatenate(([0], np.cumsum(counts[used])[:-1])))
         kept = np.flatnonzero(counts > light)
+        needs.append(max(1, spare + 1 - (blocks - len(kept))) * 256 + band)
         if blocks - len(kept) > spare:
             kept = np.arange(blocks)
-        out.append(_mix(parity[kept] + _mix(kept.astype(np.uint64) + (np.uint64(band) << np.uint64(40)))))
-    return np.concatenate(out).view(np.int64)
+        own = _mix(parity[kept] + _mix(kept.astype(np.uint64) + (np.uint64(band) << np.uint64(40))))
+        keys.append((own & ~BAND) | np.uint64(band))
+    return np.concatenate(keys).view(np.int64), needs
 
 
-def folded(tokens: np.ndarray) -> np.ndarray:
-    """The parity sketch folded to FOLD_LONGS * 64 bits; its Hamming distance is still a lower bound."""
-    flips = np.bincount((tokens % np.uint64(FOLD_LONGS * 64)).astype(np.int64), minlength=FOLD_LONGS * 64) & 1
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """The parity sketch in a power of two of bits, at least as many as there are tokens and 64."""
+    bits = max(64, 1 << (len(tokens) - 1).bit_length())
+    flips = np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
@@ -116,69 +144,106 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
 
 
-def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, digest, node, size, fold) of every row; node is null for empty sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
-                sets = [shingles(x, n) for x in batch.column(2).to_pylist()]
-                nodes = [_node(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists([folded(s) for s in sets])], ["doc_id", "digest", "node", "size", "fold"])
-
-    return docs.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest long, node long, size long, fold array<long>")
-
-
 def _node(tokens: np.ndarray) -> int:
     """Digest of a set, as a signed 64-bit number."""
     return int.from_bytes(xxhash.xxh3_64_digest(tokens.tobytes()), "big", signed=True)
 
 
-def node_keys(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(node, key): the keys of every set that is not empty."""
+NONE = np.zeros(0, np.int64)
+SKETCHES = "doc_id long, digest long, node long, size long, needs array<long>, fold array<long>, keys array<long>, hot array<long>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 100):
-                sets = [s for s in (shingles(x, n) for x in whole.slice(start, 100).column(0).to_pylist()) if len(s)]
-                keys = [block_keys(s, num, den) for s in sets]
-                nodes = np.repeat(np.array([_node(s) for s in sets], np.int64), [len(k) for k in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], ["node", "key"])
 
-    return docs.select("text").mapInArrow(run, "node long, key long")
+def sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Of every row doc_id, digest, node (null for empty sets), size, needs, fold, and its keys.
+
+    A node that a worker has seen lately has no keys again. Keys that HOT of SLICE rows share are listed as hot; the
+    first of these rows has them in both lists.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for part in slices(batches, "text", SLICE):
+            sets = [shingles(x, n) for x in part.column(2).to_pylist()]
+            nodes = [_node(s) if len(s) else None for s in sets]
+            keys, needs, folds = [NONE] * len(sets), [[]] * len(sets), [NONE] * len(sets)
+            for i, (node, tokens, doc) in enumerate(zip(nodes, sets, part.column(0).to_pylist())):
+                if node is None or doc is None:
+                    continue
+                folds[i] = sketch(tokens)
+                own, needs[i] = block_keys(tokens, num, den)
+                if node not in seen:
+                    keys[i] = own
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(node)
+            hot = [NONE] * len(sets)
+            every, first, counts = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
+            crowded = every[counts >= HOT]
+            if len(crowded):
+                ends = np.cumsum([len(k) for k in keys])
+                marks = np.searchsorted(ends, first[counts >= HOT], side="right")
+                for i, own in enumerate(keys):
+                    where = np.searchsorted(crowded, own).clip(max=len(crowded) - 1)
+                    common = crowded[where] == own
+                    hot[i], keys[i] = own[common], own[~common | (marks[where] == i)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(needs, pa.list_(pa.int64())), _lists(folds), _lists(keys), _lists(hot),
+                ],
+                ["doc_id", "digest", "node", "size", "needs", "fold", "keys", "hot"],
+            )
+
+    return docs.select("doc_id", "digest", "text").mapInArrow(run, SKETCHES)
 
 
 def token_sets(docs: DataFrame, n: int) -> DataFrame:
     """(node, tokens): sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
-                yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(x, n).view(np.int64) for x in batch.column(1).to_pylist()])], ["node", "tokens"])
+        for part in slices(batches, "text", SLICE):
+            sets = [shingles(x, n).view(np.int64) for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(sets)], ["node", "tokens"])
 
     return docs.select("node", "text").mapInArrow(run, "node long, tokens array<long>")
 
 
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """(key, node) of the keys that different nodes share, each once."""
+    salt = (F.pmod(F.col("node"), F.lit(SALTS)) + 1).cast("byte")
+    own = rows.filter("node IS NOT NULL")
+    every = own.select("node", F.explode("keys").alias("key"), F.lit(0).cast("byte").alias("salt")).unionByName(
+        own.filter("size(hot) > 0").select("node", F.explode("hot").alias("key"), salt.alias("salt"))
+    )
+    group = Window.partitionBy("key", "salt")
+    found = every.withColumn("differ", F.min("node").over(group) != F.max("node").over(group))
+    return found.filter("differ OR salt > 0").select("key", "node").distinct()
+
+
 def may_link(x: str, y: str, num: int, den: int) -> Column:
-    """By sizes and folded sketches alone: false only if the two can't link."""
-    a, b = F.col(f"{x}.size"), F.col(f"{y}.size")
-    bits = sum((F.bit_count(F.get(F.col(f"{x}.fold"), i).bitwiseXOR(F.get(F.col(f"{y}.fold"), i))) for i in range(1, FOLD_LONGS)), F.bit_count(F.get(F.col(f"{x}.fold"), 0).bitwiseXOR(F.get(F.col(f"{y}.fold"), 0))))
+    """By sizes and sketches alone: false only if the two can't link. The wider sketch is folded to the other's width."""
+    wide = f"least(size({x}.fold), size({y}.fold))"
+    bits = [f"get({z}.fold, i) ^ if(size({z}.fold) > {wide}, get({z}.fold, i + {wide}), 0L)" for z in (x, y)]
+    distance = f"aggregate(sequence(0, {wide} - 1), 0, (sum, i) -> sum + bit_count(({bits[0]}) ^ ({bits[1]})))"
     # intersection i and union u with i * den >= num * u, so (u - i) * (num + den) <= (a + b) * (den - num)
-    return (F.least(a, b) * den >= F.greatest(a, b) * num) & (bits * (num + den) <= (a + b) * (den - num))
+    near = F.expr(f"{distance} * {num + den}L <= ({x}.size + {y}.size) * {den - num}")
+    return may_fit(x, y, num, den) & near
+
+
+def may_fit(x: str, y: str, num: int, den: int) -> Column:
+    return F.expr(f"least({x}.size, {y}.size) * {den} >= greatest({x}.size, {y}.size) * {num}")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Those of pairs (a, b) of nodes whose whole sets link."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    where = nodes.join(needed, "node").select("node", F.col("rep").alias("doc_id"), "digest")
-    texts = docs.filter("text IS NOT NULL").join(small_side(materialize(where)), ["doc_id", "digest"]).select("node", "text")
-    sets = materialize(token_sets(texts, n).dropDuplicates(["node"]))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b")), "b")
+    where = nodes.join(needed, "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "digest")
+    texts = docs.filter("text IS NOT NULL").join(small_side(materialize(where)), ["doc_id", "digest"])
+    sets = materialize(token_sets(texts.select("node", "text"), n).dropDuplicates(["node"]))
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("tokens").alias(f"tokens_{c}"))
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     union = F.size("tokens_a") + F.size("tokens_b") - common
-    return both.filter(common * den >= union * num).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(common * den >= union * num).select("a", "b")
 
 
 def text_digest() -> Column:
@@ -186,44 +251,74 @@ def text_digest() -> Column:
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id; documents link if den * intersection >= num * union."""
+    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id.
+
+    Documents link if den * intersection >= num * union.
+    """
     return grouped(docs, n, num, den).select("doc_id", "n_shingles", "component_id")
 
 
+def stars(members: DataFrame) -> DataFrame:
+    """members with `first`, of each key the node with the most shared keys."""
+    weighed = members.join(members.groupBy("node").agg(F.count("*").alias("weight")), "node")
+    first = weighed.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("first"))
+    return members.join(first, "key")
+
+
+def open_rows(members: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of the keys that hold different components, where their nodes may still find partners."""
+    labelled = members.filter("node <> first").join(parts.withColumnRenamed("id", "node"), "node", "left")
+    labelled = labelled.select("key", "node", F.coalesce("component", "node").alias("component"))
+    largest = labelled.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
+    largest = largest.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("m"), F.count("*").alias("parts"))
+    rows = labelled.join(largest.filter("parts > 1").drop("parts"), "key")
+    own = rows.groupBy("node", F.expr("key & 255").alias("band")).agg(
+        F.sort_array(F.collect_list(F.struct("m", "key", "main"))).alias("open"), F.first("component").alias("component")
+    )
+    need = F.expr("filter(needs, x -> x & 255 = band)[0] div 256").cast("int")
+    own = own.join(nodes.select("node", "needs", F.struct("size", "fold").alias("of")), "node").withColumn("need", need)
+    own = own.withColumn("open", F.expr("slice(open, 1, greatest(0, size(open) - need + 1))"))
+    own = own.withColumn("listed", F.expr(f"transform(slice(open, 1, {LISTED}), x -> x.key)"))
+    return own.select("node", "component", "of", "listed", F.explode("open").alias("at")).select("node", "component", "of", "listed", "at.*")
+
+
+def open_pairs(found: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that share an open key and may link."""
+    tiles = F.ceil(F.col("m") / TILE).cast("int")
+    side = lambda c: [F.col("node").alias(c), F.col("component").alias(f"part_{c}"), F.col("of").alias(f"of_{c}"), F.col("listed").alias(f"listed_{c}")]
+    left = found.filter("component <> main").select("key", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"), *side("a"))
+    right = found.select("key", F.pmod(F.hash("node"), tiles).alias("tile"), "main", *side("b"))
+    apart = F.expr("part_a <> part_b AND (a < b OR part_b = main)")
+    met = F.array_min(F.array_intersect("listed_a", "listed_b"))
+    once = met.isNull() | (met == F.col("key"))
+    pairs = left.join(right, ["key", "tile"]).where(apart & may_fit("of_a", "of_b", num, den) & once & may_link("of_a", "of_b", num, den))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def grouped(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """near_duplicates with the digest of each row's text."""
     docs = docs.select(F.col("doc_id").cast("long"), "text", text_digest().alias("digest"))
-    rows = materialize(sketches(docs, n))
-    nodes = materialize(rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("r"), F.min("size").alias("size"), F.min("fold").alias("fold")).select("node", F.col("r.doc_id").alias("rep"), "r.digest", "size", "fold"))
-    again = rows.select("doc_id", "digest", "node").join(nodes.select("node", "rep"), "node").filter("doc_id <> rep").select("doc_id", "digest").distinct()
-    # one document of each node; its keys are made again where they are needed, which costs less than to keep them
-    own = node_keys(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").join(small_side(materialize(again)), ["doc_id", "digest"], "left_anti"), n, num, den)
-    shared = materialize(own.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).filter("first <> last"))
-    # a key of two nodes names both; only larger ones need their members
-    members = materialize(own.join(shared.filter("n > 2").select("key", "first"), "key"))
+    rows = materialize(sketches(docs, n, num, den))
+    members = materialize(stars(materialize(shared_keys(rows))))
+    seen = rows.filter("size(fold) > 0").join(members.select("node").distinct(), "node", "left_semi").groupBy("node")
+    attributes = [F.first(c).alias(c) for c in ("size", "needs", "fold")]
+    nodes = materialize(seen.agg(F.min("doc_id").alias("rep"), F.min_by("digest", "doc_id").alias("digest"), *attributes))
 
     named = lambda c: nodes.select(F.col("node").alias(c), F.struct("size", "fold").alias(f"of_{c}"))
-    tries = shared.filter("n = 2").select(F.col("first").alias("a"), F.col("last").alias("b")).unionByName(members.select(F.col("first").alias("a"), F.col("node").alias("b")).filter("a <> b")).distinct()
+    tries = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     tries = tries.join(named("a"), "a").join(named("b"), "b").filter(may_link("of_a", "of_b", num, den)).select("a", "b")
     links = materialize(verified(materialize(tries), nodes, docs, n, num, den))
-
-    labelled = members.join(components(links).select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).filter("x <> y AND m > 2")
-    tiles = F.ceil(F.col("m") / TILE).cast("int")
-    open_ = materialize(labelled.join(mixed.select("key", "m"), "key").join(nodes.select("node", F.struct("size", "fold").alias("of")), "node").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles").cast("long")).cast("int")))
-    every = F.sequence(F.lit(0), F.col("tiles") - 1)
-    left = open_.select("key", F.col("tile").alias("i"), F.explode(every).alias("j"), F.col("node").alias("a"), F.col("first"), F.col("component").alias("ca"), F.col("of").alias("of_a"))
-    right = open_.select("key", F.explode(every).alias("i"), F.col("tile").alias("j"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("of").alias("of_b"))
-    fresh = (F.col("a") < F.col("b")) & (F.col("a") != F.col("first")) & (F.col("ca") != F.col("cb"))
-    more = left.join(right, ["key", "i", "j"]).where(fresh & may_link("of_a", "of_b", num, den)).select("a", "b").distinct()
-    links = links.unionByName(verified(materialize(more), nodes, docs, n, num, den))
+    parts = components(links)
+    more = materialize(open_pairs(materialize(open_rows(members, parts, nodes)), num, den))
+    if not more.isEmpty():
+        parts = components(links.unionByName(materialize(verified(more, nodes, docs, n, num, den))))
 
     # by nodes, so that texts that share no more than their doc_id do not link others
-    label = materialize(nodes.select("node", "rep").join(components(links).select(F.col("id").alias("node"), "component"), "node", "left"))
-    least = label.filter("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"))
-    place = label.join(small_side(materialize(least)), "component", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
-    out = rows.select("doc_id", "digest", "node", F.col("size").alias("n_shingles")).join(small_side(materialize(place)), "node", "left")
-    return out.select("doc_id", "digest", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    own = rows.select("doc_id", "digest", "node", F.col("size").alias("n_shingles"))
+    own = own.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("part", F.coalesce("component", "node"))
+    least = own.filter("part IS NOT NULL AND doc_id IS NOT NULL").groupBy("part").agg(F.min("doc_id").alias("least"))
+    out = own.join(least, "part", "left")
+    return out.select("doc_id", "digest", "n_shingles", F.expr("if(doc_id IS NULL, NULL, coalesce(least, doc_id))").alias("component_id"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
