@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import tempfile
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,22 +23,73 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cuts the lineage at a checkpoint in the shared folder that spark.checkpoint.dir names.
-
-    Only a session without that setting (tests, one machine) gets a temporary folder.
-    """
+    """Cuts the lineage at a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lorespark-"))
+        context.setCheckpointDir(_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def _folder(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; a temporary one where it is unset, which is an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _local_folder()
+    return found
+
+
+@functools.lru_cache(1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="lorespark-")
+
+
+class Scratch:
+    """df written as a table in the shared folder, for a wide result that is read a few times; drop() deletes it when nothing is left to read."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.path = df.sparkSession, f"{_folder(df.sparkSession)}/lorespark-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, Python workers get batches of so many rows at most, which bounds the memory of long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(was)) if int(was) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a bounded count finds at most so many rows, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def sample_of_each(rows: DataFrame, key: str, count: int) -> DataFrame:
+    """Of rows with a 64-bit hash `h`, for each value of key those with (about) the smallest 4 * count hashes: all where there are fewer.
+
+    One count and one filter: no row is shuffled, and what comes out is bounded whatever the table holds, but for rows of equal hashes.
+    """
+    sizes = rows.groupBy(key).agg(F.approx_count_distinct("h").alias("_different"))
+    place = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
+    return rows.join(small_side(sizes), key).filter(place * F.col("_different") < 4 * count).drop("_different")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only; pure ASCII takes the faster built-in, which then does the same."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -1,14 +1,14 @@
 """Language identification by compression.
 
-Per language, a bounded sample of labelled texts is kept as a zstandard raw-content dictionary; a
-text belongs to the language whose dictionary makes it smallest. The margin between the two
-smallest sizes gives the score, and a margin below `narrow` rejects the text (`sure` false).
+Per language, a sample of labelled texts, whole ones, is kept as a zstandard raw-content dictionary; a text belongs to the language whose
+dictionary makes it smallest. The margin between the two smallest sizes gives the score, and a margin below `narrow` rejects the text
+(`sure` false).
 
-Training is bounded by PER_LANG texts and DICT_BYTES bytes a language, both parameters; the texts
-are those with the smallest hash, so the choice does not depend on partitioning.
+Training is bounded by PER_LANG texts a language (a parameter): those of at most LONG bytes come first, then those with the smallest hash,
+so the choice does not depend on partitioning. Every language that is labelled is learned.
 
 Defined results: a null or empty text, or one without letters, is `und` with score 0; ties go to the
-language that sorts first; with no labelled row everything is `und`; other columns are ignored.
+language that sorts first; with no labelled row everything is `und`; equal texts of a language are learned once; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import table
+from lorespark.llm.common import sample_of_each, table
 
-PER_LANG, DICT_BYTES, LEVEL, LANGS = 400, 96_000, 3, 200
+PER_LANG, LONG, LEVEL = 64, 8_000, 3
 UNKNOWN = "und"
 #: ASCII bytes that are not letters become spaces, so that case, digits and punctuation do not decide.
 _LETTERS = bytes(i if i >= 128 or 97 <= i <= 122 else 32 for i in range(256))
@@ -33,23 +33,18 @@ def folded(text: str) -> bytes:
     return text.lower().encode().translate(_LETTERS)
 
 
-def fit(labelled: DataFrame, per_lang: int = PER_LANG, dict_bytes: int = DICT_BYTES, langs: int = LANGS) -> dict[str, bytes]:
-    """Dictionary bytes by language from rows of (lang, text); at most langs * per_lang short pieces reach the driver."""
-    piece = max(1, dict_bytes // per_lang)
-    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select("lang", F.substring("text", 1, 4 * piece).alias("text"), F.xxhash64("text").alias("h"))
-    first = _smallest(rows, per_lang)
-    texts: dict[str, list[str]] = {}
-    for row in first.orderBy("lang").limit(langs).collect():
-        texts[row.lang] = row.texts
-    return {lang: b" ".join(folded(x) for x in own)[:dict_bytes] for lang, own in texts.items()}
-
-
-def _smallest(rows: DataFrame, count: int) -> DataFrame:
-    """The texts of the count smallest hashes of each language, kept small before the shuffle."""
-    ranked = rows.withColumn("part", F.spark_partition_id())
-    local = ranked.withColumn("n", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h", "text"))).filter(F.col("n") <= count)
-    best = local.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("n") <= count)
-    return best.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("h", "text"))), lambda x: x["text"]).alias("texts"))
+def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> dict[str, bytes]:
+    """Dictionary bytes by language from rows of (lang, text): per_lang whole texts of each."""
+    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select("lang", "text", F.xxhash64("text").alias("h"))
+    few = sample_of_each(rows.withColumn("kind", F.struct("lang", (F.octet_length("text") > LONG).alias("long"))), "kind", per_lang)
+    one = few.groupBy("kind", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("kind.lang").orderBy("kind.long", "h")
+    best = one.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang)
+    texts: dict[str, list[tuple[int, str]]] = {}
+    for row in best.select("kind.lang", "n", "text").collect():
+        texts.setdefault(row.lang, []).append((row.n, row.text))
+    # the end of a dictionary is the nearest to the text, so what comes first by hash goes last
+    return {lang: b" ".join(folded(x) for _, x in sorted(own, reverse=True)) for lang, own in texts.items()}
 
 
 class Model:

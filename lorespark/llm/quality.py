@@ -1,35 +1,37 @@
 """Quality classification by nearest-neighbour voting in a latent-semantic space.
 
-Texts become weighted counts of hashed one to three byte shapes (letters and digits folded, so the
-model is not bound to a language) and of how often words and lines repeat; a truncated singular
-value decomposition of a bounded labelled sample gives the latent space. Every document
+Texts become weighted counts of hashed terms (lower-cased words), of hashed one to three byte shapes (letters and digits folded) and of how
+often words and lines repeat; a truncated singular value decomposition of a labelled sample gives the latent space. Every document
 is projected, its exact cosine products with all labelled vectors are computed in blocks, and its
 nearest labelled neighbours vote with their similarity as weight.
 
-Training uses at most SAMPLE labelled texts (parameter), those with the smallest hash of text and label,
-half of each label where there are so many; the broadcast model is SAMPLE x DIMENSIONS floats plus
-the projection, whatever the corpus holds.
+Training uses at most SAMPLE labelled texts (parameter), whole ones, those with the smallest hash of text and label, half of each label where
+there are so many. Their features are made on the executors; the driver gets SAMPLE x BUCKETS numbers, and the broadcast model is
+SAMPLE x DIMENSIONS floats plus the projection, whatever the corpus holds.
 
 Defined results: a null or empty text has the zero vector and gets the label prior as its score; ties
-among neighbours are broken by position in the model; without labels every score is 0.5; labels
+among neighbours go to the one with the smaller hash; without labels every score is 0.5; labels
 join on doc_id, each labelled document once; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import small_side, table
+from lorespark.llm.common import sample_of_each, table
 from lorespark.llm.langid import held_out
 
-SAMPLE, SAMPLE_CHARS, BUCKETS, DIMENSIONS, NEIGHBOURS, BLOCK = 2000, 10_000, 4096, 48, 25, 256
+SAMPLE, BUCKETS, DIMENSIONS, NEIGHBOURS, BLOCK = 2000, 4096, 48, 25, 256
+#: The first buckets count shapes and repeats, the others terms, with this weight in the space.
+SHAPES, TERM_WEIGHT = 2048, 0.5
 THRESHOLD = 0.3
-#: Shape of a text: what tells prose from junk is punctuation, case and repetition, not the words.
+#: Shape of a text: punctuation, case and repetition tell prose from junk in any language.
 _KEEP = np.arange(256, dtype=np.uint8)
 _KEEP[97:123] = 97
 _KEEP[65:91] = 65
@@ -39,7 +41,7 @@ _KEEP[128:] = 97
 
 def _bucket(values: np.ndarray, salt: int) -> np.ndarray:
     mixed = (values.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(64 - 12)).astype(np.int64)
+    return (mixed >> np.uint64(64 - 11)).astype(np.int64)
 
 
 def features(text: str | None) -> np.ndarray:
@@ -52,7 +54,7 @@ def features(text: str | None) -> np.ndarray:
     wide = shape.astype(np.uint32)
     for salt, grams in ((1, wide), (2, wide[:-1] << 8 | wide[1:]), (3, wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:])):
         if len(grams):
-            out += np.bincount(_bucket(grams, salt), minlength=BUCKETS)[:BUCKETS].astype(np.float32)
+            out += np.bincount(_bucket(grams, salt), minlength=BUCKETS).astype(np.float32)
     # words: repeated ones count as repeats, whatever they are
     words = text.split()
     seen: dict[str, int] = {}
@@ -65,20 +67,22 @@ def features(text: str | None) -> np.ndarray:
     out /= np.float32(len(data))
     at = _bucket(np.arange(len(extra)), 77)
     out[at] += (extra / max(1, len(words))).astype(np.float32)
+    terms = np.fromiter((crc32(w.lower().encode()) for w in seen), np.int64, len(seen)) % (BUCKETS - SHAPES)
+    out[SHAPES:] = np.bincount(terms, counts, BUCKETS - SHAPES) / max(1, len(words))
     return np.sqrt(out)
 
 
 class Model:
     """Projection, labelled vectors and labels; all of bounded size."""
 
-    def __init__(self, texts: list[str], labels: list[int]):
+    def __init__(self, rows: np.ndarray, labels: list[int]):
+        """rows: features of the labelled texts, which this changes in place."""
         y = np.array(labels, np.float32)
         self.prior = float(y.mean()) if len(y) else 0.5
-        rows = np.zeros((max(1, len(y)), BUCKETS), np.float32)
-        for i, x in enumerate(texts):
-            rows[i] = features(x)
+        rows = rows if len(y) else np.zeros((1, BUCKETS), np.float32)
         self.mean = rows.mean(0)
         self.weight = 1 / (rows.std(0) + np.float32(0.02))
+        self.weight[SHAPES:] *= np.float32(TERM_WEIGHT)
         rows -= self.mean
         rows *= self.weight
         values, vectors = np.linalg.eigh((rows @ rows.T).astype(np.float64))
@@ -98,20 +102,29 @@ class Model:
             return np.full(len(texts), 0.5)
         near = self.unit(np.stack([features(x) for x in texts])) @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weights = np.maximum(np.take_along_axis(near, top, 1), 1e-6) ** 4
-        out = ((weights * self.labels[top]).sum(1) + self.prior * 1e-6) / (weights.sum(1) + 1e-6)
+        least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None]
+        equal = near == least
+        room = k - (near > least).sum(1, keepdims=True)
+        chosen = (near > least) | equal & (np.cumsum(equal, axis=1) <= room)
+        weights = np.where(chosen, np.maximum(near, 1e-6), 0) ** 4
+        out = ((weights * self.labels).sum(1) + self.prior * 1e-6) / (weights.sum(1) + 1e-6)
         return np.where([bool(x) for x in texts], np.clip(out, 0, 1), self.prior)
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """labelled: rows of (text, label 0 or 1). At most `sample` rows of SAMPLE_CHARS characters at most reach the driver."""
-    rows = labelled.filter("label IS NOT NULL AND text IS NOT NULL").select(F.col("label").cast("int"), F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("text", "label").alias("h"))
-    half = sample // 2
-    local = rows.withColumn("part", F.spark_partition_id()).withColumn("n", F.row_number().over(Window.partitionBy("label", "part").orderBy("h", "text"))).filter(F.col("n") <= half)
-    best = local.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))).filter(F.col("n") <= half)
-    found = sorted((r.h, r.text, r.label) for r in best.select("h", "text", "label").collect())
-    return Model([x[1] for x in found], [x[2] for x in found])
+    """labelled: rows of (text, label 0 or 1), of which `sample` are learned from."""
+    rows = labelled.filter("label IS NOT NULL AND text IS NOT NULL").select(F.col("label").cast("int"), "text", F.xxhash64("text", "label").alias("h"))
+    few = sample_of_each(rows, "label", sample // 2).groupBy("label", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("label").orderBy("h")
+    best = few.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample // 2)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"h": batch["h"], "label": batch["label"], "vector": [features(x).tobytes() for x in batch["text"]]})
+
+    found = sorted((r.h, r.label, r.vector) for r in best.select("h", "label", "text").mapInPandas(run, "h long, label int, vector binary").collect())
+    vectors = np.frombuffer(b"".join(x[2] for x in found), np.float32).reshape(-1, BUCKETS).copy()
+    return Model(vectors, [x[1] for x in found])
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -142,13 +155,12 @@ def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str
 
 
 def labelled_rows(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
-    """Texts with labels that may be learned from: of each label the `sample` documents whose id has the smallest hash."""
-    labels = table(spark, sf_dir, "labels").filter(~held_out(5, 0)).filter("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("label"))
-    ranked = labels.withColumn("h", F.xxhash64("doc_id")).withColumn("part", F.pmod(F.col("h"), F.lit(64)))
-    local = ranked.withColumn("n", F.row_number().over(Window.partitionBy("label", "part").orderBy("h", "doc_id"))).filter(F.col("n") <= sample)
-    few = local.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id"))).filter(F.col("n") <= sample)
+    """Texts with labels that may be learned from: of each label about 4 * sample documents, those whose ids have the smallest hashes."""
+    labels = table(spark, sf_dir, "labels").filter(~held_out(5, 0)).filter("quality IS NOT NULL AND doc_id IS NOT NULL")
+    labels = labels.groupBy("doc_id").agg(F.min("quality").alias("label")).withColumn("h", F.xxhash64("doc_id"))
+    few = sample_of_each(labels, "label", sample).select("doc_id", "label")
     docs = table(spark, sf_dir, "documents") if docs is None else docs
-    return docs.select("doc_id", "text").join(F.broadcast(few.select("doc_id", "label")), "doc_id")  # at most 2 * sample rows
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # about 8 * sample rows at most, as ids are distinct here
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

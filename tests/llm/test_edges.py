@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and columns with clashing names, for every operator."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ def benchmark(spark):
 
 
 def operators(spark, docs, benchmark):
-    model = quality.Model(["good text of words", "bad!! | bad!! |"], [1, 0])
+    model = quality.Model(np.stack([quality.features(x) for x in ("good text of words", "bad!! | bad!! |")]), [1, 0])
     return {
         "licenses": lambda d: licenses.scan(d.select("doc_id", "text")),
         "decontaminate": lambda d: decontaminate.decontaminate(d, benchmark),
