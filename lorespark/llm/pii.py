@@ -1,25 +1,32 @@
 """Personal data: format-preserving pseudonyms from a keyed Feistel permutation.
 
-One pattern finds e-mail addresses, card numbers, IBANs, US social security numbers, North American
-phone numbers, IPv4 addresses, dates and secret hexadecimal tokens. What validates (Luhn, mod 97, calendar,
-octet range, area rules) is replaced by its image under a balanced Feistel network on its own digits,
-so the format stays and equal values map to equal values in every document; what does not validate
-stays as it is.
+One pattern finds e-mail addresses, card numbers, IBANs, US social security numbers, phone numbers, IPv4 addresses, dates and secret
+hexadecimal tokens. What validates (Luhn, mod 97, calendar, octet range, area rules, count of digits) is replaced by its image under a
+balanced Feistel network on its own characters, whose round function is an HMAC, so the format stays and equal values map to equal
+values in every document; what does not validate stays as it is.
 
 * Card numbers keep their separators and end in a valid check digit; IBANs keep country and length, with
   new check digits; phone numbers keep +country and the exchange layout; octets permute in 0-255; a date
-  permutes within its century; hexadecimal tokens, the body of an IBAN and the local part of an e-mail permute in blocks among the strings of
-  their layout (letters stay letters, digits stay digits); e-mail domains stay.
+  permutes within its century; hexadecimal tokens, the body of an IBAN and the local part of an e-mail permute as a whole among the strings of
+  their layout (letters stay letters of their case, digits stay digits; case takes no part, so A@x and a@x stay linked); e-mail domains stay.
+* A run of groups of digits that is no card may hold one: its endings and beginnings at group borders are tried, longest first, and so are
+  the beginnings of what looks like an IBAN.
+
+The key is a setting, spark.lorespark.pii.key. Without it a session makes a random one, so pseudonyms are linked within the session only
+and nobody can invert them.
 
 Native: DataFrame functions only; the match list of a text is rewritten in its row, nothing shuffles.
 
 Defined results: null text stays null with no matches; texts are read whole; overlapping
-candidates go to the leftmost, then to the kind listed first; other columns stay as they are.
+candidates go to the leftmost, then to the kind listed first; n_found counts candidates, whether they validate or not, and n_replaced
+those that changed; columns of these two names are replaced, other columns stay as they are.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import secrets
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +34,11 @@ from pyspark.sql import functions as F
 from lorespark.llm.common import table
 
 ROUNDS = 8
+#: Setting that names the key; characters of a Feistel half that one digest covers.
+KEY, STREAM = "spark.lorespark.pii.key", 16
 #: The patterns of what is looked for, in order of precedence.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-]|\.[0-9])",
@@ -41,9 +50,26 @@ PATTERNS = {
 ANY = "|".join(PATTERNS.values())
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key that the setting names, else a random one that the session keeps."""
+    key = spark.conf.get(KEY, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY, key)
+    return key
+
+
+def _hmac(key: str, *parts: Column) -> Column:
+    """HMAC-SHA256 of the parts, as hexadecimal digits."""
+    block = hashlib.sha256(key.encode()).digest().ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    message = F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256)
+
+
 def _prf(key: str, *parts: Column) -> Column:
     """A keyed number below 16^15."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]), 256), 1, 15), 16, 10).cast("bigint")
+    return F.conv(F.substring(_hmac(key, *parts), 1, 15), 16, 10).cast("bigint")
 
 
 def feistel(value_a: Column, value_b: Column, size_a: Column, size_b: Column, key: str, tweak: Column) -> Column:
@@ -89,53 +115,46 @@ def mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), lambda s, c: (s * F.when(c.rlike("[0-9]"), 10).otherwise(100) + code(c)) % 97)
 
 
-def _class(c: Column) -> tuple[Column, Column]:
-    """How many characters there are of a character's class (digits, lower and upper case letters; others are alone), and the first."""
-    digit, low, up = c.rlike("[0-9]"), c.rlike("[a-z]"), c.rlike("[A-Z]")
-    return F.when(digit, 10).when(low | up, 26).otherwise(1).cast("bigint"), F.when(digit, 48).when(low, 97).otherwise(65).cast("bigint")
+def _shifted(text: Column, stream: Column, hexadecimal: bool) -> Column:
+    """text with each digit or letter moved on within its class by four hexadecimal digits of stream."""
 
+    def each(c: Column, i: Column) -> Column:
+        move = F.conv(stream.substr(i * 4 + 1, F.lit(4)), 16, 10).cast("int")
+        code = F.ascii(c)
+        if hexadecimal:
+            return F.substring(F.lit("0123456789abcdef"), (F.conv(c, 16, 10).cast("int") + move) % 16 + 1, F.lit(1))
+        for first, size in ((48, 10), (97, 26), (65, 26)):
+            c = F.when(code.between(first, first + size - 1), F.char(first + (code - first + move) % size)).otherwise(c)
+        return c
 
-def permute_classes(text: Column, key: str, tweak: str) -> Column:
-    """Digits stay digits, letters stay letters of their case, the rest stays: blocks of 12 characters, each permuted by a Feistel network among those
-    of its layout."""
+    letters = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
+    return F.concat_ws("", F.transform(letters, each))
 
-    def number(part: Column) -> Column:
-        def add(s: Column, c: Column) -> Column:
-            size, first = _class(c)
-            return F.struct((s["v"] * size + F.when(size > 1, F.ascii(c) - first).otherwise(0)).alias("v"), (s["n"] * size).alias("n"))
 
-        return F.aggregate(F.split(part, ""), F.struct(F.lit(0).cast("bigint").alias("v"), F.lit(1).cast("bigint").alias("n")), add)
+def _permuted(text: Column, key: str, tweak: str, hexadecimal: bool = False) -> Column:
+    """A Feistel network on the halves of a whole text: each round moves one half on by a stream made from the other."""
+    n = F.length(text)
+    u = F.floor(n / 2).cast("int")
+    start = F.struct(text.substr(F.lit(1), u).alias("a"), text.substr(u + 1, n).alias("b"))
 
-    def spelled(value: Column, part: Column) -> Column:
-        def put(s: Column, c: Column) -> Column:
-            size, first = _class(c)
-            return F.struct(F.floor(s["v"] / size).cast("bigint").alias("v"), F.concat(F.when(size > 1, F.char(first + s["v"] % size)).otherwise(c), s["out"]).alias("out"))
+    def turn(s: Column, i: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor(F.length(s["a"]) / STREAM).cast("int"))
+        stream = F.concat_ws("", F.transform(blocks, lambda k: _hmac(key, F.lit(tweak), i, k, n, F.lower(s["b"]))))
+        return F.struct(s["b"].alias("a"), _shifted(s["a"], stream, hexadecimal).alias("b"))
 
-        return F.aggregate(F.reverse(F.split(part, "")), F.struct(value.alias("v"), F.lit("").alias("out")), put)["out"]
+    out = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)
+    return F.concat(out["a"], out["b"])
 
-    def block(b: Column, i: Column) -> Column:
-        u = F.floor(F.length(b) / 2).cast("int")
-        x, y = b.substr(F.lit(1), u), b.substr(u + 1, F.length(b))
-        out = feistel(number(x)["v"], number(y)["v"], number(x)["n"], number(y)["n"], key, F.concat(F.lit(tweak), i.cast("string")))
-        return F.concat(spelled(out["a"], x), spelled(out["b"], y))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length(text) - 1) / 12).cast("int"), F.lit(0))), lambda i: text.substr(i * 12 + 1, F.lit(12)))
-    return F.concat_ws("", F.transform(blocks, block))
+def permute_classes(text: Column, key: str, tweak: str) -> Column:
+    """Digits stay digits, letters stay letters of their case, the rest stays."""
+    return _permuted(text, key, tweak)
 
 
 def permute_hex(text: Column, key: str) -> Column:
-    """Hexadecimal digits of any length: blocks of 12 digits at most, each permuted by a Feistel network; case is kept."""
-    n = F.length(text)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 12).cast("int")), lambda i: text.substr(i * 12 + 1, F.lit(12)))
-
-    def one(b: Column, i: Column) -> Column:
-        u = F.floor(F.length(b) / 2).cast("int")
-        sizes = [F.pow(F.lit(16), k).cast("bigint") for k in (u, F.length(b) - u)]
-        out = feistel(F.conv(F.concat(F.lit("0"), b.substr(F.lit(1), u)), 16, 10), F.conv(b.substr(u + 1, F.length(b)), 16, 10), *sizes, key, F.concat(F.lit("hex"), i.cast("string")))
-        return F.concat(F.when(u > 0, F.lpad(F.hex(out["a"]), u, "0")).otherwise(F.lit("")), F.lpad(F.hex(out["b"]), F.length(b) - u, "0"))
-
-    new = F.concat_ws("", F.transform(blocks, one))
-    return F.when(text == F.lower(text), F.lower(new)).otherwise(new)
+    """Hexadecimal digits of any length; all upper case stays so."""
+    new = _permuted(F.lower(text), key, "hex", hexadecimal=True)
+    return F.when(text == F.lower(text), new).otherwise(F.upper(new))
 
 
 def permute_date(day: Column, key: str) -> Column:
@@ -149,19 +168,58 @@ def permute_date(day: Column, key: str) -> Column:
     return F.date_add(first, (out["a"] * b + out["b"]).cast("int"))
 
 
+def _ends(m: Column, group: str, least: int, most: int) -> Column:
+    """m, and what of it begins or ends with a border of groups and has so many characters (separators aside), longest first."""
+    sizes = F.sequence(F.lit(most), F.lit(least), F.lit(-1))
+    begin = lambda n: F.concat(F.lit(f"^(?:{group}[ -]?){{"), (n - 1).cast("string"), F.lit(f"}}{group}(?=[ -]|$)"))
+    end = lambda n: F.concat(F.lit(f"(?:(?<=[ -])|^)(?:{group}[ -]?){{"), (n - 1).cast("string"), F.lit(f"}}{group}$"))
+    part = lambda pattern: F.call_function("regexp_extract", m, pattern, F.lit(0))
+    return F.filter(F.flatten(F.transform(sizes, lambda n: F.array(part(begin(n)), part(end(n))))), lambda x: x != "")
+
+
+def _within(m: Column, parts: Column, valid, new) -> Column:
+    """m with the first of its parts that is valid replaced; m as it is if none is."""
+    one = F.get(F.filter(parts, valid), 0)
+    at = F.call_function("instr", m, one)
+    changed = F.concat(m.substr(F.lit(1), at - 1), new(one), m.substr(at + F.length(one), F.length(m)))
+    return F.when(one.isNotNull(), changed).otherwise(m)
+
+
+def _new_card(m: Column, key: str) -> Column:
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    core = permute_digits(digits.substr(F.lit(1), F.length(digits) - 1), key, "card")
+    return fill(m, F.concat(core, ((10 - luhn_sum(core, True) % 10) % 10).cast("string")))
+
+
+def _new_iban(m: Column, key: str) -> Column:
+    flat = F.regexp_replace(m, " ", "")
+    body = permute_classes(flat.substr(F.lit(5), F.length(flat)), key, "iban")
+    checks = F.lpad((98 - mod97(F.concat(body, flat.substr(1, 2), F.lit("00")))).cast("string"), 2, "0")
+    letters = F.split(F.concat(flat.substr(1, 2), checks, body), "")
+    return F.concat_ws("", F.zip_with(F.split(m, "[A-Z0-9]", -1), letters, lambda g, c: F.concat(g, F.coalesce(c, F.lit("")))))
+
+
+def _is_iban(m: Column) -> Column:
+    flat = F.regexp_replace(m, " ", "")
+    return (F.length(flat) >= 15) & (mod97(F.concat(flat.substr(F.lit(5), F.length(flat)), flat.substr(1, 4))) == 1)
+
+
+def _is_phone(m: Column) -> Column:
+    """Ten digits after an optional 1, or with a + and seven to fifteen, not all the same."""
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    count = F.length(digits)
+    return F.when(F.startswith(m, F.lit("+")), count.between(7, 15)).otherwise(count.between(10, 11)) & ~digits.rlike(r"^([0-9])\1*$")
+
+
 def pseudonym(m: Column, key: str) -> Column:
     """What a match becomes: itself where it does not validate."""
     digits = F.regexp_replace(m, "[^0-9]", "")
     whole = lambda kind: m.rlike(f"^(?:{_bare(kind)})$")
-    core = digits.substr(F.lit(1), F.length(digits) - 1)
-    new_core = permute_digits(core, key, "card")
-    card = F.when(luhn_sum(digits, False) % 10 == 0, fill(m, F.concat(new_core, ((10 - luhn_sum(new_core, True) % 10) % 10).cast("string")))).otherwise(m)
-    flat = F.regexp_replace(m, " ", "")
-    body = flat.substr(F.lit(5), F.length(flat))
-    new_body = permute_classes(body, key, "iban")
-    checks = F.lpad((98 - mod97(F.concat(new_body, flat.substr(1, 2), F.lit("00")))).cast("string"), 2, "0")
-    new_flat = F.split(F.concat(flat.substr(1, 2), checks, new_body), "")
-    iban = F.when(mod97(F.concat(body, flat.substr(1, 4))) == 1, F.concat_ws("", F.zip_with(F.split(m, "[A-Z0-9]", -1), new_flat, lambda g, c: F.concat(g, F.coalesce(c, F.lit("")))))).otherwise(m)
+    is_card = lambda x: luhn_sum(F.regexp_replace(x, "[^0-9]", ""), False) % 10 == 0
+    card = _within(m, _ends(m, "[0-9]", 13, 19), is_card, lambda x: _new_card(x, key))
+    groups = F.split(m, " ")
+    heads = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.concat_ws(" ", F.slice(groups, F.lit(1), n)))
+    iban = _within(m, heads, _is_iban, lambda x: _new_iban(x, key))
     octets = F.split(m, r"\.")
     valid_ip = F.forall(octets, lambda o: (o.cast("int") <= 255) & (o == o.cast("int").cast("string")))
     number = F.aggregate(octets, F.lit(0).cast("bigint"), lambda s, o: s * 256 + o.cast("bigint"))
@@ -188,8 +246,8 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(whole("ipv4"), F.when(valid_ip, dotted).otherwise(m))
         .when(whole("date"), date)
         .when(whole("ssn"), F.when(valid_ssn, new_ssn).otherwise(m))
-        .when(whole("phone"), phone)
-        .when(whole("card") & (F.length(digits) <= 19), card)
+        .when(whole("phone"), F.when(_is_phone(m), phone).otherwise(m))
+        .when(whole("card"), card)
         .when(m.rlike("^[0-9A-Fa-f]{16,}$"), permute_hex(m, key))
         .otherwise(m)
     )
@@ -216,7 +274,7 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     )
 
 
-def op4_pii(spark: SparkSession, sf_dir: str, key: str = "lorespark") -> DataFrame:
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = pseudonymise(docs, key)
+    done = pseudonymise(docs, session_key(spark))
     return done.select("doc_id", "n_found", "n_replaced", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text")
