@@ -1,6 +1,6 @@
 """Document fingerprints: a canonical exact digest.
 
-The canonical form of a text is its Unicode normalisation (NFC), lower case, and single spaces for runs of
+The canonical form of a text is its Unicode normalisation (NFC), full case folding, and single spaces for runs of
 white space, trimmed. Its 128-bit fingerprint is two chained xxhash64 values; inside equal fingerprints
 the canonical bytes are compared, and texts that differ there get an ordinal of their own.
 
@@ -21,10 +21,10 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import materialize, small_side, table, text_or_empty
+from lorespark.llm.common import let, materialize, small_side, table, text_or_empty
 
-#: Buckets of neighbouring doc_ids for each shuffle partition, and at most in all.
-BUCKETS_EACH, MOST_BUCKETS = 3, 4096
+#: Buckets of neighbouring doc_ids for each shuffle partition.
+BUCKETS_EACH = 3
 FIRST_KEY = -(1 << 63)
 
 
@@ -57,14 +57,29 @@ def _unicode() -> tuple[str, list[str | None], list[tuple[str, str]], list[tuple
     return chars, whole, [(x, c) for _, x, c in sorted(pairs)], marks
 
 
+@functools.lru_cache(1)
+def _folds() -> dict[str, str]:
+    """What full case folding makes of lower-case characters that lower-casing leaves as they are."""
+    every = (chr(p) for p in range(0x80, 0x1FFFF) if not 0xD800 <= p < 0xE000)
+    return {c: c.casefold() for c in every if c == c.lower() != c.casefold()}
+
+
+def folded(text: Column) -> Column:
+    """Full case folding of a text in normal form, in normal form again."""
+    some = "".join(rf"\x{{{ord(c):X}}}" for c in _folds())
+    table_of = F.from_json(F.lit(json.dumps(_folds())), "map<string,string>")
+    full = lambda t: normal_form(_rewrite(t, f"[{some}]", lambda m: F.element_at(table_of, m)))
+    return let(F.lower(text), lambda low: F.when(low.rlike(f"[{some}{_unicode()[0]}]"), full(low)).otherwise(low))
+
+
 def _char(point: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(point), 4, "0")), "UTF-16BE")
 
 
 def _rewrite(text: Column, pattern: str, change) -> Column:
     """text with every match of the pattern replaced by change(match)."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), change)
-    return F.concat_ws("", F.zip_with(F.split(text, pattern, -1), found, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))))
+    found = lambda t: F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), change)
+    return let(text, lambda t: F.concat_ws("", F.zip_with(F.split(t, pattern, -1), found(t), lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))))
 
 
 def normal_form(text: Column) -> Column:
@@ -86,10 +101,10 @@ def normal_form(text: Column) -> Column:
 
 
 def canonical(text: Column) -> Column:
-    chars = _unicode()[0]
-    plain = (F.octet_length(text) == F.char_length(text)) | ~text.rlike(r"[^\x{0}-\x{2FF}]") | ~text.rlike(f"[{chars}]")
-    normal = F.when(plain, text).otherwise(normal_form(text))
-    return F.trim(F.regexp_replace(F.lower(normal), r"[\s\x{85}\p{Z}]+", " "))
+    changing = f"[{_unicode()[0]}]"
+    normal = let(text, lambda t: F.when(t.rlike(r"[^\x{0}-\x{2FF}]") & t.rlike(changing), normal_form(t)).otherwise(t))
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.trim(F.regexp_replace(F.when(plain, F.lower(text)).otherwise(folded(normal)), r"[\s\x{85}\p{Z}]+", " "))
 
 
 def digest(canon: Column) -> Column:
@@ -128,7 +143,7 @@ def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     spark = df.sparkSession
     key = F.coalesce(F.col("doc_id"), F.lit(FIRST_KEY))
-    n = min(MOST_BUCKETS, BUCKETS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = BUCKETS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = df.select(key.alias("k")).agg(F.min("k").alias("first"), F.percentile_approx("k", [i / n for i in range(1, n)], 20 * n).alias("cuts")).first()
     if cuts.first is None:
         return df.withColumns({f"next_{c}": F.col(c) for c in columns}).limit(0)
