@@ -3,8 +3,9 @@
 A rule (verdict, host, path) fits its host and all subdomains where the url's path starts with the rule's; the
 longest fitting rule wins. For the rest, hosts are judged: trust flows as personalised PageRank from hosts
 with allowed pages along links; distrust flows from hosts with blocked pages against the direction of links, so
-a host that leads to blocked ones inherits it. A host whose distrust makes up more than `limit` of both
-is blocked, every other one allowed.
+a host that leads to blocked ones inherits it. Both are counted in pages, as much in all as there are seed pages, so what a
+corpus holds elsewhere does not tip a host; mass that reaches a host without links goes back to the seeds. A host whose distrust
+makes up more than `limit` of both is blocked, every other one allowed.
 
 Native: DataFrame functions only. Edges are counted per pair of hosts before they meet, ranks are one row per host,
 iterations are cut at checkpoints, and the number of iterations is fixed.
@@ -52,16 +53,21 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
-    """Personalised PageRank: (host, rank) from edges (src, dst, n) and seeds (host, seed) with weights that add up to 1."""
+    """Personalised PageRank: (host, rank) from edges (src, dst, n) and seeds (host, seed); ranks add up to what the seeds do.
+
+    Handing the mass of hosts without links back to the seeds only scales all ranks, so it is done once, at the end.
+    """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     share = materialize(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
-    ranks = seeds.select("host", F.col("seed").alias("rank"))
+    ranks = seeds.select("host", F.col("seed").cast("double").alias("rank"))
     for turn in range(iterations):
         came = share.join(ranks, share.src == ranks.host).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("rank"))
-        ranks = came.unionByName(seeds.select("host", ((1 - damping) * F.col("seed")).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
+        again = seeds.select("host", ((1 - damping) * F.col("seed")).alias("rank"))
+        ranks = came.unionByName(again).groupBy("host").agg(F.sum("rank").alias("rank"))
         if turn % EVERY == EVERY - 1:
             ranks = materialize(ranks)
-    return ranks
+    mass, whole = (df.agg(F.sum(c)).first()[0] or 0.0 for df, c in ((ranks, "rank"), (seeds, "seed")))
+    return ranks.select("host", (F.col("rank") * (whole / mass if mass else 1.0)).alias("rank"))
 
 
 def judge_hosts(pages: DataFrame, limit: float = LIMIT) -> DataFrame:
@@ -70,11 +76,11 @@ def judge_hosts(pages: DataFrame, limit: float = LIMIT) -> DataFrame:
     edges = materialize(host_edges(pages))
     found = []
     for verdict, own in (("allow", edges), ("block", edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))):
-        mine = seeds.filter(F.col("verdict") == verdict)
-        total = mine.agg(F.sum("count")).first()[0] or 1
-        start = mine.select("host", (F.col("count") / total).alias("seed"))
-        found.append(propagate(own, start).withColumn("kind", F.lit(verdict)) if not edges.isEmpty() else start.select("host", F.col("seed").alias("rank"), F.lit(verdict).alias("kind")))
-    both = found[0].unionByName(found[1]).groupBy("host").agg(F.sum(F.when(F.col("kind") == "allow", F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "block", F.col("rank")).otherwise(0.0)).alias("distrust"))
+        start = seeds.filter(F.col("verdict") == verdict).select("host", F.col("count").cast("double").alias("seed"))
+        ranks = start.withColumnRenamed("seed", "rank") if edges.isEmpty() else propagate(own, start)
+        found.append(ranks.withColumn("kind", F.lit(verdict)))
+    part = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0))
+    both = found[0].unionByName(found[1]).groupBy("host").agg(part("allow").alias("trust"), part("block").alias("distrust"))
     return both.withColumn("blocked", F.col("distrust") > limit * (F.col("trust") + F.col("distrust")))
 
 

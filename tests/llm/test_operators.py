@@ -113,7 +113,7 @@ def test_fingerprints(spark):
     rows = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect()
     got = fingerprint.op6_fingerprints(spark, DATA).orderBy("doc_id").collect()
     texts = [r.text for r in rows]
-    canon = lambda t: " ".join(unicodedata.normalize("NFC", t).lower().split())
+    canon = lambda t: " ".join(unicodedata.normalize("NFC", unicodedata.normalize("NFC", t).casefold()).split())
     for i, r in enumerate(got):
         n, after = len(texts[i]) // 4, texts[(i + 1) % len(texts)]
         edited = texts[i][: len(texts[i]) - n] + after[:n]
@@ -135,6 +135,14 @@ def test_normal_forms_meet(spark):
     assert all(got[i] == got[i + 150] == got[i + 300] for i in range(150))
 
 
+def test_case_folding(spark):
+    texts = ["STRASSE", "straße", "Straẞe", "ΟΔΟΣ", "οδοσ", "οδος", "ſ", "S", "ᏸ", "Ᏸ", "ﬃ", "FFI", "İ", "i̇", "ΐ", "Ϊ́", "ᾳ", "ΑΙ", "K", "k"]
+    got = [r.c for r in docs_of(spark, texts).orderBy("doc_id").select(fingerprint.canonical(F.col("text")).alias("c")).collect()]
+    fold = lambda t: unicodedata.normalize("NFC", unicodedata.normalize("NFC", t).casefold())
+    groups = lambda values: [values.index(v) for v in values]
+    assert groups(got) == groups([fold(t) for t in texts]) and len(set(got)) < len(texts) - 8
+
+
 def test_equal_fingerprints_of_different_texts_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "digest", lambda c: F.substring(F.sha2(c, 256), 1, 1))
     got = fingerprint.with_fingerprints(docs_of(spark, [f"text {i % 40}" for i in range(80)])).collect()
@@ -198,6 +206,20 @@ def test_licences(spark):
     assert got == {0: ["Apache-2.0"], 1: ["MIT"], 2: [], 3: [], 4: [], 5: ["GPL-3.0-or-later"]}
 
 
+def test_licence_tables(spark):
+    import re
+
+    assert all(re.search(licenses.HINT, x) for x in licenses.SENTENCES) and all(x == " ".join(re.sub("[^a-z0-9]+", " ", x).split()) for x in licenses.SENTENCES)
+    assert {i for _, ids in licenses.RULES for i in ids} <= set(licenses.SENTENCES.values())
+    texts = [
+        "SPDX-License-Identifier: MPL-2.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Released under the BSD 3-Clause License",
+        "This is free and unencumbered software released into the public domain.", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+        "Licensed under CC BY 4.0\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software",
+    ]
+    got = [r.licenses for r in licenses.scan(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [["MPL-2.0"], ["CC-BY-SA-4.0"], ["BSD-3-Clause"], ["Unlicense"], ["ISC"], ["CC-BY-4.0"]]
+
+
 def test_licences_of_both_cuts(spark):
     gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU\nGeneral Public License as published by the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
     texts = [f"# Licensed under the MIT License\nimport os\n\n{gpl}\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the\nimplied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.", "All  Rights  Reserved", "all rights\nreserved"]
@@ -225,6 +247,38 @@ def test_pseudonyms(spark):
     assert len(text[6]) == len(texts[6]) and text[6] != texts[6] and text[7] == texts[7] and text[8] is None and text[9] == ""
 
 
+def test_values_inside_longer_candidates(spark):
+    texts = ["4111 1111 1111 1111 123", "4111111111111111 7 items", "12 4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332 AND", "_john@x.com", "(000) 000-0000"]
+    got = [r.text for r in pii.pseudonymise(docs_of(spark, texts), "k").orderBy("doc_id").collect()]
+    card = got[0][:19].replace(" ", "")
+    assert luhn(card) and card != "4111111111111111" and got[0][19:] == " 123" and got[1] == f"{card} 7 items" and got[2][:3] == "12 " and got[2][3:].replace(" ", "") == card
+    assert got[3][:2] == "ES" and got[3][-4:] == " AND" and got[3] != texts[3] and got[4][0] == "_" and got[4] != texts[4] and got[5] == texts[5]
+
+
+def test_pseudonyms_depend_on_the_whole_value_and_the_key(spark):
+    long = "abcdefghijklmnopqrstuvwxyz"
+    texts = [f"{long}@x.com", f"{long[:-1]}q@x.com", f"{long.upper()}@x.com"]
+    one, other = ([r.text.split("@")[0] for r in pii.pseudonymise(docs_of(spark, texts), k).orderBy("doc_id").collect()] for k in ("k", "l"))
+    assert one[2] == one[0].upper() and one[0] != other[0] and sum(a == b for a, b in zip(one[0], one[1])) < 8
+    assert pii.session_key(spark) == pii.session_key(spark) and len(pii.session_key(spark)) >= 32
+
+
+def test_every_match_is_judged_as_a_plain_version_does(spark):
+    import datetime
+    import re
+
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    got = {r.doc_id: r for r in pii.op4_pii(spark, DATA).collect()}
+    for r in rows:
+        found = [m.group() for m in re.finditer(pii.ANY.replace(r"(?<=(?:token|secret|apikey|api_key|password|passwd)[ ]{0,3}[=:][ ]{0,3}[\x22']?)", r"(?:(?<=[=:])|(?<=[=:] )|(?<=[\x22']))"), r.text or "")]
+        assert len(found) >= got[r.doc_id].n_found >= got[r.doc_id].n_replaced and len(got[r.doc_id].text) == len(r.text)
+        for m in re.findall(r"(?<![0-9/.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9/-]|\.[0-9])", r.text):
+            try:
+                datetime.date.fromisoformat(m)
+            except ValueError:
+                assert m in got[r.doc_id].text
+
+
 def test_feistel_is_a_permutation(spark):
     got = spark.range(1000).select(pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("x")).distinct()
     assert got.count() == 1000 and got.filter("length(x) <> 3").count() == 0
@@ -254,6 +308,42 @@ def test_trust_and_distrust_flow(spark):
     assert got["friend.net"].verdict == "allow" and got["friend.net"].trust > 0 and got["farm.net"].verdict == "block" and got["lone.net"].verdict == "allow"
 
 
+def plain_ranks(edges, seeds, damping, turns):
+    """Dangling mass goes back to the seeds in every turn."""
+    whole = sum(seeds.values())
+    start = {h: s / whole for h, s in seeds.items()}
+    out = {}
+    for (a, _), n in edges.items():
+        out[a] = out.get(a, 0) + n
+    hosts = {*seeds, *(h for e in edges for h in e)}
+    ranks = {h: start.get(h, 0.0) for h in hosts}
+    for _ in range(turns):
+        lost = sum(r for h, r in ranks.items() if h not in out)
+        new = {h: (1 - damping + damping * lost) * start.get(h, 0.0) for h in hosts}
+        for (a, b), n in edges.items():
+            new[b] += damping * ranks[a] * n / out[a]
+        ranks = new
+    return {h: r * whole for h, r in ranks.items()}
+
+
+def test_ranks_equal_a_plain_version(spark):
+    pick = random.Random(8)
+    edges = {(f"h{pick.randrange(20)}", f"h{pick.randrange(25)}"): pick.randrange(1, 5) for _ in range(50)}
+    edges = {e: n for e, n in edges.items() if e[0] != e[1]}
+    seeds = {"h1": 3.0, "h2": 1.0, "h24": 6.0}
+    frame = spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n long")
+    got = {r.host: r["rank"] for r in urls.propagate(frame, spark.createDataFrame(list(seeds.items()), "host string, seed double"), iterations=60).collect()}
+    want = plain_ranks(edges, seeds, urls.DAMPING, 300)
+    assert abs(sum(got.values()) - 10) < 1e-9 and all(abs(got.get(h, 0.0) - r) < 1e-3 for h, r in want.items())
+
+
+def test_hosts_are_judged_by_their_own_pages(spark):
+    rows = [(i, f"https://com/{'de' if i < 3 else 'fr'}/{i}", None) for i in range(13)] + [(99, "https://com/x", None)] + [(100 + i, f"https://other.com/de/{i}", None) for i in range(500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in urls.filter_urls(pages, urls.RULES).collect()}
+    assert got[99].verdict == "allow" and (got[99].trust, got[99].distrust) == (10.0, 3.0)
+
+
 def held(i, modulus, rest):
     return zlib.crc32(str(i).encode()) % modulus == rest
 
