@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import materialize, slices, small_side, table
+from lorespark.llm.common import Scratch, arrow_rows, materialize, slices, small_side, table
 from lorespark.llm.graphs import components
 
 #: Ratio of the sizes within a band; nodes of a key that meet in one tile; keys by which a pair finds its first meeting.
@@ -47,10 +47,10 @@ RATIO, TILE, LISTED = 1.4, 2048, 16
 #: Rows that are looked through together, how many of them make a key hot, and into how many groups a hot key is dealt.
 SLICE, HOT, SALTS = 512, 32, 64
 #: Words whose hashes, and nodes whose keys, a worker remembers.
-WORDS, SEEN = 1 << 17, 1 << 16
+WORDS, SEEN = 1 << 16, 1 << 16
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-#: The lowest byte of a key is its band.
-BAND = np.uint64(255)
+#: The lowest byte of a key is its band, which is below SALTED.
+BAND, SALTED = np.uint64(255), 128
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -209,15 +209,21 @@ def token_sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
-    """(key, node) of the keys that different nodes share, each once."""
-    salt = (F.pmod(F.col("node"), F.lit(SALTS)) + 1).cast("byte")
+    """(key, node) of the keys that different nodes share, each once.
+
+    A hot key is another one for each of SALTS groups of its nodes, which its bits 7 to 14 tell. All of a hot key's rows are shared.
+    """
+    turn = F.shiftleft(F.pmod("node", F.lit(SALTS)) + 1, 8).bitwiseOR(F.lit(SALTED))
     own = rows.filter("node IS NOT NULL")
-    every = own.select("node", F.explode("keys").alias("key"), F.lit(0).cast("byte").alias("salt")).unionByName(
-        own.filter("size(hot) > 0").select("node", F.explode("hot").alias("key"), salt.alias("salt"))
-    )
-    group = Window.partitionBy("key", "salt")
-    found = every.withColumn("differ", F.min("node").over(group) != F.max("node").over(group))
-    return found.filter("differ OR salt > 0").select("key", "node").distinct()
+    hot = own.filter("size(hot) > 0").select("node", F.explode("hot").alias("key")).select("node", F.col("key").bitwiseXOR(turn).alias("key"))
+    every = own.select("node", F.explode("keys").alias("key")).unionByName(hot)
+    order = Window.partitionBy("key").orderBy("node")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    salted = F.col("key").bitwiseAND(F.lit(SALTED)) != 0
+    found = every.select("key", "node", (F.min("node").over(whole) != F.max("node").over(whole)).alias("differ"), F.lag("node").over(order).alias("last"))
+    found = found.filter((F.col("differ") | salted) & ~F.col("last").eqNullSafe(F.col("node")))
+    found = found.select(F.when(salted, F.col("key").bitwiseXOR(turn)).otherwise(F.col("key")).alias("key"), "node")
+    return found.distinct() if not own.filter("size(hot) > 0").isEmpty() else found  # a hot key's first row is in both lists
 
 
 def may_link(x: str, y: str, num: int, den: int) -> Column:
@@ -239,7 +245,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: i
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     where = nodes.join(needed, "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "digest")
     texts = docs.filter("text IS NOT NULL").join(small_side(materialize(where)), ["doc_id", "digest"])
-    sets = materialize(token_sets(texts.select("node", "text"), n).dropDuplicates(["node"]))
+    with arrow_rows(docs.sparkSession, 2 * SLICE):
+        sets = materialize(token_sets(texts.select("node", "text"), n).dropDuplicates(["node"]))
     side = lambda c: sets.select(F.col("node").alias(c), F.col("tokens").alias(f"tokens_{c}"))
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     union = F.size("tokens_a") + F.size("tokens_b") - common
@@ -259,10 +266,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
 
 
 def stars(members: DataFrame) -> DataFrame:
-    """members with `first`, of each key the node with the most shared keys."""
+    """(key, first): of each key the node with the most shared keys."""
     weighed = members.join(members.groupBy("node").agg(F.count("*").alias("weight")), "node")
-    first = weighed.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("first"))
-    return members.join(first, "key")
+    return weighed.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("first"))
 
 
 def open_rows(members: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -298,11 +304,15 @@ def open_pairs(found: DataFrame, num: int, den: int) -> DataFrame:
 def grouped(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """near_duplicates with the digest of each row's text."""
     docs = docs.select(F.col("doc_id").cast("long"), "text", text_digest().alias("digest"))
-    rows = materialize(sketches(docs, n, num, den))
-    members = materialize(stars(materialize(shared_keys(rows))))
-    seen = rows.filter("size(fold) > 0").join(members.select("node").distinct(), "node", "left_semi").groupBy("node")
+    with arrow_rows(docs.sparkSession, 2 * SLICE):
+        wide = Scratch(sketches(docs, n, num, den))
+    rows = materialize(wide.df.select("doc_id", "digest", "node", "size"))
+    shared = materialize(shared_keys(wide.df))
+    seen = wide.df.filter("size(fold) > 0").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node")
     attributes = [F.first(c).alias(c) for c in ("size", "needs", "fold")]
     nodes = materialize(seen.agg(F.min("doc_id").alias("rep"), F.min_by("digest", "doc_id").alias("digest"), *attributes))
+    wide.drop()
+    members = shared.join(materialize(stars(shared)), "key")
 
     named = lambda c: nodes.select(F.col("node").alias(c), F.struct("size", "fold").alias(f"of_{c}"))
     tries = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
@@ -317,7 +327,7 @@ def grouped(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     own = rows.select("doc_id", "digest", "node", F.col("size").alias("n_shingles"))
     own = own.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("part", F.coalesce("component", "node"))
     least = own.filter("part IS NOT NULL AND doc_id IS NOT NULL").groupBy("part").agg(F.min("doc_id").alias("least"))
-    out = own.join(least, "part", "left")
+    out = own.join(materialize(least), "part", "left")  # of plain shuffles, so that a large group's rows can be split
     return out.select("doc_id", "digest", "n_shingles", F.expr("if(doc_id IS NULL, NULL, coalesce(least, doc_id))").alias("component_id"))
 
 
