@@ -50,7 +50,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by pseudonyms of the same format."""
-    done = pii.pseudonymise(docs.select(*COLUMNS), "lorespark")
+    done = pii.pseudonymise(docs.select(*COLUMNS), pii.session_key(spark))
     return done.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
 
 
