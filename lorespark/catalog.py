@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import files, markup, text
 from lorespark.operators import delta, fuzzy, graph, outputs, reports, resolve, search
+from lorespark.session import shared_folder
 from lorespark.sources.corpus import CORPUS_SQL, corpus, markdown
 from lorespark.streaming import changes
 
@@ -72,8 +75,22 @@ BOOSTS = search.BOOSTS
 WORD, OTHER = "the", "und"
 
 
+@functools.lru_cache(16)
+def _index_path(application: str, folder: str, sf_dir: str) -> str:
+    return f"{folder}/lorespark-index-{application}-{uuid.uuid4().hex}"
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The index of the corpus, written to the shared folder when a session first searches it."""
+    path = _index_path(spark.sparkContext.applicationId, shared_folder(spark), sf_dir)
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/stats/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        search.write_index(corpus(spark, sf_dir), path)
+    return search.read_index(spark, path)
+
+
 def _search(name: str, text_query: str, sql: str, **options) -> None:
-    query(name, f"WITH {CORPUS_SQL} {sql}")(lambda spark, sf_dir: search.search(corpus(spark, sf_dir), text_query, **options))
+    query(name, f"WITH {CORPUS_SQL} {sql}")(lambda spark, sf_dir: search.search(index_of(spark, sf_dir), text_query, **options))
 
 
 _search("search_single_term", WORD, _search_sql([([WORD], BOOSTS, False)]))
@@ -90,7 +107,7 @@ _search("search_match_all", "", _search_sql([]))
 _search("search_topk_per_wiki", "de", _search_sql([(["de"], BOOSTS, False)], top=10), top=10)
 on_corpus("scan_search", "SELECT wiki, relative FROM corpus WHERE (contains(lower(title), 'loser') OR contains(lower(body), 'loser') OR contains(lower(relative), 'loser')) AND NOT (len(list_filter(tags, lambda t: lower(t) = 'src1')) > 0)", lambda c: search.scan_search(c, "LOSER -tag:SRC1"))
 on_corpus("token_stats", f"SELECT wiki, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(max(n) AS BIGINT) AS longest FROM (SELECT wiki, len({TOKENS.format('body')}) AS n FROM corpus) GROUP BY wiki", search.token_stats)
-on_corpus("doc_freq", f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOKENS.format('body')})) AS term FROM corpus) GROUP BY term HAVING count(*) >= 20", search.doc_freq)
+on_corpus("doc_freq", f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOKENS.format('body')})) AS term FROM corpus) GROUP BY term", search.doc_freq)
 on_corpus(
     "postings",
     f"""SELECT wiki, field, term, relative, CAST(count(*) AS INTEGER) AS tf, CAST(any_value(dl) AS INTEGER) AS dl FROM (SELECT wiki, relative, field, len(t) AS dl, unnest(t) AS term FROM (
@@ -98,12 +115,14 @@ SELECT wiki, relative, 'title' AS field, {TOKENS.format('title')} AS t FROM corp
     search.postings,
 )
 on_corpus("in_page_search", "SELECT wiki, relative, CAST(list_position(l, true) AS INTEGER) AS line FROM (SELECT wiki, relative, list_transform(string_split(body, chr(10)), lambda x: contains(lower(x), 'license')) AS l FROM corpus) WHERE list_contains(l, true)", lambda c: search.in_page(c, "License"))
+_search("search_not_in_strict_mode", "the -that", _search_sql([(["the"], BOOSTS, False)]), strict=False)
+on_corpus("search_by_scan", _search_sql([(["the"], BOOSTS, False), (["that"], BOOSTS, True)]), lambda c: search.search(c, "the -that"))
 on_corpus("snippets", None, lambda c: search.with_snippets(search.search(c, "loser", top=10), c, "loser"))
 
 _JSON = "SELECT '{\"wiki\":\"' || wiki || '\",\"relative\":\"' || relative || '\",\"title\":\"' || title || '\"}' AS line FROM corpus WHERE list_contains(tags, 'src4')"
 on_corpus("output_json_lines", _JSON, lambda c: outputs.lines(reports.with_tag(c, "src4"), "json"))
 on_corpus("output_paths", "SELECT wiki || ':' || relative AS line FROM corpus WHERE list_contains(tags, 'src4')", lambda c: outputs.lines(reports.with_tag(c, "src4"), "paths"))
-on_corpus("numbered_lines", "SELECT wiki, relative, CAST(i AS INTEGER) AS number, l[i] AS line FROM (SELECT wiki, relative, l, unnest(range(1, least(3, len(l)) + 1)) AS i FROM (SELECT wiki, relative, string_split(body, chr(10)) AS l FROM corpus))", lambda c: outputs.numbered(c, 1, 3))
+on_corpus("numbered_lines", "SELECT wiki, relative, CAST(i AS INTEGER) AS number, l[i] AS line FROM (SELECT wiki, relative, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT wiki, relative, string_split(body, chr(10)) AS l FROM corpus))", outputs.numbered)
 on_corpus("name_prefix", "SELECT DISTINCT 'page_' || printf('%06d', doc_id) AS name FROM corpus WHERE doc_id < 100", lambda c: outputs.starting(fuzzy.page_stems(c), "page_0000").distinct())
 
 # reports
@@ -226,7 +245,7 @@ on_corpus(
     r"SELECT doc_id, array_to_string(list_filter(string_split_regex(title, '[^\p{L}\p{N}]+'), lambda x: x <> ''), '-') AS kebab, array_to_string(list_filter(string_split_regex(title, '[^\p{L}\p{N}]+'), lambda x: x <> ''), '_') AS snake, lower(array_to_string(list_filter(string_split_regex(title, '[^\p{L}\p{N}]+'), lambda x: x <> ''), '-')) AS slug FROM corpus",
     lambda c: c.select("doc_id", *[text.naming(F.col("title"), p).alias(p) for p in ("kebab", "snake", "slug")]),
 )
-on_corpus("sanitize_text", r"SELECT doc_id, sha256(regexp_replace(body || chr(27) || '[31m' || chr(8238) || 'x' || chr(7), '[\x00-\x09\x0B-\x1F\x7F\x{80}-\x{9F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{FEFF}]', '', 'g')) AS digest FROM corpus WHERE NOT contains(body, chr(9))", lambda c: c.filter(~F.contains("body", F.lit("\t"))).select("doc_id", F.sha2(text.sanitize_text(F.concat("body", F.lit("\x1b[31m‮x\x07"))), 256).alias("digest")))
+on_corpus("sanitize_text", r"SELECT doc_id, sha256(regexp_replace(body || chr(27) || '[31m' || chr(8238) || 'x' || chr(7), '[\x00-\x09\x0B-\x1F\x7F\x{80}-\x{9F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{FEFF}]', '', 'g')) AS digest FROM corpus", lambda c: c.select("doc_id", F.sha2(text.sanitize_text(F.concat("body", F.lit("\x1b[31m‮x\x07"))), 256).alias("digest")))
 on_corpus("human_size", f"SELECT doc_id, {HUMAN.format('(size * 37)')} AS human FROM corpus", lambda c: c.select("doc_id", files.human_size(F.col("size") * 37).alias("human")))
 on_corpus("content_hash", "SELECT doc_id, sha256(body) AS digest FROM corpus", lambda c: c.select("doc_id", files.content_hash(F.col("body")).alias("digest")))
 on_corpus(

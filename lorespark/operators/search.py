@@ -1,16 +1,17 @@
 """Full-text search: inverted index, BM25 with field boosts, filters, ranking within each wiki and snippets.
 
-Every wiki is an index of its own (statistics, ranking), as every wiki is a directory of its own. A query counts its few words in the token
-lists of each document, so a scan needs no index; `postings` builds the inverted one for repeated use, and `search` takes
-it. Statistics are one row per wiki, field and word: they are joined by broadcast whatever the corpus holds.
+Every wiki is an index of its own (statistics, ranking), as every wiki is a directory of its own. `search` takes documents, whose words it
+counts in one scan, or an `Index`: postings in files partitioned by wiki and sorted by term, of which a query reads its few words alone,
+pages without their bodies, and one row of statistics per wiki. Both give the same rows.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.errors import NotSearchable
@@ -36,6 +37,39 @@ def postings(docs: DataFrame) -> DataFrame:
     return rows.groupBy("wiki", "field", "term", "relative").agg(F.count("*").cast("int").alias("tf"), F.max("dl").alias("dl"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """postings; pages (wiki, relative, title, tags, content_type); stats (wiki, n, avg_<field>)."""
+
+    postings: DataFrame
+    pages: DataFrame
+    stats: DataFrame
+
+
+def write_index(docs: DataFrame, path: str) -> None:
+    """The three tables of an index below path. A word that all pages hold is spread over files by page, as any other range of the postings."""
+    place = ["wiki", "term", "field", "relative"]
+    postings(docs).repartitionByRange(*place).sortWithinPartitions(*place).write.partitionBy("wiki").parquet(f"{path}/postings")
+    docs.select("wiki", "relative", "title", "tags", "content_type").write.partitionBy("wiki").parquet(f"{path}/pages")
+    _stats(with_tokens(docs).select("wiki", *_lengths())).write.parquet(f"{path}/stats")
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    def table(name: str) -> DataFrame:
+        found = spark.read.parquet(f"{path}/{name}")
+        return found.withColumn("wiki", F.col("wiki").cast("string"))
+
+    return Index(table("postings"), table("pages"), table("stats"))
+
+
+def _lengths() -> list[Column]:
+    return [F.size(f"t_{f}").alias(f"dl_{f}") for f in BOOSTS]
+
+
+def _stats(rows: DataFrame, *more: Column) -> DataFrame:
+    return rows.groupBy("wiki").agg(F.count("*").alias("n"), *[F.avg(f"dl_{f}").alias(f"avg_{f}") for f in BOOSTS], *more)
+
+
 def _filter(term: Term, strict: bool) -> Column | None:
     """The predicate of a filter term; None for bare words and title filters."""
     if term.kind in ("linksto", "backlink"):
@@ -55,7 +89,7 @@ def _filter(term: Term, strict: bool) -> Column | None:
     return ~found if strict or term.kind == "tag" else F.lit(True)
 
 
-def search(docs: DataFrame, query: str, top: int = TOP, strict: bool = True, rounded: int = 4) -> DataFrame:
+def search(docs: DataFrame | Index, query: str, top: int = TOP, strict: bool = True, rounded: int = 4) -> DataFrame:
     """(wiki, rank, relative, title, score): the best `top` of each wiki.
 
     All terms must hold; a quoted group holds if one of its words occurs. strict=False drops negations other than -tag:,
@@ -66,21 +100,16 @@ def search(docs: DataFrame, query: str, top: int = TOP, strict: bool = True, rou
     groups: list[tuple[list[str], dict[str, float], bool]] = []
     for t in terms:
         if t.kind == "text":
-            words = [w for w in text_words(t.value)]
             if not t.negated or strict:
-                groups.append((words, BOOSTS, t.negated))
+                groups.append((text_words(t.value), BOOSTS, t.negated))
         elif t.kind == "title" and (not t.negated or strict):
             groups.append(([t.value.lower()], {"title": TITLE_FILTER}, t.negated))
-    base = docs
-    own = with_tokens(base)
     pairs = sorted({(f, w) for words, fields, _ in groups for w in words for f in fields})
-    rows = own.select("wiki", "relative", "title", "tags", "content_type", *[F.size(f"t_{f}").alias(f"dl_{f}") for f in BOOSTS], *[_count(f, w).alias(f"tf{i}") for i, (f, w) in enumerate(pairs)])
-    stats = rows.groupBy("wiki").agg(F.count("*").alias("n"), *[F.avg(f"dl_{f}").alias(f"avg_{f}") for f in BOOSTS], *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(pairs))])
     kept = reduce(lambda a, b: a & b, filters, F.lit(True))
-    scored = rows.filter(kept)
+    wanted = any(not n for _, _, n in groups)
+    rows, stats = _indexed(docs, pairs, kept, wanted) if isinstance(docs, Index) else _scanned(docs, pairs, kept)
     total: Column = F.lit(0.0)
-    if pairs:
-        scored = scored.join(F.broadcast(stats), "wiki")  # one row per wiki
+    scored = rows.join(F.broadcast(stats), "wiki") if pairs else rows  # one row per wiki
     for words, fields, negated in groups:
         at = [(pairs.index((f, w)), f, boost) for w in words for f, boost in fields.items()]
         hit = reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i, _, _ in at], F.lit(False))
@@ -90,10 +119,37 @@ def search(docs: DataFrame, query: str, top: int = TOP, strict: bool = True, rou
     positive = any(not t.negated for t in terms)
     if terms and not positive and any(t.kind == "tag" or strict for t in terms):
         scored = scored.limit(0)
-    score = total if any(not n for _, _, n in groups) else F.lit(1.0)
+    score = total if wanted else F.lit(1.0)
     ranked = scored.select("wiki", "relative", "title", F.round(score, rounded).alias("score"))
     order = Window.partitionBy("wiki").orderBy(F.desc("score"), F.split("relative", "/"))
-    return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("wiki", "rank", "relative", F.coalesce(F.nullif("title", F.lit("")), "relative").alias("title"), "score")
+    best = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return best.select("wiki", "rank", "relative", F.coalesce(F.nullif("title", F.lit("")), "relative").alias("title"), "score")
+
+
+def _scanned(docs: DataFrame, pairs: list[tuple[str, str]], kept: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows with tf<i> of each pair (field, word) and dl_<field>, and the statistics of the wikis, by a scan."""
+    counts = [_count(f, w).alias(f"tf{i}") for i, (f, w) in enumerate(pairs)]
+    rows = with_tokens(docs).select("wiki", "relative", "title", "tags", "content_type", *_lengths(), *counts)
+    stats = _stats(rows, *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(pairs))])
+    return rows.filter(kept), stats
+
+
+def _indexed(index: Index, pairs: list[tuple[str, str]], kept: Column, wanted: bool) -> tuple[DataFrame, DataFrame]:
+    """The same from an index; wanted: a page without any of the words can't be a hit."""
+    pages = index.pages.filter(kept)
+    if not pairs:
+        return pages, index.stats
+    words, fields = sorted({w for _, w in pairs}), sorted({f for f, _ in pairs})
+    found = index.postings.filter(F.col("term").isin(words) & F.col("field").isin(fields))
+    is_pair = [(F.col("field") == f) & (F.col("term") == w) for f, w in pairs]
+    own = found.groupBy("wiki", "relative").agg(
+        *[F.max(F.when(p, F.col("tf"))).alias(f"tf{i}") for i, p in enumerate(is_pair)],
+        *[F.max(F.when(F.col("field") == f, F.col("dl"))).alias(f"dl_{f}") for f in BOOSTS],
+    )
+    frequent = found.groupBy("wiki").agg(*[F.count_if(p).alias(f"df{i}") for i, p in enumerate(is_pair)])
+    stats = index.stats.join(F.broadcast(frequent), "wiki", "left").fillna(0, [f"df{i}" for i in range(len(pairs))])
+    rows = pages.join(own, ["wiki", "relative"], "inner" if wanted else "left")
+    return rows.fillna(0, [f"tf{i}" for i in range(len(pairs))]), stats
 
 
 def _count(field: str, word: str) -> Column:
@@ -114,10 +170,17 @@ def bm25(i: int, field: str) -> Column:
     return F.when(tf > 0, idf * tf * (K1 + 1) / (tf + norm)).otherwise(0.0)
 
 
+#: `query` is another name of `search`.
+query = search
+
+
 def scan_search(docs: DataFrame, query: str) -> DataFrame:
-    """(wiki, relative) by substring in title, body or path, case-insensitive filters and general negation; no ranking."""
+    """(wiki, relative) by substring in title, body or path, case-insensitive filters and general negation; no ranking. `backlink:` is
+    for graph queries."""
     out = docs
     for t in parse(query):
+        if t.kind == "backlink":
+            raise NotSearchable("backlink: is only supported in graph queries")
         low = t.value.lower()
         found = {
             "text": lambda: F.contains(F.lower("title"), F.lit(low)) | F.contains(F.lower("body"), F.lit(low)) | F.contains(F.lower("relative"), F.lit(low)),
@@ -156,8 +219,8 @@ def with_snippets(hits: DataFrame, docs: DataFrame, query: str) -> DataFrame:
     """hits with `snippet`; bodies are fetched for ranked rows only."""
     words = sorted({w for t in parse(query) if t.kind == "text" and not t.negated for w in text_words(t.value)})
     make = F.pandas_udf(lambda s: pd.Series([snippet_of(x or "", words) for x in s], dtype="object"), "string")
-    few = F.broadcast(hits)  # at most `top` rows per wiki
-    return docs.select("wiki", "relative", "body").join(few, ["wiki", "relative"]).withColumn("snippet", make("body")).drop("body")
+    found = docs.select("wiki", "relative", "body").join(hits, ["wiki", "relative"])  # as many rows as wikis allow: Spark decides how
+    return found.withColumn("snippet", make("body")).drop("body")
 
 
 def in_page(docs: DataFrame, needle: str) -> DataFrame:
@@ -172,7 +235,7 @@ def token_stats(docs: DataFrame) -> DataFrame:
     return own.groupBy("wiki").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.max("n").cast("long").alias("longest"))
 
 
-def doc_freq(docs: DataFrame, least: int = 20) -> DataFrame:
+def doc_freq(docs: DataFrame, least: int = 1) -> DataFrame:
     """(term, df): in how many bodies, of terms in at least so many."""
     own = docs.select(F.explode(F.array_distinct(text.tokens(F.col("body")))).alias("term"))
     return own.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= least)

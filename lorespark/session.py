@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -12,3 +15,19 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which the driver and all executors share. Where it is unset, one machine gets a temporary folder
+    and a cluster an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_folder()
+
+
+@functools.lru_cache(1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="lorespark-")
