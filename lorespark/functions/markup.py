@@ -180,11 +180,14 @@ def frontmatter(texts: pd.Series) -> pd.DataFrame:
 
 
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})\s*([^`\n]*)$")
+_FOOTNOTE = re.compile(r"^ {0,3}\[\^([^\]\s]+)\]:\s*(.*)$")
 _ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 
 
 def blocks(text: str) -> list[dict]:
-    """A subset of CommonMark as a flat list: headings, paragraphs, list and task items, quotes, callouts, tables, code, rules."""
+    """A subset of CommonMark as a flat list: headings, paragraphs, list and task items, quotes, callouts, tables, code, rules, footnotes and
+    display mathematics. `depth` tells how deep an item or quote is nested, `lang` the language of code, the kind of a callout or the name of
+    a footnote."""
     out: list[dict] = []
     lines = text.split("\n")
 
@@ -208,6 +211,23 @@ def blocks(text: str) -> list[dict]:
                 code.append(lines[i].rstrip("\r"))
                 i += 1
             add("code", "\n".join(code), start, lang=m[2].strip() or None)
+        elif line.strip().startswith("$$"):
+            flush(i)
+            start, rest = i, line.strip()[2:]
+            formula = []
+            while "$$" not in rest and i + 1 < len(lines):
+                formula.append(rest)
+                i += 1
+                rest = lines[i].rstrip("\r")
+            formula.append(rest.split("$$")[0])
+            add("math", "\n".join(formula).strip(), start)
+        elif m := _FOOTNOTE.match(line):
+            flush(i)
+            start, note = i, [m[2]]
+            while i + 1 < len(lines) and re.match(r"^(?: {4}|\t)\S", lines[i + 1]):
+                i += 1
+                note.append(lines[i].strip())
+            add("footnote", "\n".join(note), start, lang=m[1])
         elif m := _ATX.match(line):
             flush(i)
             add("heading", (m[2] or "").strip(), i, len(m[1]))
@@ -222,10 +242,10 @@ def blocks(text: str) -> list[dict]:
         elif m := re.match(r"^(\s*)([-*+]|\d{1,9}[.)])\s+(?:\[([ xX])\]\s+)?(.*)$", line):
             flush(i)
             add("task" if m[3] else "item", m[4], i, int(bool(m[3]) and m[3] != " "), depth=len(m[1].expandtabs(4)) // 2)
-        elif m := re.match(r"^ {0,3}>\s?(.*)$", line):
+        elif m := re.match(r"^ {0,3}((?:>\s?)+)(.*)$", line):
             flush(i)
-            call = re.match(r"^\[!(\w+)\]\s*(.*)$", m[1])
-            add("callout" if call else "quote", call[2] if call else m[1], i, lang=call[1].lower() if call else None)
+            call = re.match(r"^\[!(\w+)\]\s*(.*)$", m[2])
+            add("callout" if call else "quote", call[2] if call else m[2], i, lang=call[1].lower() if call else None, depth=m[1].count(">") - 1)
         elif "|" in line and i + 1 < len(lines) and re.match(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$", lines[i + 1]) and "-" in lines[i + 1]:
             flush(i)
             add("table_row", "\t".join(c.strip() for c in line.strip().strip("|").split("|")), i, 1)
@@ -242,8 +262,37 @@ def blocks(text: str) -> list[dict]:
     return out
 
 
+_INLINE = re.compile(
+    r"`+(?P<code>[^`]+)`+|!\[(?P<alt>[^\]]*)\]\([^)]*\)|\[\[(?P<wiki>[^\]\n]+)\]\]|\[\^(?P<note>[^\]\s]+)\]|\[(?P<link>[^\]]*)\]\([^)]*\)"
+    r"|\*\*(?P<strong>.+?)\*\*|~~(?P<strike>.+?)~~|(?<!\w)[*_](?P<emphasis>[^*_]+)[*_](?!\w)|(?<!\$)\$(?P<math>[^$\n]+)\$(?!\$)"
+)
+
+
+def spans(text: str, depth: int = 0) -> list[dict]:
+    """The inline tree of a line as a flat list of (depth, kind, text): code, images, wiki links, footnote marks, links, strong, struck and
+    emphasised text, mathematics, and plain text between them; what is inside of strong, struck, emphasised and linked text follows one deeper."""
+    out, last = [], 0
+    for m in _INLINE.finditer(text):
+        if m.start() > last:
+            out.append({"depth": depth, "kind": "text", "text": text[last : m.start()]})
+        kind, inner = m.lastgroup, m[m.lastgroup]
+        out.append({"depth": depth, "kind": kind, "text": inner})
+        if kind in ("strong", "strike", "emphasis", "link"):
+            out += spans(inner, depth + 1)
+        last = m.end()
+    if last < len(text):
+        out.append({"depth": depth, "kind": "text", "text": text[last:]})
+    return out
+
+
+@arrow_function("array<struct<depth:int,kind:string,text:string>>")
+def markdown_spans(texts: pd.Series) -> pd.Series:
+    return pd.Series([spans(t or "") for t in texts], dtype="object")
+
+
 def inline_text(text: str) -> str:
     """Visible text of a line: marks of emphasis, code and links dropped."""
+    text = re.sub(r"\[\^[^\]\s]+\]", "", text)
     text = re.sub(r"!\[([^\]]*)\]\([^)]*\)", r"\1", text)
     text = re.sub(r"\[\[(?:[^\]|\n]*\|)?([^\]\n]*)\]\]", r"\1", text)
     text = re.sub(r"\[([^\]]*)\]\([^)]*\)", r"\1", text)

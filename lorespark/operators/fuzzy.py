@@ -50,8 +50,41 @@ def scorer(needle: str):
     return run
 
 
+def atom_score(atom: str, hay: str) -> int | None:
+    """Score of one word of a query: !x must not occur, 'x must occur as it is, ^x begins and x$ ends the text; other words are subsequences.
+    Capital letters in a word make it mind case."""
+    negated = atom.startswith("!") and len(atom) > 1
+    word = atom[1:] if negated else atom
+    begin, end = word.startswith("^") and len(word) > 1, word.endswith("$") and len(word) > 1
+    exact = word.startswith("'") and len(word) > 1
+    word = word[begin or exact : len(word) - end]
+    if not (negated or begin or end or exact):
+        return (found := score(word, hay)) and found[0] if word.islower() or word == word.lower() else _cased(word, hay)
+    own, text_ = (word, hay) if word != word.lower() else (word.lower(), hay.lower())
+    hit = text_ == own if begin and end else text_.startswith(own) if begin else text_.endswith(own) if end else own in text_
+    if negated:
+        return None if hit else 0
+    return score(word, hay[-len(word) :] if end and not begin else hay)[0] if hit and word else 0 if hit else None
+
+
+def _cased(word: str, hay: str) -> int | None:
+    """The subsequence score where all characters of the word occur in their case."""
+    at = 0
+    for c in word:
+        at = hay.find(c, at) + 1
+        if not at:
+            return None
+    found = score(word, hay)
+    return found and found[0]
+
+
+def _plain(word: str) -> bool:
+    return word[0] not in "!'^" and not (word.endswith("$") and len(word) > 1)
+
+
 def find(docs: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """(wiki, relative, title, score): best of title + 200, path and aliases + 150, over 0; each word of the query must match the field."""
+    """(wiki, relative, title, score): best of title + 200, path and aliases + 150, over 0; each word of the query (see atom_score) must match
+    the field. Rows that lack the letters of a plain word are left out before Python sees them."""
     words = query.split()
     if not words:
         return docs.orderBy("wiki", F.split("relative", "/")).limit(limit).select("wiki", "relative", "title", F.lit(0).alias("score"))
@@ -59,8 +92,8 @@ def find(docs: DataFrame, query: str, limit: int = 20) -> DataFrame:
     @F.pandas_udf("int")
     def best(titles: pd.Series, paths: pd.Series, aliases: pd.Series) -> pd.Series:
         def one(hay: str) -> int | None:
-            own = [score(w, hay or "") for w in words]
-            return None if None in own else sum(x[0] for x in own)
+            own = [atom_score(w, hay or "") for w in words]
+            return None if None in own else sum(own)
 
         out = []
         for title, path, names in zip(titles, paths, aliases):
@@ -68,6 +101,10 @@ def find(docs: DataFrame, query: str, limit: int = 20) -> DataFrame:
             out.append(max((s + bonus for s, bonus in scores if s is not None), default=0))
         return pd.Series(out, dtype="int32")
 
+    hay = F.lower(F.concat_ws("\n", "title", "relative", "aliases"))
+    for word in words:
+        if _plain(word):  # letters in order, of any field
+            docs = docs.filter(hay.rlike("(?s)" + ".*?".join(rf"\x{{{ord(c):X}}}" for c in word.lower() if c.isascii())))
     scored = docs.select("wiki", "relative", "title", best("title", "relative", "aliases").alias("score")).filter("score > 0")
     return scored.orderBy(F.desc("score"), "wiki", F.split("relative", "/")).limit(limit)
 

@@ -16,6 +16,8 @@ from lorespark.functions import files
 #: What each kind of evidence is worth for related pages.
 DIRECT, BACK, TAG, FOLDER, SHARED = 10.0, 8.0, 5.0, 3.0, 2.0
 FORCE_NODES, RING = 200, 15.0
+#: Characters of an image link by whose end paths are looked up.
+TAIL = 12
 
 
 def place(wiki: str = "wiki", relative: str = "relative") -> Column:
@@ -33,6 +35,16 @@ def nodes(docs: DataFrame) -> DataFrame:
     return docs.select("wiki", "relative", kind.alias("kind"), "title", "tags")
 
 
+def _tail(c: str) -> Column:
+    return F.right(F.col(c), F.lit(TAIL))
+
+
+def _grams(c: str, n: int) -> Column:
+    """All substrings of length n; of length 0 the empty one."""
+    starts = F.sequence(F.lit(1), F.length(c) - n + 1)
+    return F.when(F.length(c) >= n, F.transform(starts, lambda i: F.substring(F.col(c), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
 def edges(docs: DataFrame, images: str | None = None) -> DataFrame:
     """(wiki, relative, kind, pos, target, to_wiki, to_relative, broken): one per link; to_ is null if broken.
 
@@ -47,9 +59,12 @@ def edges(docs: DataFrame, images: str | None = None) -> DataFrame:
     out = found.select("wiki", "relative", F.lit("links_to").alias("kind"), "pos", "target", F.coalesce("w", "key.wiki").alias("to_wiki"), F.coalesce("r", _path(F.col("key"))).alias("to_relative"))
     if images:
         pics = docs.select("wiki", "relative", F.posexplode(images).alias("pos", "target"))
-        targets = pics.select("target").distinct()
+        targets = pics.select("target", _tail("target").alias("gram")).distinct()
+        # a path holds a target if it holds the target's end: an equality over the few lengths that occur, then the whole target
+        sizes = sorted(r.n for r in targets.select(F.length("gram").alias("n")).distinct().collect())
         every = docs.select(place().alias("key"), F.col("relative").alias("r"))
-        hit = targets.join(every, F.contains(F.col("r"), F.col("target"))).groupBy("target").agg(F.min("key").alias("key"))
+        grams = every.select("key", "r", F.explode(F.array_distinct(F.flatten(F.array(*[_grams("r", n) for n in sizes] or [F.array().cast("array<string>")])))).alias("gram"))
+        hit = targets.join(grams, "gram").filter(F.contains(F.col("r"), F.col("target"))).groupBy("target").agg(F.min("key").alias("key"))
         out = out.unionByName(pics.join(hit, "target", "left").select("wiki", "relative", F.lit("embeds").alias("kind"), "pos", "target", F.col("key.wiki").alias("to_wiki"), _path(F.col("key")).alias("to_relative")))
     return out.withColumn("broken", F.col("to_relative").isNull())
 
@@ -106,8 +121,9 @@ def neighborhood(all_nodes: DataFrame, links: DataFrame, wiki: str, relative: st
         else:
             best = new.orderBy("met").limit(max(0, most - count))  # a walk that is capped holds at most `most` nodes
             new = best.withColumn("turn", F.row_number().over(Window.orderBy("met")).cast("long")).select("wiki", "relative", F.lit(hop).alias("depth"), "turn")
-            new = new.cache()
-            count += new.count()
+            rows = new.collect()  # of a walk that is capped, at most `most` rows
+            count += len(rows)
+            new = new.sparkSession.createDataFrame(rows, new.schema)
         edge, found = new, found.unionByName(new)
     return found.select("wiki", "relative", "depth")
 
@@ -197,3 +213,16 @@ def force_layout(kept: DataFrame, links: DataFrame, iterations: int = 100) -> Da
         return pd.DataFrame({"wiki": pdf.wiki, "relative": pdf.relative, "x": xy[:, 0], "y": xy[:, 1]})
 
     return rows.groupBy(F.lit(0).alias("g")).applyInPandas(lambda p: run(p), "wiki string, relative string, x double, y double")  # FORCE_NODES rows at most
+
+
+def layout(kept: DataFrame, links: DataFrame) -> DataFrame:
+    """(wiki, relative, x, y): nothing for no node, the origin for one, forces for fewer than FORCE_NODES, else rings."""
+    few = kept.limit(FORCE_NODES).count()
+    if few <= 1:
+        return kept.select("wiki", "relative", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    return force_layout(kept, links) if few < FORCE_NODES else ring_layout(kept)
+
+
+def drawing_order(positions: DataFrame) -> DataFrame:
+    """Rows from top to bottom, then from left to right, then in node order."""
+    return positions.orderBy("y", "x", place())

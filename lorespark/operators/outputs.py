@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.errors import UsageError
+from lorespark.errors import NotFound, UsageError
 from lorespark.functions import text
 from lorespark.operators import graph
+from lorespark.sources import files as source
 
 FORMATS = ("text", "json", "paths")
 
@@ -48,17 +47,22 @@ def new_page(spark: SparkSession, root: str, title: str, policy: str = "kebab")
     name = spark.range(1).select(text.naming_path(F.lit(title), policy)).first()[0]
     if not name or ".." in name.split("/") or name.startswith("/"):
         raise UsageError(f"not a page name: {title}")
-    path = os.path.join(root, name + ".md")
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "x") as file:
-        file.write(f'---\ntitle: "{title}"\ntags: []\n---\n\n# {title}\n')
+    fs, path = source.hadoop_path(spark, f"{root}/{name}.md")
+    if fs.exists(path):
+        raise FileExistsError(f"{name}.md")
+    fs.mkdirs(path.getParent())
+    stream = fs.create(path, False)
+    stream.write(bytearray(f'---\ntitle: "{title}"\ntags: []\n---\n\n# {title}\n'.encode()))
+    stream.close()
     return name + ".md"
 
 
 def delete_page(root: str, relative: str, confirmed: bool = False) -> None:
+    """Removes a page of a wiki, local or in any file system that Hadoop reaches."""
     if not confirmed:
         raise UsageError("deleting a page needs confirmation")
-    path = os.path.realpath(os.path.join(root, relative))
-    if not path.startswith(os.path.realpath(root) + os.sep):
+    if not source.inside(root, relative):
         raise UsageError(f"outside of the wiki: {relative}")
-    os.remove(path)
+    fs, path = source.hadoop_path(SparkSession.active(), f"{root}/{relative}")
+    if not fs.delete(path, False):
+        raise NotFound(f"no page {relative}")

@@ -7,6 +7,7 @@ through the file system's own interface.
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.errors import AnalysisException
@@ -58,7 +59,7 @@ def ignore_rules(lines: list[str]) -> list[tuple[str, bool]]:
     return rules
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
@@ -69,7 +70,7 @@ def _escaped(path: str) -> str:
 
 def _skipped(spark: SparkSession, root: str) -> list[tuple[str, bool, int, int]]:
     """(path, is a folder, length, milliseconds) of what begins with a dot or an underscore, at any depth."""
-    fs, _ = _hadoop(spark, root)
+    fs, _ = hadoop_path(spark, root)
     glob = lambda tail: fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{_escaped(root)}{tail}"))
     found, level = [], ""
     while glob(f"{level}/*"):
@@ -92,7 +93,7 @@ def _is_internal(relative: str) -> bool:
 
 def read_bytes(spark: SparkSession, path: str) -> bytes:
     """A file through the file system's own interface."""
-    fs, path = _hadoop(spark, path)
+    fs, path = hadoop_path(spark, path)
     stream = fs.open(path)
     try:
         return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
@@ -106,7 +107,7 @@ def _rules(spark: SparkSession, root: str, skipped: list, ignore: list[str] | No
     for name in IGNORE_FILES:
         at = [(_relative(p, root), p) for p, folder, _, _ in skipped if not folder and f"/{_relative(p, root)}".endswith(f"/{name}")]
         if name == IGNORE_FILES[-1]:
-            fs, path = _hadoop(spark, f"{root}/{name}")
+            fs, path = hadoop_path(spark, f"{root}/{name}")
             at = [(name, f"{root}/{name}")] if fs.exists(path) else []
         for relative, path in sorted(at, key=lambda x: -x[0].count("/")):
             lines = read_bytes(spark, path).decode("utf-8", "replace").splitlines()
@@ -158,6 +159,33 @@ def scan(
     return out if code else out.filter("content_type <> 'code'")
 
 
+def in_order(listed: DataFrame) -> DataFrame:
+    """Listed files by wiki, then path components."""
+    return listed.orderBy("wiki", F.split("relative", "/"))
+
+
+def inside(root: str, relative: str) -> bool:
+    """Whether a page's path stays in its wiki: no absolute path, no way out by `..`, and on a local disk none by a symbolic link."""
+    parts, depth = relative.split("/"), 0
+    for part in parts:
+        depth += -1 if part == ".." else part not in ("", ".")
+        if depth < 0:
+            return False
+    if relative.startswith("/"):
+        return False
+    if not re.match("^(file:|/)", root):
+        return True
+    base = os.path.realpath(re.sub("^file:/*", "/", root))
+    return os.path.realpath(os.path.join(base, relative)).startswith(base.rstrip("/") + "/")
+
+
+def first_links(read: DataFrame, limit: int = 1 << 20) -> DataFrame:
+    """(wiki, relative, links) of Markdown files with content, from their first bytes: enough for a graph where there is no index."""
+    pages = read.filter((F.col("content_type") == "markdown") & F.col("content").isNotNull())
+    head = text.lossy_utf8(read_limited(F.col("content"), limit)["data"])
+    return pages.select("wiki", "relative", markup.page_links(head).alias("links"))
+
+
 def read_limited(content, limit: int):
     """The first bytes, and whether there are more."""
     return F.struct(F.substring(content, 1, limit).alias("data"), (F.octet_length(content) > limit).alias("truncated"))
@@ -169,7 +197,7 @@ def should_index(listed: DataFrame) -> DataFrame:
 
 
 def _there(spark: SparkSession, paths: list[str]) -> list[str]:
-    return [p for p in paths if (at := _hadoop(spark, p))[0].exists(at[1])]
+    return [p for p in paths if (at := hadoop_path(spark, p))[0].exists(at[1])]
 
 
 def with_content(spark: SparkSession, listed: DataFrame, max_size: int = MAX_SIZE) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import tomllib
@@ -31,6 +32,25 @@ def layered(*layers: dict) -> Settings:
     return out
 
 
+def expand(path: str, home: str | None = None) -> str:
+    """A path with `~` or a leading `~/` as the home folder; other users' homes are not looked up."""
+    home = home or os.environ.get("HOME") or os.path.expanduser("~")
+    return home if path == "~" else home.rstrip("/") + path[1:] if path.startswith("~/") else path
+
+
+def settings_of(*files: str, env: dict[str, str] | None = None) -> Settings:
+    """Settings of TOML files, the later ones stronger and missing ones skipped, below those of the environment."""
+    layers = []
+    for path in map(expand, files):
+        if os.path.exists(path):
+            with open(path, "rb") as f:
+                try:
+                    layers.append(tomllib.load(f).get("index", {}))
+                except tomllib.TOMLDecodeError as e:
+                    raise ConfigError(f"{path}: {e}") from e
+    return layered(*layers, environment(env=env))
+
+
 def environment(prefix: str = "LORESPARK_", env: dict[str, str] | None = None) -> dict:
     """The layer that the environment gives."""
     found = {}
@@ -63,12 +83,27 @@ class Registry:
         data = tomllib.loads(toml)
         return cls([Wiki(w["name"], w["root"], list(w.get("mounts", []))) for w in data.get("wikis", [])], data.get("default_wiki"))
 
+    def dump(self) -> str:
+        """The registry as TOML that load reads."""
+        quote = lambda s: json.dumps(s, ensure_ascii=False)
+        out = [f"default_wiki = {quote(self.default)}\n"] if self.default else []
+        for w in self.wikis.values():
+            out.append(f"\n[[wikis]]\nname = {quote(w.name)}\nroot = {quote(w.root)}\nmounts = [{', '.join(map(quote, w.mounts))}]\n")
+        return "".join(out)
+
+    def save(self, path: str) -> None:
+        """Replaces the file at once, so a reader sees the old registry or the new one."""
+        path = expand(path)
+        with open(f"{path}.new", "w") as f:
+            f.write(self.dump())
+        os.replace(f"{path}.new", path)
+
     def add(self, name: str, root: str, mounts: list[str] | None = None) -> None:
         if not name or not re.fullmatch(r"[^\s/:\x00]+", name):
             raise ConfigError(f"not a wiki name: `{name}`")
         if name in self.wikis:
             raise ConfigError(f"there is a wiki `{name}` already")
-        self.wikis[name] = Wiki(name, root, list(mounts or []))
+        self.wikis[name] = Wiki(name, expand(root), list(mounts or []))
         self.default = self.default or name
 
     def get(self, name: str) -> Wiki:

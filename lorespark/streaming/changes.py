@@ -93,12 +93,32 @@ def pair_renames(changes: DataFrame, within_ms: int = 600) -> DataFrame:
     return changes.groupBy("wiki").applyInPandasWithState(run, "wiki string, path string, kind string, from_path string, ts timestamp", "path string, at long", "append", "EventTimeTimeout")
 
 
-def apply_batches(stream: DataFrame, reconcile, checkpoint: str, once: bool = True):
-    """Starts a query that calls reconcile(wiki) once for every wiki touched in a micro-batch."""
+def known_sources(paired: DataFrame, tracked: DataFrame) -> DataFrame:
+    """Paired changes, where a rename from a path that tracked(wiki, path) does not hold is a modification of its target: a file that was
+    written elsewhere and then moved into place. tracked is a static table, so this works on streams too."""
+    known = tracked.select("wiki", F.col("path").alias("from_path"), F.lit(True).alias("_known")).distinct()
+    out = paired.join(known, ["wiki", "from_path"], "left")
+    saved = (F.col("kind") == "rename") & F.col("_known").isNull()
+    return out.select(
+        "wiki", "path", F.when(saved, "modify").otherwise(F.col("kind")).alias("kind"), F.when(~saved, F.col("from_path")).alias("from_path"),
+        *[c for c in paired.columns if c not in ("wiki", "path", "kind", "from_path")],
+    )
+
+
+def in_order(settled_changes: DataFrame) -> DataFrame:
+    """Changes of a batch by wiki, then path components."""
+    return settled_changes.orderBy("wiki", F.split("path", "/"))
+
+
+def apply_batches(stream: DataFrame, reconcile, checkpoint: str, once: bool = True, refresh=None):
+    """Starts a query that calls reconcile(wiki) once for every wiki touched in a micro-batch, then refresh(changes in order), if given, for
+    views of what changed."""
 
     def each(batch: DataFrame, _: int) -> None:
         for row in batch.select("wiki").distinct().orderBy("wiki").collect():  # wikis, not documents
             reconcile(row["wiki"])
+        if refresh:
+            refresh(in_order(batch))
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()

@@ -76,3 +76,10 @@ def test_owners_and_ignored(spark):
     own = changes.owned(events, wikis)
     assert sorted((r.wiki, r.relative) for r in own.collect()) == [("a", "x.md"), ("b", ".git/z"), ("b", "y.log")]
     assert [r.relative for r in changes.not_ignored(own, ignore_rules(["*.log"])).collect()] == ["x.md"]
+
+
+def test_renames_of_unknown_sources(spark):
+    paired = spark.createDataFrame([("w", "a.md", "rename", "tmp1"), ("w", "b.md", "rename", "old.md"), ("w", "c.md", "create", None)], "wiki string, path string, kind string, from_path string")
+    tracked = spark.createDataFrame([("w", "old.md"), ("w", "old.md")], "wiki string, path string")
+    got = [tuple(r) for r in changes.in_order(changes.known_sources(paired, tracked)).collect()]
+    assert got == [("w", "a.md", "modify", None), ("w", "b.md", "rename", "old.md"), ("w", "c.md", "create", None)]

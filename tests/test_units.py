@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from lorespark.errors import ConfigError, IndexMissing, LoreError, NotFound, NotSearchable, UnclosedQuote
 from lorespark.functions import files, markup, text
-from lorespark.operators import delta, fuzzy, graph, reports, resolve, search
+from lorespark.operators import delta, fuzzy, graph, pages, reports, resolve, search
 from lorespark.plans.query import Term, parse
 from lorespark.sources import files as source
 from lorespark.sources.corpus import generated
-from lorespark.sources.registry import Registry, Wiki, environment, layered
+from lorespark.sources.registry import Registry, Wiki, environment, expand, layered, settings_of
 
 
 def one(spark, column, **values):
@@ -105,7 +105,72 @@ def test_fuzzy():
     began = time.time()
     for _ in range(20_000):
         fuzzy.score("heapexp", "security/exploitation/heap-exploitation-techniques-2024.md")
-    assert time.time() - began < 20
+    assert time.time() - began < 2
+
+
+def test_fuzzy_operators(spark):
+    own = lambda atom, hay: fuzzy.atom_score(atom, hay) is not None
+    assert own("hp", "Heap") and own("Hp", "Heap") and not own("hP", "heap") and own("'ea", "Heap") and not own("'hp", "heap")
+    assert own("^he", "Heap") and not own("^ea", "heap") and own("ap$", "heap") and not own("ea$", "heap") and own("^heap$", "Heap") and not own("^hea$", "heap")
+    assert own("!x", "heap") and not own("!ea", "heap") and own("!^ea", "heap") and fuzzy.atom_score("!x", "heap") == 0
+    docs = docs_of(spark, [{"relative": "Heap.md", "title": "Heap"}, {"relative": "sub/Heapsort.md", "title": "Heap sort"}, {"relative": "x.md", "title": "Pile", "aliases": ["Heap"]}])
+    names = lambda q: [r.relative for r in fuzzy.find(docs, q).collect()]
+    assert names("heap") == ["Heap.md", "sub/Heapsort.md", "x.md"] and names("^heap$") == ["Heap.md", "x.md"] and names("hp !sort") == ["Heap.md", "x.md"] and names("zz") == []
+
+
+def test_pages_by_name(spark, small):
+    assert [r.target for r in pages.of_page(small, "Home", "links").orderBy("pos").collect()] == ["about", "broken"]
+    assert [r.relative for r in pages.of_page(small, "about", "backlinks").collect()] == ["index.md"]
+    assert pages.of_page(small, "index", "related").first().relative == "about.md" and pages.of_page(small, "index", "neighborhood", depth=1).count() == 2
+    with pytest.raises(NotFound):
+        pages.of_page(small, "nowhere at all", "links")
+
+
+def test_layouts_of_few_nodes(spark):
+    docs = docs_of(spark, [{"relative": f"p{i:03}.md", "links": [f"p{i + 1:03}"]} for i in range(210)])
+    links, near = graph.edges(docs), lambda n: graph.neighborhood(graph.nodes(docs), graph.edges(docs), "main", "p000.md", n)
+    assert graph.layout(near(2).limit(0), links).count() == 0 and tuple(graph.layout(near(0), links).first()) == ("main", "p000.md", 0.0, 0.0)
+    assert graph.layout(near(3), links).count() == 4
+    ordered = [(r.y, r.x) for r in graph.drawing_order(graph.layout(near(3), links)).collect()]
+    assert ordered == sorted(ordered)
+
+
+def test_image_links_of_any_length(spark):
+    docs = docs_of(spark, [{"relative": r, "kind": "image"} for r in ("img/a-very-long-name.png", "img/b.png", "x/b.png")] + [{"relative": "p.md"}])
+    docs = docs.withColumn("images", F.when(F.col("relative") == "p.md", F.array(*map(F.lit, ["b.png", "a-very-long-name.png", "img/a", "none.gif", ".png"]))).otherwise(F.array().cast("array<string>")))
+    got = {r.target: r.to_relative for r in graph.edges(docs, "images").filter("kind = 'embeds'").collect()}
+    assert got == {"b.png": "img/b.png", "a-very-long-name.png": "img/a-very-long-name.png", "img/a": "img/a-very-long-name.png", "none.gif": None, ".png": "img/a-very-long-name.png"}
+
+
+def test_settings_and_registry_files(tmp_path):
+    (tmp_path / "a.toml").write_text('[index]\nignore = ["x"]\nhidden = true\n')
+    (tmp_path / "b.toml").write_text('[index]\nignore = ["y"]\nhidden = false\n')
+    s = settings_of(str(tmp_path / "a.toml"), str(tmp_path / "none.toml"), str(tmp_path / "b.toml"), env={"LORESPARK_CODE": "0"})
+    assert s.ignore == ("x", "y") and not s.hidden and not s.code
+    (tmp_path / "c.toml").write_text("[")
+    with pytest.raises(ConfigError):
+        settings_of(str(tmp_path / "c.toml"), env={})
+    r = Registry([Wiki("a", "/w/\"q\"", ["b"]), Wiki("b", "~/x")], "b")
+    r.save(str(tmp_path / "r.toml"))
+    again = Registry.load((tmp_path / "r.toml").read_text())
+    assert again.wikis == r.wikis and again.default == "b" and again.get("b").root == expand("~/x") and expand("~", "/h") == "/h" and expand("~u/x", "/h") == "~u/x"
+
+
+def test_paths_stay_inside(tmp_path):
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "out").symlink_to(tmp_path)
+    root = str(tmp_path / "w")
+    assert source.inside(root, "a/../b.md") and not source.inside(root, "../x") and not source.inside(root, "/x") and not source.inside(root, "out/x") and source.inside("hdfs://x/w", "a/b")
+
+
+def test_markdown_tree():
+    found = markup.blocks("a[^1] ~~old~~ $x$\n\n[^1]: note\n    more\n\n$$\ny = 1\n$$\n\n> > deep\n\n- a\n    - b")
+    assert [(b["kind"], b["text"], b["depth"], b["lang"]) for b in found[1:]] == [("footnote", "note\nmore", 0, "1"), ("math", "y = 1", 0, None), ("quote", "deep", 1, None), ("item", "a", 0, None), ("item", "b", 2, None)]
+    tree = [(s["depth"], s["kind"], s["text"]) for s in markup.spans("**b _i_** ~~s~~ $m$ `c` [[P|x]] [t](u)[^n] z")]
+    assert tree == [
+        (0, "strong", "b _i_"), (1, "text", "b "), (1, "emphasis", "i"), (2, "text", "i"), (0, "text", " "), (0, "strike", "s"), (1, "text", "s"), (0, "text", " "), (0, "math", "m"), (0, "text", " "), (0, "code", "c"),
+        (0, "text", " "), (0, "wiki", "P|x"), (0, "text", " "), (0, "link", "t"), (1, "text", "t"), (0, "note", "n"), (0, "text", " z"),
+    ]
 
 
 def test_suggestions(spark):
