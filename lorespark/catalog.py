@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions import files, markup, text
-from lorespark.operators import delta, fuzzy, graph, outputs, reports, resolve, search
+from lorespark.operators import delta, fuzzy, graph, outputs, pages, reports, resolve, search
 from lorespark.session import shared_folder
+from lorespark.sources import files as source
 from lorespark.sources.corpus import CORPUS_SQL, corpus, markdown
 from lorespark.streaming import changes
 
@@ -214,11 +215,22 @@ on_corpus(
     lambda c: graph.ring_layout(_neighbours(2)(c)).select("wiki", "relative", (F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y")),
 )
 on_corpus("force_layout", None, lambda c: graph.force_layout(_neighbours(2)(c), graph.edges(c)))
-on_corpus("layout_bounds", None, lambda c: reports.bounding_box(graph.ring_layout(_neighbours(2)(c))))
+on_corpus(
+    "layout_bounds",
+    f"""{EDGES} {_near(2)} SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM (SELECT round(15.0 * depth * cos(a), 4) + 0.0 AS x, round(15.0 * depth * sin(a), 4) + 0.0 AS y
+FROM (SELECT *, 2 * pi() * (row_number() OVER (PARTITION BY depth ORDER BY wiki, string_split(relative, '/')) - 1) / count(*) OVER (PARTITION BY depth) AS a FROM near))""",
+    lambda c: reports.bounding_box(graph.ring_layout(_neighbours(2)(c)).select("wiki", "relative", (F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y"))),
+)
 
 # names
 
-query("resolve_candidates")(lambda spark, sf_dir: resolve.candidates(spark, "Heap Exploitation"))
+query(
+    "resolve_candidates",
+    """WITH b AS (SELECT 'Heap Exploitation' AS b), e AS (SELECT unnest(['md', 'markdown', 'txt', 'rst', 'org', 'tex', 'rs', 'py', 'c', 'h', 'go', 'sh']) AS e, unnest(range(12)) AS i),
+h AS (SELECT unnest(['index.md', 'README.md', 'Home.md', 'home.md']) AS h, unnest(range(4)) AS i), n AS (SELECT unnest([replace(b, ' ', '-'), replace(b, ' ', '_'), lower(replace(b, ' ', '-'))]) AS n, unnest(range(3)) AS i FROM b),
+a AS (SELECT i AS o, b || '.' || e AS relative FROM b, e UNION ALL SELECT 100 + i, b || '/' || h FROM b, h UNION ALL SELECT 200 + 2 * i, n || '.md' FROM n UNION ALL SELECT 201 + 2 * i, n || '.markdown' FROM n UNION ALL SELECT 300, b FROM b)
+SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INTEGER) AS pos, relative FROM a""",
+)(lambda spark, sf_dir: resolve.candidates(spark, "Heap Exploitation"))
 on_corpus("resolve_shallow", "SELECT wiki, relative, 'exact_stem' AS kind FROM corpus WHERE relative = 'src5/page_000005.md'", lambda c: resolve.shallow(c, "src5/page_000005"))
 on_corpus("resolve_listed", "SELECT wiki, relative, 'case_insensitive' AS kind FROM corpus WHERE lower(relative) = 'src5/page_000005.md'", lambda c: resolve.listed(c, "src5/PAGE_000005"))
 on_corpus(
@@ -234,8 +246,35 @@ SELECT name, CAST(similarity AS DOUBLE) AS similarity FROM s WHERE similarity >=
     lambda c: fuzzy.suggestions(fuzzy.page_stems(c), "page_00012"),
 )
 on_corpus("levenshtein_sim", "SELECT doc_id, CASE WHEN levenshtein(title, 'Document 000500 Topic src0') > 4 THEN 5 ELSE levenshtein(title, 'Document 000500 Topic src0') END AS distance, round(1.0 - levenshtein(lower(title), 'document 000500 topic src0') / CAST(greatest(length(title), 26) AS DOUBLE), 4) AS similarity FROM corpus", lambda c: c.select("doc_id", text.bounded_levenshtein(F.col("title"), F.lit("Document 000500 Topic src0"), 4).cast("long").alias("distance"), F.round(text.similarity(F.col("title"), F.lit("Document 000500 Topic src0")), 4).alias("similarity")))
-on_corpus("fuzzy_find", None, lambda c: fuzzy.find(c, "src7 0042"))
-on_corpus("fuzzy_positions", None, lambda c: c.select("doc_id", fuzzy.scorer("dts7")("title").alias("m")).select("doc_id", "m.score", F.concat_ws(",", F.col("m.positions").cast("array<string>")).alias("positions")))
+
+
+def _fuzzy_sql(rows: str, chars: int) -> str:
+    """Scores of first-come subsequence matches of w in hay, from a relation with these columns and `id`; w has so many characters."""
+    query_ = f"SELECT *, 0 AS nxt, 0 AS total, -1 AS last, CAST([] AS INTEGER[]) AS places FROM {rows}"
+    for i in range(1, chars + 1):
+        found = f"SELECT *, nxt + nullif(strpos(lower(substr(hay, nxt + 1)), lower(substr(w, {i}, 1))), 0) - 1 AS p FROM ({query_})"
+        bonus = (
+            "CASE WHEN p > nxt THEN -6 - 2 * (p - nxt - 1) ELSE 0 END + 1 + CASE WHEN substr(hay, p + 1, 1) = substr(w, %d, 1) THEN 2 ELSE 0 END"
+            " + CASE WHEN p = 0 THEN 24 WHEN regexp_matches(substr(hay, p, 1), '[/\\\\_. :,()\\[\\]#-]') THEN 16 WHEN regexp_matches(substr(hay, p, 1), '[a-z]') AND regexp_matches(substr(hay, p + 1, 1), '[A-Z]') THEN 14 ELSE 0 END"
+            " + CASE WHEN last >= 0 AND last = p - 1 THEN 12 ELSE 0 END" % i
+        )
+        query_ = f"SELECT * EXCLUDE (p) REPLACE (p + 1 AS nxt, CAST(total + {bonus} AS INTEGER) AS total, CAST(p AS INTEGER) AS last, list_append(places, CAST(p AS INTEGER)) AS places) FROM ({found}) WHERE p IS NOT NULL"
+    return f"SELECT *, CAST(total - length(hay) // 16 AS INTEGER) AS score FROM ({query_})"
+
+
+on_corpus(
+    "fuzzy_find",
+    f""", hays AS (SELECT doc_id AS id, 'title' AS field, 200 AS bonus, title AS hay FROM corpus UNION ALL SELECT doc_id, 'path', 0, relative FROM corpus UNION ALL SELECT doc_id, 'a' || i, 150, aliases[i] FROM corpus, (SELECT unnest([1, 2]) AS i)),
+asked AS (SELECT *, unnest(['src7', '0042']) AS w FROM hays), scored AS ({_fuzzy_sql('asked', 4)}), fields AS (SELECT id, field, sum(score) + any_value(bonus) AS score FROM scored GROUP BY id, field HAVING count(*) = 2),
+best AS (SELECT id, CAST(max(score) AS INTEGER) AS score FROM fields GROUP BY id HAVING max(score) > 0)
+SELECT wiki, relative, title, score FROM best JOIN corpus ON doc_id = id ORDER BY score DESC, wiki, string_split(relative, '/') LIMIT 20""",
+    lambda c: fuzzy.find(c, "src7 0042"),
+)
+on_corpus(
+    "fuzzy_positions",
+    f", asked AS (SELECT doc_id AS id, title AS hay, 'dts7' AS w FROM corpus), scored AS ({_fuzzy_sql('asked', 4)}) SELECT doc_id, score, coalesce(array_to_string(places, ','), '') AS positions FROM corpus LEFT JOIN scored ON id = doc_id",
+    lambda c: c.select("doc_id", fuzzy.scorer("dts7")("title").alias("m")).select("doc_id", "m.score", F.concat_ws(",", F.col("m.positions").cast("array<string>")).alias("positions")),
+)
 
 # text and files
 
@@ -312,3 +351,67 @@ def _settled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("change_sessions", f"WITH {EVENTS} SELECT path, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS \"end\", count(*) AS n FROM s GROUP BY path, session")(lambda spark, sf_dir: _settled(spark, sf_dir).drop("kind"))
 query("change_coalesce", f"WITH {EVENTS} SELECT path, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, {FOLD} AS kind FROM s GROUP BY path, session")(lambda spark, sf_dir: _settled(spark, sf_dir).select("path", "start", "kind"))
+
+
+# more of the inventory: one query for each function that the ones above do not reach
+
+PAGES = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet")
+query(
+    "safe_hyperlinks",
+    r"SELECT page_id, CASE WHEN octet_length(encode(url)) <= 2048 AND NOT regexp_matches(url, '[\x00-\x20\x7F]') AND regexp_matches(lower(url), '^(https?|mailto|file|ftp):') THEN url END AS safe FROM pages",
+)(lambda spark, sf_dir: PAGES(spark, sf_dir).select("page_id", text.safe_hyperlink(F.col("url")).alias("safe")))
+query(
+    "link_classes",
+    r"""SELECT page_id, href, CASE WHEN starts_with(href, '#') THEN 'heading' WHEN regexp_matches(lower(href), '^([a-z][a-z0-9+.-]*://|mailto:)') THEN 'external' WHEN regexp_matches(lower(href), '^file:|/|\.[a-z0-9]+$') THEN 'file' ELSE 'wiki' END AS kind
+FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)""",
+)(lambda spark, sf_dir: PAGES(spark, sf_dir).select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")).withColumn("kind", markup.link_class(F.col("href"))))
+on_corpus("link_labels", "SELECT doc_id, links[1] AS a, 'see' AS b, 'en::' || links[2] || '#Part ' || doc_id AS c FROM corpus", lambda c: c.select("doc_id", *[
+    markup.link_text(markup.parse_link(x)).alias(n) for n, x in (("a", F.get("links", 0)), ("b", F.concat(F.lit("en::"), F.get("links", 1), F.lit("|see"))), ("c", F.concat(F.lit("en::"), F.get("links", 1), F.lit("#Part "), F.col("doc_id").cast("string"))))
+]))
+on_corpus("visible_controls", "SELECT doc_id, sha256('x' || chr(9223) || chr(9229) || chr(9225) || chr(65533) || chr(9249) || replace(replace(replace(body, chr(10), chr(9226)), chr(9), chr(9225)), chr(13), chr(9229))) AS digest FROM corpus", lambda c: c.select("doc_id", F.sha2(text.visible(F.concat(F.lit("x\x07\r\t\u202e\x7f"), "body")), 256).alias("digest")))
+on_corpus("display_widths", "SELECT doc_id, CAST(length(title) + 4 AS INTEGER) AS width, substr(title, 1, 11) || chr(8230) AS short FROM corpus", lambda c: c.select("doc_id", text.display_width(F.concat("title", F.lit("日本"))).alias("width"), text.truncate(F.col("title"), 12).alias("short")))
+on_corpus("lossy_text", "SELECT doc_id, sha256(body || chr(65533) || '.') AS digest FROM corpus", lambda c: c.select("doc_id", F.sha2(text.lossy_utf8(F.concat(F.encode("body", "UTF-8"), F.lit(b"\xff."))), 256).alias("digest")))
+on_corpus("cache_components", "SELECT doc_id, regexp_replace(title || wiki, '[^A-Za-z0-9._-]', '_', 'g') AS name FROM corpus", lambda c: c.select("doc_id", text.cache_component(F.concat("title", "wiki")).alias("name")))
+on_corpus("ellipsis_and_prefix", "SELECT doc_id, substr(title, 1, 10) || chr(8230) AS short, substr(title, 10) AS bare FROM corpus", lambda c: c.select("doc_id", text.ellipsis(F.col("title"), 10).alias("short"), text.strip_prefix_ci(F.col("title"), "document ").alias("bare")))
+on_corpus("unquoted", "SELECT doc_id, title AS a, relative AS b FROM corpus", lambda c: c.select("doc_id", text.unquote(F.concat(F.lit('"'), "title", F.lit('"'))).alias("a"), text.unquote(F.concat("relative", F.lit(" # why"))).alias("b")))
+on_corpus("tags_deduped", "SELECT doc_id, array_to_string(list_filter(tags, lambda t, i: list_position(tags, t) = i), ',') AS tags FROM corpus", lambda c: c.select("doc_id", F.concat_ws(",", text.dedupe_ci(F.concat("tags", F.transform("tags", F.upper), F.array(F.lit(""))))).alias("tags")))
+on_corpus("parsed_sizes", "SELECT doc_id, size * 1024 AS a, CAST(size * 1.5 * 1048576 AS BIGINT) AS b FROM corpus", lambda c: c.select("doc_id", files.parse_size(F.concat(F.col("size").cast("string"), F.lit(" KiB"))).alias("a"), files.parse_size(F.concat((F.col("size") * 1.5).cast("string"), F.lit("m"))).alias("b")))
+on_corpus("fence_languages", "SELECT doc_id, ['Rust', 'Shell', 'C++', NULL][1 + doc_id % 4] AS language FROM corpus", lambda c: c.select("doc_id", files.language_for_tag(F.get(F.array(*map(F.lit, ["rust,no_run", "console", "C++", "none"])), (F.col("doc_id") % 4).cast("int"))).alias("language")))
+on_corpus("classified_contents", "SELECT doc_id, ['markdown', 'binary', 'binary', 'image'][1 + doc_id % 4] AS kind FROM corpus", lambda c: c.select("doc_id", files.classify(
+    F.when(F.col("doc_id") % 4 == 3, "a.png").otherwise(F.col("relative")), F.concat(F.encode("title", "UTF-8"), F.get(F.array(*map(F.lit, [b"", b"\0", b"\xff\xfe", b"\0"])), (F.col("doc_id") % 4).cast("int")))).alias("kind")))
+ESCAPES = ["", "../..", "../../..", "x/../../../..", "/etc"]
+on_corpus("escaping_paths", "SELECT doc_id, doc_id % 5 >= 2 AS escapes FROM corpus", lambda c: c.select("doc_id", files.escapes_root(
+    F.when(F.col("doc_id") % 5 == 4, "/etc").otherwise(F.concat("relative", F.lit("/"), F.get(F.array(*map(F.lit, ESCAPES)), (F.col("doc_id") % 5).cast("int"))))).alias("escapes")))
+on_corpus("vcs_paths", "SELECT doc_id, doc_id % 3 = 1 AS internal FROM corpus", lambda c: c.select("doc_id", files.is_vcs_internal(F.concat(F.get(F.array(*map(F.lit, ["a/", "a/.git/", "a/.gitx/"])), (F.col("doc_id") % 3).cast("int")), "relative")).alias("internal")))
+on_corpus("ignored_paths", "SELECT wiki, relative FROM corpus WHERE NOT (regexp_matches(relative, '^src1[^/]*/') OR (ends_with(relative, '3.md') AND NOT regexp_matches(relative, '^src7/')))", lambda c: changes.not_ignored(c.select("wiki", "relative"), source.ignore_rules(["*3.md", "!/src7/", "/src1*/"])))
+on_corpus("indexable_files", "SELECT wiki, relative FROM corpus WHERE size <= 1000 AND doc_id % 5 <> 0", lambda c: source.should_index(
+    c.withColumn("too_large", F.col("size") > 1000).withColumn("content_type", F.when(F.col("doc_id") % 5 == 0, F.when(F.col("doc_id") % 2 == 0, "image").otherwise("binary")).otherwise(F.col("content_type")))).select("wiki", "relative"))
+on_corpus("homes", "SELECT wiki, min(relative) AS relative FROM corpus WHERE relative IN (SELECT min(relative) FROM corpus GROUP BY wiki) GROUP BY wiki", lambda c: _homes(c))
+on_corpus("suspect_files", f", {STATE_SQL} SELECT a.wiki, a.relative FROM now a LEFT JOIN was b ON a.wiki = b.wiki AND a.relative = b.relative AND a.size = b.size AND a.mtime = b.mtime WHERE b.relative IS NULL", lambda c: delta.suspects(*states(c)).select("wiki", "relative"))
+on_corpus("owners", "SELECT path, wiki, substr(path, length('/w/' || wiki) + 2) AS relative FROM (SELECT '/w/' || wiki || '/' || relative AS path, CASE WHEN relative LIKE 'src1/%' THEN wiki || '/src1' ELSE wiki END AS wiki FROM corpus)", lambda c: changes.owned(
+    c.select(F.concat(F.lit("/w/"), "wiki", F.lit("/"), "relative").alias("path")),
+    c.select("wiki").distinct().select(F.explode(F.array(F.col("wiki"), F.concat("wiki", F.lit("/src1")))).alias("name")).withColumn("root", F.concat(F.lit("/w/"), "name"))))
+on_corpus("unknown_renames", "SELECT wiki, relative AS path, CASE WHEN doc_id % 3 = 0 THEN 'rename' ELSE 'modify' END AS kind, CASE WHEN doc_id % 3 = 0 THEN 'old/' || relative END AS from_path FROM corpus", lambda c: changes.known_sources(
+    c.select("wiki", F.col("relative").alias("path"), F.lit("rename").alias("kind"), F.concat(F.lit("old/"), "relative").alias("from_path")),
+    c.filter("doc_id % 3 = 0").select("wiki", F.concat(F.lit("old/"), "relative").alias("path"))))
+on_corpus(
+    "image_edges",
+    """, t AS (SELECT wiki, relative, 'page_' || printf('%06d', doc_id % 90) || '.m' AS target FROM corpus), k AS (SELECT target, min({'w': c.wiki, 'p': string_split(c.relative, '/')}) AS k FROM (SELECT DISTINCT target FROM t) JOIN corpus c ON contains(c.relative, target) GROUP BY target)
+SELECT t.wiki, t.relative, t.target, k.k.w AS to_wiki, array_to_string(k.k.p, '/') AS to_relative FROM t LEFT JOIN k USING (target)""",
+    lambda c: graph.edges(c.withColumn("images", F.array(F.concat(F.lit("page_"), F.format_string("%06d", F.col("doc_id") % 90), F.lit(".m")))), "images").filter("kind = 'embeds'").select("wiki", "relative", "target", "to_wiki", "to_relative"),
+)
+on_corpus("backlinks_by_name", f"{EDGES} SELECT DISTINCT e.wiki, e.relative FROM edges e JOIN {MINE} m ON e.to_wiki = m.wiki AND e.to_relative = m.relative", lambda c: pages.of_page(c, "PAGE_000001", "backlinks"))
+on_corpus("links_by_name", f"{EDGES} SELECT e.target FROM edges e SEMI JOIN {MINE} m ON e.wiki = m.wiki AND e.relative = m.relative", lambda c: pages.of_page(c, "page_000001", "links").select("target"))
+on_corpus("table_widths", "SELECT CAST(doc_id % 3 AS INTEGER) AS \"column\", CAST(greatest(4, max(length(CASE doc_id % 3 WHEN 0 THEN wiki WHEN 1 THEN title ELSE relative END))) AS INTEGER) AS width FROM corpus GROUP BY doc_id % 3", lambda c: reports.table_widths(
+    c.select(F.col("doc_id").alias("row"), (F.col("doc_id") % 3).cast("int").alias("column"), F.when(F.col("doc_id") % 3 == 0, F.col("wiki")).when(F.col("doc_id") % 3 == 1, F.col("title")).otherwise(F.col("relative")).alias("text"))))
+on_corpus("first_bytes_links", "SELECT wiki, relative, array_to_string(links, ',') AS links FROM corpus", lambda c: source.first_links(
+    markdown(c).select("wiki", "relative", F.lit("markdown").alias("content_type"), F.encode("markdown", "UTF-8").alias("content"))).withColumn("links", F.concat_ws(",", "links")))
+
+
+def _homes(c: DataFrame) -> DataFrame:
+    first = [r.relative for r in c.groupBy("wiki").agg(F.min("relative").alias("relative")).collect()]  # one row per wiki
+    found = None
+    for name in sorted(set(first), reverse=True):
+        own = resolve.home(c, name)
+        found = own if found is None else found.unionByName(own)
+    return found.groupBy("wiki").agg(F.min("relative").alias("relative"))
