@@ -26,13 +26,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import table, text_or_empty
+from lorespark.llm.common import short_batches, table, text_or_empty
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Longest pre-token whose ids a worker remembers, and how many it keeps in each of two generations.
-MEMO_CHARS, MEMO_SIZE = 48, 200_000
+MEMO_CHARS, MEMO_SIZE = 48, 150_000
 #: Pair checks that a worker remembers.
-MEMO_PAIRS = 200_000
+MEMO_PAIRS = 150_000
 #: Characters of text that are handled before a batch of results leaves a worker.
 BATCH_CHARS = 1_000_000
 #: What public_tokenizers.PATTERN means for texts of ASCII characters alone, for the standard library's faster matcher.
@@ -188,6 +188,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
     vocabulary is the path of a rank file on the driver; its bytes, whose size the file fixes,
     travel to the executors.
     """
+    short_batches(docs.sparkSession)
     with open(vocabulary or public_tokenizers.path(VOCABULARY), "rb") as file:
         data = docs.sparkSession.sparkContext.broadcast(file.read())
     pattern = pattern or public_tokenizers.PATTERN

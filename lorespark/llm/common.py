@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import functools
 import tempfile
 import uuid
@@ -58,16 +57,18 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-@contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within it, Python workers get batches of so many rows at most, which bounds the memory of long texts."""
+#: Rows of an Arrow batch, where the session has Spark's default.
+ARROW_ROWS, DEFAULT_ROWS = 1024, "10000"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Python workers get batches of ARROW_ROWS rows at most, as rows are whole texts; a session that says otherwise is left alone.
+
+    The setting stays, as a plan takes it when it runs.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(name)
-    spark.conf.set(name, min(rows, int(was)) if int(was) > 0 else rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, was)
+    if spark.conf.get(name, DEFAULT_ROWS) == DEFAULT_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import Scratch, arrow_rows, materialize, slices, small_side, table
+from lorespark.llm.common import Scratch, materialize, short_batches, slices, small_side, table
 from lorespark.llm.graphs import components
 
 #: Ratio of the sizes within a band; nodes of a key that meet in one tile; keys by which a pair finds its first meeting.
@@ -245,8 +245,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: i
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     where = nodes.join(needed, "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "digest")
     texts = docs.filter("text IS NOT NULL").join(small_side(materialize(where)), ["doc_id", "digest"])
-    with arrow_rows(docs.sparkSession, 2 * SLICE):
-        sets = materialize(token_sets(texts.select("node", "text"), n).dropDuplicates(["node"]))
+    sets = materialize(token_sets(texts.select("node", "text"), n).dropDuplicates(["node"]))
     side = lambda c: sets.select(F.col("node").alias(c), F.col("tokens").alias(f"tokens_{c}"))
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     union = F.size("tokens_a") + F.size("tokens_b") - common
@@ -304,8 +303,8 @@ def open_pairs(found: DataFrame, num: int, den: int) -> DataFrame:
 def grouped(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """near_duplicates with the digest of each row's text."""
     docs = docs.select(F.col("doc_id").cast("long"), "text", text_digest().alias("digest"))
-    with arrow_rows(docs.sparkSession, 2 * SLICE):
-        wide = Scratch(sketches(docs, n, num, den))
+    short_batches(docs.sparkSession)
+    wide = Scratch(sketches(docs, n, num, den))
     rows = materialize(wide.df.select("doc_id", "digest", "node", "size"))
     shared = materialize(shared_keys(wide.df))
     seen = wide.df.filter("size(fold) > 0").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node")

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import sample_of_each, table
+from lorespark.llm.common import sample_of_each, short_batches, table
 
 PER_LANG, LONG, LEVEL = 64, 8_000, 3
 UNKNOWN = "und"
@@ -70,6 +70,7 @@ class Model:
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], narrow: float = 0.01) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, lang_pred, score (0 to 1), sure."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

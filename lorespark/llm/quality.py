@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import sample_of_each, table
+from lorespark.llm.common import sample_of_each, short_batches, table
 from lorespark.llm.langid import held_out
 
 SAMPLE, BUCKETS, DIMENSIONS, NEIGHBOURS, BLOCK = 2000, 4096, 48, 25, 256
@@ -129,6 +129,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 
 def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, score, predicted."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,6 +144,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
 
 def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The rows of docs whose text scores at least the threshold, with all their columns."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

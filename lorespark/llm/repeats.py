@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import materialize, table
+from lorespark.llm.common import materialize, short_batches, table
 from lorespark.llm.suffixes import suffix_array
 
 SPAN, K, WIDE, CHUNK, MANY, BROADCAST = 100, 32, 12, 100_000, 4096, 3_000_000
@@ -282,6 +282,7 @@ def spans_of(runs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_bytes, spans (removed byte ranges), kept (the remaining bytes)."""
+    short_batches(docs.sparkSession)
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
     digest = F.xxhash64("data")
     shared = own.select("doc_id", digest.alias("x")).groupBy("doc_id").agg(F.min("x").alias("low"), F.max("x").alias("high")).filter("low <> high")
