@@ -4,7 +4,7 @@ Every byte covered by a SPAN-byte string that also starts earlier (smaller doc_i
 
 1. Each SPAN-byte string owns an anchor: its K-byte string with the smallest hash, the first of equal ones. Equal strings have equal anchors at
    the same place, so strings need comparing only within an anchor. Consecutive strings with one anchor form a context; equal contexts
-   met in one batch are reduced to the first before anything is shuffled.
+   met in one batch are reduced to the first before anything is shuffled, and those that come again to the first of the task.
 2. Sorted by anchor and context, every context but the first of its equals holds only repeats. An anchor with one context is done.
 3. Contexts of the other anchors (where repeats begin and end) are cut into stretches of at most WIDE strings that share a core of
    SPAN - WIDE + 1 bytes. Stretches are sorted by core as contexts by anchor: equal ones are repeats, a core with one stretch is done.
@@ -19,7 +19,7 @@ doc_id and text are one place, and a place is not earlier than itself.
 
 Contexts and stretches are told apart by 128 bits of hashes.
 
-Defined results: a null or empty text has no bytes and no removed ones; texts of less than SPAN bytes are kept whole; texts are handled whole (a single one may have up to 2^28 bytes); a null
+Defined results: a null or empty text has no bytes and no removed ones; texts of less than SPAN bytes are kept whole; texts are handled whole (one of 2^28 bytes or more is an error); a null
 doc_id comes before all others; of different texts with one doc_id each loses only its own bytes, and one copy of what they share stays; rows with equal
 doc_id and text are handled alike; other columns are ignored.
 """
@@ -43,9 +43,11 @@ CORE = SPAN - WIDE + 1
 #: BROADCAST: places in documents (a few bytes each) up to which they are broadcast to the documents; beyond it both are shuffled by doc_id.
 STEP = SPAN - K  # starts of K-byte strings in a SPAN-byte one, less one
 BATCH_BYTES = 1_000_000
+#: Contexts that a task remembers; a text has less than 2 to the power of PLACE_BITS bytes.
+SEEN, PLACE_BITS = 50_000, 28
 NO_ID = -(1 << 63)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_LOW = np.uint64((1 << 28) - 1)
+_LOW = np.uint64((1 << PLACE_BITS) - 1)
 
 
 def _k_hashes(data: np.ndarray) -> np.ndarray:
@@ -119,16 +121,55 @@ def _anywhere(known: np.ndarray, group: np.ndarray, doc: np.ndarray, tie: np.nda
     return np.where(known, (doc * 31 + tie + start).view(np.uint64) * _M1, group.view(np.uint64)).view(np.int64)
 
 
+class _Seen:
+    """Contexts that came again within a batch, and the first place of each so far: a line that fills the corpus is then sent on once a
+    task, not once a batch. Bounded by SEEN."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.context, self.anchor, self.doc, self.tie, self.start = (np.zeros(0, np.int64) for _ in range(5))
+
+    def earlier(self, *columns: np.ndarray) -> np.ndarray:
+        """Of rows (anchor, context, doc, tie, start), whether an equal context was seen at an earlier place."""
+        anchor, context, doc, tie, start = columns
+        if not len(self.context) or not len(context):
+            return np.zeros(len(context), bool)
+        i = np.searchsorted(self.context, context).clip(max=len(self.context) - 1)
+        same = (self.context[i] == context) & (self.anchor[i] == anchor)
+        a, b, c = self.doc[i], self.tie[i], self.start[i]
+        return same & ((a < doc) | (a == doc) & ((b < tie) | (b == tie) & (c < start)))
+
+    def add(self, *columns: np.ndarray) -> None:
+        """Keeps the first place of each context."""
+        anchor, context, doc, tie, start = (np.concatenate((x, y)) for x, y in zip((self.anchor, self.context, self.doc, self.tie, self.start), columns))
+        order = np.lexsort((start, tie, doc, context))
+        first = np.ones(len(order), bool)
+        first[1:] = context[order][1:] != context[order][:-1]
+        kept = order[first]
+        self.anchor, self.context, self.doc, self.tie, self.start = (x[kept] for x in (anchor, context, doc, tie, start))
+        if len(kept) > SEEN:
+            self.clear()
+
+
 def contexts(docs: DataFrame) -> DataFrame:
-    """(anchor, context, doc_id, tie, at: start, count, place of the anchor and whether an equal one comes earlier in the batch)."""
+    """(anchor, context, doc_id, tie, at: start, count, place of the anchor and whether an equal one comes earlier in the task)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
         for batch in batches:
             for ids, ties, texts in _parts(batch):
+                if any(len(x) >= 1 << PLACE_BITS for x in texts):
+                    raise ValueError(f"a text of {1 << PLACE_BITS} bytes or more: cut it into documents")
                 text, start, count, place, anchor, context = contexts_of(texts)
                 doc, tie = (ids[text], ties[text]) if len(text) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 order, known = _known(anchor, context, doc, tie, start)
                 anchor, context, doc, tie, start, count, place = (x[order] for x in (anchor, context, doc, tie, start, count, place))
+                again = np.zeros(len(known), bool)
+                again[:-1] = known[1:] & ~known[:-1]
+                known |= seen.earlier(anchor, context, doc, tie, start)
+                seen.add(*(x[again] for x in (anchor, context, doc, tie, start)))
                 at = start << 16 | place << 8 | count << 1 | known
                 yield pa.RecordBatch.from_arrays([pa.array(_anywhere(known, anchor, doc, tie, start)), pa.array(context), pa.array(doc), pa.array(tie), pa.array(at)], ["anchor", "context", "doc_id", "tie", "at"])
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 def suffix_array(text: Sequence[int]) -> list[int]:
     """Starts of all suffixes of a text of small non-negative integers (or bytes) in ascending order; the end of the text sorts first and is left out.
 
-    Phase 1 visits groups of suffixes with equal context in descending order. For each member it finds the nearest place
+    Nothing is sorted but the letters, by counting. Phase 1 visits groups of suffixes with equal context in descending order. For each member it finds the nearest place
     before it in a lower group (the previous smaller one, along pointers of places already visited); such a place's context grows by
     the group's, once for each member that it precedes, so it moves, by that count, into a new group right above its own. What results
     are the groups of suffixes by longest Lyndon prefix. Phase 2 goes over the array in ascending order: what precedes a placed
@@ -56,19 +56,35 @@ def suffix_array(text: Sequence[int]) -> list[int]:
                     group[p], size[g], size[last] = last, m, 1
             end = first
             continue
-        times: dict[int, int] = {}
-        for s in sorted(order[first:end]):
+        inside: dict[int, int] = {}  # members whose nearest such place is a member
+        for s in order[first:end]:
             p = s - 1
             while p >= 0 and group[p] > first:
                 p = before[p]
             if p >= 0 and group[p] == first:
-                p = before[p]
-            before[s] = p
+                inside[s] = p
+            else:
+                before[s] = p
+        for s in list(inside):  # along chains of members, each once
+            chain = []
+            while s in inside:
+                chain.append(s)
+                s = inside[s]
+            for member in chain:
+                before[member] = before[s]
+                del inside[member]
+        times: dict[int, int] = {}
+        for s in order[first:end]:
+            p = before[s]
             if p >= 0:
                 times[p] = times.get(p, 0) + 1
+        by_times: list[list[int]] = [[] for _ in range(max(times.values(), default=0) + 1)]
+        for p, t in times.items():
+            by_times[t].append(p)
         moved: dict[int, list[int]] = {}
-        for p in sorted(times, key=times.__getitem__, reverse=True):
-            moved.setdefault(group[p], []).append(p)
+        for places in reversed(by_times):
+            for p in places:
+                moved.setdefault(group[p], []).append(p)
         for g, members in moved.items():
             i = 0
             while i < len(members):
