@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL}
+    return {
+        "op1_license_scan": licenses.OP1_SQL,
+        "op2_decontaminate": decontaminate.OP2_SQL,
+        "op3_suffix_dedup": repeats.OP3_SQL,
+        "op7_jaccard_join": jaccard.OP7_SQL,
+    }

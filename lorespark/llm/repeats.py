@@ -353,3 +353,22 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
     return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Plain definition: every string of 100 bytes (200 hexadecimal digits) by its digest, in order of its place.
+OP3_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+x AS (SELECT doc_id, c, length(h) // 2 - 99 - c AS more, substr(h, 2 * c + 1, 1198) AS piece FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99, 500)) AS c FROM d WHERE length(h) >= 200)),
+w AS (SELECT doc_id, c, piece, unnest(range(least(500, more))) AS j FROM x),
+r AS (SELECT doc_id, c + j AS i FROM w QUALIFY row_number() OVER (PARTITION BY md5(substr(piece, 2 * j + 1, 200)) ORDER BY doc_id, c + j) > 1),
+n AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER o + 100 THEN 0 ELSE 1 END AS fresh FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM n),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, k),
+c AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS start FROM s),
+k AS (SELECT doc_id, any_value(n) AS n, any_value(gone) AS gone, string_agg(part, '' ORDER BY start) AS kept FROM (
+    SELECT c.doc_id, start, substr(h, 2 * start + 1, 2 * (a - start)) AS part, 0 AS n, 0 AS gone FROM c JOIN d ON d.doc_id = c.doc_id
+    UNION ALL SELECT d.doc_id, e, substr(h, 2 * e + 1), 0, 0 FROM d JOIN (SELECT doc_id, max(b) AS e FROM s GROUP BY doc_id) x ON x.doc_id = d.doc_id) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS spans, sum(b - a) AS gone FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(t.gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.kept, h))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
