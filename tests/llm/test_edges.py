@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and columns with clashing names, for every operator."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -113,5 +115,12 @@ def test_pipeline_equals_its_definition(spark):
     groups = plain_components([t for _, t in kept], 5, 80, 100)
     stay = [d for d in kept if groups[place[d[0]]][1] == place[d[0]]]
     hit = {r.doc_id for r in decontaminate.op2_decontaminate(spark, DATA).filter("contaminated").collect()}
-    got = {r.doc_id: bytes() for r in corpus_pipeline.run(spark, DATA).collect()}
-    assert set(got) == {i for i, _ in stay if i not in hit}
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path(bpe.VOCABULARY), "rb") as f:
+        plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(f.read()), special_tokens={})
+    clean = spark.createDataFrame([(i, t) for i, t in stay if i not in hit], "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in pii.pseudonymise(clean, pii.session_key(spark)).collect()}
+    got = {r.doc_id: (r.n_tokens, r.ids, r.decoded_sha256) for r in corpus_pipeline.run(spark, DATA).collect()}
+    assert got == {i: (len(x := plain.encode_ordinary(t)), x, hashlib.sha256(t.encode()).hexdigest()) for i, t in texts.items()}
