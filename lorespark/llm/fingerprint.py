@@ -28,6 +28,18 @@ BUCKETS_EACH = 3
 FIRST_KEY = -(1 << 63)
 
 
+def one_of(points: set[int]) -> str:
+    """A regular expression for one of some characters, which looks at the smallest first: most texts hold none as large."""
+    ranges: list[list[int]] = []
+    for p in sorted(points):
+        if ranges and p == ranges[-1][1] + 1:
+            ranges[-1][1] = p
+        else:
+            ranges.append([p, p])
+    inner = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges)
+    return rf"[\x{{{ranges[0][0]:X}}}-\x{{10FFFF}}&&[{inner}]]"
+
+
 @functools.lru_cache(1)
 def _unicode() -> tuple[str, list[str | None], list[tuple[str, str]], list[tuple[str, int]]]:
     """The class of characters that normalisation may change, decompositions by code point, compositions in order, and marks' classes."""
@@ -47,29 +59,29 @@ def _unicode() -> tuple[str, list[str | None], list[tuple[str, str]], list[tuple
             pairs.append((len(whole[point]), a + b, c))
             unsure.add(ord(b))
     unsure |= {*range(0x1100, 0x1200)}
-    points, ranges = sorted(unsure), []
-    for p in points:
-        if ranges and p == ranges[-1][1] + 1:
-            ranges[-1][1] = p
-        else:
-            ranges.append([p, p])
-    chars = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges)
+    chars = one_of(unsure)
     return chars, whole, [(x, c) for _, x, c in sorted(pairs)], marks
 
 
 @functools.lru_cache(1)
 def _folds() -> dict[str, str]:
-    """What full case folding makes of lower-case characters that lower-casing leaves as they are."""
-    every = (chr(p) for p in range(0x80, 0x1FFFF) if not 0xD800 <= p < 0xE000)
+    """What full case folding makes of characters from U+0100 that lower-casing leaves as they are."""
+    every = (chr(p) for p in range(0x100, 0x1FFFF) if not 0xD800 <= p < 0xE000)
     return {c: c.casefold() for c in every if c == c.lower() != c.casefold()}
 
 
+def _normal(text: Column) -> Column:
+    """Normal form; texts without a character that may change have it."""
+    return F.when(text.rlike(_unicode()[0]), normal_form(text)).otherwise(text)
+
+
 def folded(text: Column) -> Column:
     """Full case folding of a text in normal form, in normal form again."""
-    some = "".join(rf"\x{{{ord(c):X}}}" for c in _folds())
+    some = one_of({ord(c) for c in _folds()})
     table_of = F.from_json(F.lit(json.dumps(_folds())), "map<string,string>")
-    full = lambda t: normal_form(_rewrite(t, f"[{some}]", lambda m: F.element_at(table_of, m)))
-    return let(F.lower(text), lambda low: F.when(low.rlike(f"[{some}{_unicode()[0]}]"), full(low)).otherwise(low))
+    full = lambda t: _rewrite(t, some, lambda m: F.element_at(table_of, m))
+    low = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))  # the only one that is frequent
+    return let(let(low, lambda t: F.when(t.rlike(some), full(t)).otherwise(t)), _normal)
 
 
 def _char(point: Column) -> Column:
@@ -101,8 +113,7 @@ def normal_form(text: Column) -> Column:
 
 
 def canonical(text: Column) -> Column:
-    changing = f"[{_unicode()[0]}]"
-    normal = let(text, lambda t: F.when(t.rlike(r"[^\x{0}-\x{2FF}]") & t.rlike(changing), normal_form(t)).otherwise(t))
+    normal = let(text, _normal)
     plain = F.octet_length(text) == F.char_length(text)
     return F.trim(F.regexp_replace(F.when(plain, F.lower(text)).otherwise(folded(normal)), r"[\s\x{85}\p{Z}]+", " "))
 
