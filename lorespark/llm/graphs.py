@@ -14,13 +14,17 @@ def components(links: DataFrame) -> DataFrame:
     Labels of neighbours hook the labels' own trees and are then shortened, so the number of rounds grows with the logarithm of the
     longest path; each round is a few joins on the links, cut at a checkpoint.
     """
-    edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    back = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    edges = materialize(links.select("a", "b").unionByName(back).distinct())
     labels = materialize(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
     while True:
-        ends = edges.join(labels.select(F.col("id").alias("a"), F.col("label").alias("label_a")), "a").join(labels.select(F.col("id").alias("b"), F.col("label").alias("label_b")), "b")
-        offers = ends.select(F.col("label_a").alias("id"), F.col("label_b").alias("offer")).unionByName(ends.select(F.col("a").alias("id"), F.col("label_b").alias("offer"))).groupBy("id").agg(F.min("offer").alias("offer"))
+        named = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
+        ends = edges.join(named("a"), "a").join(named("b"), "b")
+        # the same offer to the end itself and to its label
+        offers = ends.select(F.explode(F.array("a", "label_a")).alias("id"), F.col("label_b").alias("offer"))
+        offers = offers.groupBy("id").agg(F.min("offer").alias("offer"))
         hooked = labels.join(offers, "id", "left").select("id", F.col("label").alias("old"), F.least("label", "offer").alias("label"))
-        up = hooked.select(F.col("id").alias("label"), F.col("label").alias("higher"))
+        up = hooked.filter("label <> id").select(F.col("id").alias("label"), F.col("label").alias("higher"))
         after = materialize(hooked.join(up, "label", "left").select("id", "old", F.coalesce("higher", "label").alias("label")))
         labels = after.select("id", "label")
         if after.filter("old <> label").isEmpty():
