@@ -61,6 +61,25 @@ def test_odd_rows(spark, docs, benchmark, name):
     if name == "repeats":
         by = {r.doc_id: r for r in got}
         assert by[1].n_bytes == 0 and len(by[3].kept) < 200 and by[4].spans == []
+    if name == "licenses":
+        assert all(r.sentence_ids == [] and r.licenses == [] for r in got)
+    if name == "pii":
+        assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(ROWS, key=repr) and all(r.n_found == r.n_replaced == 0 for r in got)
+    if name == "fingerprint":
+        by = {r.doc_id: r for r in got}
+        assert by[1].fingerprint == by[2].fingerprint == by[8].fingerprint and by[4].fingerprint == by[7].fingerprint and by[1].n_chars == 0
+        assert len({r.fingerprint for r in got}) == 5 and by[3].n_chars == len(LONG)
+    if name == "next":  # in ascending order of ids, null first, the last before the first
+        assert sorted(((r.doc_id, r.next_text) for r in got), key=repr) == sorted(
+            [(None, ""), (1, ""), (2, LONG), (3, ROWS[3][1]), (4, ROWS[3][1]), (4, ROWS[3][1]), (7, " \n\t "), (8, ROWS[8][1]), (9, ROWS[5][1])], key=repr
+        )
+    if name in ("quality", "keep"):
+        scores = {r.doc_id: r.score for r in operators(spark, docs, benchmark)["quality"](docs).collect()}
+        assert scores[1] == scores[2] == 0.5 and scores[4] == scores[7] and all(0 <= x <= 1 for x in scores.values())
+        if name == "keep":
+            assert {r.doc_id for r in got} == {i for i, x in scores.items() if x >= quality.THRESHOLD} and got[0].asDict().keys() == set(docs.columns)
+    if name == "urls":
+        assert all((r.host, r.path, r.rule, r.verdict) == ("", "", None, "allow") for r in got)
     if name == "langid":
         assert {r.doc_id: r.lang_pred for r in got if r.doc_id in (1, 2, 8)} == {1: "und", 2: "und", 8: "und"}
 
