@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import materialize
+from lorespark.llm.common import materialize, small_side
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,8 +24,12 @@ def components(links: DataFrame) -> DataFrame:
         offers = ends.select(F.explode(F.array("a", "label_a")).alias("id"), F.col("label_b").alias("offer"))
         offers = offers.groupBy("id").agg(F.min("offer").alias("offer"))
         hooked = labels.join(offers, "id", "left").select("id", F.col("label").alias("old"), F.least("label", "offer").alias("label"))
+        hooked = materialize(hooked)
+        # all of a large component share a label: the few labels that moved are broadcast, many are plain shuffles that can be split
         up = hooked.filter("label <> id").select(F.col("id").alias("label"), F.col("label").alias("higher"))
-        after = materialize(hooked.join(up, "label", "left").select("id", "old", F.coalesce("higher", "label").alias("label")))
+        up = up.join(hooked.select("label").distinct(), "label", "left_semi")
+        after = hooked.join(small_side(up), "label", "left").select("id", "old", F.coalesce("higher", "label").alias("label"))
+        after = materialize(after)
         labels = after.select("id", "label")
         if after.filter("old <> label").isEmpty():
             return labels.select("id", F.col("label").alias("component"))
