@@ -122,9 +122,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in batches:
             yield pd.DataFrame({"h": batch["h"], "label": batch["label"], "vector": [features(x).tobytes() for x in batch["text"]]})
 
-    found = sorted((r.h, r.label, r.vector) for r in best.select("h", "label", "text").mapInPandas(run, "h long, label int, vector binary").collect())
-    vectors = np.frombuffer(b"".join(x[2] for x in found), np.float32).reshape(-1, BUCKETS).copy()
-    return Model(vectors, [x[1] for x in found])
+    found = sorted(best.select("h", "label", "text").mapInPandas(run, "h long, label int, vector binary").collect(), key=lambda r: (r.h, r.label))
+    labels, vectors = [r.label for r in found], np.empty((len(found), BUCKETS), np.float32)
+    for i in range(len(found)):  # one copy of the sample at a time on the driver
+        vectors[i] = np.frombuffer(found[i].vector, np.float32)
+        found[i] = None
+    return Model(vectors, labels)
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
