@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorespark.llm import bpe, decontaminate, fingerprint, jaccard, langid, licenses, pii, quality, repeats, urls
+from lorespark.llm import bpe, decontaminate, exact, fingerprint, jaccard, langid, licenses, pii, quality, repeats, trie, urls
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_url_filter": urls.op8_url_filter,
         "op9_language_id": langid.op9_language_id,
         "op10_quality": quality.op10_quality,
+        "op12_prefix_trie": trie.op12_prefix_trie,
+        "op13_exact_dedup": exact.op13_exact_dedup,
     }
 
 
@@ -26,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontaminate": decontaminate.OP2_SQL,
         "op3_suffix_dedup": repeats.OP3_SQL,
         "op7_jaccard_join": jaccard.OP7_SQL,
+        "op13_exact_dedup": exact.OP13_SQL,
     }
