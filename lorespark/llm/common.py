@@ -7,10 +7,13 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows up to which a side of a join is broadcast; beyond it the join shuffles.
@@ -57,6 +60,39 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _counted(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Sorted rows with `_part`, the task, and `_at`: how many rows of the key came before in this task."""
+    part, last, seen = TaskContext.get().partitionId(), None, 0
+    for batch in batches:
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        if not len(keys):
+            continue
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        at = np.arange(len(keys)) - np.repeat(starts, np.diff(np.r_[starts, len(keys)]))
+        if keys[0] == last:
+            at[: starts[1] if len(starts) > 1 else len(keys)] += seen
+        last, seen = keys[-1], at[-1] + 1
+        more = [pa.array(np.full(len(keys), part, np.int32)), pa.array(at.astype(np.int64))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "_part", "_at"])
+
+
+def placed(rows: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, Scratch]:
+    """rows with `_pos`, the place among those of equal key (an integer, never null) in that order, from 0; and the table they are read from.
+
+    All rows are sorted by ranges and counted task by task, then shifted by what earlier tasks hold: no key has to fit into a task.
+    """
+    names = rows.columns
+    ranged = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    schema = StructType([*rows.schema.fields, StructField("_part", IntegerType()), StructField("_at", LongType())])
+    kept = Scratch(ranged.mapInArrow(functools.partial(_counted, key=key), schema))
+    held = kept.df.groupBy(key, "_part").agg(F.count("*").alias("_held"))
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.withColumn("_before", F.sum("_held").over(earlier)).filter("_before > 0").select(key, "_part", "_before")
+    # only keys that a border of two tasks cuts: at most one row for each task
+    found = kept.df.join(small_side(before), [key, "_part"], "left")
+    return found.select(*names, (F.col("_at") + F.coalesce("_before", F.lit(0))).alias("_pos")), kept
+
+
 #: Rows of an Arrow batch, where the session has Spark's default.
 ARROW_ROWS, DEFAULT_ROWS = 1024, "10000"
 

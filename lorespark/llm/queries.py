@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorespark.llm import bpe, decontaminate, exact, fingerprint, jaccard, langid, licenses, pii, quality, repeats, trie, urls
+from lorespark.llm import bpe, decontaminate, exact, fingerprint, generations, jaccard, langid, licenses, pii, quality, repeats, trie, urls
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_url_filter": urls.op8_url_filter,
         "op9_language_id": langid.op9_language_id,
         "op10_quality": quality.op10_quality,
+        "op11_late_overwrite": generations.op11_late_overwrite,
         "op12_prefix_trie": trie.op12_prefix_trie,
         "op13_exact_dedup": exact.op13_exact_dedup,
     }

@@ -19,13 +19,11 @@ import uuid
 from collections.abc import Iterator
 from itertools import groupby
 
-import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import Scratch, _folder, materialize, small_side, table, text_or_empty
+from lorespark.llm.common import Scratch, _folder, materialize, placed, small_side, table, text_or_empty
 
 #: Fixed values of the query: conversations of a hundred take up to five first turns from the hundred's first one.
 HUNDRED, HEADS = 100, 6
@@ -38,36 +36,13 @@ def turn_key() -> Column:
     return F.unhex(F.sha2(F.concat(F.char_length(role).cast("string"), F.lit(":"), role, text), 256))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (conv_id, key, chars) with `part` and `at`: how many rows of the conversation came before in this task."""
-    part, last, seen = TaskContext.get().partitionId(), None, 0
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        if not len(ids):
-            continue
-        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        at = np.arange(len(ids)) - np.repeat(starts, np.diff(np.r_[starts, len(ids)]))
-        if ids[0] == last:
-            at[: starts[1] if len(starts) > 1 else len(ids)] += seen
-        last, seen = ids[-1], at[-1] + 1
-        columns = [*batch.columns, pa.array(np.full(len(ids), part, np.int32)), pa.array(at.astype(np.int64))]
-        yield pa.RecordBatch.from_arrays(columns, ["conv_id", "key", "chars", "part", "at"])
-
-
-def positions(conversations: DataFrame) -> DataFrame:
-    """(conv_id long, pos, key, chars): every turn's place in its conversation, from 0."""
+def positions(conversations: DataFrame) -> tuple[DataFrame, Scratch]:
+    """(conv_id long, turn, key, chars, pos): every turn's place in its conversation, from 0; and the table they are read from."""
     own = conversations.filter("conv_id IS NOT NULL").select(
         F.col("conv_id").cast("long").alias("conv_id"), "turn", turn_key().alias("key"), F.char_length(text_or_empty("text")).cast("long").alias("chars")
     )
-    order = ["conv_id", "turn", "key"]
-    ranged = own.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "key", "chars")
-    counted = materialize(ranged.mapInArrow(_counted, "conv_id long, key binary, chars long, part int, at long"))
-    held = counted.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
-    before = held.withColumn("before", F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    # only conversations cut by a border of two tasks: at most one row for each task
-    before = small_side(before.filter("before > 0").select("conv_id", "part", "before"))
-    placed = counted.join(before, ["conv_id", "part"], "left")
-    return placed.select("conv_id", (F.col("at") + F.coalesce("before", F.lit(0))).alias("pos"), "key", "chars")
+    found, kept = placed(own, "conv_id", ["turn", "key"])
+    return found.withColumnRenamed("_pos", "pos"), kept
 
 
 def with_heads(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -199,13 +174,17 @@ def ends_of(enders: DataFrame) -> DataFrame:
 
 def prefix_trie(conversations: DataFrame) -> DataFrame:
     """The trie of conversations (conv_id, turn, role, text) as they are, without borrowed heads; columns as in `build`."""
-    turns = materialize(positions(conversations))
-    return build(turns.groupBy("conv_id").agg(F.count("*").alias("size")), turns)
+    turns, kept = positions(conversations)
+    nodes = build(turns.groupBy("conv_id").agg(F.count("*").alias("size")), turns.select("conv_id", "pos", "key", "chars"))
+    kept.drop()
+    return nodes
 
 
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes, turns = with_heads(materialize(positions(table(spark, sf_dir, "conversations"))))
-    return build(sizes, turns).select(
+    turns, kept = positions(table(spark, sf_dir, "conversations"))
+    nodes = build(*with_heads(turns))
+    kept.drop()
+    return nodes.select(
         "conv_id", "depth", F.col("parent").alias("parent_conv_id"), F.col("n").alias("n_convs"), "n_children", "n_leaves",
         F.col("saved").alias("saved_tokens"), F.col("ends").alias("ends_sha256"),
     )
