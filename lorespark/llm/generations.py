@@ -195,14 +195,15 @@ class Layout:
         keys, old = self.keys, self.manifest()
         fresh = latest(late, keys).withColumn("_lore_day", day_of(late, keys.time))
         standing = self.rows(columns=[keys.key, keys.arrived]).select(F.col(keys.key).alias("_lore_key"), F.col(keys.arrived).alias("_lore_arrived"), F.col("_lore_day").alias("_lore_old_day"))
-        met = fresh.join(standing, fresh[keys.key].eqNullSafe(standing["_lore_key"]), "left")
+        # Spark takes what executors read from files for as small as the manifest, and would broadcast it
+        met = fresh.join(standing.hint("merge"), fresh[keys.key].eqNullSafe(standing["_lore_key"]), "left")
         newer = F.col("_lore_old_day").isNull() | (F.col(keys.arrived) > F.col("_lore_arrived")) | (F.col("_lore_arrived").isNull() & F.col(keys.arrived).isNotNull())
         winners = Scratch(met.filter(newer).select(*self.schema.names, "_lore_day", "_lore_old_day"))
         days = winners.df.select(F.explode(F.array("_lore_day", "_lore_old_day")).alias("day")).filter("day IS NOT NULL").distinct()
         dirty = small_side(materialize(days))
         replaced = winners.df.filter("_lore_old_day IS NOT NULL").select(F.col(keys.key).alias("_lore_key"))
         again = self.rows(old.join(dirty, "day", "left_semi"))
-        again = again.join(replaced, again[keys.key].eqNullSafe(replaced["_lore_key"]), "left_anti")
+        again = again.join(replaced.hint("merge"), again[keys.key].eqNullSafe(replaced["_lore_key"]), "left_anti")
         files, kept = self._written(again.unionByName(winners.df.drop("_lore_old_day")), self.generation + 1)
         # files are written here; the manifest of the generation then names them and the clean ones
         written = materialize(files)
