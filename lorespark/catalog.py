@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions import files, markup, text
-from lorespark.operators import delta, fuzzy, graph, outputs, pages, reports, resolve, search
+from lorespark.operators import delta, fuzzy, graph, index, outputs, pages, reports, resolve, search
 from lorespark.session import shared_folder
 from lorespark.sources import files as source
 from lorespark.sources.corpus import CORPUS_SQL, corpus, markdown
@@ -84,7 +84,7 @@ def _index_path(application: str, folder: str, sf_dir: str) -> str:
 def index_of(spark: SparkSession, sf_dir: str) -> search.Index:
     """The index of the corpus, written to the shared folder when a session first searches it."""
     path = _index_path(spark.sparkContext.applicationId, shared_folder(spark), sf_dir)
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/stats/_SUCCESS")
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/sums/_SUCCESS")
     if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
         search.write_index(corpus(spark, sf_dir), path)
     return search.read_index(spark, path)
@@ -118,7 +118,23 @@ SELECT wiki, relative, 'title' AS field, {TOKENS.format('title')} AS t FROM corp
 on_corpus("in_page_search", "SELECT wiki, relative, CAST(list_position(l, true) AS INTEGER) AS line FROM (SELECT wiki, relative, list_transform(string_split(body, chr(10)), lambda x: contains(lower(x), 'license')) AS l FROM corpus) WHERE list_contains(l, true)", lambda c: search.in_page(c, "License"))
 _search("search_not_in_strict_mode", "the -that", _search_sql([(["the"], BOOSTS, False)]), strict=False)
 on_corpus("search_by_scan", _search_sql([(["the"], BOOSTS, False), (["that"], BOOSTS, True)]), lambda c: search.search(c, "the -that"))
-on_corpus("snippets", None, lambda c: search.with_snippets(search.search(c, "loser", top=10), c, "loser"))
+_search("search_by_levels", WORD, _search_sql([([WORD], BOOSTS, False)], top=5), top=5, at_once=0)
+_search("search_and_by_levels", "the that", _search_sql([(["the"], BOOSTS, False), (["that"], BOOSTS, False)], top=5), top=5, at_once=0)
+PLACES = r""", piece AS (SELECT wiki, relative, unnest(ps) AS term, unnest(range(len(ps))) AS i FROM (SELECT wiki, relative, regexp_extract_all(lower(body), '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') AS ps FROM corpus)),
+placed AS (SELECT wiki, relative, term, CAST(sum(length(term)) OVER (PARTITION BY wiki, relative ORDER BY i) - length(term) AS BIGINT) AS start FROM piece),
+spot AS (SELECT * FROM placed WHERE regexp_matches(term, '^[\p{L}\p{N}]') AND octet_length(encode(term)) < 40)"""
+on_corpus(
+    "word_places", f"{PLACES} SELECT wiki, relative, term, string_agg(start, ',' ORDER BY start) AS places FROM spot GROUP BY ALL",
+    lambda c: index.places(index.entries(c)).groupBy("wiki", "relative", "term").agg(F.array_join(F.transform(F.sort_array(F.collect_list("start")), lambda x: x.cast("string")), ",").alias("places")),
+)
+query(
+    "snippets",
+    f"""WITH {CORPUS_SQL} {_search_sql([(["loser"], BOOSTS, False)], top=10)[:-len("SELECT * FROM k WHERE rank <= 10")].rstrip()} {PLACES},
+near AS (SELECT wiki, relative, start, count(*) OVER w AS n, max(start + 5) OVER w AS stop FROM spot WHERE term = 'loser' WINDOW w AS (PARTITION BY wiki, relative ORDER BY start RANGE BETWEEN CURRENT ROW AND 145 FOLLOWING)),
+one AS (SELECT *, greatest(0, (150 - (stop - start)) // 2) AS room FROM near QUALIFY row_number() OVER (PARTITION BY wiki, relative ORDER BY n DESC, start) = 1),
+cut AS (SELECT o.wiki, o.relative, regexp_replace(substr(body, greatest(0, start - room) + 1, stop + room - greatest(0, start - room)), '^[\\s]+|[\\s]+$', '', 'g') AS snippet FROM one o JOIN corpus c ON c.wiki = o.wiki AND c.relative = o.relative)
+SELECT k.*, snippet FROM k LEFT JOIN cut ON cut.wiki = k.wiki AND cut.relative = k.relative WHERE rank <= 10""",
+)(lambda spark, sf_dir: search.with_snippets(search.search(index_of(spark, sf_dir), "loser", top=10), corpus(spark, sf_dir), "loser", index_of(spark, sf_dir)))
 
 _JSON = "SELECT '{\"wiki\":\"' || wiki || '\",\"relative\":\"' || relative || '\",\"title\":\"' || title || '\"}' AS line FROM corpus WHERE list_contains(tags, 'src4')"
 on_corpus("output_json_lines", _JSON, lambda c: outputs.lines(reports.with_tag(c, "src4"), "json"))
@@ -340,6 +356,39 @@ def states(c: DataFrame) -> tuple[DataFrame, DataFrame]:
 on_corpus("delta_classify", f", {STATE_SQL} SELECT * FROM delta", lambda c: delta.changes(*states(c)))
 on_corpus("delta_summary", f", {STATE_SQL} SELECT change, count(*) AS n FROM delta GROUP BY change", lambda c: delta.summary(delta.changes(*states(c))))
 on_corpus("apply_delta_equals_rebuild", f", {STATE_SQL} SELECT wiki, relative, CASE WHEN touched THEN 1 ELSE mtime END AS mtime, content_hash FROM now JOIN delta USING (wiki, relative)", lambda c: delta.apply(states(c)[1], delta.changes(*states(c)), states(c)[0]).select("wiki", "relative", "mtime", "content_hash"))
+
+
+def dated(c: DataFrame) -> DataFrame:
+    """The corpus with the columns of a state."""
+    return c.withColumns({"mtime": F.col("doc_id") + 1000, "content_hash": F.sha2("body", 256), "path": F.col("relative"), "diagnostics": F.array().cast("array<struct<line:int,message:string>>")})
+
+
+def earlier(c: DataFrame) -> DataFrame:
+    """The documents of `states`' previous state: what is modified had other words and another name."""
+    digit, now = F.col("doc_id") % 10, dated(c).filter("doc_id % 10 <> 3")
+    gone = dated(c).filter("doc_id < 5").withColumn("relative", F.concat(F.lit("gone/"), "relative"))
+    old = now.withColumns({
+        "body": F.when(digit == 7, F.concat(F.lit("the former "), F.substring("body", 1, 300))).otherwise(F.col("body")), "title": F.when(digit == 7, "Former").otherwise(F.col("title")),
+        "size": F.when(digit == 7, F.col("size") + 1).otherwise(F.col("size")), "mtime": F.when(digit.isin(5, 7), F.lit(1).cast("long")).otherwise(F.col("mtime")),
+        "content_hash": F.when(digit == 7, "other").otherwise(F.col("content_hash")),
+    })
+    return old.unionByName(gone)
+
+
+def _followed(spark: SparkSession, sf_dir: str) -> delta.Store:
+    """A store of the earlier documents that was brought up to date with the corpus."""
+    store, c = delta.Store(spark, f"{shared_folder(spark)}/lorespark-store-{uuid.uuid4().hex}"), corpus(spark, sf_dir)
+    assert delta.follow(store, earlier(c))[0] == "rebuilt" and delta.follow(store, dated(c))[0] == "updated"
+    return store
+
+
+_FIELD_SQL = {"title": "title", "aliases": "array_to_string(aliases, ' ')", "headings": "array_to_string(headings, ' ')", "body": "body"}
+query(
+    "index_after_delta",
+    f"""WITH {CORPUS_SQL}, tk AS (SELECT wiki, relative, {', '.join(f"{TOKENS.format(e)} AS t_{f}" for f, e in _FIELD_SQL.items())} FROM corpus), w AS (SELECT wiki, relative, unnest(list_distinct(list_concat(t_title, t_aliases, t_headings, t_body))) AS term FROM tk)
+SELECT wiki, term, relative, {', '.join(f"CAST(len(list_filter(t_{f}, lambda x: x = term)) AS INTEGER) AS tf_{f}" for f in _FIELD_SQL)}, {', '.join(f"CAST(len(t_{f}) AS INTEGER) AS dl_{f}" for f in _FIELD_SQL)} FROM w JOIN tk USING (wiki, relative)""",
+)(lambda spark, sf_dir: _followed(spark, sf_dir).read("entries").drop("at", "level"))
+query("search_after_delta", f"WITH {CORPUS_SQL} {_search_sql([([WORD], BOOSTS, False)])}")(lambda spark, sf_dir: search.search(_followed(spark, sf_dir).index(), WORD))
 EVENTS = "ev AS (SELECT CAST(user_id AS VARCHAR) AS path, ts, event_id, CASE event_type WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'rename' WHEN 'error' THEN 'delete' ELSE 'modify' END AS kind FROM events), g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM ev WINDOW w AS (PARTITION BY path ORDER BY ts, event_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, event_id) AS session FROM g)"
 FOLD = "list_reduce(list(kind ORDER BY ts, event_id), lambda s, k: CASE WHEN s = 'create' AND k = 'modify' THEN 'create' WHEN s = 'create' AND k = 'delete' THEN 'delete' WHEN s = 'rename' AND k = 'modify' THEN 'rename' WHEN s = 'delete' AND k = 'create' THEN 'modify' WHEN s = 'delete' AND k = 'modify' THEN 'delete' ELSE k END)"
 

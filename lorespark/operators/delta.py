@@ -1,4 +1,4 @@
-"""Incremental index: change detection, versioned tables, reconciliation."""
+"""Incremental index: change detection, tables in segments, reconciliation."""
 
 from __future__ import annotations
 
@@ -7,13 +7,20 @@ import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lorespark.errors import IndexMissing, LoreError
+from lorespark.operators import index
 
-SCHEMA_VERSION = 3
+SCHEMA_VERSION = 4
+#: Of more than FEW segments, one is merged with the later ones if these have a MERGEth of its documents or more.
+MERGE, FEW = 4, 4
+#: Tables whose rows of all segments are added up.
+ADDED_UP = {"blocks": index.merge_blocks, "sums": index.merge_sums}
 #: What is kept of each document to see whether it changed.
 STATE = ["wiki", "relative", "size", "mtime", "content_hash"]
 #: Versions that stay for readers which have one open; seconds after which a writer's lock is taken for left behind.
@@ -57,8 +64,12 @@ def apply(table: DataFrame, delta: DataFrame, fresh: DataFrame) -> DataFrame:
 
 @dataclass
 class Store:
-    """Versions of a set of tables in a folder that Spark can write; a small text file names the current one, and readers keep the version
-    they opened."""
+    """Tables of documents in segments, in a folder that Spark can write; a small text file names the segments that count, for all tables at once.
+
+    A segment is what one update wrote: the rows of new and changed documents, and in `gone` the keys (wiki, relative) whose rows in earlier segments no longer
+    count (of one table, if `only` names it). Of more than FEW segments those that together outweigh a fourth of the one before are merged with it, so
+    their number grows with the logarithm of the documents', and each row is written again a few times at most. Readers keep the version they opened: segments of the last VERSIONS stay.
+    """
 
     spark: SparkSession
     root: str
@@ -88,21 +99,94 @@ class Store:
         return None if text is None else json.loads(text)
 
     def read(self, name: str) -> DataFrame:
+        """A table as of now: rows of all segments without those that have gone, or sums over them."""
         meta = self.meta()
         if meta is None:
             raise IndexMissing(f"no index in {self.root}; build it first")
-        return self.spark.read.parquet(f"{self.root}/{meta['version']}/{name}")
+        return self._rows(name, meta["segments"], meta["schemas"])
 
-    def write(self, tables: dict[str, DataFrame]) -> dict:
-        """Writes a new version, points to it by a rename that replaces the old pointer at once, and drops versions beyond VERSIONS.
+    def index(self) -> index.Index:
+        """The search index of the same version as the documents."""
+        meta = self.meta()
+        if meta is None or "entries" not in meta["schemas"]:
+            raise IndexMissing(f"no search index in {self.root}; build it first")
+        return index.Index(*(self._rows(name, meta["segments"], meta["schemas"]) for name in ("entries", "pages", "blocks", "sums")))
 
-        `documents` gives the document count. Readers see the old version or the new one, never none.
-        """
+    def _part(self, name: str, segment: dict, schemas: dict) -> DataFrame | None:
+        if name not in segment["tables"]:
+            return None
+        schema = StructType.fromJson(schemas[name])
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{segment['id']}/{name}").select(*schema.names)
+
+    def _rows(self, name: str, segments: list[dict], schemas: dict) -> DataFrame:
+        """A table over segments in order."""
+        out = None
+        for i, segment in enumerate(segments):
+            rows = self._part(name, segment, schemas)
+            if rows is None:
+                continue
+            later = [self._part("gone", s, schemas) for s in segments[i + 1 :] if "gone" in s["tables"]]
+            if later and name not in (*ADDED_UP, "gone"):
+                gone = reduce(DataFrame.unionByName, later).filter(F.col("only").isNull() | (F.col("only") == name))
+                rows = rows.join(gone.select("wiki", "relative"), ["wiki", "relative"], "left_anti")
+            out = rows if out is None else out.unionByName(rows)
+        if out is None:
+            return self.spark.createDataFrame([], StructType.fromJson(schemas[name]))
+        return ADDED_UP[name](out) if name in ADDED_UP and len(segments) > 1 else out
+
+    def _write_segment(self, tables: index.Tables, schemas: dict) -> dict:
         version = f"v{time.time_ns()}"
+        segment = {"id": version, "tables": [], "documents": 0}
         for name, df in tables.items():
-            df.write.parquet(f"{self.root}/{version}/{name}")
-        count = self.spark.read.parquet(f"{self.root}/{version}/documents").count() if "documents" in tables else 0
-        meta = {"schema_version": SCHEMA_VERSION, "built_at": int(time.time()), "document_count": count, "version": version}
+            df = df if isinstance(df, DataFrame) else df(lambda t: self._part(t, segment, schemas))
+            index.write_table(df, f"{self.root}/{version}/{name}", name)
+            schemas[name] = df.schema.jsonValue()
+            segment["tables"].append(name)
+        if "documents" in tables:
+            segment["documents"] = self.spark.read.parquet(f"{self.root}/{version}/documents").count()
+        return segment
+
+    def write(self, tables: index.Tables) -> dict:
+        """Writes all tables anew, as one segment, and points to it. Readers see the old version or the new one, never none."""
+        schemas: dict = {}
+        segment = self._write_segment(tables, schemas)
+        return self._publish([segment], schemas, segment["documents"])
+
+    def append(self, tables: index.Tables, gone: DataFrame, count: int) -> dict:
+        """Adds a segment of these tables, in which `gone` (wiki, relative, only) takes the rows of earlier segments away; count is the new number of documents."""
+        meta = self.meta()
+        segments, schemas = list(meta["segments"]), dict(meta["schemas"])
+        segments.append(self._write_segment({"gone": gone, **tables}, schemas))
+        sizes = [max(1, s["documents"]) for s in segments]
+        first = len(segments) - 1
+        while first > 0 and len(sizes) > FEW and (sum(sizes[first:]) * MERGE >= sizes[first - 1] or sum(sizes) > 2 * max(1, count)):
+            first -= 1
+        if first < len(segments) - 1:
+            segments = [*segments[:first], self._merged(segments, first, schemas)]
+        return self._publish(segments, schemas, count)
+
+    def _merged(self, segments: list[dict], first: int, schemas: dict) -> dict:
+        """One segment of those from `first` on. What they took away stays known, unless there is no earlier segment."""
+        own = segments[first:]
+        names = list(dict.fromkeys(n for s in own for n in s["tables"] if n != "gone" or first > 0))
+        rows: index.Tables = {}
+        for name in names:
+            found = self._rows(name, own, schemas)
+            rows[name] = index.clustered(found) if name == "entries" else found.distinct() if name == "gone" else found
+        return self._write_segment(rows, schemas)
+
+    def _publish(self, segments: list[dict], schemas: dict, count: int) -> dict:
+        """Replaces the pointer by a rename, at once, and drops segments that neither it nor the last VERSIONS - 1 pointers name."""
+        version, was = f"v{time.time_ns()}", None
+        try:
+            was = self.meta()
+        except ValueError:  # a broken pointer is replaced
+            pass
+        before = [[s["id"] for s in was["segments"]], *was["before"]] if was and "before" in was else []
+        meta = {
+            "schema_version": SCHEMA_VERSION, "built_at": int(time.time()), "document_count": count, "version": version, "segments": segments, "schemas": schemas,
+            "before": before[: VERSIONS - 1],
+        }
         fs, temporary = self._path(f"CURRENT.{version}")
         out = fs.create(temporary)
         out.write(bytearray(json.dumps(meta).encode()))
@@ -113,9 +197,10 @@ class Store:
         root = fs.makeQualified(self._path("")[1])
         qualified = [fs.makeQualified(self._path(n)[1]) for n in (f"CURRENT.{version}", "CURRENT")]
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), self._conf()).rename(*qualified, replace)
-        names = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName()[:1] == "v")
-        for old in names[:-VERSIONS]:
-            fs.delete(self._path(old)[1], True)
+        named = {s["id"] for s in segments} | {i for ids in meta["before"] for i in ids}
+        for old in (s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()):
+            if old[:1] == "v" and old not in named:
+                fs.delete(self._path(old)[1], True)
         return meta
 
     def lock(self) -> bool:
@@ -176,7 +261,8 @@ def state(store: Store) -> str:
 
 def reconcile(store: Store, listed: DataFrame, read: Callable[[DataFrame], DataFrame], auto_update: bool = True, rebuild: bool = False) -> tuple[str, dict]:
     """Brings the store up to date with the files `listed` (wiki, relative, size, mtime, ...); read(files) gives the documents of the files it
-    is given, with size, mtime and content_hash, and is called with all files on a rebuild, else with new and suspect ones alone.
+    is given, with size, mtime and content_hash, and is called with all files on a rebuild, else with new and suspect ones alone. Documents, state and
+    search index go into one new segment; what is written is in proportion to what has changed.
 
     Returns what was done: rebuilt (with the reason), as_stored, current, updated (with counts), or busy when another writer holds the lock.
     Changes of time alone are stored too, so such a file is hashed once. Files that were listed but could not be read keep their old rows and
@@ -190,32 +276,81 @@ def reconcile(store: Store, listed: DataFrame, read: Callable[[DataFrame], DataF
     try:
         if was != "loaded" or rebuild:
             rows = read(listed).persist()
-            meta = store.write({"documents": rows, "state": rows.select(*STATE)})
+            meta = store.write({"documents": _by_key(rows), "state": rows.select(*STATE), **index.tables(rows)})
             rows.unpersist()
             return "rebuilt", {"reason": "asked" if was == "loaded" else was, "documents": meta["document_count"]}
-        previous = store.read("state").select(*STATE)
-        listed = listed.persist()
-        todo = suspects(listed, previous).persist()
-        rows = read(todo).persist()
-        unread = todo.join(rows, ["wiki", "relative"], "left_anti").select("wiki", "relative").persist()
-        same = previous.join(listed, ["wiki", "relative", "size", "mtime"], "left_semi")
-        kept = previous.join(unread, ["wiki", "relative"], "left_semi")
-        current = same.unionByName(rows.select(*STATE)).unionByName(kept)
-        delta = changes(current, previous).persist()
-        counts = {r["change"]: r["n"] for r in summary(delta).collect()}
-        changed = {k: counts.get(k, 0) for k in ("added", "modified", "deleted")}
-        if skipped := unread.count():
-            changed["skipped"] = skipped
-        done = any(changed[k] for k in ("added", "modified", "deleted")) or not delta.filter("touched").isEmpty()
-        if done:
-            store.write({"documents": apply(store.read("documents"), delta, rows), "state": current})
-        for df in (delta, unread, rows, todo, listed):
-            df.unpersist()
-        return ("updated", changed) if done else ("current", {})
+        return _update(store, listed, read)
     finally:
         store.unlock()
 
 
+def follow(store: Store, docs: DataFrame) -> tuple[str, dict]:
+    """Brings the store up to date with a table of documents, which has the columns of STATE."""
+    return reconcile(store, docs.select(*STATE[:4]), lambda todo: docs.join(todo, STATE[:4], "left_semi"))
+
+
+def _by_key(rows: DataFrame) -> DataFrame:
+    """Documents sorted by key, so that a few of them are found without reading all."""
+    return rows.repartitionByRange("wiki", "relative").sortWithinPartitions("wiki", "relative")
+
+
+def _differing(listed: DataFrame, previous: DataFrame) -> DataFrame:
+    """(wiki, relative, there, known, old_hash): keys that only one side has, or with another size or time; the one join over all keys."""
+    a, b = listed.select(*STATE[:4]).alias("a"), previous.alias("b")
+    both = a.join(b, (F.col("a.wiki") == F.col("b.wiki")) & (F.col("a.relative") == F.col("b.relative")), "full_outer")
+    same = (F.col("a.size") == F.col("b.size")) & (F.col("a.mtime") == F.col("b.mtime"))
+    return both.filter(~F.coalesce(same, F.lit(False))).select(
+        F.coalesce("a.wiki", "b.wiki").alias("wiki"), F.coalesce("a.relative", "b.relative").alias("relative"), F.col("a.relative").isNotNull().alias("there"),
+        F.col("b.relative").isNotNull().alias("known"), F.col("b.content_hash").alias("old_hash"),
+    )
+
+
+#: Keys up to which rows are looked up by their values, which Parquet's statistics can use; beyond it by a join.
+KEYS = 1000
+
+
+def _with_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows whose (wiki, relative) is in keys."""
+    few = keys.limit(KEYS + 1).collect()
+    if len(few) <= KEYS:
+        rows = rows.filter(F.col("relative").isin([r.relative for r in few])) if few else rows.limit(0)
+    return rows.join(keys, ["wiki", "relative"], "left_semi")
+
+
+def _update(store: Store, listed: DataFrame, read: Callable[[DataFrame], DataFrame]) -> tuple[str, dict]:
+    differing = _differing(listed, store.read("state").select(*STATE)).persist()
+    held = [differing]
+    try:
+        if differing.isEmpty():
+            return "current", {}
+        key = ["wiki", "relative"]
+        rows = read(listed.join(differing.filter("there").select(*key), key, "left_semi")).persist()
+        now = rows.select(*key, F.col("content_hash").alias("new_hash"))
+        kind = F.when(~F.col("there"), "deleted").when(F.col("new_hash").isNull(), "skipped").when(~F.col("known"), "added")
+        kind = kind.when(F.col("old_hash") == F.col("new_hash"), "touched").otherwise("modified")
+        delta = differing.join(now, key, "left").select(*key, kind.alias("kind")).persist()
+        held += [rows, delta]
+        counts = {r["kind"]: r["count"] for r in delta.groupBy("kind").count().collect()}
+        changed = {k: counts.get(k, 0) for k in ("added", "modified", "deleted")}
+        if "skipped" in counts:
+            changed["skipped"] = counts["skipped"]
+        if set(counts) <= {"skipped"}:
+            return "current", {}
+        of = lambda *kinds: delta.filter(F.col("kind").isin(*kinds)).select(*key)
+        fresh = rows.join(of("added", "modified"), key, "left_semi").persist()
+        gone = _with_keys(store.read("documents"), of("modified", "deleted")).persist()
+        held += [fresh, gone]
+        lost = of("modified", "deleted").withColumn("only", F.lit(None).cast("string")).unionByName(of("touched").withColumn("only", F.lit("state")))
+        tables: index.Tables = {"documents": fresh.sortWithinPartitions(*key), "state": rows.select(*STATE)}
+        if "entries" in store.meta()["schemas"]:
+            tables |= index.tables(fresh, gone)
+        store.append(tables, lost, store.meta()["document_count"] + changed["added"] - changed["deleted"])
+        return "updated", changed
+    finally:
+        for df in held:
+            df.unpersist()
+
+
 def status(store: Store) -> dict:
     """Documents, schema version and build time, or ready=False."""
     meta = store.meta()

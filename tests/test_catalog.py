@@ -21,7 +21,7 @@ def rows_of(spark, name):
 
 
 def test_every_other_query_has_a_test_here():
-    assert set(catalog.queries()) - set(ORACLE) == {"snippets", "neighborhood_capped", "force_layout", "markdown_outline"}
+    assert set(catalog.queries()) - set(ORACLE) == {"neighborhood_capped", "force_layout", "markdown_outline"}
 
 
 def test_snippets(spark):
