@@ -389,6 +389,7 @@ query(
 SELECT wiki, term, relative, {', '.join(f"CAST(len(list_filter(t_{f}, lambda x: x = term)) AS INTEGER) AS tf_{f}" for f in _FIELD_SQL)}, {', '.join(f"CAST(len(t_{f}) AS INTEGER) AS dl_{f}" for f in _FIELD_SQL)} FROM w JOIN tk USING (wiki, relative)""",
 )(lambda spark, sf_dir: _followed(spark, sf_dir).read("entries").drop("at", "level"))
 query("search_after_delta", f"WITH {CORPUS_SQL} {_search_sql([([WORD], BOOSTS, False)])}")(lambda spark, sf_dir: search.search(_followed(spark, sf_dir).index(), WORD))
+query("edges_after_delta", f"WITH {CORPUS_SQL} {EDGES} SELECT * FROM edges")(lambda spark, sf_dir: _followed(spark, sf_dir).read("edges"))
 EVENTS = "ev AS (SELECT CAST(user_id AS VARCHAR) AS path, ts, event_id, CASE event_type WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'rename' WHEN 'error' THEN 'delete' ELSE 'modify' END AS kind FROM events), g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM ev WINDOW w AS (PARTITION BY path ORDER BY ts, event_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, event_id) AS session FROM g)"
 FOLD = "list_reduce(list(kind ORDER BY ts, event_id), lambda s, k: CASE WHEN s = 'create' AND k = 'modify' THEN 'create' WHEN s = 'create' AND k = 'delete' THEN 'delete' WHEN s = 'rename' AND k = 'modify' THEN 'rename' WHEN s = 'delete' AND k = 'create' THEN 'modify' WHEN s = 'delete' AND k = 'modify' THEN 'delete' ELSE k END)"
 

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lorespark.errors import IndexMissing, LoreError
-from lorespark.operators import index
+from lorespark.operators import graph, index
 
 SCHEMA_VERSION = 4
 #: Of more than FEW segments, one is merged with the later ones if these have a MERGEth of its documents or more.
 MERGE, FEW = 4, 4
+#: Tables of a segment that are only read while it is written.
+FOR_WRITING = ["removed", "again"]
 #: Tables whose rows of all segments are added up.
 ADDED_UP = {"blocks": index.merge_blocks, "sums": index.merge_sums}
 #: What is kept of each document to see whether it changed.
@@ -143,7 +145,12 @@ class Store:
             schemas[name] = df.schema.jsonValue()
             segment["tables"].append(name)
         if "documents" in tables:
-            segment["documents"] = self.spark.read.parquet(f"{self.root}/{version}/documents").count()
+            segment["documents"] = self._part("documents", segment, schemas).count()
+        for name in set(tables) & set(FOR_WRITING):
+            fs, path = self._path(f"{version}/{name}")
+            fs.delete(path, True)
+            segment["tables"].remove(name)
+            del schemas[name]
         return segment
 
     def write(self, tables: index.Tables) -> dict:
@@ -152,11 +159,11 @@ class Store:
         segment = self._write_segment(tables, schemas)
         return self._publish([segment], schemas, segment["documents"])
 
-    def append(self, tables: index.Tables, gone: DataFrame, count: int) -> dict:
-        """Adds a segment of these tables, in which `gone` (wiki, relative, only) takes the rows of earlier segments away; count is the new number of documents."""
+    def append(self, tables: index.Tables, count: int) -> dict:
+        """Adds a segment of these tables, of which `gone` (wiki, relative, only) takes the rows of earlier segments away; count is the new number of documents."""
         meta = self.meta()
         segments, schemas = list(meta["segments"]), dict(meta["schemas"])
-        segments.append(self._write_segment({"gone": gone, **tables}, schemas))
+        segments.append(self._write_segment(tables, schemas))
         sizes = [max(1, s["documents"]) for s in segments]
         first = len(segments) - 1
         while first > 0 and len(sizes) > FEW and (sum(sizes[first:]) * MERGE >= sizes[first - 1] or sum(sizes) > 2 * max(1, count)):
@@ -275,9 +282,9 @@ def reconcile(store: Store, listed: DataFrame, read: Callable[[DataFrame], DataF
         return "busy", {}
     try:
         if was != "loaded" or rebuild:
-            rows = read(listed).persist()
-            meta = store.write({"documents": _by_key(rows), "state": rows.select(*STATE), **index.tables(rows)})
-            rows.unpersist()
+            rows = read(listed)
+            tables = {"documents": _by_key(rows), "state": lambda own: own("documents").select(*STATE), **index.tables()}
+            meta = store.write(tables | (_links() if "links" in rows.columns else {}))
             return "rebuilt", {"reason": "asked" if was == "loaded" else was, "documents": meta["document_count"]}
         return _update(store, listed, read)
     finally:
@@ -317,6 +324,33 @@ def _with_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(keys, ["wiki", "relative"], "left_semi")
 
 
+def _links() -> index.Tables:
+    """Names of pages and resolved links, of documents that have links."""
+    return {"names": lambda read: graph.names(read("documents")), "edges": lambda read: graph.edges(read("documents")).sortWithinPartitions("target")}
+
+
+def _links_again(store: Store) -> index.Tables:
+    """Names and edges of fresh pages, with those links of other pages resolved again whose target a change gave another meaning.
+
+    A page with such a link (`again`) has all its edges written again, the others as they are.
+    """
+    key = ["wiki", "relative"]
+
+    def again(read: index.Read) -> DataFrame:
+        before, after = graph.names(read("removed")), read("names")
+        changed = before.select(*key).unionByName(after.select(*key)).distinct()
+        return graph.links_to_resolve(store.read("edges"), changed, *graph.changed_names(before, after))
+
+    def edges(read: index.Read) -> DataFrame:
+        changed = read("removed").select(*key).unionByName(read("documents").select(*key)).distinct()
+        now = store.read("names").join(changed, key, "left_anti").unionByName(read("names"))
+        new = graph.resolved_again(graph.page_links(read("documents")).unionByName(read("again")), now)
+        rest = store.read("edges").join(read("again").select(*key).distinct(), key, "left_semi").join(read("again"), [*key, "pos", "target"], "left_anti")
+        return new.unionByName(rest).sortWithinPartitions("target")
+
+    return {"names": lambda read: graph.names(read("documents")), "again": again, "edges": edges}
+
+
 def _update(store: Store, listed: DataFrame, read: Callable[[DataFrame], DataFrame]) -> tuple[str, dict]:
     differing = _differing(listed, store.read("state").select(*STATE)).persist()
     held = [differing]
@@ -337,14 +371,21 @@ def _update(store: Store, listed: DataFrame, read: Callable[[DataFrame], DataFra
         if set(counts) <= {"skipped"}:
             return "current", {}
         of = lambda *kinds: delta.filter(F.col("kind").isin(*kinds)).select(*key)
-        fresh = rows.join(of("added", "modified"), key, "left_semi").persist()
-        gone = _with_keys(store.read("documents"), of("modified", "deleted")).persist()
-        held += [fresh, gone]
         lost = of("modified", "deleted").withColumn("only", F.lit(None).cast("string")).unionByName(of("touched").withColumn("only", F.lit("state")))
-        tables: index.Tables = {"documents": fresh.sortWithinPartitions(*key), "state": rows.select(*STATE)}
-        if "entries" in store.meta()["schemas"]:
-            tables |= index.tables(fresh, gone)
-        store.append(tables, lost, store.meta()["document_count"] + changed["added"] - changed["deleted"])
+        # each table is made from those before it, as written
+        tables: index.Tables = {
+            "documents": rows.join(of("added", "modified"), key, "left_semi").sortWithinPartitions(*key), "state": rows.select(*STATE),
+            "removed": _with_keys(store.read("documents"), of("modified", "deleted")),
+        }
+        schemas = store.meta()["schemas"]
+        if "entries" in schemas:
+            tables |= index.tables(removed=True)
+        if "edges" in schemas:
+            tables |= _links_again(store)
+            tables["gone"] = lambda read: lost.unionByName(read("again").select(*key).distinct().withColumn("only", F.lit("edges")))
+        else:
+            tables["gone"] = lost
+        store.append(tables, store.meta()["document_count"] + changed["added"] - changed["deleted"])
         return "updated", changed
     finally:
         for df in held:

@@ -45,18 +45,54 @@ def _grams(c: str, n: int) -> Column:
     return F.when(F.length(c) >= n, F.transform(starts, lambda i: F.substring(F.col(c), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
+def page_links(docs: DataFrame) -> DataFrame:
+    """(wiki, relative, pos, target)"""
+    return docs.select("wiki", "relative", F.posexplode("links").alias("pos", "target"))
+
+
+def names(docs: DataFrame) -> DataFrame:
+    """(wiki, relative, name): stem and title of every page, by which links may mean it."""
+    return docs.select("wiki", "relative", F.explode(F.array_distinct(F.array(files.stem(F.col("relative")), F.col("title")))).alias("name"))
+
+
+def resolved(links: DataFrame, known: DataFrame) -> DataFrame:
+    """Edges without `broken` of links (wiki, relative, pos, target), by known names of all pages."""
+    exact = known.select(F.col("wiki").alias("w"), F.col("relative").alias("r")).distinct()
+    first = known.select("name", place().alias("key")).groupBy("name").agg(F.min("key").alias("key"))
+    found = links.join(exact, (F.col("w") == F.col("wiki")) & (F.col("r") == F.concat("target", F.lit(".md"))), "left").join(first, F.col("name") == F.col("target"), "left")
+    return found.select("wiki", "relative", F.lit("links_to").alias("kind"), "pos", "target", F.coalesce("w", "key.wiki").alias("to_wiki"), F.coalesce("r", _path(F.col("key"))).alias("to_relative"))
+
+
+def changed_names(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(name) and (wiki, relative) that pages gained or lost, from the names of changed pages before and after: no other link can mean another page now."""
+    row, key = ["wiki", "relative", "name"], ["wiki", "relative"]
+    both = lambda columns: before.join(after, columns, "left_anti").unionByName(after.join(before, columns, "left_anti"))
+    return both(row).select("name").distinct(), both(key).select(*key).distinct()
+
+
+def links_to_resolve(old: DataFrame, changed: DataFrame, name: DataFrame, path: DataFrame) -> DataFrame:
+    """Of old edges those of unchanged pages (not in changed(wiki, relative)) whose target is such a name or path."""
+    own = old.join(changed, ["wiki", "relative"], "left_anti")
+    by_name = own.join(name.select(F.col("name").alias("target")), "target", "left_semi")
+    by_path = own.join(path.select("wiki", F.regexp_replace("relative", r"\.md$", "").alias("target")).filter("target <> ''"), ["wiki", "target"], "left_semi")
+    return by_name.select("wiki", "relative", "pos", "target").unionByName(by_path.select("wiki", "relative", "pos", "target")).distinct()
+
+
+def resolved_again(links: DataFrame, known: DataFrame) -> DataFrame:
+    """Edges of a few links: only the names and paths that they ask for are looked at."""
+    asked = links.select("wiki", "target").distinct()
+    some = known.join(asked.select(F.col("target").alias("name")), "name", "left_semi")
+    at = known.join(asked.select("wiki", F.concat("target", F.lit(".md")).alias("relative")), ["wiki", "relative"], "left_semi")
+    return resolved(links, some.select("wiki", "relative", "name").unionByName(at.select("wiki", "relative", "name")).distinct()).withColumn("broken", F.col("to_relative").isNull())
+
+
 def edges(docs: DataFrame, images: str | None = None) -> DataFrame:
     """(wiki, relative, kind, pos, target, to_wiki, to_relative, broken): one per link; to_ is null if broken.
 
     A link means the page of its own wiki at <link>.md, else the first node of any wiki whose stem or title equals it. Image links (the array column
     `images`) mean the first node whose path contains them.
     """
-    links = docs.select("wiki", "relative", F.posexplode("links").alias("pos", "target"))
-    exact = docs.select(F.col("wiki").alias("w"), F.col("relative").alias("r")).distinct()
-    names = docs.select(F.explode(F.array_distinct(F.array(files.stem(F.col("relative")), F.col("title")))).alias("name"), place().alias("key"))
-    first = names.groupBy("name").agg(F.min("key").alias("key"))
-    found = links.join(exact, (F.col("w") == F.col("wiki")) & (F.col("r") == F.concat("target", F.lit(".md"))), "left").join(first, F.col("name") == F.col("target"), "left")
-    out = found.select("wiki", "relative", F.lit("links_to").alias("kind"), "pos", "target", F.coalesce("w", "key.wiki").alias("to_wiki"), F.coalesce("r", _path(F.col("key"))).alias("to_relative"))
+    out = resolved(page_links(docs), names(docs))
     if images:
         pics = docs.select("wiki", "relative", F.posexplode(images).alias("pos", "target"))
         targets = pics.select("target", _tail("target").alias("gram")).distinct()

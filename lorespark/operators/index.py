@@ -140,23 +140,29 @@ def _off(rows: DataFrame, counts: list[str]) -> DataFrame:
 
 
 #: A table, or what makes it from the tables of the same segment that were written before it.
-Tables = dict[str, DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame]]
+Read = Callable[[str], DataFrame]
+Tables = dict[str, DataFrame | Callable[[Read], DataFrame]]
 
 
-def tables(docs: DataFrame, gone: DataFrame | None = None) -> Tables:
-    """The index of docs, in the order of writing; of documents `gone` the blocks and sums are counted off."""
+def tables(docs: DataFrame | None = None, removed: bool = False) -> Tables:
+    """The index of docs, or of the table `documents` of the same segment, in the order of writing; with `removed` the documents of that table are counted off."""
+    own = lambda read: read("documents") if docs is None else docs
+    df = [f"df_{f}" for f in BOOSTS]
+    length = [f"len_{f}" for f in BOOSTS]
 
-    def own_blocks(read: Callable[[str], DataFrame]) -> DataFrame:
+    def own_entries(read: Read) -> DataFrame:
+        # a delta's files are each sorted; only a whole index is sorted over all its files
+        return in_order(entries(own(read))) if removed else clustered(entries(own(read)))
+
+    def own_blocks(read: Read) -> DataFrame:
         now = blocks(read("entries"))
-        return now if gone is None else merge_blocks(now.unionByName(_off(blocks(entries(gone)), ["n", *[f"df_{f}" for f in BOOSTS]])))
+        return merge_blocks(now.unionByName(_off(blocks(entries(read("removed"))), ["n", *df]))) if removed else now
 
-    def own_sums(read: Callable[[str], DataFrame]) -> DataFrame:
+    def own_sums(read: Read) -> DataFrame:
         now = sums(read("pages"), read("entries"))
-        return now if gone is None else merge_sums(now.unionByName(_off(sums(gone, entries(gone)), ["n", *[f"len_{f}" for f in BOOSTS]])))
+        return merge_sums(now.unionByName(_off(sums(read("removed"), entries(read("removed"))), ["n", *length]))) if removed else now
 
-    # a delta's files are each sorted; only a whole index is sorted over all its files
-    found = clustered(entries(docs)) if gone is None else in_order(entries(docs))
-    return {"entries": found, "pages": pages(docs), "blocks": own_blocks, "sums": own_sums}
+    return {"entries": own_entries, "pages": lambda read: pages(own(read)), "blocks": own_blocks, "sums": own_sums}
 
 
 @dataclass(frozen=True)

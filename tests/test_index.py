@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorespark.errors import IndexMissing
-from lorespark.operators import delta, index, search
+from lorespark.operators import delta, graph, index, search
 
 DOCS = "wiki string, relative string, path string, size long, mtime long, content_hash string, content_type string, title string, aliases array<string>, tags array<string>, headings array<string>, body string"
 TABLES = {"entries": ["wiki", "term", "relative", *index.COUNTS, "level", "at"], "pages": ["wiki", "relative", "title"], "sums": ["wiki", "n", *[f"len_{f}" for f in index.BOOSTS]]}
@@ -48,11 +48,10 @@ def test_index_follows_random_changes(spark, tmp_path, monkeypatch):
         kept.append(len(store.meta()["segments"]))
         assert delta.follow(store, docs()) == ("current", {}) and store.meta()["document_count"] == len(held)
     assert max(kept) == delta.FEW and any(b < a for a, b in zip(kept, kept[1:], strict=False))  # some were merged
-    fresh = index.tables(docs())
     found = {n: store.read(n) for n in TABLES}
-    entries = fresh["entries"].cache()
+    entries = index.entries(docs()).cache()
     assert rows(found["entries"], TABLES["entries"]) == rows(entries, TABLES["entries"])
-    assert rows(found["pages"], TABLES["pages"]) == rows(fresh["pages"], TABLES["pages"])
+    assert rows(found["pages"], TABLES["pages"]) == rows(index.pages(docs()), TABLES["pages"])
     assert rows(found["sums"], TABLES["sums"]) == rows(index.sums(docs(), entries), TABLES["sums"])
     counts = ["wiki", "term", "level", "n", *[f"df_{f}" for f in index.BOOSTS]]
     assert rows(store.read("blocks").filter("n <> 0"), counts) == rows(index.blocks(entries), counts)
@@ -61,6 +60,34 @@ def test_index_follows_random_changes(spark, tmp_path, monkeypatch):
     assert rows(store.read("state"), delta.STATE) == rows(docs(), delta.STATE)
 
 
+def test_links_follow_random_changes(spark, tmp_path):
+    """Edges equal a full resolution after adds, deletes, renames and new titles; only links whose meaning may have changed are resolved again."""
+    rng = random.Random(9)
+    names = [f"n{i}" for i in range(12)]
+    some = lambda: (rng.choice(names), [rng.choice([*names, "sub/n3", "nowhere"]) for _ in range(3)])
+    held = {(rng.choice("ab"), f"{rng.choice(['', 'sub/'])}{n}.md"): (*some(), 1) for n in names for _ in range(2)}
+    held["a", "quiet.md"] = ("Quiet", ["quiet", "nowhere"], 1)
+    store = delta.Store(spark, str(tmp_path))
+
+    def docs():
+        return spark.createDataFrame([(*page(w, r, "", t, s)[:5], f"{t}{links}", *page(w, r, "", t, s)[6:], links) for (w, r), (t, links, s) in held.items()], f"{DOCS}, links array<string>")
+
+    columns = ["wiki", "relative", "kind", "pos", "target", "to_wiki", "to_relative", "broken"]
+    delta.follow(store, docs())
+    for turn in range(2, 5):
+        keys = sorted(k for k in held if k != ("a", "quiet.md"))
+        gone, renamed, changed = rng.sample(keys, 3)
+        del held[gone]
+        held[renamed[0], f"sub/{rng.choice(names)}.md"] = (*held.pop(renamed)[:2], turn)
+        if changed in held:
+            held[changed] = (*some(), turn)
+        delta.follow(store, docs())
+        assert rows(store.read("edges"), columns) == rows(graph.edges(docs()), columns)
+        assert rows(store.read("names"), ["wiki", "relative", "name"]) == rows(graph.names(docs()), ["wiki", "relative", "name"])
+        gone = store._part("gone", store.meta()["segments"][-1], store.meta()["schemas"])
+        assert gone is None or gone.filter("relative = 'quiet.md'").isEmpty()  # merged, or left alone
+
+
 @pytest.fixture(scope="module")
 def frequent(spark):
     """3,000 pages: a word that two in three hold more or less often, one that a tenth holds, one that few do, some of it in titles."""
