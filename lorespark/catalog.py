@@ -261,6 +261,16 @@ on_corpus(
 SELECT name, CAST(similarity AS DOUBLE) AS similarity FROM s WHERE similarity >= 0.55 ORDER BY similarity DESC, name LIMIT 5""",
     lambda c: fuzzy.suggestions(fuzzy.page_stems(c), "page_00012"),
 )
+on_corpus(
+    "suggestions_in_order",
+    """, stem AS (SELECT doc_id, regexp_replace(string_split(relative, '/')[-1], '\\.[^.]*$', '') AS name FROM corpus), nm AS (SELECT name FROM stem UNION SELECT upper(name) FROM stem WHERE doc_id % 2 = 0 UNION SELECT 'Q' || name FROM stem WHERE doc_id % 2 = 1 UNION SELECT 'q' || name FROM stem),
+s AS (SELECT name, round(1.0 - levenshtein('page_00012', lower(name)) / CAST(greatest(10, length(name)) AS DOUBLE), 4) AS close FROM nm), r AS (SELECT name, CASE WHEN close >= 0.55 THEN close WHEN contains(lower(name), 'page_00012') THEN 0.54 END AS similarity FROM s),
+l AS (SELECT *, lag(lower(name)) OVER (ORDER BY similarity DESC, name) AS last FROM r WHERE similarity IS NOT NULL)
+SELECT name, CAST(similarity AS DOUBLE) AS similarity FROM l WHERE last IS NULL OR last <> lower(name) ORDER BY similarity DESC, name LIMIT 40""",
+    lambda c: fuzzy.suggestions(
+        c.select(F.explode(F.array(files.stem(F.col("relative")), F.when(F.col("doc_id") % 2 == 0, F.upper(files.stem(F.col("relative")))).otherwise(F.concat(F.lit("Q"), files.stem(F.col("relative")))), F.concat(F.lit("q"), files.stem(F.col("relative"))))).alias("name")),
+        "page_00012", 40),
+)
 on_corpus("levenshtein_sim", "SELECT doc_id, CASE WHEN levenshtein(title, 'Document 000500 Topic src0') > 4 THEN 5 ELSE levenshtein(title, 'Document 000500 Topic src0') END AS distance, round(1.0 - levenshtein(lower(title), 'document 000500 topic src0') / CAST(greatest(length(title), 26) AS DOUBLE), 4) AS similarity FROM corpus", lambda c: c.select("doc_id", text.bounded_levenshtein(F.col("title"), F.lit("Document 000500 Topic src0"), 4).cast("long").alias("distance"), F.round(text.similarity(F.col("title"), F.lit("Document 000500 Topic src0")), 4).alias("similarity")))
 
 
@@ -300,7 +310,11 @@ on_corpus(
     r"SELECT doc_id, array_to_string(list_filter(string_split_regex(title, '[^\p{L}\p{N}]+'), lambda x: x <> ''), '-') AS kebab, array_to_string(list_filter(string_split_regex(title, '[^\p{L}\p{N}]+'), lambda x: x <> ''), '_') AS snake, lower(array_to_string(list_filter(string_split_regex(title, '[^\p{L}\p{N}]+'), lambda x: x <> ''), '-')) AS slug FROM corpus",
     lambda c: c.select("doc_id", *[text.naming(F.col("title"), p).alias(p) for p in ("kebab", "snake", "slug")]),
 )
-on_corpus("sanitize_text", r"SELECT doc_id, sha256(regexp_replace(body || chr(27) || '[31m' || chr(8238) || 'x' || chr(7), '[\x00-\x09\x0B-\x1F\x7F\x{80}-\x{9F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{FEFF}]', '', 'g')) AS digest FROM corpus", lambda c: c.select("doc_id", F.sha2(text.sanitize_text(F.concat("body", F.lit("\x1b[31m‮x\x07"))), 256).alias("digest")))
+on_corpus(
+    "sanitize_text",
+    r"SELECT doc_id, sha256(regexp_replace(body || chr(27) || '[31m' || chr(8238) || 'x' || chr(7), '[\x00-\x08\x0B-\x1F\x7F\x{80}-\x{9F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{FEFF}]', '', 'g') || chr(10) || 'a' || repeat(' ', 3) || 'bc' || repeat(' ', 2) || repeat(' ', 4) || 'd') AS digest FROM corpus",
+    lambda c: c.select("doc_id", F.sha2(text.sanitize_text(F.concat("body", F.lit("\x1b[31m\u202ex\x07\na\tbc\t\td"))), 256).alias("digest")),
+)
 on_corpus("human_size", f"SELECT doc_id, {HUMAN.format('(size * 37)')} AS human FROM corpus", lambda c: c.select("doc_id", files.human_size(F.col("size") * 37).alias("human")))
 on_corpus("content_hash", "SELECT doc_id, sha256(body) AS digest FROM corpus", lambda c: c.select("doc_id", files.content_hash(F.col("body")).alias("digest")))
 on_corpus(
@@ -438,8 +452,8 @@ on_corpus("indexable_files", "SELECT wiki, relative FROM corpus WHERE size <= 10
     c.withColumn("too_large", F.col("size") > 1000).withColumn("content_type", F.when(F.col("doc_id") % 5 == 0, F.when(F.col("doc_id") % 2 == 0, "image").otherwise("binary")).otherwise(F.col("content_type")))).select("wiki", "relative"))
 on_corpus("homes", "SELECT wiki, min(relative) AS relative FROM corpus WHERE relative IN (SELECT min(relative) FROM corpus GROUP BY wiki) GROUP BY wiki", lambda c: _homes(c))
 on_corpus("suspect_files", f", {STATE_SQL} SELECT a.wiki, a.relative FROM now a LEFT JOIN was b ON a.wiki = b.wiki AND a.relative = b.relative AND a.size = b.size AND a.mtime = b.mtime WHERE b.relative IS NULL", lambda c: delta.suspects(*states(c)).select("wiki", "relative"))
-on_corpus("owners", "SELECT path, wiki, substr(path, length('/w/' || wiki) + 2) AS relative FROM (SELECT '/w/' || wiki || '/' || relative AS path, CASE WHEN relative LIKE 'src1/%' THEN wiki || '/src1' ELSE wiki END AS wiki FROM corpus)", lambda c: changes.owned(
-    c.select(F.concat(F.lit("/w/"), "wiki", F.lit("/"), "relative").alias("path")),
+on_corpus("owners", "SELECT path, wiki, substr(path, length('/w/' || wiki) + 2) AS relative FROM (SELECT '/w/' || wiki || '/' || relative AS path, CASE WHEN relative LIKE 'src1/%' THEN wiki || '/src1' ELSE wiki END AS wiki, unnest(range(1 + doc_id % 3)) FROM corpus)", lambda c: changes.owned(
+    c.select(F.concat(F.lit("/w/"), "wiki", F.lit("/"), "relative").alias("path"), F.explode(F.sequence(F.lit(0), F.col("doc_id") % 3)).alias("_n")).select("path"),
     c.select("wiki").distinct().select(F.explode(F.array(F.col("wiki"), F.concat("wiki", F.lit("/src1")))).alias("name")).withColumn("root", F.concat(F.lit("/w/"), "name"))))
 on_corpus("unknown_renames", "SELECT wiki, relative AS path, CASE WHEN doc_id % 3 = 0 THEN 'rename' ELSE 'modify' END AS kind, CASE WHEN doc_id % 3 = 0 THEN 'old/' || relative END AS from_path FROM corpus", lambda c: changes.known_sources(
     c.select("wiki", F.col("relative").alias("path"), F.lit("rename").alias("kind"), F.concat(F.lit("old/"), "relative").alias("from_path")),

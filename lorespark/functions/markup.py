@@ -8,12 +8,13 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lorespark.functions import header
 from lorespark.functions.arrow import arrow_function
+from lorespark.functions.header import frontmatter  # noqa: F401
 from lorespark.functions.text import ascii_lower, dedupe_ci
 
 LINK = r"\[\[([^\n]*?)\]\]"
 PAGE, FILE, SYMBOL = "page", "file", "symbol"
-FRONTMATTER = "title string, aliases array<string>, tags array<string>, extra map<string,array<string>>, body_offset int, body_line_offset int, present boolean, diagnostics array<struct<line:int,message:string>>"
 MARKDOWN = "headings array<string>, body string, links array<string>"
 BLOCK = "array<struct<ord:int,depth:int,kind:string,level:int,text:string,lang:string,line:int>>"
 
@@ -58,6 +59,10 @@ def link_text(link: Column) -> Column:
     return F.coalesce(link["label"], page)
 
 
+def parse_frontmatter(text: str) -> dict:
+    return vars(header.parse(text))
+
+
 def page_links(body: Column) -> Column:
     """Names of the pages that a text links to, in order; wiki and anchor are not part of a name."""
     parsed = F.transform(link_spans(body), parse_link)
@@ -69,116 +74,6 @@ def link_class(target: Column) -> Column:
     return F.when(F.startswith(target, F.lit("#")), "heading").when(target.rlike("(?i)^([a-z][a-z0-9+.-]*://|mailto:)"), "external").when(target.rlike(r"(?i)^file:|/|\.[a-z0-9]+$"), "file").otherwise("wiki")
 
 
-def _unquoted(s: str) -> str:
-    if len(s) >= 2 and s[0] == s[-1] and s[0] in "\"'":
-        return s[1:-1]
-    return re.split(r"\s#", s, maxsplit=1)[0].rstrip() if " #" in s or "\t#" in s else s
-
-
-def _colon(s: str) -> int:
-    quote = ""
-    for i, c in enumerate(s):
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "\"'":
-            quote = c
-        elif c == ":":
-            return i
-    return -1
-
-
-def _unique(items: list[str]) -> list[str]:
-    seen, out = set(), []
-    for x in items:
-        key = "".join(c.lower() if c.isascii() else c for c in x)
-        if x and key not in seen:
-            seen.add(key)
-            out.append(x)
-    return out
-
-
-def parse_frontmatter(text: str) -> dict:
-    """The header block of a page: fields, where the body starts, and what is wrong with it."""
-    out: dict = {"title": None, "aliases": [], "tags": [], "extra": {}, "body_offset": 0, "body_line_offset": 0, "present": False, "diagnostics": []}
-    opening = re.match("﻿?---\r?\n", text)
-    if not opening:
-        return out
-    note = lambda line, message: out["diagnostics"].append({"line": line, "message": message})
-    closing = re.compile(r"^(?:---|\.\.\.)\r*(?:\n|\Z)", re.M).search(text, opening.end())
-    if not closing:
-        note(1, "frontmatter block is never closed by `---`")
-        return out
-    block = text[opening.end() : closing.start()]
-    out |= {"present": True, "body_offset": len(text[: closing.end()].encode()), "body_line_offset": block.count("\n") + 2}
-    entries: list[tuple[str, object, int]] = []
-    open_list: tuple[str, list[str]] | None = None
-    number = 1
-    for raw in block.split("\n")[:-1] if block else []:
-        number += 1
-        line = raw.rstrip()
-        body = line.lstrip()
-        if not body or body[0] == "#":
-            continue
-        if body == "-" or body.startswith("- "):
-            value = _unquoted(body[1:].strip())
-            if open_list is None:
-                note(number, "list item without a preceding key")
-            elif value:
-                open_list[1].append(value)
-            else:
-                note(number, "empty list item")
-            continue
-        colon = _colon(body)
-        if colon < 0:
-            note(number, f"expected `key: value`, found `{body if len(body) <= 40 else body[:40] + '…'}`")
-            continue
-        if line[0] in " \t":
-            note(number, "nested mappings are not supported in frontmatter")
-            continue
-        if open_list:
-            entries.append((*open_list, number))
-            open_list = None
-        key, value = body[:colon].strip(), body[colon + 1 :].strip()
-        if not key:
-            note(number, "empty key")
-        elif not value:
-            open_list = key, []
-        elif value[0] == "[" and value[-1] == "]" and len(value) > 1:
-            entries.append((key, [v for v in (_unquoted(x.strip()) for x in value[1:-1].split(",")) if v], number))
-        else:
-            entries.append((key, _unquoted(value), number))
-    if open_list:
-        entries.append((*open_list, number))
-    seen: dict[str, int] = {}
-    for key, value, line in entries:
-        low = key.lower() if key.isascii() else "".join(c.lower() if c.isascii() else c for c in key)
-        if low in seen:
-            note(line, f"duplicate key `{key}` (first seen on line {seen[low]})")
-        seen[low] = line
-        values = value if isinstance(value, list) else [value]
-        if low == "title":
-            if isinstance(value, list):
-                note(line, "`title` must be a single value, not a list")
-            else:
-                out["title"] = value
-        elif low in ("alias", "aliases"):
-            out["aliases"] += values
-        elif low in ("tag", "tags"):
-            out["tags"] += values
-        else:
-            out["extra"][key] = values
-    out["tags"] = _unique([t.lstrip("#").strip() for t in out["tags"]])
-    out["aliases"] = _unique([a.strip() for a in out["aliases"]])
-    return out
-
-
-@arrow_function(FRONTMATTER)
-def frontmatter(texts: pd.Series) -> pd.DataFrame:
-    """A header block is a state machine over lines, so Arrow batches."""
-    rows = [parse_frontmatter(t or "") for t in texts]
-    return pd.DataFrame(rows, columns=["title", "aliases", "tags", "extra", "body_offset", "body_line_offset", "present", "diagnostics"])
-
-
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})\s*([^`\n]*)$")
 _FOOTNOTE = re.compile(r"^ {0,3}\[\^([^\]\s]+)\]:\s*(.*)$")
 _ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")

@@ -6,6 +6,7 @@ import json
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -19,6 +20,8 @@ from lorespark.operators import graph, index
 SCHEMA_VERSION = 4
 #: Of more than FEW segments, one is merged with the later ones if these have a MERGEth of its documents or more.
 MERGE, FEW = 4, 4
+#: Tables in the order in which they are made from each other, and how many are written at a time.
+STAGES, WRITERS = [["documents", "removed"], ["state", "entries", "pages", "names"], ["blocks", "sums", "again"], ["edges", "gone"]], 4
 #: Tables of a segment that are only read while it is written.
 FOR_WRITING = ["removed", "again"]
 #: Tables whose rows of all segments are added up.
@@ -139,11 +142,17 @@ class Store:
     def _write_segment(self, tables: index.Tables, schemas: dict) -> dict:
         version = f"v{time.time_ns()}"
         segment = {"id": version, "tables": [], "documents": 0}
-        for name, df in tables.items():
+
+        def write(name: str) -> None:
+            df = tables[name]
             df = df if isinstance(df, DataFrame) else df(lambda t: self._part(t, segment, schemas))
             index.write_table(df, f"{self.root}/{version}/{name}", name)
             schemas[name] = df.schema.jsonValue()
             segment["tables"].append(name)
+
+        with ThreadPoolExecutor(WRITERS) as pool:  # tables of a stage do not read each other
+            for names in (*STAGES, [n for n in tables if not any(n in names for names in STAGES)]):
+                list(pool.map(write, [n for n in names if n in tables]))
         if "documents" in tables:
             segment["documents"] = self._part("documents", segment, schemas).count()
         for name in set(tables) & set(FOR_WRITING):

@@ -115,11 +115,18 @@ def suggestions(names: DataFrame, query: str, limit: int = 5) -> DataFrame:
     alike = F.round(text.similarity(F.lit(query), F.col("name")), 4)
     near = names.select("name", alike.alias("similarity"))
     near = near.withColumn("similarity", F.when(F.col("similarity") >= LEAST, F.col("similarity")).when(F.contains(F.lower("name"), F.lit(low)) & F.lit(bool(low)), SUBSTRING)).filter("similarity IS NOT NULL").distinct()
-    # of what may be listed at all: `limit` names after at most as many that fall to their neighbours need a bounded list
-    top = near.groupBy("similarity", text.ascii_lower(F.col("name")).alias("folded")).agg(F.min("name").alias("name")).orderBy(F.desc("similarity"), "name").limit(4 * limit)
-    order = Window.orderBy(F.desc("similarity"), "name")  # over 4 * limit rows
-    kept = top.withColumn("last", F.lag("folded").over(order)).filter("last IS NULL OR last <> folded")
-    return kept.orderBy(F.desc("similarity"), "name").limit(limit).select("name", "similarity")
+    # a name falls away behind an equal one in the whole order: of equal similarity, names that differ in case alone are not always neighbours
+    best = near.orderBy(F.desc("similarity"), "name")
+    order = Window.orderBy(F.desc("similarity"), "name")
+    shown = 4 * limit
+    while True:
+        top = best.limit(shown + 1)
+        folded = text.ascii_lower(F.col("name"))
+        kept = top.withColumn("same", F.coalesce(folded == F.lag(folded).over(order), F.lit(False)))  # over a bounded list
+        kept = kept.filter("NOT same").orderBy(F.desc("similarity"), "name").limit(limit).select("name", "similarity")
+        if kept.count() == limit or top.count() <= shown:
+            return kept
+        shown *= 4
 
 
 def page_stems(docs: DataFrame) -> DataFrame:

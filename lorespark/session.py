@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -31,3 +31,11 @@ def shared_folder(spark: SparkSession) -> str:
 @functools.lru_cache(1)
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="lorespark-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage at a checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

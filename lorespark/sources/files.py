@@ -1,8 +1,7 @@
 """Files of a wiki folder as rows.
 
-Folders are any that Hadoop's file systems reach. Spark's readers list them and read the contents, but skip names that begin with a
-dot or an underscore: those (few) are found by glob, skipped folders are listed as folders of their own, and skipped files are read
-through the file system's own interface.
+Folders are of a local disk, which all machines see at the same place, or of a store that pyarrow opens. They are listed and their files read where tasks
+run (`sources/folders.py`).
 """
 
 from __future__ import annotations
@@ -10,17 +9,15 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions import files, markup, text
+from lorespark.sources import folders
+from lorespark.sources.folders import IGNORE_FILES
 
 CONFIG_FILES = [".lorespark.toml", "lorespark.toml"]
-#: Rule files, the stronger ones first; the last is the repository's own list.
-IGNORE_FILES = [".loreignore", ".gitignore", ".git/info/exclude"]
 MAX_SIZE = 16 * 1024 * 1024
-LISTED = "path string, length long, modificationTime timestamp"
 
 
 def glob_regex(pattern: str) -> str:
@@ -64,33 +61,6 @@ def hadoop_path(spark: SparkSession, path: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def _escaped(path: str) -> str:
-    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
-
-
-def _skipped(spark: SparkSession, root: str) -> list[tuple[str, bool, int, int]]:
-    """(path, is a folder, length, milliseconds) of what begins with a dot or an underscore, at any depth."""
-    fs, _ = hadoop_path(spark, root)
-    glob = lambda tail: fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{_escaped(root)}{tail}"))
-    found, level = [], ""
-    while glob(f"{level}/*"):
-        for s in glob(f"{level}/[._]*") or []:
-            found.append((s.getPath().toString(), s.isDirectory(), s.getLen(), s.getModificationTime()))
-        level += "/*"
-    return found
-
-
-def _relative(path: Column | str, root: str):
-    base = re.sub(r"^file:/*", "/", root.rstrip("/"))
-    if isinstance(path, str):
-        return re.sub(r"^file:/*", "/", path).removeprefix(f"{base}/")
-    return F.regexp_replace(F.regexp_replace(path, r"^file:/*", "/"), f"^{re.escape(base)}/", "")
-
-
-def _is_internal(relative: str) -> bool:
-    return any(part in files.VCS for part in relative.split("/"))
-
-
 def read_bytes(spark: SparkSession, path: str) -> bytes:
     """A file through the file system's own interface."""
     fs, path = hadoop_path(spark, path)
@@ -101,59 +71,18 @@ def read_bytes(spark: SparkSession, path: str) -> bytes:
         stream.close()
 
 
-def _rules(spark: SparkSession, root: str, skipped: list, ignore: list[str] | None) -> list[tuple[str, str, bool]]:
-    """(folder, regular expression, kept), the strongest first: settings, then by kind of file, then the deepest folder, then the last line."""
-    own = [("", r, kept) for r, kept in ignore_rules(ignore or [])][::-1]
-    for name in IGNORE_FILES:
-        at = [(_relative(p, root), p) for p, folder, _, _ in skipped if not folder and f"/{_relative(p, root)}".endswith(f"/{name}")]
-        if name == IGNORE_FILES[-1]:
-            fs, path = hadoop_path(spark, f"{root}/{name}")
-            at = [(name, f"{root}/{name}")] if fs.exists(path) else []
-        for relative, path in sorted(at, key=lambda x: -x[0].count("/")):
-            lines = read_bytes(spark, path).decode("utf-8", "replace").splitlines()
-            folder = relative.removesuffix(name)
-            own += [(folder, r, kept) for r, kept in ignore_rules(lines)][::-1] if not _is_internal(folder) else []
-    return own
-
-
-def _gone(rules: list[tuple[str, str, bool]], hidden: bool) -> Column:
-    """Whether a path or a folder above it is ignored; what is in an ignored folder can't be kept. A kept name may be hidden."""
-
-    def prefix_gone(prefix: Column, last: Column) -> Column:
-        # a folder is seen with its slash, so that rules for folders fit it
-        seen = F.when(last, prefix).otherwise(F.concat(prefix, F.lit("/")))
-        is_hidden = F.startswith(F.element_at(F.split(prefix, "/"), -1), F.lit("."))
-        verdict = is_hidden & F.lit(not hidden)
-        for folder, pattern, kept in reversed(rules):
-            fits = F.startswith(seen, F.lit(folder)) & F.substr(seen, F.lit(len(folder) + 1)).rlike(pattern)
-            verdict = F.when(fits, F.lit(not kept)).otherwise(verdict)
-        return verdict
-
-    parts = F.split("relative", "/")
-    return F.exists(F.sequence(F.lit(1), F.size(parts)), lambda i: prefix_gone(F.concat_ws("/", F.slice(parts, F.lit(1), i)), i == F.size(parts)))
-
-
 def scan(
     spark: SparkSession, root: str, wiki: str = "main", ignore: list[str] | None = None, hidden: bool = False, code: bool = True, max_size: int = MAX_SIZE
 ) -> DataFrame:
     """(wiki, path, relative, size, mtime, content_type, too_large), to be ordered by `relative` where order matters; contents are not read.
 
     Ignore rules are those of .gitignore and .loreignore in any folder, for what is below it, and `ignore`, which is stronger; of one
-    file the last rule that fits decides.
+    file the last rule that fits decides. Symbolic links are left out.
     """
-    root = root.rstrip("/")
-    skipped = [s for s in _skipped(spark, root) if not _is_internal(_relative(s[0], root))]
-    folders = [root, *[p for p, folder, _, _ in skipped if folder]]
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([_escaped(p) for p in folders])
-    rows = [(p, n, ms / 1000) for p, folder, n, ms in skipped if not folder]
-    more = spark.createDataFrame(rows, "path string, length long, seconds double").select("path", "length", F.timestamp_seconds("seconds"))
-    raw = raw.select("path", "length", "modificationTime").union(more)
-    out = raw.select(
-        F.lit(wiki).alias("wiki"), "path", _relative(F.col("path"), root).alias("relative"), F.col("length").alias("size"),
-        F.unix_timestamp("modificationTime").alias("mtime"),
-    )
-    out = out.filter(~files.is_vcs_internal(F.col("relative")) & ~files.file_name(F.col("relative")).isin([*CONFIG_FILES, *IGNORE_FILES[:1]]))
-    out = out.filter(~_gone(_rules(spark, root, skipped, ignore), hidden))
+    root = folders.qualified(spark, root)
+    found = folders.listing(spark, root, ignore_rules(ignore or []), hidden)
+    out = found.select(F.lit(wiki).alias("wiki"), folders.path_of(root).alias("path"), "relative", "size", "mtime")
+    out = out.filter(~files.file_name(F.col("relative")).isin([*CONFIG_FILES, *IGNORE_FILES[:1]]))
     kind = F.coalesce(files.classify_extension(F.col("relative")), F.lit("text"))
     out = out.withColumn("content_type", kind).withColumn("too_large", F.col("size") > max_size)
     return out if code else out.filter("content_type <> 'code'")
@@ -196,25 +125,9 @@ def should_index(listed: DataFrame) -> DataFrame:
     return listed.filter(~F.col("too_large") & ~F.col("content_type").isin("binary", "image"))
 
 
-def _there(spark: SparkSession, paths: list[str]) -> list[str]:
-    return [p for p in paths if (at := hadoop_path(spark, p))[0].exists(at[1])]
-
-
 def with_content(spark: SparkSession, listed: DataFrame, max_size: int = MAX_SIZE) -> DataFrame:
-    """listed with `content`; no other file is read. Files that are too large or have gone since have null."""
-    paths = [r.path for r in listed.filter(~F.col("too_large")).select("path").collect()]  # a listing, as Spark's own driver holds it
-    odd = _there(spark, [p for p in paths if p.rsplit("/", 1)[-1][0] in "._"])
-    plain = [p for p in paths if p.rsplit("/", 1)[-1][0] not in "._"]
-    data = spark.createDataFrame([(p, bytearray(read_bytes(spark, p))) for p in odd], "path string, content binary")
-    reader = spark.read.format("binaryFile").option("ignoreMissingFiles", True)
-    try:
-        read = reader.load([_escaped(p) for p in plain]) if plain else None
-    except AnalysisException:  # one of them has gone
-        plain = _there(spark, plain)
-        read = reader.load([_escaped(p) for p in plain]) if plain else None
-    if read is not None:
-        data = data.union(read.select("path", "content"))
-    return listed.join(data, "path", "left").withColumn("content", F.when(F.octet_length("content") <= max_size, F.col("content")))
+    """listed with `content`, read where the rows are; no other file is. Files that are too large or have gone since have null."""
+    return folders.contents(listed, max_size)
 
 
 def skipped(read: DataFrame) -> DataFrame:

@@ -199,12 +199,12 @@ def owned(events: DataFrame, wikis: DataFrame) -> DataFrame:
     """events(path, ...) with wiki and relative, of wikis(name, root): the longest root above a path; others fall away."""
     roots = wikis.select(F.col("name").alias("_name"), F.regexp_replace("root", "/+$", "").alias("_root"))
     by = [c for c in events.columns if c not in ("wiki", "relative")]
-    # each folder above a path is looked up, so events meet roots by equality however many there are
+    # each folder above a path is looked up, so events meet roots by equality however many there are; a path is looked up once, and every event of it gets what was found
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat_ws("/", F.slice(parts, F.lit(1), i)))
-    some = events.select(*by).filter(F.contains("path", F.lit("/"))).withColumn("_event", F.struct(*by)).withColumn("_root", F.explode(above))
-    best = some.join(roots, "_root").groupBy("_event").agg(F.max(F.struct(F.length("_root").alias("n"), F.col("_name").alias("name"))).alias("own"))
-    return best.select("_event.*", F.col("own.name").alias("wiki"), F.substring("_event.path", F.col("own.n") + 2, F.length("_event.path")).alias("relative"))
+    paths = events.select("path").filter(F.contains("path", F.lit("/"))).distinct()
+    best = paths.withColumn("_root", F.explode(above)).join(roots, "_root").groupBy("path").agg(F.max(F.struct(F.length("_root").alias("n"), F.col("_name").alias("name"))).alias("_own"))
+    return events.select(*by).join(best, "path").select(*by, F.col("_own.name").alias("wiki"), F.substring("path", F.col("_own.n") + 2, F.length("path")).alias("relative"))
 
 
 def not_ignored(events: DataFrame, rules: list[tuple[str, bool]], path: str = "relative") -> DataFrame:

@@ -11,8 +11,10 @@ from lorespark.functions import files, markup, text
 from lorespark.operators import delta, fuzzy, graph, pages, reports, resolve, search
 from lorespark.plans.query import Term, parse
 from lorespark.sources import files as source
+from lorespark.sources import folders
 from lorespark.sources.corpus import generated
 from lorespark.sources.registry import Registry, Wiki, environment, expand, layered, settings_of
+from lorespark.streaming import changes
 
 
 def one(spark, column, **values):
@@ -233,6 +235,30 @@ def test_frontmatter():
     assert "list item" in notes("---\n- x\n---\n")[0] and "single value" in notes("---\ntitle:\n---\n")[0] and markup.parse_frontmatter("---\r\ntitle: x\r\n---\r\n")["title"] == "x"
 
 
+def test_header_lines_and_entries():
+    parse = markup.parse_frontmatter
+    got = parse("\ufeff---\na:\n  b: 1\n  - c\n-\n: x\n- y\n# why\n'k: 1': v\nTags: [ '#A', a, b # c ]\nalias: one\nTITLE: t\n...\nrest")
+    assert got["extra"] == {"a": ["c"], "'k: 1'": ["v"]} and (got["title"], got["tags"], got["aliases"]) == ("t", ["A", "b"], ["one"])
+    assert [d["line"] for d in got["diagnostics"]] == [3, 5, 6, 7] and got["body_line_offset"] == 13 and "rest" == "\ufeff---\na:\n  b: 1\n  - c\n-\n: x\n- y\n# why\n'k: 1': v\nTags: [ '#A', a, b # c ]\nalias: one\nTITLE: t\n...\nrest".encode()[got["body_offset"] :].decode()
+    assert parse("---\nt: 'a' b\nu: \"\nv: ''\n---")["extra"] == {"t": ["'a' b"], "u": ['"'], "v": [""]}
+    assert parse("--- \nx: 1\n---\n")["present"] is False and parse("---\n---")["present"] and parse("")["diagnostics"] == []
+    assert "…" in parse("---\n" + "g" * 50 + "\n---\n")["diagnostics"][0]["message"]
+
+
+def test_equal_events_keep_their_owners(spark):
+    events = spark.createDataFrame([("/a/x", 1), ("/a/x", 1), ("/a/b/y", 2), ("/c", 3)], "path string, n int")
+    roots = spark.createDataFrame([("outer", "/a"), ("inner", "/a/b/")], "name string, root string")
+    found = sorted(map(tuple, changes.owned(events, roots).collect()))
+    assert found == [("/a/b/y", 2, "inner", "y"), ("/a/x", 1, "outer", "x"), ("/a/x", 1, "outer", "x")]
+
+
+def test_names_that_are_not_neighbours_stay(spark):
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
+    assert [r.name for r in fuzzy.suggestions(names("Heap", "Zeap", "heap"), "xeap").collect()] == ["Heap", "Zeap", "heap"]
+    assert [r.name for r in fuzzy.suggestions(names("Heap", "heap", "heaP"), "xeap").collect()] == ["Heap"]
+    assert len(fuzzy.suggestions(names(*(f"h{i:02}p" for i in range(90))), "h00p", 7).collect()) == 7
+
+
 def test_markdown():
     got = markup.parse_markdown("# Head `code`\n\nSome **bold** [link](x) text\n\n```rust\nlet a;\n```\n\nSetext\n======\n- [x] done\n[[Page#a|l]]")
     assert got["headings"] == ["Head code", "Setext"] and got["links"] == ["Page"] and "let a;" in got["body"] and "bold link text" in got["body"]
@@ -309,6 +335,30 @@ def test_index_lifecycle(spark, tmp_path):
     assert {p.name for p in (tmp_path / "index").glob("v*")} == {meta["segments"][0]["id"], *meta["before"][0]}
 
 
+def test_walks_are_handed_on(spark, tmp_path):
+    """The same files whether the driver walks alone or leaves most to executors; no symbolic link, no ignored folder is opened."""
+    pages = {f"{a}/{b}/p{i}.md": "x" for a in "abc" for b in ("x", "y", "_z", ".h") for i in range(3)}
+    write_files(tmp_path / "w", pages | {"top.md": "x", ".gitignore": "*.log\n/b/x/\n", "a/.loreignore": "y/\n!keep.log\n", "a/x/keep.log": "x", "c/no.log": "x", "c/x/.gitignore": "!deep.log\n", "c/x/deep.log": "x"})
+    (tmp_path / "w" / "link.md").symlink_to(tmp_path / "w" / "top.md")
+    (tmp_path / "w" / "loop").symlink_to(tmp_path / "w")
+    want = sorted([p for p in pages if "/.h/" not in p and not p.startswith(("b/x/", "a/y/"))] + ["top.md", "a/x/keep.log", "c/x/deep.log"])
+    opened = []
+
+    class Watched(folders.Folder):
+        def entries(self, relative):
+            opened.append(relative)
+            return super().entries(relative)
+
+    assert sorted(r[1] for r in folders.walk(Watched(str(tmp_path / "w")), [("", {})], [], False) if not r[1].startswith("a/.lore")) == want
+    assert not {"b/x/", "a/y/", "a/.h/", "loop/"} & set(opened)
+    for most in (1, 5, 10_000):
+        found = folders.listing(spark, str(tmp_path / "w"), [], False, most)
+        assert sorted(r.relative for r in found.collect()) == want
+    rows = list(folders.walk(folders.Folder(str(tmp_path / "w")), [("", {})], [], False, 1))
+    assert {r[1] for r in rows if r[0]} == {"a/", "b/", "c/"} and [r[1] for r in rows if not r[0]] == ["top.md"]
+    assert folders.Folder(str(tmp_path / "w")).read("link.md") is None and folders.Folder(str(tmp_path)).entries("nowhere/") == []
+
+
 def test_left_lock_and_broken_pointer(spark, tmp_path, monkeypatch):
     store = delta.Store(spark, str(tmp_path))
     assert store.lock()
