@@ -417,6 +417,24 @@ query("change_sessions", f"WITH {EVENTS} SELECT path, strftime(min(ts), '%Y-%m-%
 query("change_coalesce", f"WITH {EVENTS} SELECT path, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, {FOLD} AS kind FROM s GROUP BY path, session")(lambda spark, sf_dir: _settled(spark, sf_dir).select("path", "start", "kind"))
 
 
+#: Purchases are sources and sign-ups targets of moves; a user's moves share a cookie.
+MOVES = "m AS (SELECT event_id AS seq, ts, CAST(user_id % 50 AS VARCHAR) AS path, user_id % 7 AS cookie, CASE event_type WHEN 'purchase' THEN 'rename_from' WHEN 'signup' THEN 'rename_to' WHEN 'error' THEN 'delete' ELSE 'modify' END AS kind FROM events)"
+
+
+def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.create_map(*map(F.lit, ("purchase", "rename_from", "signup", "rename_to", "error", "delete")))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select(F.lit("main").alias("wiki"), (F.col("user_id") % 50).cast("string").alias("path"), (F.col("user_id") % 7).alias("cookie"), F.coalesce(F.element_at(kinds, F.col("event_type")), F.lit("modify")).alias("kind"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+
+
+query(
+    "paired_renames",
+    f"""WITH {MOVES}, r AS (SELECT *, lead(kind) OVER w AS k2, lead(ts) OVER w AS t2, lag(kind) OVER w AS k0, lag(ts) OVER w AS t0, lag(path) OVER w AS p0 FROM m WHERE starts_with(kind, 'rename_') WINDOW w AS (PARTITION BY cookie ORDER BY ts, seq)),
+o AS (SELECT path, CASE WHEN kind = 'rename_from' THEN 'delete' WHEN k0 = 'rename_from' AND epoch_ms(ts) - epoch_ms(t0) <= 3600000 THEN 'rename' ELSE 'create' END AS kind, p0, ts FROM r WHERE NOT coalesce(kind = 'rename_from' AND k2 = 'rename_to' AND epoch_ms(t2) - epoch_ms(ts) <= 3600000, FALSE)
+ UNION ALL SELECT path, kind, NULL, ts FROM m WHERE NOT starts_with(kind, 'rename_'))
+SELECT path, kind, CASE WHEN kind = 'rename' THEN p0 END AS from_path, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at FROM o""",
+)(lambda spark, sf_dir: changes.paired(moves(spark, sf_dir), 3_600_000).select("path", "kind", "from_path", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at")))
+
 # more of the inventory: one query for each function that the ones above do not reach
 
 PAGES = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet")

@@ -51,7 +51,7 @@ class Folder:
         self.path = self.path.rstrip("/")
 
     def entries(self, relative: str) -> list[tuple[str, bool, int, int]]:
-        """(name, is a folder, bytes, seconds) in a folder, by name; nothing if it has gone."""
+        """(name, is a folder, bytes, nanoseconds) in a folder, by name; nothing if it has gone."""
         at = f"{self.path}/{relative}".rstrip("/") or "/"
         out = []
         try:
@@ -60,10 +60,10 @@ class Folder:
                     for x in found:
                         s = x.stat(follow_symlinks=False)
                         if stat.S_ISDIR(s.st_mode) or stat.S_ISREG(s.st_mode):
-                            out.append((x.name, stat.S_ISDIR(s.st_mode), s.st_size, int(s.st_mtime)))
+                            out.append((x.name, stat.S_ISDIR(s.st_mode), s.st_size, s.st_mtime_ns))
             else:
                 for x in self.store.get_file_info(fs.FileSelector(at)):
-                    out.append((x.base_name, x.type == fs.FileType.Directory, x.size or 0, int((x.mtime_ns or 0) // 10**9)))
+                    out.append((x.base_name, x.type == fs.FileType.Directory, x.size or 0, x.mtime_ns or 0))
         except FileNotFoundError:
             return []
         return sorted(out)
@@ -129,14 +129,14 @@ def walk(at: Folder, todo: list[tuple[str, Rules]], own: list[tuple[str, bool]],
         found = at.entries(folder)
         seen += len(found) + 1
         rules = _below(handed, at, folder, {name for name, is_folder, _, _ in found if not is_folder or name == ".git"})
-        for name, is_folder, size, seconds in found:
+        for name, is_folder, size, ns in found:
             path = folder + name
             if name in files.VCS or _gone(path + "/" * is_folder, name, rules, own, hidden):
                 continue
             if is_folder:
                 todo.append((f"{path}/", rules))
             else:
-                yield False, path, size, seconds, None
+                yield False, path, size, ns // 10**9, None
 
 
 def _walked(batches: Iterable[pa.RecordBatch], root: str, own: list[tuple[str, bool]], hidden: bool, most: int) -> Iterator[pa.RecordBatch]:

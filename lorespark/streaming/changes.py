@@ -7,15 +7,25 @@ dropped: what comes later than the watermark is discarded.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import shutil
+import time
+import uuid
+import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lorespark.functions import files
+from lorespark.session import shared_folder
+from lorespark.sources import folders
 
 WINDOW = "150 milliseconds"
 CHANGES = "wiki string, path string, kind string, from_path string, ts timestamp, seq long"
@@ -48,49 +58,95 @@ def watermarked(changes: DataFrame, delay: str = "10 seconds") -> DataFrame:
     return changes.withWatermark("ts", delay)
 
 
-def pair_renames(changes: DataFrame, within_ms: int = 600) -> DataFrame:
-    """Streaming: (wiki, path, kind, from_path, ts) with a rename_from and the rename_to that follows in `within_ms` of the same wiki made one rename.
+PAIRED = "wiki string, path string, kind string, from_path string, ts timestamp"
+#: Milliseconds within which a target follows its source.
+FOLLOWS = 600
 
-    A wiki has one open source at a time. A target without a source was created; a source that nothing follows was deleted.
-    """
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        open_ = state.get if state.exists else None
-        out = []
-
-        def close() -> None:
-            if open_ is not None:
-                out.append((key[0], open_[0], "delete", None, pd.Timestamp(open_[1], unit="ms")))
-
-        if state.hasTimedOut:
-            close()
-            state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-            for r in rows.itertuples():
-                now = int(r.ts.value // 1_000_000)
-                if open_ is not None and now - open_[1] > within_ms:
-                    close()
-                    open_ = None
-                if r.kind == "rename_from":
-                    close()
-                    open_ = (r.path, now)
-                elif r.kind == "rename_to" and open_ is not None:
-                    out.append((key[0], r.path, "rename", open_[0], r.ts))
-                    open_ = None
-                elif r.kind == "rename_to":
-                    out.append((key[0], r.path, "create", None, r.ts))
-                else:
-                    out.append((key[0], r.path, r.kind, None, r.ts))
-            if open_ is None:
-                if state.exists:
-                    state.remove()
+def rename_key(changes: DataFrame) -> Column:
+    """What sources and targets of renames meet by, within a wiki: the watcher's cookie of the move where changes have one, else the wiki alone."""
+    return F.coalesce(F.col("cookie").cast("string"), F.lit("")) if "cookie" in changes.columns else F.lit("")
+
+
+class _Pairing(StatefulProcessor):
+    """One open source for each key, which a timer closes."""
+
+    def __init__(self, within: int):
+        self.within = within
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.open = handle, handle.getValueState("open", "path string, at long")
+
+    def _take(self) -> tuple[str, int] | None:
+        """The open source, no longer open."""
+        found = self.open.get() if self.open.exists() else None
+        if found is not None:
+            self.handle.deleteTimer(found[1] + self.within + 1)
+            self.open.clear()
+        return None if found is None else (found[0], found[1])
+
+    @staticmethod
+    def _out(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["wiki", "path", "kind", "from_path", "ts"]).astype({"ts": "datetime64[ns]"})
+
+    @staticmethod
+    def _deleted(wiki: str, source: tuple[str, int]) -> tuple:
+        return (wiki, source[0], "delete", None, pd.Timestamp(source[1], unit="ms"))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        wiki, out = key[0], []
+        for r in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples():
+            if not r.kind.startswith("rename_"):
+                out.append((wiki, r.path, r.kind, None, r.ts))
+                continue
+            now, source = int(r.ts.value // 1_000_000), self._take()
+            follows = source is not None and r.kind == "rename_to" and now - source[1] <= self.within
+            if source is not None and not follows:
+                out.append(self._deleted(wiki, source))
+            if r.kind == "rename_from":
+                self.open.update((r.path, now))
+                self.handle.registerTimer(now + self.within + 1)
             else:
-                state.update(open_)
-                state.setTimeoutTimestamp(max(open_[1] + within_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["wiki", "path", "kind", "from_path", "ts"]).astype({"ts": "datetime64[ns]"})
+                out.append((wiki, r.path, "rename", source[0], r.ts) if follows else (wiki, r.path, "create", None, r.ts))
+        yield self._out(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        source = self._take()
+        yield self._out([] if source is None else [self._deleted(key[0], source)])
 
-    return changes.groupBy("wiki").applyInPandasWithState(run, "wiki string, path string, kind string, from_path string, ts timestamp", "path string, at long", "append", "EventTimeTimeout")
+    def close(self) -> None:
+        pass
+
+
+#: Where streaming keeps state of values and timers.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def pair_renames(changes: DataFrame, within_ms: int = FOLLOWS) -> DataFrame:
+    """Streaming: (wiki, path, kind, from_path, ts) with a rename_from and the rename_to that follows in `within_ms` of the same key made one rename.
+
+    A key (see rename_key) has one open source at a time. A target without a source was created; a source that nothing follows was deleted, which a
+    timer tells when the watermark passes. What comes later than the watermark is discarded.
+    """
+    changes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    keyed = changes.withColumn("_move", rename_key(changes)).groupBy("wiki", "_move")
+    return keyed.transformWithStateInPandas(_Pairing(within_ms), PAIRED, "append", "eventTime")
+
+
+def paired(changes: DataFrame, within_ms: int = FOLLOWS) -> DataFrame:
+    """The same of a static table: a source looks to the next source or target of its key, a target to the one before."""
+    rows = changes.withColumn("_move", rename_key(changes))
+    order = Window.partitionBy("wiki", "_move").orderBy("ts", "seq")
+    near = lambda a, b: (F.unix_millis(b) - F.unix_millis(a)) <= within_ms
+    moves = rows.filter(F.startswith("kind", F.lit("rename_"))).select(
+        "*", *[f(c).over(order).alias(f"_{n}_{c}") for n, f in (("next", F.lead), ("last", F.lag)) for c in ("kind", "path", "ts")]
+    )
+    goes_on = (F.col("kind") == "rename_from") & (F.col("_next_kind") == "rename_to") & near("ts", "_next_ts")
+    follows = (F.col("kind") == "rename_to") & (F.col("_last_kind") == "rename_from") & near("_last_ts", "ts")
+    kind = F.when(F.col("kind") == "rename_from", "delete").when(follows, "rename").otherwise("create")
+    out = moves.filter(~F.coalesce(goes_on, F.lit(False))).select("wiki", "path", kind.alias("kind"), F.when(follows, F.col("_last_path")).alias("from_path"), "ts")
+    others = rows.filter(~F.startswith("kind", F.lit("rename_"))).select("wiki", "path", "kind", F.lit(None).cast("string").alias("from_path"), "ts")
+    return others.unionByName(out)
 
 
 def known_sources(paired: DataFrame, tracked: DataFrame) -> DataFrame:
@@ -124,52 +180,88 @@ def apply_batches(stream: DataFrame, reconcile, checkpoint: str, once: bool = Tr
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 
-class _Snapshots(SimpleDataSourceStreamReader):
-    """Differences between listings of a folder: new, rewritten and deleted files."""
+class _Share(InputPartition):
+    def __init__(self, share: int, start: int, end: int):
+        self.share, self.start, self.end = share, start, end
+
+
+class _Watcher(DataSourceStreamReader):
+    """Differences between two versions of a folder's snapshot. Each share of the folders is listed, compared and stored by a task; an offset is the number of a version.
+
+    A task that finds its share of a version stored gives the differences stored with it, so a batch that runs again has the same rows.
+    """
 
     def __init__(self, options: dict):
-        self.root, self.wiki = options["path"], options.get("wiki", "main")
-
-    def _list(self) -> dict[str, list[int]]:
-        found = {}
-        for folder, dirs, names in os.walk(self.root):
-            dirs[:] = [d for d in dirs if d not in (".git", ".hg", ".svn", ".jj")]
-            for name in names:
-                full = os.path.join(folder, name)
-                try:
-                    s = os.stat(full)
-                except OSError:
-                    continue
-                found[os.path.relpath(full, self.root)] = [s.st_size, s.st_mtime_ns]
+        self.root, self.state, self.wiki = options["path"], options["state"], options.get("wiki", "main")
+        self.shares = int(options.get("shares", "16"))
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"version": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        versions = [int(n) for n in os.listdir(self.state) if n.isdigit()] if os.path.isdir(self.state) else []
+        return {"version": max(versions, default=0) + 1}
+
+    def partitions(self, start: dict, end: dict) -> list[_Share]:
+        return [_Share(i, start["version"], end["version"]) for i in range(self.shares)]
+
+    def _file(self, version: int, share: int) -> str:
+        return f"{self.state}/{version}/{share}.json"
+
+    def _stored(self, version: int, share: int) -> dict | None:
+        try:
+            with open(self._file(version, share)) as f:
+                return json.load(f)
+        except FileNotFoundError:
+            return None
+
+    def _list(self, share: int) -> dict[str, list[int]]:
+        """Files of the share: folders are dealt out by their first two names."""
+        at, found, todo = folders.Folder(self.root), {}, [""]
+        while todo:
+            folder = todo.pop()
+            depth = folder.count("/")
+            mine = depth > 2 or zlib.crc32(folder.encode()) % self.shares == share
+            if not mine and depth == 2:
+                continue
+            for name, is_folder, size, ns in at.entries(folder):
+                if is_folder and name not in files.VCS:
+                    todo.append(f"{folder}{name}/")
+                elif not is_folder and mine:
+                    found[folder + name] = [size, ns]
         return found
 
-    def initialOffset(self) -> dict:
-        return {"files": {}, "n": 0}
-
-    def read(self, start: dict):
-        now = self._list()
-        was, n, rows = start["files"], start["n"], []
-        at = pd.Timestamp.now("UTC").to_pydatetime()
-        for path in sorted({*was, *now}):
-            kind = "create" if path not in was else "delete" if path not in now else "modify" if was[path] != now[path] else None
-            if kind:
-                n += 1
-                rows.append((self.wiki, path, kind, None, at, n))
-        return iter(rows), {"files": now, "n": n}
-
-    def readBetweenOffsets(self, start: dict, end: dict):
-        rows, n = [], start["n"]
-        at = pd.Timestamp.now("UTC").to_pydatetime()
-        for path in sorted({*start["files"], *end["files"]}):
-            a, b = start["files"].get(path), end["files"].get(path)
-            if a != b:
-                n += 1
-                rows.append((self.wiki, path, "create" if a is None else "delete" if b is None else "modify", None, at, n))
-        return iter(rows)
+    def read(self, part: _Share) -> Iterator[tuple]:
+        done = self._stored(part.end, part.share)
+        if done is None:
+            was = self._stored(part.start, part.share) if part.start else {"files": {}}
+            if was is None:
+                raise ValueError(f"the snapshot of version {part.start} in {self.state} has gone; start with a new checkpoint")
+            was, now = was["files"], self._list(part.share)
+            kinds = {p: "create" if p not in was else "delete" if p not in now else "modify" for p in sorted({*was, *now}) if was.get(p) != now.get(p)}
+            done = {"files": now, "changes": list(kinds.items()), "at": time.time()}
+            os.makedirs(f"{self.state}/{part.end}", exist_ok=True)
+            attempt = f"{self._file(part.end, part.share)}.{uuid.uuid4().hex}"
+            with open(attempt, "w") as f:
+                json.dump(done, f)
+            try:
+                os.link(attempt, self._file(part.end, part.share))
+            except FileExistsError:  # another attempt was first, and counts
+                done = self._stored(part.end, part.share)
+            os.unlink(attempt)
+        at = datetime.fromtimestamp(done["at"], timezone.utc)
+        for i, (path, kind) in enumerate(done["changes"]):
+            yield self.wiki, path, kind, None, at, (part.end << 40) + (part.share << 32) + i
+
+    def commit(self, end: dict) -> None:
+        """Snapshots before a committed one are not asked for again."""
+        for n in os.listdir(self.state):
+            if n.isdigit() and int(n) < end["version"]:
+                shutil.rmtree(f"{self.state}/{n}", ignore_errors=True)
 
 
 class FolderChanges(DataSource):
-    """Stream source `folder_changes`: option path, and wiki for the name that rows carry. Watches a folder that the driver sees."""
+    """Stream source `folder_changes`: options path, state, wiki for the name that rows carry, and shares. Folder and state are seen by all machines at the same place."""
 
     @classmethod
     def name(cls) -> str:
@@ -178,13 +270,15 @@ class FolderChanges(DataSource):
     def schema(self) -> str:
         return CHANGES
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _Snapshots(self.options)
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
+        return _Watcher(self.options)
 
 
-def folder_stream(spark: SparkSession, path: str, wiki: str = "main") -> DataFrame:
+def folder_stream(spark: SparkSession, path: str, wiki: str = "main", state: str | None = None, shares: int = 16) -> DataFrame:
+    """Changes of files below a folder. Snapshots are kept in `state`, which a query that is started again has to name; a new folder if there is none."""
     spark.dataSource.register(FolderChanges)
-    return spark.readStream.format("folder_changes").option("path", path).option("wiki", wiki).load()
+    state = re.sub("^file:/*", "/", state or f"{shared_folder(spark)}/lorespark-watch-{uuid.uuid4().hex}")
+    return spark.readStream.format("folder_changes").option("path", path).option("wiki", wiki).option("state", state).option("shares", str(shares)).load()
 
 
 def from_events(events: DataFrame) -> DataFrame:

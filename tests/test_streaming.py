@@ -1,3 +1,4 @@
+import random
 import time
 
 import pandas as pd
@@ -46,6 +47,86 @@ def test_rename_pairs(spark, tmp_path):
     assert got == {("w", "b", "rename", "a"), ("w", "c", "delete", None), ("w", "d", "create", None), ("w", "e", "modify", None), ("v", "z", "create", None)}
 
 
+def run_once(stream, name, checkpoint):
+    query = stream.writeStream.format("parquet").queryName(name).option("checkpointLocation", checkpoint).option("path", f"{checkpoint}-out").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert query.exception() is None
+    return query
+
+
+def test_interleaved_renames_equal_a_plain_version_and_the_batch(spark, tmp_path):
+    rng = random.Random(8)
+    at = lambda ms: pd.Timestamp(1_700_000_000_000 + ms, unit="ms").to_pydatetime()
+    rows, ms = [], 0
+    for seq in range(120):
+        ms += rng.choice([1, 50, 300, 900])
+        rows.append((rng.choice("vw"), f"p{seq}", rng.choice(["rename_from", "rename_to", "modify"]), None, at(ms), seq, rng.randrange(3)))
+    schema = f"{changes.CHANGES}, cookie int"
+    for i in range(0, 120, 40):  # files in order of time; within one, rows in any order
+        part = rows[i : i + 40]
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    last = ("end", "late", "modify", None, at(ms + 10**6), 999, 0)
+    spark.createDataFrame([last], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    time.sleep(1.1)
+    spark.createDataFrame([("v", "too late", "rename_to", None, at(5), 1000, 0), ("end", "now", "modify", None, at(ms + 10**6 + 1), 1001, 0)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run_once(changes.pair_renames(changes.watermarked(stream, "1 second")), "interleaved", str(tmp_path / "c"))
+    key = lambda found: sorted(((r.wiki, r.path, r.kind, r.from_path, r.ts) for r in found if r.wiki != "end"), key=repr)
+    got = key(spark.read.parquet(str(tmp_path / "c-out")).collect())
+    open_, want = {}, []
+    for wiki, path, kind, _, ts, _, cookie in sorted(rows, key=lambda r: (r[4], r[5])):
+        source = open_.pop((wiki, cookie), None) if kind != "modify" else None
+        near = source is not None and ts - source[1] <= pd.Timedelta(milliseconds=600)
+        if source is not None and not (kind == "rename_to" and near):
+            want.append((wiki, source[0], "delete", None, source[1]))
+        if kind == "rename_from":
+            open_[wiki, cookie] = (path, ts)
+        elif kind == "rename_to":
+            want.append((wiki, path, "rename", source[0], ts) if near else (wiki, path, "create", None, ts))
+        else:
+            want.append((wiki, path, kind, None, ts))
+    want += [(wiki, s[0], "delete", None, s[1]) for (wiki, _), s in open_.items()]
+    assert got == sorted(want, key=repr)
+    assert key(changes.paired(spark.createDataFrame(rows, schema)).collect()) == got
+
+
+def test_watcher_tells_each_change_once(spark, tmp_path):
+    """Restarts from the checkpoint; the offset does not grow with the folder; a share that ran before gives the same rows again."""
+    root, state = tmp_path / "wiki", str(tmp_path / "state")
+    for i in range(30):
+        (root / f"d{i % 5}" / f"e{i % 3}" / "f").mkdir(parents=True, exist_ok=True)
+        (root / f"d{i % 5}" / f"e{i % 3}" / "f" / f"{i}.md").write_text("x")
+    (root / "top.md").write_text("x")
+    (root / ".git").mkdir()
+    (root / ".git" / "index").write_text("x")
+
+    def changed():
+        run_once(changes.folder_stream(spark, str(root), state=state, shares=4), "watched", str(tmp_path / "c"))
+        return sorted((r.path, r.kind) for r in spark.read.schema(changes.CHANGES).parquet(str(tmp_path / "c-out")).collect())
+
+    first = changed()
+    assert len(first) == 31 and {k for _, k in first} == {"create"} and ("top.md", "create") in first
+    (root / "top.md").write_text("longer")
+    (root / "d1" / "new.md").write_text("x")
+    (root / "d0" / "e0" / "f" / "0.md").unlink()
+    second = changed()
+    assert sorted(set(second) - set(first)) == [("d0/e0/f/0.md", "delete"), ("d1/new.md", "create"), ("top.md", "modify")] and len(second) == 34
+    assert changed() == second
+    offsets = sorted((tmp_path / "c" / "offsets").glob("[0-9]*"))
+    assert all(len(p.read_text().splitlines()[-1]) < 40 for p in offsets)
+    reader = changes._Watcher({"path": str(root), "state": state, "shares": "4"})
+    versions = sorted(int(p.name) for p in (tmp_path / "state").iterdir())
+    share = changes._Share(0, versions[-1], versions[-1] + 1)
+    (root / "d2" / "again.md").write_text("x")
+    for part in (share, changes._Share(1, share.start, share.end), changes._Share(2, share.start, share.end), changes._Share(3, share.start, share.end)):
+        once = list(reader.read(part))
+        assert list(reader.read(part)) == once
+    with pytest.raises(ValueError, match="has gone"):
+        list(reader.read(changes._Share(0, 10**6, 10**6 + 1)))
+
+
 def test_folder_source(spark, tmp_path):
     root = tmp_path / "wiki"
     root.mkdir()
