@@ -347,6 +347,12 @@ on_corpus("page_links", "SELECT doc_id, array_to_string(links, ',') AS links FRO
 on_corpus("frontmatter_parse", "SELECT doc_id, title, array_to_string(aliases, ',') AS aliases, array_to_string(list_filter(tags, lambda t, i: list_position(tags, t) = i), ',') AS tags, 0 AS problems FROM corpus", lambda c: markdown(c).withColumn("f", markup.frontmatter("markdown")).select("doc_id", "f.title", F.concat_ws(",", "f.aliases").alias("aliases"), F.concat_ws(",", "f.tags").alias("tags"), F.size("f.diagnostics").alias("problems")))
 on_corpus("first_heading", "SELECT doc_id, title AS heading FROM corpus", lambda c: markdown(c).select("doc_id", markup.first_heading(F.col("markdown")).alias("heading")))
 on_corpus("markdown_outline", None, lambda c: markdown(c).select("doc_id", F.explode(markup.outline(F.col("markdown"))).alias("h")).select("doc_id", "h.level", "h.text", "h.line"))
+PAGE_PARTS = ["Of ", "\n===\n\n> ## In a quote: ", "\n\n- # Item ", "\n  - deeper\n\n      ### Deep ", "\n\n```\n# not\n```\n\n    # nor\n\n<div>\n# nor\n</div>\n\n# Last [", "][r] #\n\n[r]: /x\n"]
+on_corpus(
+    "outline_structures",
+    """SELECT doc_id, unnest([1, 2, 1, 3, 1]) AS level, unnest(['Of ' || doc_id, 'In a quote: ' || title, 'Item ' || wiki, 'Deep ' || doc_id, 'Last [' || title || '][r]']) AS text, unnest([1, 4, 6, 9, 21]) AS line FROM corpus""",
+    lambda c: c.select("doc_id", F.explode(markup.outline(F.concat(F.lit(PAGE_PARTS[0]), F.col("doc_id").cast("string"), F.lit(PAGE_PARTS[1]), "title", F.lit(PAGE_PARTS[2]), "wiki", F.lit(PAGE_PARTS[3]), F.col("doc_id").cast("string"), F.lit(PAGE_PARTS[4]), "title", F.lit(PAGE_PARTS[5])))).alias("h")).select("doc_id", "h.level", "h.text", "h.line"),
+)
 query("pages_href_links", "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages")(lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")))
 
 # changes

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lorespark.functions import header
+from lorespark.functions import commonmark, header
 from lorespark.functions.arrow import arrow_function
 from lorespark.functions.header import frontmatter  # noqa: F401
 from lorespark.functions.text import ascii_lower, dedupe_ci
@@ -74,109 +74,24 @@ def link_class(target: Column) -> Column:
     return F.when(F.startswith(target, F.lit("#")), "heading").when(target.rlike("(?i)^([a-z][a-z0-9+.-]*://|mailto:)"), "external").when(target.rlike(r"(?i)^file:|/|\.[a-z0-9]+$"), "file").otherwise("wiki")
 
 
-_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})\s*([^`\n]*)$")
-_FOOTNOTE = re.compile(r"^ {0,3}\[\^([^\]\s]+)\]:\s*(.*)$")
-_ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
+def blocks(text: str) -> list[dict]:
+    """Blocks of a page as a flat list, see `commonmark.rows`."""
+    return commonmark.rows(text)[0]
 
 
-def blocks(text: str) -> list[dict]:
-    """A subset of CommonMark as a flat list: headings, paragraphs, list and task items, quotes, callouts, tables, code, rules, footnotes and
-    display mathematics. `depth` tells how deep an item or quote is nested, `lang` the language of code, the kind of a callout or the name of
-    a footnote."""
+def spans(text: str, links: dict | None = None) -> list[dict]:
+    """The inline tree of a block's text as a flat list of (depth, kind, text): code, images (alt), wiki links, footnote marks, links, strong, struck and
+    emphasised text, mathematics, HTML, and plain text between them; what a node holds follows one deeper."""
     out: list[dict] = []
-    lines = text.split("\n")
-
-    def add(kind: str, content: str, line: int, level: int = 0, lang: str | None = None, depth: int = 0) -> None:
-        out.append({"ord": len(out), "depth": depth, "kind": kind, "level": level, "text": content, "lang": lang, "line": line + 1})
-
-    i, para = 0, []
-
-    def flush(end: int) -> None:
-        if para:
-            add("paragraph", "\n".join(para), end - len(para))
-            para.clear()
-
-    while i < len(lines):
-        line = lines[i].rstrip("\r")
-        if m := _FENCE.match(line):
-            flush(i)
-            start, code = i, []
-            i += 1
-            while i < len(lines) and not re.match(rf"^ {{0,3}}{re.escape(m[1][0])}{{{len(m[1])},}}\s*$", lines[i]):
-                code.append(lines[i].rstrip("\r"))
-                i += 1
-            add("code", "\n".join(code), start, lang=m[2].strip() or None)
-        elif line.strip().startswith("$$"):
-            flush(i)
-            start, rest = i, line.strip()[2:]
-            formula = []
-            while "$$" not in rest and i + 1 < len(lines):
-                formula.append(rest)
-                i += 1
-                rest = lines[i].rstrip("\r")
-            formula.append(rest.split("$$")[0])
-            add("math", "\n".join(formula).strip(), start)
-        elif m := _FOOTNOTE.match(line):
-            flush(i)
-            start, note = i, [m[2]]
-            while i + 1 < len(lines) and re.match(r"^(?: {4}|\t)\S", lines[i + 1]):
-                i += 1
-                note.append(lines[i].strip())
-            add("footnote", "\n".join(note), start, lang=m[1])
-        elif m := _ATX.match(line):
-            flush(i)
-            add("heading", (m[2] or "").strip(), i, len(m[1]))
-        elif para and re.match(r"^ {0,3}(=+|-+)\s*$", line):
-            content = "\n".join(para)
-            start = i - len(para)
-            para.clear()
-            add("heading", content, start, 1 if "=" in line else 2)
-        elif re.match(r"^ {0,3}([-*_])(?:\s*\1){2,}\s*$", line):
-            flush(i)
-            add("rule", "", i)
-        elif m := re.match(r"^(\s*)([-*+]|\d{1,9}[.)])\s+(?:\[([ xX])\]\s+)?(.*)$", line):
-            flush(i)
-            add("task" if m[3] else "item", m[4], i, int(bool(m[3]) and m[3] != " "), depth=len(m[1].expandtabs(4)) // 2)
-        elif m := re.match(r"^ {0,3}((?:>\s?)+)(.*)$", line):
-            flush(i)
-            call = re.match(r"^\[!(\w+)\]\s*(.*)$", m[2])
-            add("callout" if call else "quote", call[2] if call else m[2], i, lang=call[1].lower() if call else None, depth=m[1].count(">") - 1)
-        elif "|" in line and i + 1 < len(lines) and re.match(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$", lines[i + 1]) and "-" in lines[i + 1]:
-            flush(i)
-            add("table_row", "\t".join(c.strip() for c in line.strip().strip("|").split("|")), i, 1)
-            i += 1
-            while i + 1 < len(lines) and "|" in lines[i + 1]:
-                i += 1
-                add("table_row", "\t".join(c.strip() for c in lines[i].strip().strip("|").split("|")), i)
-        elif not line.strip():
-            flush(i)
-        else:
-            para.append(line.strip())
-        i += 1
-    flush(len(lines))
-    return out
 
+    def walk(nodes: list[commonmark.Span], depth: int) -> None:
+        for s in nodes:
+            own = s.target if s.kind == "wiki" else s.text or "".join(c.shown() for c in s.children)
+            out.append({"depth": depth, "kind": "alt" if s.kind == "image" else s.kind, "text": own})
+            if s.kind != "image":
+                walk(s.children, depth + 1)
 
-_INLINE = re.compile(
-    r"`+(?P<code>[^`]+)`+|!\[(?P<alt>[^\]]*)\]\([^)]*\)|\[\[(?P<wiki>[^\]\n]+)\]\]|\[\^(?P<note>[^\]\s]+)\]|\[(?P<link>[^\]]*)\]\([^)]*\)"
-    r"|\*\*(?P<strong>.+?)\*\*|~~(?P<strike>.+?)~~|(?<!\w)[*_](?P<emphasis>[^*_]+)[*_](?!\w)|(?<!\$)\$(?P<math>[^$\n]+)\$(?!\$)"
-)
-
-
-def spans(text: str, depth: int = 0) -> list[dict]:
-    """The inline tree of a line as a flat list of (depth, kind, text): code, images, wiki links, footnote marks, links, strong, struck and
-    emphasised text, mathematics, and plain text between them; what is inside of strong, struck, emphasised and linked text follows one deeper."""
-    out, last = [], 0
-    for m in _INLINE.finditer(text):
-        if m.start() > last:
-            out.append({"depth": depth, "kind": "text", "text": text[last : m.start()]})
-        kind, inner = m.lastgroup, m[m.lastgroup]
-        out.append({"depth": depth, "kind": kind, "text": inner})
-        if kind in ("strong", "strike", "emphasis", "link"):
-            out += spans(inner, depth + 1)
-        last = m.end()
-    if last < len(text):
-        out.append({"depth": depth, "kind": "text", "text": text[last:]})
+    walk(commonmark.inline(text, links), 0)
     return out
 
 
@@ -185,24 +100,22 @@ def markdown_spans(texts: pd.Series) -> pd.Series:
     return pd.Series([spans(t or "") for t in texts], dtype="object")
 
 
-def inline_text(text: str) -> str:
-    """Visible text of a line: marks of emphasis, code and links dropped."""
-    text = re.sub(r"\[\^[^\]\s]+\]", "", text)
-    text = re.sub(r"!\[([^\]]*)\]\([^)]*\)", r"\1", text)
-    text = re.sub(r"\[\[(?:[^\]|\n]*\|)?([^\]\n]*)\]\]", r"\1", text)
-    text = re.sub(r"\[([^\]]*)\]\([^)]*\)", r"\1", text)
-    text = re.sub(r"`+([^`]*)`+", r"\1", text)
-    return re.sub(r"(\*\*|__|~~|(?<!\w)[*_]|[*_](?!\w))", "", text)
+def inline_text(text: str, links: dict | None = None) -> str:
+    """Visible text of a block: marks of emphasis, code and links dropped."""
+    return commonmark.shown(text, links)
 
 
 def parse_markdown(text: str) -> dict:
     """Headings, all visible text joined by spaces, and linked page names."""
     headings, body, links = [], [], []
-    for b in blocks(text):
-        shown = b["text"] if b["kind"] == "code" else inline_text(b["text"])
+    rows, known = commonmark.rows(text)
+    for b in rows:
+        if b["kind"] in ("rule", "html"):
+            continue
+        shown = b["text"] if b["kind"] in ("code", "math") else inline_text(b["text"], known)
         if b["kind"] == "heading":
             headings.append(re.sub(r"\s+", " ", shown).strip())
-            body += re.findall(r"`([^`]+)`", b["text"])
+            body += [s.text for s in commonmark.inline(b["text"], known) if s.kind == "code"]
         elif shown:
             body.append(re.sub(r"\s*\n\s*", " ", shown))
     for inner in re.findall(LINK, text):

@@ -167,7 +167,7 @@ def test_paths_stay_inside(tmp_path):
 
 def test_markdown_tree():
     found = markup.blocks("a[^1] ~~old~~ $x$\n\n[^1]: note\n    more\n\n$$\ny = 1\n$$\n\n> > deep\n\n- a\n    - b")
-    assert [(b["kind"], b["text"], b["depth"], b["lang"]) for b in found[1:]] == [("footnote", "note\nmore", 0, "1"), ("math", "y = 1", 0, None), ("quote", "deep", 1, None), ("item", "a", 0, None), ("item", "b", 2, None)]
+    assert [(b["kind"], b["text"], b["depth"], b["lang"]) for b in found[1:]] == [("footnote", "note\nmore", 0, "1"), ("math", "y = 1", 0, None), ("quote", "deep", 1, None), ("item", "a", 0, None), ("item", "b", 1, None)]
     tree = [(s["depth"], s["kind"], s["text"]) for s in markup.spans("**b _i_** ~~s~~ $m$ `c` [[P|x]] [t](u)[^n] z")]
     assert tree == [
         (0, "strong", "b _i_"), (1, "text", "b "), (1, "emphasis", "i"), (2, "text", "i"), (0, "text", " "), (0, "strike", "s"), (1, "text", "s"), (0, "text", " "), (0, "math", "m"), (0, "text", " "), (0, "code", "c"),
