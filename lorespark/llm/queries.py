@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_fingerprints": fingerprint.op6_fingerprints,
         "op7_jaccard_join": jaccard.op7_jaccard_join,
         "op8_url_filter": urls.op8_url_filter,
+        "url_rules": urls.url_rules,
         "op9_language_id": langid.op9_language_id,
         "op10_quality": quality.op10_quality,
         "op11_late_overwrite": generations.op11_late_overwrite,
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_suffix_dedup": repeats.OP3_SQL,
         "op7_jaccard_join": jaccard.OP7_SQL,
         "op13_exact_dedup": exact.OP13_SQL,
+        "url_rules": urls.RULES_SQL,
     }

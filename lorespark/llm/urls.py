@@ -8,7 +8,8 @@ corpus holds elsewhere does not tip a host; mass that reaches a host without lin
 makes up more than `limit` of both is blocked, every other one allowed.
 
 Native: DataFrame functions only. Edges are counted per pair of hosts before they meet, ranks are one row per host,
-iterations are cut at checkpoints, and the number of iterations is fixed.
+iterations are cut at checkpoints, and go on until ranks stand still: until what is left to come is below TOLERANCE of all mass, however
+long the paths are.
 
 Defined results: a null url or one without `://` has an empty host and path, no rule and verdict `allow`;
 hosts without links keep what their own pages' rules give; repeated pages count as often as they occur;
@@ -24,7 +25,9 @@ from lorespark.llm.common import ascii_lower, materialize, small_side, table
 
 #: The rules of the registered query.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-DAMPING, ITERATIONS, EVERY, LIMIT = 0.85, 10, 5, 0.8
+DAMPING, LIMIT = 0.85, 0.8
+#: The part of all mass that may still move when iteration ends; turns between checkpoints.
+TOLERANCE, EVERY = 1e-6, 5
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 HREF = r"(?i)href\s*=\s*[\x22']?((?:[a-z][a-z0-9+.-]*:)?//[^\x22'\s>]+)"
 
@@ -52,21 +55,28 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", dst.alias("dst")).filter("dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank: (host, rank) from edges (src, dst, n) and seeds (host, seed); ranks add up to what the seeds do.
 
-    Handing the mass of hosts without links back to the seeds only scales all ranks, so it is done once, at the end.
+    A turn shrinks what is left to come by `damping`, so from the change over a few turns follows how far the ranks are from their limit. Handing the mass
+    of hosts without links back to the seeds only scales all ranks, so it is done once, at the end.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     share = materialize(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
-    ranks = seeds.select("host", F.col("seed").cast("double").alias("rank"))
-    for turn in range(iterations):
-        came = share.join(ranks, share.src == ranks.host).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("rank"))
-        again = seeds.select("host", ((1 - damping) * F.col("seed")).alias("rank"))
-        ranks = came.unionByName(again).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if turn % EVERY == EVERY - 1:
-            ranks = materialize(ranks)
-    mass, whole = (df.agg(F.sum(c)).first()[0] or 0.0 for df, c in ((ranks, "rank"), (seeds, "seed")))
+    whole = seeds.agg(F.sum("seed")).first()[0] or 0.0
+    again = seeds.select("host", ((1 - damping) * F.col("seed")).alias("rank"))
+    ranks = materialize(seeds.select("host", F.col("seed").cast("double").alias("rank")))
+    shrunk = damping**EVERY
+    while True:
+        before = ranks
+        for _ in range(EVERY):
+            came = share.join(ranks, share.src == ranks.host).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("rank"))
+            ranks = came.unionByName(again).groupBy("host").agg(F.sum("rank").alias("rank"))
+        ranks = materialize(ranks)
+        moved = ranks.unionByName(before.withColumn("rank", -F.col("rank"))).groupBy("host").agg(F.abs(F.sum("rank")).alias("moved"))
+        if (moved.agg(F.sum("moved")).first()[0] or 0.0) * shrunk / (1 - shrunk) <= tolerance * whole:
+            break
+    mass = ranks.agg(F.sum("rank")).first()[0] or 0.0
     return ranks.select("host", (F.col("rank") * (whole / mass if mass else 1.0)).alias("rank"))
 
 
@@ -95,3 +105,18 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], limit: floa
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules alone say of every url."""
+    host, path = parts(F.col("url"))
+    own = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    return own.withColumn("hit", rule_of(F.col("host"), F.col("path"), RULES)).select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("verdict"))
+
+
+RULES_SQL = f"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+r(verdict, h, start) AS (VALUES {', '.join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)})
+SELECT page_id, host, path, (SELECT arg_max(h || start, length(h || start)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, start)) AS rule,
+(SELECT arg_max(verdict, length(h || start)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, start)) AS verdict FROM p
+"""

@@ -376,13 +376,26 @@ def plain_ranks(edges, seeds, damping, turns):
     return {h: r * whole for h, r in ranks.items()}
 
 
+def test_ranks_reach_their_limit_at_the_shipped_setting(spark):
+    rank = lambda edges, seeds: {r.host: r["rank"] for r in urls.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame(seeds, "host string, seed double")).collect()}
+    both = rank([("a", "b", 1), ("b", "a", 1)], [("a", 1.0)])
+    assert abs(both["a"] - 1 / (1 + urls.DAMPING)) < 1e-5 and abs(sum(both.values()) - 1) < 1e-9
+    chain = [(f"h{i}", f"h{i + 1}", 2) for i in range(30)]
+    got, want = rank(chain, [("h0", 3.0)]), plain_ranks({(a, b): n for a, b, n in chain}, {"h0": 3.0}, urls.DAMPING, 300)
+    assert len(got) == 31 and max(abs(got[h] - want[h]) for h in want) < 1e-5
+
+
+def test_rules_equal_sql(spark):
+    assert_same(urls.url_rules(spark, DATA), urls.RULES_SQL)
+
+
 def test_ranks_equal_a_plain_version(spark):
     pick = random.Random(8)
     edges = {(f"h{pick.randrange(20)}", f"h{pick.randrange(25)}"): pick.randrange(1, 5) for _ in range(50)}
     edges = {e: n for e, n in edges.items() if e[0] != e[1]}
     seeds = {"h1": 3.0, "h2": 1.0, "h24": 6.0}
     frame = spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n long")
-    got = {r.host: r["rank"] for r in urls.propagate(frame, spark.createDataFrame(list(seeds.items()), "host string, seed double"), iterations=60).collect()}
+    got = {r.host: r["rank"] for r in urls.propagate(frame, spark.createDataFrame(list(seeds.items()), "host string, seed double")).collect()}
     want = plain_ranks(edges, seeds, urls.DAMPING, 300)
     assert abs(sum(got.values()) - 10) < 1e-9 and all(abs(got.get(h, 0.0) - r) < 1e-3 for h, r in want.items())
 
