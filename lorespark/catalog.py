@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import uuid
 from collections.abc import Callable
 
@@ -240,13 +241,14 @@ FROM (SELECT *, 2 * pi() * (row_number() OVER (PARTITION BY depth ORDER BY wiki,
 
 # names
 
-query(
+on_corpus(
     "resolve_candidates",
-    """WITH b AS (SELECT 'Heap Exploitation' AS b), e AS (SELECT unnest(['md', 'markdown', 'txt', 'rst', 'org', 'tex', 'rs', 'py', 'c', 'h', 'go', 'sh']) AS e, unnest(range(12)) AS i),
-h AS (SELECT unnest(['index.md', 'README.md', 'Home.md', 'home.md']) AS h, unnest(range(4)) AS i), n AS (SELECT unnest([replace(b, ' ', '-'), replace(b, ' ', '_'), lower(replace(b, ' ', '-'))]) AS n, unnest(range(3)) AS i FROM b),
-a AS (SELECT i AS o, b || '.' || e AS relative FROM b, e UNION ALL SELECT 100 + i, b || '/' || h FROM b, h UNION ALL SELECT 200 + 2 * i, n || '.md' FROM n UNION ALL SELECT 201 + 2 * i, n || '.markdown' FROM n UNION ALL SELECT 300, b FROM b)
-SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INTEGER) AS pos, relative FROM a""",
-)(lambda spark, sf_dir: resolve.candidates(spark, "Heap Exploitation"))
+    """, b AS (SELECT doc_id, title AS b FROM corpus), e AS (SELECT unnest(['md', 'markdown', 'txt', 'rst', 'org', 'tex', 'rs', 'py', 'c', 'h', 'go', 'sh']) AS e, unnest(range(12)) AS i),
+h AS (SELECT unnest(['index.md', 'README.md', 'Home.md', 'home.md']) AS h, unnest(range(4)) AS i), named AS (SELECT doc_id, unnest([replace(b, ' ', '-'), replace(b, ' ', '_'), lower(replace(b, ' ', '-'))]) AS n, unnest(range(3)) AS i FROM b),
+a AS (SELECT doc_id, i AS o, b || '.' || e AS relative FROM b, e UNION ALL SELECT doc_id, 100 + i, b || '/' || h FROM b, h UNION ALL SELECT doc_id, 200 + 2 * i, n || '.md' FROM named UNION ALL SELECT doc_id, 201 + 2 * i, n || '.markdown' FROM named UNION ALL SELECT doc_id, 300, b FROM b)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS INTEGER) AS pos, relative FROM a""",
+    lambda c: resolve.candidates_of(c.select("doc_id", F.col("title").alias("name"))).select("doc_id", "pos", "relative"),
+)
 on_corpus("resolve_shallow", "SELECT wiki, relative, 'exact_stem' AS kind FROM corpus WHERE relative = 'src5/page_000005.md'", lambda c: resolve.shallow(c, "src5/page_000005"))
 on_corpus("resolve_listed", "SELECT wiki, relative, 'case_insensitive' AS kind FROM corpus WHERE lower(relative) = 'src5/page_000005.md'", lambda c: resolve.listed(c, "src5/PAGE_000005"))
 on_corpus(
@@ -395,10 +397,18 @@ def earlier(c: DataFrame) -> DataFrame:
     return old.unionByName(gone)
 
 
+@functools.lru_cache(16)
+def _store_path(application: str, folder: str, sf_dir: str) -> str:
+    return f"{folder}/lorespark-store-{application}-{uuid.uuid4().hex}"
+
+
 def _followed(spark: SparkSession, sf_dir: str) -> delta.Store:
-    """A store of the earlier documents that was brought up to date with the corpus."""
-    store, c = delta.Store(spark, f"{shared_folder(spark)}/lorespark-store-{uuid.uuid4().hex}"), corpus(spark, sf_dir)
-    assert delta.follow(store, earlier(c))[0] == "rebuilt" and delta.follow(store, dated(c))[0] == "updated"
+    """A store of the earlier documents that was brought up to date with the corpus, when a session first asks for it."""
+    store, c = delta.Store(spark, _store_path(spark.sparkContext.applicationId, shared_folder(spark), sf_dir)), corpus(spark, sf_dir)
+    if store.meta() is None:
+        assert delta.follow(store, earlier(c))[0] == "rebuilt"
+    if len(store.meta()["before"]) == 0:
+        assert delta.follow(store, dated(c))[0] == "updated"
     return store
 
 
@@ -410,6 +420,9 @@ SELECT wiki, term, relative, {', '.join(f"CAST(len(list_filter(t_{f}, lambda x:
 )(lambda spark, sf_dir: _followed(spark, sf_dir).read("entries").drop("at", "level"))
 query("search_after_delta", f"WITH {CORPUS_SQL} {_search_sql([([WORD], BOOSTS, False)])}")(lambda spark, sf_dir: search.search(_followed(spark, sf_dir).index(), WORD))
 query("edges_after_delta", f"WITH {CORPUS_SQL} {EDGES} SELECT * FROM edges")(lambda spark, sf_dir: _followed(spark, sf_dir).read("edges"))
+query("documents_after_delta", f"WITH {CORPUS_SQL} SELECT wiki, relative, title, array_to_string(tags, ',') AS tags, sha256(body) AS digest FROM corpus")(lambda spark, sf_dir: _followed(spark, sf_dir).read("documents").select("wiki", "relative", "title", F.concat_ws(",", "tags").alias("tags"), F.sha2("body", 256).alias("digest")))
+query("state_after_delta", f"WITH {CORPUS_SQL} SELECT wiki, relative, size, 1000 + doc_id AS mtime, sha256(body) AS content_hash FROM corpus")(lambda spark, sf_dir: _followed(spark, sf_dir).read("state"))
+query("index_status", f"WITH {CORPUS_SQL} SELECT TRUE AS ready, count(*) AS document_count, 4 AS schema_version FROM corpus")(lambda spark, sf_dir: spark.createDataFrame([{k: v for k, v in delta.status(_followed(spark, sf_dir)).items() if k != "built_at"}], "ready boolean, document_count long, schema_version int"))
 EVENTS = "ev AS (SELECT CAST(user_id AS VARCHAR) AS path, ts, event_id, CASE event_type WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'rename' WHEN 'error' THEN 'delete' ELSE 'modify' END AS kind FROM events), g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM ev WINDOW w AS (PARTITION BY path ORDER BY ts, event_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, event_id) AS session FROM g)"
 FOLD = "list_reduce(list(kind ORDER BY ts, event_id), lambda s, k: CASE WHEN s = 'create' AND k = 'modify' THEN 'create' WHEN s = 'create' AND k = 'delete' THEN 'delete' WHEN s = 'rename' AND k = 'modify' THEN 'rename' WHEN s = 'delete' AND k = 'create' THEN 'modify' WHEN s = 'delete' AND k = 'modify' THEN 'delete' ELSE k END)"
 
@@ -423,6 +436,41 @@ query("change_sessions", f"WITH {EVENTS} SELECT path, strftime(min(ts), '%Y-%m-%
 query("change_coalesce", f"WITH {EVENTS} SELECT path, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, {FOLD} AS kind FROM s GROUP BY path, session")(lambda spark, sf_dir: _settled(spark, sf_dir).select("path", "start", "kind"))
 
 
+def _page_files(spark: SparkSession, sf_dir: str) -> str:
+    """The corpus as files, written where its rows are: a third with a header block, a third with a first heading, a third with neither; some are ignored."""
+    root = f"{shared_folder(spark)}/lorespark-pages-{uuid.uuid4().hex}"
+    c = corpus(spark, sf_dir)
+    i = F.col("doc_id")
+    linked = F.concat(F.lit("[["), F.get("links", 0), F.lit("]]\n"))
+    whole = F.when(i % 3 == 0, F.concat(F.lit('---\ntitle: "'), "title", F.lit('"\ntags: ['), F.concat_ws(", ", "tags"), F.lit("]\n---\n"), linked)).when(i % 3 == 1, F.concat(F.lit("# "), "title", F.lit(" #\n\n"), linked)).otherwise(linked)
+    at = F.concat(F.when(i % 11 == 0, ".hidden/").when(i % 11 == 1, "cache/").otherwise("_pages/"), "wiki", F.lit("/"), "relative", F.when(i % 7 == 0, ".log").otherwise(""))
+    rules = spark.createDataFrame([(".gitignore", "*.log\n/cache/\n"), ("_pages/.gitignore", "!0.md.log\n!*0.md.log\n")], "at string, whole string")
+    wrote = c.select(at.alias("at"), whole.alias("whole")).unionByName(rules).mapInArrow(functools.partial(source.write_pages, root=root), "written long")
+    wrote.agg(F.sum("written")).collect()
+    return root
+
+
+AS_FILES = f"""WITH {CORPUS_SQL}, f AS (SELECT *, '_pages/' || wiki || '/' || relative || CASE WHEN doc_id % 7 = 0 THEN '.log' ELSE '' END AS place FROM corpus WHERE doc_id % 11 > 1 AND (doc_id % 7 <> 0 OR ends_with(relative, '0.md')))"""
+query("scanned_files", f"{AS_FILES} SELECT place AS relative, CASE WHEN doc_id % 7 = 0 THEN 'text' ELSE 'markdown' END AS content_type FROM f")(lambda spark, sf_dir: source.scan(spark, _page_files(spark, sf_dir)).select("relative", "content_type"))
+query(
+    "built_documents",
+    f"""{AS_FILES} SELECT place AS relative, CASE WHEN doc_id % 7 = 0 THEN regexp_replace(relative, '^.*/', '') WHEN doc_id % 3 = 2 THEN regexp_replace(regexp_replace(relative, '^.*/', ''), '\\.md$', '') ELSE title END AS title,
+CASE WHEN doc_id % 7 = 0 OR doc_id % 3 > 0 THEN '' ELSE array_to_string(tags, ',') END AS tags, CASE WHEN doc_id % 7 = 0 THEN '' ELSE links[1] END AS links FROM f""",
+)(lambda spark, sf_dir: source.build(spark, _page_files(spark, sf_dir)).select("relative", "title", F.concat_ws(",", "tags").alias("tags"), F.concat_ws(",", "links").alias("links")))
+on_corpus("sanitized_lines", "SELECT doc_id, title || repeat(' ', 4 - length(title) % 4) || wiki || 'xy' AS line FROM corpus", lambda c: c.select("doc_id", text.sanitize_line(F.concat("title", F.lit("\t"), "wiki", F.lit("x\r\n\x1b"), F.lit("y"))).alias("line")))
+on_corpus("inline_plain_text", "SELECT doc_id, title || ' ' || wiki || ' ' || doc_id || ' see ' || relative || '*' AS shown FROM corpus", lambda c: c.select("doc_id", markup.plain_text(F.concat(F.lit("**"), "title", F.lit("** ["), "wiki", F.lit("](x \"t\") `"), F.col("doc_id").cast("string"), F.lit("` ~~_see_~~[^1] [[p|"), "relative", F.lit("]]\\*"))).alias("shown")))
+on_corpus(
+    "image_sizes", "SELECT doc_id, 'png' AS format, CAST(doc_id % 5000 + 1 AS INTEGER) AS width, CAST(size AS INTEGER) AS height FROM corpus",
+    lambda c: c.select("doc_id", files.image_info(F.concat(F.lit(b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR"), *[F.unhex(F.lpad(F.hex(n), 8, "0")) for n in (F.col("doc_id") % 5000 + 1, F.col("size"))])).alias("i")).select("doc_id", "i.*"),
+)
+on_corpus("search_untitled", _search_sql([(["loser"], BOOSTS, False)]).replace("tk AS (SELECT *,", "c2 AS (SELECT * REPLACE (CASE WHEN doc_id % 2 = 0 THEN '' ELSE title END AS title) FROM corpus), tk AS (SELECT *,").replace("FROM corpus), r AS", "FROM c2), r AS").replace("relative, title, CAST(score", "relative, CASE WHEN title = '' THEN relative ELSE title END AS title, CAST(score"), lambda c: search.search(c.withColumn("title", F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("title"))), "loser"))
+_search("search_only_negative", "-tag:src3", _search_sql([], "FALSE"))
+_search("search_quoted_filter", 'tag:"src3" the', _search_sql([(["the"], BOOSTS, False)], "list_contains(tags, 'src3')"))
+query("query_alias", f"WITH {CORPUS_SQL} {_search_sql([(['loser'], BOOSTS, False)])}")(lambda spark, sf_dir: search.query(index_of(spark, sf_dir), "loser"))
+ONE_BYTE = "(CASE WHEN {0} < 40 THEN {0} ELSE 24 + floor(({0} - 24) / pow(2, greatest(0, floor(log2({0} - 24)) - 3))) * pow(2, greatest(0, floor(log2({0} - 24)) - 3)) END)"
+_search("search_one_byte_lengths", WORD, re.sub(r"len\(t_(\w+)\) / avg", lambda m: ONE_BYTE.format(f"len(t_{m[1]})") + " / avg", _search_sql([([WORD], BOOSTS, False)])), compat=True)
+
+
 #: Purchases are sources and sign-ups targets of moves; a user's moves share a cookie.
 MOVES = "m AS (SELECT event_id AS seq, ts, CAST(user_id % 50 AS VARCHAR) AS path, user_id % 7 AS cookie, CASE event_type WHEN 'purchase' THEN 'rename_from' WHEN 'signup' THEN 'rename_to' WHEN 'error' THEN 'delete' ELSE 'modify' END AS kind FROM events)"
 

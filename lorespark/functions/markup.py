@@ -105,6 +105,12 @@ def inline_text(text: str, links: dict | None = None) -> str:
     return commonmark.shown(text, links)
 
 
+@arrow_function("string")
+def plain_text(texts: pd.Series) -> pd.Series:
+    """Visible text of blocks."""
+    return pd.Series([None if t is None else inline_text(t) for t in texts], dtype="object")
+
+
 def parse_markdown(text: str) -> dict:
     """Headings, all visible text joined by spaces, and linked page names."""
     headings, body, links = [], [], []

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import files
+from lorespark.session import checkpointed
 
 #: What each kind of evidence is worth for related pages.
 DIRECT, BACK, TAG, FOLDER, SHARED = 10.0, 8.0, 5.0, 3.0, 2.0
@@ -208,12 +209,21 @@ def dot_lines(links: DataFrame) -> DataFrame:
     return links.filter("NOT broken").select(F.concat(F.lit("  "), quoted("wiki", "relative"), F.lit(" -> "), quoted("to_wiki", "to_relative"), F.lit(";")).alias("line"))
 
 
+def numbered(rows: DataFrame, group: str, *order: Column | str) -> DataFrame:
+    """rows with `place`, from 0, and `size` of their group: all are sorted by ranges and counted range by range, so no group has to fit into a task."""
+    spread = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_id", F.monotonically_increasing_id())
+    kept = checkpointed(spread.withColumn("_part", F.shiftright("_id", 33)))
+    ranges = kept.groupBy(group, "_part").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    whole = Window.partitionBy(group)  # one row for each range
+    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(group, "_part", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("size"))
+    return kept.join(ranges, [group, "_part"]).select(*rows.columns, (F.col("_id") - F.col("_first") + F.col("_before")).alias("place"), "size")
+
+
 def ring_layout(kept: DataFrame) -> DataFrame:
     """(wiki, relative, x, y) of kept(wiki, relative, depth): rings of radius 15 per link from the centre, equal angles in node order."""
-    order = Window.partitionBy("depth").orderBy(place())
-    ring = Window.partitionBy("depth")
-    angle = 2 * np.pi * (F.row_number().over(order) - 1) / F.count("*").over(ring)
-    own = kept.withColumn("angle", angle)
+    own = numbered(kept.select("wiki", "relative", "depth"), "depth", "wiki", F.split("relative", "/"))
+    own = own.withColumn("angle", 2 * np.pi * F.col("place") / F.col("size"))
     return own.select("wiki", "relative", F.round(RING * F.col("depth") * F.cos("angle"), 4).alias("x"), F.round(RING * F.col("depth") * F.sin("angle"), 4).alias("y"))
 
 

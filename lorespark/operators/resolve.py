@@ -15,17 +15,22 @@ KINDS = ["exact_path", "exact_stem", "case_insensitive", "normalized", "title",
 POLICIES = ["kebab", "snake", "slug"]
 
 
+def candidates_of(names: DataFrame) -> DataFrame:
+    """names(name, ...) with (pos, relative): the paths that each may mean, most likely first; none for an empty name."""
+    based = names.withColumn("_base", F.regexp_replace(F.trim("name"), r"^(\./)+", "")).filter("_base <> ''")
+    base = F.col("_base")
+    known = files.classify_extension(base).isNotNull()
+    out = [F.when(known, base), *[F.concat(base, F.lit(f".{e}")) for e in EXTENSIONS], *[F.concat(base, F.lit(f"/{h}")) for h in HOMES]]
+    for policy in POLICIES:
+        other = text.naming_path(base, policy)
+        out += [F.when(other != base, F.concat(other, F.lit(f".{e}"))) for e in ("md", "markdown")]
+    out.append(F.when(~known, base))
+    return based.select(*names.columns, F.posexplode(F.array_distinct(F.filter(F.array(*out), lambda x: x.isNotNull()))).alias("pos", "relative"))
+
+
 def candidates(spark: SparkSession, name: str) -> DataFrame:
     """(pos, relative): the paths that a name may mean, most likely first."""
-    base = F.regexp_replace(F.trim("name"), r"^(\./)+", "")
-    known = files.classify_extension(F.col("base")).isNotNull()
-    out = [F.when(known, F.col("base")), *[F.concat("base", F.lit(f".{e}")) for e in EXTENSIONS], *[F.concat("base", F.lit(f"/{h}")) for h in HOMES]]
-    for policy in POLICIES:
-        other = text.naming_path(F.col("base"), policy)
-        out += [F.when(other != F.col("base"), F.concat(other, F.lit(f".{e}"))) for e in ("md", "markdown")]
-    out.append(F.when(~known, F.col("base")))
-    row = spark.range(1).select(F.lit(name).alias("name")).select(base.alias("base")).filter("base <> ''")
-    return row.select(F.posexplode(F.array_distinct(F.filter(F.array(*out), lambda x: x.isNotNull()))).alias("pos", "relative"))
+    return candidates_of(spark.range(1).select(F.lit(name).alias("name"))).select("pos", "relative")
 
 
 def shallow(docs: DataFrame, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ stops where no further one can be among the best. Both give the same rows.
 from __future__ import annotations
 
 import math
+import sys
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -65,13 +66,15 @@ def _filter(term: Term, strict: bool) -> Column | None:
     return ~found if strict or term.kind == "tag" else F.lit(True)
 
 
-def search(docs: DataFrame | Index, query: str, top: int = TOP, strict: bool = True, rounded: int = 4, at_once: int = AT_ONCE) -> DataFrame:
+def search(docs: DataFrame | Index, query: str, top: int = TOP, strict: bool = True, rounded: int = 4, at_once: int = AT_ONCE, compat: bool = False) -> DataFrame:
     """(wiki, rank, relative, title, score): the best `top` of each wiki.
 
     All terms must hold; a quoted group holds if one of its words occurs. strict=False drops negations other than -tag:,
-    as compatible behaviour; negative terms alone then find nothing in either mode.
+    as compatible behaviour; negative terms alone then find nothing in either mode. compat=True counts lengths of fields as an index that keeps
+    one byte for each does (see one_byte).
     """
     terms = parse(query)
+    at_once = sys.maxsize if compat else at_once  # bounds of levels are those of whole lengths
     filters = [f for f in (_filter(t, strict) for t in terms) if f is not None]
     groups: list[tuple[list[str], dict[str, float], bool]] = []
     for t in terms:
@@ -91,7 +94,7 @@ def search(docs: DataFrame | Index, query: str, top: int = TOP, strict: bool = T
         hit = reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i, _, _ in at], F.lit(False))
         scored = scored.filter(~hit if negated else hit)
         if not negated:
-            total = reduce(lambda a, b: a + b, [boost * bm25(i, f) for i, f, boost in at], total)
+            total = reduce(lambda a, b: a + b, [boost * bm25(i, f, compat) for i, f, boost in at], total)
     positive = any(not t.negated for t in terms)
     if terms and not positive and any(t.kind == "tag" or strict for t in terms):
         scored = scored.limit(0)
@@ -283,10 +286,18 @@ def text_words(value: str) -> list[str]:
     return [w for w in regex.split(r"[^\p{L}\p{N}]+", value.lower()) if w and len(w.encode()) < text.TOKEN_BYTES]
 
 
-def bm25(i: int, field: str) -> Column:
+def one_byte(length: Column) -> Column:
+    """A length as one byte keeps it: up to 40 as it is, beyond that the next lower one of which, less 24, only the four leading bits are set."""
+    over = length - 24
+    bits = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(over, F.lit(1)))).cast("int") - 3)
+    step = F.pow(F.lit(2.0), bits)
+    return F.when(over < 16, length).otherwise(24 + F.floor(over / step) * step)
+
+
+def bm25(i: int, field: str, compat: bool = False) -> Column:
     n, df, tf, dl = F.col("n"), F.col(f"df{i}"), F.col(f"tf{i}"), F.col(f"dl_{field}")
     idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-    norm = K1 * (1 - B + B * dl / F.col(f"avg_{field}"))
+    norm = K1 * (1 - B + B * (one_byte(dl) if compat else dl) / F.col(f"avg_{field}"))
     return F.when(tf > 0, idf * tf * (K1 + 1) / (tf + norm)).otherwise(0.0)
 
 

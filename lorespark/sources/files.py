@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,6 +171,17 @@ def documents(listed: DataFrame, compat: bool = False) -> DataFrame:
     )
 
 
+def write_pages(batches: Iterable[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+    """Rows (at, whole) as files below root; how many."""
+    store, base = fs.FileSystem.from_uri(f"file://{root}" if root.startswith("/") else root)
+    for batch in batches:
+        for at, whole in zip(batch.column("at").to_pylist(), batch.column("whole").to_pylist(), strict=True):
+            store.create_dir(f"{base}/{at}".rpartition("/")[0], recursive=True)
+            with store.open_output_stream(f"{base}/{at}", compression=None) as out:
+                out.write(whole.encode())
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["written"])
+
+
 def build(spark: SparkSession, root: str, wiki: str = "main", **options) -> DataFrame:
     """All documents of a folder."""
     return documents(with_content(spark, scan(spark, root, wiki, **options), options.get("max_size", MAX_SIZE)))
