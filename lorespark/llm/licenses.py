@@ -6,7 +6,8 @@ are matched against ordered rules over identifier sequences, most specific first
 sequence occurs, and that is not part of one matched before it, names a licence.
 
 Native: DataFrame functions only, one pass, no shuffle. The tables of sentences and rules are fixed and
-bounded (a few hundred sentences of some thirty families; notices are made from names and templates). Sentences are only cut where the
+bounded (a few hundred sentences of some thirty families; notices are made from names and templates). Sentences that name whoever holds
+the rights have a slot there, and expressions such as those of SPDX tags give the identifiers of all licences that they name, if all are known. Sentences are only cut where the
 text holds a word that every known sentence has one of.
 
 Defined results: null or empty texts have no sentences and no licence; repeated sentences count each time in
@@ -20,7 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import UPPER, LOWER, table
+from lorespark.llm.common import LOWER, UPPER, let, table
 
 #: Normalised licence sentences (public licence texts and notices) and their identifiers.
 TEXTS = {
@@ -121,6 +122,7 @@ VERSIONS = {"4 0": ("4", "international"), "3 0": ("3", "unported")}
 SPDX = {
     "MIT": "MitRef", "ISC": "IscRef", "Zlib": "ZlibRef", "BSL-1.0": "BoostRef", "0BSD": "ZeroBsdRef", "Unlicense": "UnlicenseRef", "Apache-2.0": "Apache2Ref", "BSD-2-Clause": "Bsd2Ref",
     "BSD-3-Clause": "Bsd3Ref", "GPL-3.0-or-later": "Gpl3Later", "GPL-3.0-only": "Gpl3Ref", "GPL-2.0-or-later": "Gpl2Later", "GPL-2.0-only": "Gpl2Ref", "LGPL-3.0-or-later": "Lgpl3Later",
+    "GPL-3.0": "Gpl3Ref", "GPL-2.0": "Gpl2Ref", "LGPL-3.0-only": "Lgpl3Ref", "LGPL-3.0": "Lgpl3Ref", "LGPL-2.1-only": "Lgpl21Ref", "LGPL-2.1": "Lgpl21Ref", "AGPL-3.0": "Agpl3Ref",
     "LGPL-2.1-or-later": "Lgpl21Later", "AGPL-3.0-or-later": "Agpl3Later", "AGPL-3.0-only": "Agpl3Ref", "MPL-2.0": "Mpl2Ref", "EPL-2.0": "Epl2Ref", "CC0-1.0": "Cc0Waiver", "WTFPL": "WtfplRef",
 }
 
@@ -138,6 +140,27 @@ def _sentences() -> dict[str, str]:
 
 
 SENTENCES = _sentences()
+#: Sentences with a slot for whoever holds the rights, and the known sentence that each stands for; a holder such as `X, Inc.` ends a sentence of
+#: its own, so the beginnings may be missing.
+HOLDERS = [
+    (r"^(?:neither the names? of .{1,150}? )?nor the names of (?:its|their|his|her|any|the)?(?: copyright)? ?contributors may be used to endorse", "neither the name of the copyright holder nor the names of its contributors may be used to endorse"),
+    (r"^the names? of .{1,150}? may not be used to endorse or promote products derived from this software without", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without"),
+    (r"^(?:this software is provided by .{1,150}? )?as is and any express or implied warranties", "this software is provided by the copyright holders and contributors as is and any express or implied warranties"),
+    (r"^(?:in no event shall .{1,150}? )?be liable for any direct indirect incidental", "in no event shall the copyright holder or contributors be liable for any direct indirect incidental"),
+    (r"^(?:in no event shall .{1,150}? )?be liable for any claim damages or other liability", "in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+]
+#: What names one or more licences; the names are joined by or, and, with. `or later` belongs to a name.
+TAG = "^(?:spdx license identifier|licen[sc]es?|(?:this (?:project|software|work|code|file) is )?(?:dual )?licen[sc]ed under(?: either of)?)(?: the)? "
+JOINED = " (?:or|and|with) (?:the )?"
+
+
+def _names() -> dict[str, str]:
+    """Names of licences as they stand in expressions, normalised, with `or later` as one word."""
+    spdx = {re.sub("[^a-z0-9]+", " ", name.lower()).replace(" or later", " orlater"): i for name, i in SPDX.items()}
+    return NAMES | spdx | {f"{n} license": i for n, i in spdx.items()} | {"apache": "Apache2Ref", "apache license": "Apache2Ref", "bsd 3 clause": "Bsd3Ref", "bsd 2 clause": "Bsd2Ref"}
+
+
+EXPRESSED = _names()
 #: A licence, the sequence of identifiers that means it; longer sequences of a family first.
 RULES = [
     ("Apache-2.0", ["Apache2Ref", "Apache2Comply", "Apache2Copy", "Apache2Warranty", "Apache2See"]),
@@ -211,21 +234,34 @@ HINT = "(?i)licen[sc]e|permission|software|redistribut|warrant|rights[^a-z0-9]+r
 LINES, PARAGRAPHS = r"[\r\n]+|[.?](?=\s)\s*", r"\r?\n\s*\n\s*|[.?](?=\s)\s*"
 
 
-def _table() -> Column:
-    return F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
+def _table(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+
+
+def _ids(sentence: Column) -> Column:
+    """Identifiers of one sentence: its own, or those of the licences that it names; null if it is not known."""
+
+    def of(n: Column) -> Column:
+        own = F.element_at(_table(SENTENCES), n)
+        named = F.split(F.regexp_replace(F.regexp_replace(n, " or later", " orlater"), TAG, ""), JOINED)
+        ids = F.transform(named, lambda x: F.element_at(_table(EXPRESSED), x))
+        every = F.when(F.forall(ids, lambda x: x.isNotNull()), ids)
+        before = F.when(n.rlike(" licensed$"), F.element_at(_table(EXPRESSED), F.regexp_replace(n, " licensed$", "")))  # MIT licensed
+        return F.when(own.isNotNull(), F.array(own)).when(n.rlike(TAG), every).when(before.isNotNull(), F.array(before))
+
+    normal = F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
+    for pattern, known in HOLDERS:
+        normal = F.regexp_replace(normal, pattern, known)
+    return let(normal, of)
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order: of each sentence of a paragraph its own, or else those of its lines."""
-    lower = lambda s: F.translate(s, UPPER, LOWER)
-    normal = lambda s: F.trim(F.regexp_replace(lower(s), "[^a-z0-9]+", " "))
-
-    look = lambda s: F.element_at(_table(), normal(s))
     hinted = lambda s, cut: F.filter(F.split(s, cut), lambda x: x.rlike(HINT))
 
     def known(s: Column) -> Column:
-        lines = F.filter(F.transform(hinted(s, LINES), look), lambda x: x.isNotNull())
-        return F.when(look(s).isNotNull(), F.array(look(s))).otherwise(lines)
+        lines = F.flatten(F.filter(F.transform(hinted(s, LINES), _ids), lambda x: x.isNotNull()))
+        return let(_ids(s), lambda own: F.coalesce(own, lines))
 
     return F.when(text.rlike(HINT), F.flatten(F.transform(hinted(text, PARAGRAPHS), known))).otherwise(F.array().cast("array<string>"))
 
@@ -266,14 +302,27 @@ def _op1_sql() -> str:
         query = step % query
     first = ", ".join(f"CASE WHEN {' OR '.join([f'{expr[j]} IS NOT NULL' for j in range(i) if RULES[j][0] == RULES[i][0]]) or 'FALSE'} THEN NULL ELSE {x} END" for i, x in enumerate(expr))
     normal = f"trim(regexp_replace(translate({{}}, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
+    slotted = normal.format("s")
+    for pattern, canonical in HOLDERS:
+        slotted = f"regexp_replace({slotted}, '{pattern}', '{canonical}')"
+    expressed = ", ".join(f"('{a}', '{b}')" for a, b in EXPRESSED.items())
+
+    def ids_of(rows: str) -> str:
+        """CTEs that give (doc_id, i, j, q, id) of sentences rows(doc_id, i, j, s)."""
+        return rf"""{rows}n AS (SELECT doc_id, i, j, {slotted} AS n FROM {rows}),
+{rows}d AS (SELECT doc_id, i, j, 0 AS q, id FROM {rows}n JOIN k ON k.s = n),
+{rows}e AS (SELECT doc_id, i, j, unnest(range(len(x))) AS q, unnest(x) AS s, len(x) AS c FROM (SELECT doc_id, i, j, CASE WHEN regexp_matches(n, '{TAG}') THEN string_split_regex(regexp_replace(replace(n, ' or later', ' orlater'), '{TAG}', ''), '{JOINED}')
+ WHEN ends_with(n, ' licensed') THEN [regexp_replace(n, ' licensed$', '')] END AS x FROM {rows}n ANTI JOIN {rows}d USING (doc_id, i, j))),
+{rows}x AS (SELECT doc_id, i, j, q, id FROM {rows}d UNION ALL SELECT * EXCLUDE (c) FROM (SELECT doc_id, i, j, q, v.id, c FROM {rows}e JOIN v ON v.s = {rows}e.s QUALIFY count(*) OVER (PARTITION BY doc_id, i, j) = c))"""
+
     return rf"""
-WITH p AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS s FROM (
+WITH p AS (SELECT doc_id, unnest(range(len(x))) AS i, 0 AS j, unnest(x) AS s FROM (
     SELECT doc_id, string_split_regex(regexp_replace(text, '([.?])\s+', '\1' || chr(10) || chr(10), 'g'), '\r?\n\s*\n\s*') AS x FROM documents)),
-k(s, id) AS (VALUES {known}),
-a AS (SELECT doc_id, i, p.s, id FROM p LEFT JOIN k ON k.s = {normal.format('p.s')}),
-l AS (SELECT doc_id, i, unnest(range(len(x))) AS j, unnest(x) AS s FROM (SELECT doc_id, i, string_split_regex(s, '[\r\n]+') AS x FROM a WHERE id IS NULL)),
-m AS (SELECT doc_id, i, 0 AS j, id FROM a WHERE id IS NOT NULL UNION ALL SELECT doc_id, i, j, k.id FROM l JOIN k ON k.s = {normal.format('l.s')}),
-b AS (SELECT doc_id, list(id ORDER BY i, j) AS ids FROM m GROUP BY doc_id),
+k(s, id) AS (VALUES {known}), v(s, id) AS (VALUES {expressed}),
+{ids_of('p')},
+l AS (SELECT doc_id, i, unnest(range(len(x))) AS j, unnest(x) AS s FROM (SELECT doc_id, i, string_split_regex(s, '[\r\n]+') AS x FROM p ANTI JOIN px USING (doc_id, i))),
+{ids_of('l')},
+b AS (SELECT doc_id, list(id ORDER BY i, j, q) AS ids FROM (SELECT * FROM px UNION ALL SELECT * FROM lx) GROUP BY doc_id),
 g AS (SELECT d.doc_id, coalesce(b.ids, []) AS ids FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id)
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ',') AS sentence_ids, concat_ws(',', {first}) AS licenses FROM ({query})
 """

@@ -268,6 +268,21 @@ def test_licence_tables(spark):
     assert got == [["MPL-2.0"], ["CC-BY-SA-4.0"], ["BSD-3-Clause"], ["Unlicense"], ["ISC"], ["CC-BY-4.0"]]
 
 
+def test_licences_with_slots_and_expressions(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\nRedistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\nRedistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+    end = "THIS SOFTWARE IS PROVIDED BY {} AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+    name = "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+    texts = {
+        bsd + name.format("the University") + end.format("THE REGENTS AND CONTRIBUTORS"): ["BSD-3-Clause"], bsd + name.format("Example, Inc.") + end.format("EXAMPLE, INC."): ["BSD-3-Clause"],
+        bsd + end.format("JANE DOE"): ["BSD-2-Clause"], "// SPDX-License-Identifier: MIT OR Apache-2.0\nx": ["Apache-2.0", "MIT"], "SPDX-License-Identifier: LGPL-3.0-only": ["LGPL-3.0-only"],
+        "SPDX-License-Identifier: (GPL-2.0-or-later AND BSD-3-Clause)": ["GPL-2.0-or-later", "BSD-3-Clause"], "SPDX-License-Identifier: GPL-2.0": ["GPL-2.0-only"], "MIT Licensed": ["MIT"], "License: MIT": ["MIT"],
+        "Dual-licensed under MIT and Apache-2.0.": ["Apache-2.0", "MIT"], "This project is licensed under either of the MIT License or the Apache License 2.0": ["Apache-2.0", "MIT"],
+        "License: MIT and something else": [], "She is licensed": [], "licensed under pressure": [],
+    }
+    got = [r.licenses for r in licenses.scan(docs_of(spark, list(texts))).orderBy("doc_id").collect()]
+    assert got == list(texts.values())
+
+
 def test_licences_of_both_cuts(spark):
     gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU\nGeneral Public License as published by the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
     texts = [f"# Licensed under the MIT License\nimport os\n\n{gpl}\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the\nimplied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.", "All  Rights  Reserved", "all rights\nreserved"]
