@@ -1,7 +1,7 @@
 """Personal data: format-preserving pseudonyms from a keyed Feistel permutation.
 
-One pattern finds e-mail addresses, card numbers, IBANs, US social security numbers, phone numbers, IPv4 addresses, dates and secret
-hexadecimal tokens. What validates (Luhn, mod 97, calendar, octet range, area rules, count of digits) is replaced by its image under a
+One pattern finds e-mail addresses, card numbers, IBANs, US social security numbers, phone numbers, IPv4 and IPv6 addresses, dates, secret
+hexadecimal tokens and passwords with a digit. What validates (Luhn, mod 97, calendar, octet range, area rules, count of digits) is replaced by its image under a
 balanced Feistel network on its own characters, whose round function is an HMAC, so the format stays and equal values map to equal
 values in every document; what does not validate stays as it is.
 
@@ -12,7 +12,7 @@ values in every document; what does not validate stays as it is.
 * A run of groups of digits that is no card may hold one: its endings and beginnings at group borders are tried, longest first, and so are
   the beginnings of what looks like an IBAN.
 
-The key is a setting, spark.lorespark.pii.key. Without it a session makes a random one, so pseudonyms are linked within the session only
+The key is a setting, spark.lorespark.pii.secret, which Spark does not show. Without it a session makes a random one, so pseudonyms are linked within the session only
 and nobody can invert them.
 
 Native: DataFrame functions only; the match list of a text is rewritten in its row, nothing shuffles.
@@ -35,7 +35,7 @@ from lorespark.llm.common import table
 
 ROUNDS = 8
 #: Setting that names the key; characters of a Feistel half that one digest covers.
-KEY, STREAM = "spark.lorespark.pii.key", 16
+KEY, STREAM = "spark.lorespark.pii.secret", 16
 #: The patterns of what is looked for, in order of precedence.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
@@ -43,7 +43,11 @@ PATTERNS = {
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9])\+?1?[ .-]?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}(?![0-9])",
+    "phone": r"(?<![0-9])\+?1?[ .-]?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}(?![0-9])"
+    r"|(?<![0-9A-Za-z.+-])(?:1[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])|(?<![0-9+])\+[1-9][0-9]{6,14}(?![0-9])"
+    r"|(?<![0-9+])\+[0-9]{1,3}[ .-]?\(0\)[ .-]?[0-9]{2,5}(?:[ .-]?[0-9]{2,8}){1,4}(?![0-9])|(?<![0-9+.-])00[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}(?![0-9])",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])|(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])",
+    "password": r"(?<=(?:password|passwd|pwd)[ ]{0,3}[=:][ ]{0,3}[\x22']?)(?=[!-~]{0,63}[0-9])[!#-&(-~]{6,64}(?![!-~])",
     "token": r"(?<=(?:token|secret|apikey|api_key|password|passwd)[ ]{0,3}[=:][ ]{0,3}[\x22']?)[0-9A-Fa-f]{16,128}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])",
 }
@@ -98,6 +102,12 @@ def fill(layout: Column, digits: Column) -> Column:
     return F.concat_ws("", F.zip_with(gaps, own, lambda g, d: F.concat(g, F.coalesce(d, F.lit("")))))
 
 
+def fill_hex(layout: Column, digits: Column) -> Column:
+    """layout with its hexadecimal digits replaced, in order."""
+    gaps, own = F.split(layout, "[0-9A-Fa-f]", -1), F.split(digits, "")
+    return F.concat_ws("", F.zip_with(gaps, own, lambda g, d: F.concat(g, F.coalesce(d, F.lit("")))))
+
+
 def luhn_sum(digits: Column, doubled_last: bool) -> Column:
     """Luhn sum; doubled_last: the last digit counts twice, as for the digits before a check digit."""
     odd = 0 if doubled_last else 1
@@ -205,10 +215,10 @@ def _is_iban(m: Column) -> Column:
 
 
 def _is_phone(m: Column) -> Column:
-    """Ten digits after an optional 1, or with a + and seven to fifteen, not all the same."""
+    """Ten digits after an optional 1, or with a + (or 00) and seven to fifteen, not all the same."""
     digits = F.regexp_replace(m, "[^0-9]", "")
     count = F.length(digits)
-    return F.when(F.startswith(m, F.lit("+")), count.between(7, 15)).otherwise(count.between(10, 11)) & ~digits.rlike(r"^([0-9])\1*$")
+    return F.when(F.startswith(m, F.lit("+")), count.between(7, 15)).when(F.startswith(m, F.lit("00")), count.between(9, 17)).otherwise(count.between(10, 11)) & ~digits.rlike(r"^([0-9])\1*$")
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -226,7 +236,8 @@ def pseudonym(m: Column, key: str) -> Column:
     ip = feistel(F.floor(number / 65536), number % 65536, F.lit(65536), F.lit(65536), key, F.lit("ip"))
     dotted = F.concat_ws(".", *[F.floor(v / 256).cast("string") if high else (v % 256).cast("string") for v in (ip["a"], ip["b"]) for high in (True, False)])
     date = m
-    for sign, layout in (("-", "yyyy-MM-dd"), ("/", "dd/MM/yyyy"), (".", "dd.MM.yyyy")):
+    # of 10/12/1999 the day is first, where both can be
+    for sign, layout in (("-", "yyyy-MM-dd"), ("/", "MM/dd/yyyy"), ("/", "dd/MM/yyyy"), (".", "dd.MM.yyyy")):
         day = F.try_to_timestamp(m, F.lit(layout)).cast("date")
         date = F.when(F.contains(m, F.lit(sign)) & day.isNotNull() & (F.year(day) >= 1000), F.date_format(permute_date(day, key), layout)).otherwise(date)
     area, group, serial = digits.substr(1, 3), digits.substr(4, 2), digits.substr(6, 4)
@@ -236,7 +247,7 @@ def pseudonym(m: Column, key: str) -> Column:
     ssn = feistel(a0, (group.cast("int") - 1) * 9999 + serial.cast("int") - 1, F.lit(898), F.lit(99 * 9999), key, F.lit("ssn"))
     a1 = ssn["a"] + F.when(ssn["a"] >= 665, 2).otherwise(1)
     new_ssn = F.concat_ws("-", F.lpad(a1.cast("string"), 3, "0"), F.lpad((F.floor(ssn["b"] / 9999) + 1).cast("string"), 2, "0"), F.lpad((ssn["b"] % 9999 + 1).cast("string"), 4, "0"))
-    head = F.regexp_extract(m, r"^(\+[0-9]{1,3}|1)?", 0)
+    head = F.regexp_extract(m, r"^(\+[0-9]{1,3}|00[0-9]{1,3}(?=[ .-])|1)?", 0)
     rest = m.substr(F.length(head) + 1, F.length(m))
     phone = F.concat(head, fill(rest, permute_digits(F.regexp_replace(rest, "[^0-9]", ""), key, "phone")))
     local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
@@ -247,9 +258,10 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(whole("date"), date)
         .when(whole("ssn"), F.when(valid_ssn, new_ssn).otherwise(m))
         .when(whole("phone"), F.when(_is_phone(m), phone).otherwise(m))
+        .when(whole("ipv6"), fill_hex(m, permute_hex(F.regexp_replace(m, ":", ""), key)))
         .when(whole("card"), card)
         .when(m.rlike("^[0-9A-Fa-f]{16,}$"), permute_hex(m, key))
-        .otherwise(m)
+        .otherwise(permute_classes(m, key, "password"))  # no other kind is left
     )
 
 
