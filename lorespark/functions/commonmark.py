@@ -331,6 +331,7 @@ class Span:
     text: str = ""
     children: list[Span] = field(default_factory=list)
     target: str | None = None
+    mark: str = ""
     # of a run of marks
     opens: bool = False
     closes: bool = False
@@ -339,6 +340,13 @@ class Span:
     def shown(self) -> str:
         return self.text if self.kind in ("text", "code", "math", "wiki") else "" if self.kind in ("note", "html") else "".join(c.shown() for c in self.children)
 
+    def source(self) -> str:
+        """The node as it could be written."""
+        inner = self.text or "".join(c.source() for c in self.children)
+        return {
+            "code": f"`{inner}`", "math": f"${inner}$", "wiki": f"[[{self.target}]]", "note": f"[^{inner}]", "link": f"[{inner}]({self.target})", "image": f"![{inner}]({self.target})",
+        }.get(self.kind, f"{self.mark}{inner}{self.mark}")
+
 
 AUTO = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[\w.!#$%&'*+/=?^`{|}~-]+@[\w-]+(?:\.[\w-]+)*)>")
 INLINE_HTML = re.compile(rf"{TAG}|<!--.*?-->|<\?.*?\?>|<![A-Za-z].*?>|<!\[CDATA\[.*?\]\]>", re.S)
@@ -448,7 +456,7 @@ def _matched(spans: list[Span]) -> list[Span]:
                 n = len(s.text)
             opener.text, s.text = opener.text[n:], s.text[n:]
             kind = "strike" if c == "~" else "strong" if n == 2 else "emphasis"
-            node = Span(kind, children=_merged([_plain(x) for x in out[at + 1 : -1]]))
+            node = Span(kind, children=_merged([_plain(x) for x in out[at + 1 : -1]]), mark=c * n)
             out[at + 1 :] = [node, s]
             if not opener.text:
                 del out[at]

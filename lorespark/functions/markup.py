@@ -86,7 +86,7 @@ def spans(text: str, links: dict | None = None) -> list[dict]:
 
     def walk(nodes: list[commonmark.Span], depth: int) -> None:
         for s in nodes:
-            own = s.target if s.kind == "wiki" else s.text or "".join(c.shown() for c in s.children)
+            own = s.target if s.kind == "wiki" else s.text or "".join(c.shown() if s.kind == "image" else c.source() for c in s.children)
             out.append({"depth": depth, "kind": "alt" if s.kind == "image" else s.kind, "text": own})
             if s.kind != "image":
                 walk(s.children, depth + 1)
