@@ -109,11 +109,33 @@ def find(docs: DataFrame, query: str, limit: int = 20) -> DataFrame:
     return scored.orderBy(F.desc("score"), "wiki", F.split("relative", "/")).limit(limit)
 
 
-def suggestions(names: DataFrame, query: str, limit: int = 5) -> DataFrame:
-    """(name, similarity) for names(name): close ones, or ones that hold the query; neighbours equal but for case count once."""
+def grams(names: DataFrame) -> DataFrame:
+    """(name, size, gram) of distinct names(name): an index of their characters, the second `a` of a name being `a2`. To be stored where names are many."""
+    own = names.select("name").distinct().withColumn("letters", F.split(F.lower("name"), ""))
+    nth = F.transform("letters", lambda c, i: F.concat(c, F.size(F.filter(F.slice("letters", F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+    return own.select("name", F.char_length(F.lower("name")).alias("size"), F.explode(nth).alias("gram"))
+
+
+def near_names(indexed: DataFrame, query: str) -> DataFrame:
+    """(name): of names as `grams` has them those that may be similar enough or hold the query.
+
+    Strings with so many edits between them share all but as many characters of the longer one; a name that holds the query has all its characters.
+    """
+    low, seen, asked = query.lower(), {}, []
+    for c in low:
+        seen[c] = seen.get(c, 0) + 1
+        asked.append(f"{c}{seen[c]}")
+    common = indexed.filter(F.col("gram").isin(asked)).groupBy("name", "size").agg(F.count("*").alias("common"))
+    longer = F.greatest("size", F.lit(len(low)))
+    return common.filter((longer - F.col("common") <= (1 - LEAST + 0.00005) * longer) | (F.col("common") == len(low))).select("name")
+
+
+def suggestions(names: DataFrame, query: str, limit: int = 5, indexed: DataFrame | None = None) -> DataFrame:
+    """(name, similarity) for names(name): close ones, or ones that hold the query; neighbours equal but for case count once. Edits are counted for names
+    alone that share enough characters with the query; `indexed` is what `grams` gives for the names, if it is stored."""
     low = query.lower()
     alike = F.round(text.similarity(F.lit(query), F.col("name")), 4)
-    near = names.select("name", alike.alias("similarity"))
+    near = near_names(grams(names) if indexed is None else indexed, query).select("name", alike.alias("similarity"))
     near = near.withColumn("similarity", F.when(F.col("similarity") >= LEAST, F.col("similarity")).when(F.contains(F.lower("name"), F.lit(low)) & F.lit(bool(low)), SUBSTRING)).filter("similarity IS NOT NULL").distinct()
     # a name falls away behind an equal one in the whole order: of equal similarity, names that differ in case alone are not always neighbours
     best = near.orderBy(F.desc("similarity"), "name")

@@ -252,6 +252,37 @@ def test_equal_events_keep_their_owners(spark):
     assert found == [("/a/b/y", 2, "inner", "y"), ("/a/x", 1, "outer", "x"), ("/a/x", 1, "outer", "x")]
 
 
+def test_shared_characters_leave_no_suggestion_out(spark):
+    rng = random.Random(12)
+    names = sorted({"".join(rng.choices("abcdE é", k=rng.randrange(1, 12))) for _ in range(400)})
+    frame = spark.createDataFrame([(n,) for n in names], "name string")
+    stored = fuzzy.grams(frame).cache()
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for q in ("abcd", "E", "dcba dé", "aaaa"):
+        alike = {n: round(1 - edits(q.lower(), n.lower()) / max(len(q), len(n)), 4) for n in names}
+        want = {n: x if x >= 0.55 else 0.54 for n, x in alike.items() if x >= 0.55 or q.lower() in n.lower()}
+        order, last = [], None
+        for n in sorted(want, key=lambda n: (-want[n], n)):
+            if text_fold(n) != last:
+                order.append(n)
+            last = text_fold(n)
+        assert [r.name for r in fuzzy.suggestions(frame, q, 1000, stored).collect()] == order
+        scored = fuzzy.near_names(stored, q)
+        assert set(want) <= {r.name for r in scored.collect()} and scored.count() < len(names)
+
+
+def text_fold(name):
+    return "".join(c.lower() if c.isascii() else c for c in name)
+
+
 def test_names_that_are_not_neighbours_stay(spark):
     names = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
     assert [r.name for r in fuzzy.suggestions(names("Heap", "Zeap", "heap"), "xeap").collect()] == ["Heap", "Zeap", "heap"]
