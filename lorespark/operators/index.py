@@ -57,22 +57,26 @@ def _entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         wiki, relative, *texts = (c.to_pylist() for c in batch.columns)
         for i in range(batch.num_rows):  # rows of a page are a batch of their own: pages may be long
-            found: dict[str, list[int]] = {}
-            places: dict[str, list[int]] = {}
+            found: dict[str, list] = {}  # counts by field, the steps between places in the body, the last place
             lengths = [0] * n
             for f in range(n):
                 for word, at in words_at(texts[f][i]):
+                    own = found.get(word)
+                    if own is None:
+                        own = found[word] = [*[0] * n, [], 0]
                     lengths[f] += 1
-                    found.setdefault(word, [0] * n)[f] += 1
+                    own[f] += 1
                     if f == n - 1:
-                        places.setdefault(word, []).append(at)
+                        own[n].append(at - own[n + 1])
+                        own[n + 1] = at
             if not found:
                 continue
-            counts = np.array(list(found.values()), np.int32).T
-            at = [np.diff(places.get(w, []), prepend=0).astype(np.int32) for w in found]
+            counts = [pa.array(c, pa.int32()) for c in list(zip(*found.values(), strict=True))[:n]]
+            ends = np.cumsum([0, *(len(own[n]) for own in found.values())], dtype=np.int32)
+            at = pa.ListArray.from_arrays(pa.array(ends), pa.array([x for own in found.values() for x in own[n]], pa.int32()))
             same = lambda v, kind: pa.array([v] * len(found), kind)  # noqa: E731, B023
             columns = [same(wiki[i], pa.string()), pa.array(list(found), pa.string()), same(relative[i], pa.string())]
-            columns += [pa.array(c) for c in counts] + [same(x, pa.int32()) for x in lengths] + [pa.array(at, pa.list_(pa.int32()))]
+            columns += [*counts, *(same(x, pa.int32()) for x in lengths), at]
             yield pa.RecordBatch.from_arrays(columns, ["wiki", "term", "relative", *COUNTS, "at"])
 
 
