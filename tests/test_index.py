@@ -158,5 +158,34 @@ def test_snippets_of_places(spark):
         assert {r.relative: r.snippet for r in found} == want and max(len(r.snippet or "") for r in found) <= 60
 
 
+def test_words_of_many_texts_are_those_of_each():
+    """Against the plain definition: one regex over each lower-case text, places counted back to the text itself."""
+    rng = random.Random(6)
+    texts = ["", "\n", "ΑΣ", "ΑΣ\nΣ b", "İ" * 25, "é" * 19 + " " + "é" * 20, "日本語 x𝟘y ²/Ⅻ", *["".join(rng.choices("aB é_İ\nΣ9-日𝟘", k=rng.randrange(80))) for _ in range(200)]]
+
+    def plain(value):
+        place = [i for i, c in enumerate(value) for _ in range(len(c.lower()))]
+        return [(m.group(), place[m.start()]) for m in index.WORD.finditer(value.lower()) if len(m.group().encode()) < index.text.TOKEN_BYTES]
+
+    words, of, at = index.words_of(texts)
+    assert list(zip(of.tolist(), words.to_pylist(), at.tolist(), strict=True)) == [(i, *found) for i, t in enumerate(texts) for found in plain(t)]
+
+
+def test_an_index_is_written_without_a_shuffle_of_entries(spark, frequent, tmp_path, monkeypatch):
+    """One pass over the texts: entries are neither sampled nor sorted over all files, each stretch of a file is in order, and searches of it are right."""
+    docs, idx = frequent
+    monkeypatch.setattr(index, "STRETCH", 1 << 14)
+    plan = index.tables(docs)["entries"](None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "rangepartitioning" not in plan and plan.find("Exchange") > plan.find("MapInArrow")  # below it: of documents alone
+    index.write_index(docs, str(tmp_path / "i"))
+    found = index.read_index(spark, str(tmp_path / "i"))
+    assert rows(found.entries, TABLES["entries"]) == rows(idx.entries, TABLES["entries"])
+    own = index.entries(docs.coalesce(1)).select("wiki", "term", "level").collect()
+    keys = [(r.wiki, r.term, -r.level) for r in own]
+    assert sum(a > b for a, b in zip(keys, keys[1:], strict=False)) < docs.selectExpr("sum(length(body) + length(title))").first()[0] // (1 << 14) + 2
+    for q in ("tide kelp", "pearl -kelp"):
+        assert rows(search.search(found, q, top=7, at_once=0), ["wiki", "rank", "relative", "score"]) == rows(search.search(docs, q, top=7), ["wiki", "rank", "relative", "score"])
+
+
 def test_words_and_places():
     assert list(index.words_at("Ab, cÉ_1  " + "x" * 40 + " İx")) == [("ab", 0), ("cé", 4), ("1", 7), ("i", 51), ("x", 52)]
