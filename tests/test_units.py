@@ -483,3 +483,26 @@ def test_home_and_suggestions(spark):
     docs = docs_of(spark, [{"relative": "README.md"}, {"relative": "index.md"}, {"relative": "Heap.md"}])
     assert resolve.home(docs).first().relative == "index.md" and resolve.home(docs, "Heap.md").first().relative == "Heap.md"
     assert [r.name for r in resolve.or_suggestions(docs, "Heep")[1].collect()] == ["Heap"] and resolve.or_suggestions(docs, "Heap")[1] is None
+
+
+def test_tabs_expand_line_by_line():
+    """Against one look at each character; widths are only asked of cells before a tab that are not ASCII, so long texts with one tab are not looked through."""
+    rng = random.Random(8)
+
+    def plain(line):
+        out = ""
+        for c in line:
+            out += " " * (4 - text._width(out) % 4) if c == "\t" else "" if ord(c) < 32 or 0x7F <= ord(c) < 0xA0 or c in "\u202a\u202e\u2066\u2069\ufeff" else c
+        return out
+
+    for _ in range(500):
+        value = "".join(rng.choices("ab\t\n\r\x0b\x1b\x85\u2028\u202e\ufeff日é\u0301 ", k=rng.randrange(30)))
+        assert text.expand_tabs_in(value) == "\n".join(map(plain, value.split("\n")))
+
+
+def test_tabs_do_not_cost_a_look_at_every_character(monkeypatch):
+    seen = []
+    width = text._width
+    monkeypatch.setattr(text, "_width", lambda t: (seen.append(len(t)), width(t))[1])
+    assert text.expand_tabs_in("é" * 10_000 + "\nab\té\tc\n" + "x" * 10_000 + "\ty").count(" ") == 2 + 3 + 4
+    assert sum(seen) == 1
