@@ -17,7 +17,7 @@ join on doc_id, each labelled document once; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from zlib import crc32
+from zlib import compress, crc32, decompress
 
 import numpy as np
 import pandas as pd
@@ -72,6 +72,27 @@ def features(text: str | None) -> np.ndarray:
     return np.sqrt(out)
 
 
+def largest(gram: np.ndarray, count: int, steps: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """The largest eigenvalues of a symmetric matrix, `count` at least, and their vectors.
+
+    Those of its restriction to a block Krylov space: all of them, as a decomposition of the whole matrix gives them, without that one's four matrices of
+    double precision. Matrices that are not much larger than the space are decomposed whole.
+    """
+    block = count + 16
+    if len(gram) <= 2 * block * steps // 3:
+        return np.linalg.eigh(gram.astype(np.float64))
+    basis = np.empty((len(gram), block * steps), np.float32)
+    new = np.random.default_rng(0).standard_normal((len(gram), block)).astype(np.float32)
+    for at in range(0, block * steps, block):
+        for _ in range(2):  # once more against what rounding leaves
+            new -= basis[:, :at] @ (basis[:, :at].T @ new)
+            new = np.linalg.qr(new)[0]
+        basis[:, at : at + block] = new
+        new = gram @ new
+    values, vectors = np.linalg.eigh((basis.T @ (gram @ basis)).astype(np.float64))
+    return values[-count:], basis @ vectors[:, -count:].astype(np.float32)
+
+
 class Model:
     """Projection, labelled vectors and labels; all of bounded size."""
 
@@ -81,11 +102,11 @@ class Model:
         self.prior = float(y.mean()) if len(y) else 0.5
         rows = rows if len(y) else np.zeros((1, BUCKETS), np.float32)
         self.mean = rows.mean(0)
-        self.weight = 1 / (rows.std(0) + np.float32(0.02))
-        self.weight[SHAPES:] *= np.float32(TERM_WEIGHT)
         rows -= self.mean
+        self.weight = 1 / (np.sqrt(np.einsum("ij,ij->j", rows, rows) / np.float32(len(rows))) + np.float32(0.02))
+        self.weight[SHAPES:] *= np.float32(TERM_WEIGHT)
         rows *= self.weight
-        values, vectors = np.linalg.eigh((rows @ rows.T).astype(np.float64))
+        values, vectors = largest(rows @ rows.T, DIMENSIONS)
         best = [i for i in np.argsort(values)[::-1][:DIMENSIONS] if values[i] > 1e-6]
         scaled = (vectors[:, best] / np.sqrt(values[best])).astype(np.float32)
         del vectors
@@ -120,12 +141,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"h": batch["h"], "label": batch["label"], "vector": [features(x).tobytes() for x in batch["text"]]})
+            yield pd.DataFrame({"h": batch["h"], "label": batch["label"], "vector": [compress(features(x).tobytes(), 1) for x in batch["text"]]})
 
     found = sorted(best.select("h", "label", "text").mapInPandas(run, "h long, label int, vector binary").collect(), key=lambda r: (r.h, r.label))
     labels, vectors = [r.label for r in found], np.empty((len(found), BUCKETS), np.float32)
     for i in range(len(found)):  # one copy of the sample at a time on the driver
-        vectors[i] = np.frombuffer(found[i].vector, np.float32)
+        vectors[i] = np.frombuffer(decompress(found[i].vector), np.float32)
         found[i] = None
     return Model(vectors, labels)
 

@@ -543,3 +543,20 @@ def test_neighbours_that_tie_go_by_place():
     rows = np.stack([quality.features(x) for x in ["a b c. d"] * 40 + ["| | !!"] * 40])
     model = quality.Model(rows.copy(), [1, 0] * 40)
     assert abs(model.score(["a b c. d"])[0] - 13 / 25) < 1e-3  # the first 25 of the 40 equal ones
+
+
+def test_latent_axes_without_a_whole_decomposition():
+    """The leading vectors are those of a full decomposition, in much less memory on the driver."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    rows = (rng.standard_normal((1500, 400)) * 0.99 ** np.arange(400)).astype(np.float32)
+    gram = rows @ rows.T
+    want, vectors = np.linalg.eigh(gram.astype(np.float64))
+    tracemalloc.start()
+    values, found = quality.largest(gram, 48)
+    assert tracemalloc.get_traced_memory()[1] < 1.5 * gram.nbytes * 2  # one matrix of doubles and a half
+    tracemalloc.stop()
+    assert np.allclose(values, want[-48:], rtol=1e-4) and np.allclose(found @ (found.T @ rows), vectors[:, -48:] @ (vectors[:, -48:].T @ rows), atol=0.02)
+    small, _ = quality.largest(gram[:40, :40], 48)
+    assert len(small) == 40
