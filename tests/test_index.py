@@ -187,5 +187,34 @@ def test_an_index_is_written_without_a_shuffle_of_entries(spark, frequent, tmp_p
         assert rows(search.search(found, q, top=7, at_once=0), ["wiki", "rank", "relative", "score"]) == rows(search.search(docs, q, top=7), ["wiki", "rank", "relative", "score"])
 
 
+def exchanges_above_the_pass(df):
+    """Shuffles of what the one pass over the texts gives."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    return plan[: plan.find("MapInArrow")].count("Exchange")
+
+
+def test_postings_and_places_are_not_shuffled(spark):
+    """Each page gives its own rows; those of a name that several pages have are added up, as grouping by name does."""
+    docs = spark.createDataFrame([page("w", "a.md", "Reef coral reef", "Reef"), page(None, "b.md", "sand"), page("w", "c.md", "")], DOCS)
+    assert exchanges_above_the_pass(search.postings(docs)) == 0 and exchanges_above_the_pass(index.places(index.entries(docs))) == 0
+    columns = ["wiki", "field", "term", "relative", "tf", "dl"]
+    own = [("w", "title", "reef", "a.md", 1, 1), ("w", "body", "reef", "a.md", 2, 3), ("w", "body", "coral", "a.md", 1, 3), (None, "body", "sand", "b.md", 1, 1)]
+    assert rows(search.postings(docs), columns) == sorted(own, key=repr)
+    twice = docs.unionByName(docs.filter("relative <> 'a.md'"))
+    assert rows(search.postings(twice), columns) == sorted([*own[:3], (None, "body", "sand", "b.md", 2, 1)], key=repr)
+    found = {tuple(r) for r in index.places(index.entries(docs)).collect()}
+    assert found == {("w", "a.md", "reef", 0), ("w", "a.md", "coral", 5), ("w", "a.md", "reef", 11), (None, "b.md", "sand", 0)}
+
+
+def test_blocks_count_off_in_one_aggregation(spark):
+    docs = spark.createDataFrame([page("w", f"{i}.md", "reef " * (1 + i % 2)) for i in range(6)], DOCS)
+    found = index.entries(docs)
+    left = index.blocks(found, found.filter("relative < '2'"))
+    assert left._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+    counts = ["wiki", "term", "level", "n", *[f"df_{f}" for f in index.BOOSTS]]
+    assert rows(left.filter("n <> 0"), counts) == rows(index.blocks(found.filter("relative >= '2'")), counts)
+
+
 def test_words_and_places():
     assert list(index.words_at("Ab, cÉ_1  " + "x" * 40 + " İx")) == [("ab", 0), ("cé", 4), ("1", 7), ("i", 51), ("x", 52)]
