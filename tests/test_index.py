@@ -88,6 +88,31 @@ def test_links_follow_random_changes(spark, tmp_path):
         assert gone is None or gone.filter("relative = 'quiet.md'").isEmpty()  # merged, or left alone
 
 
+def test_a_store_keeps_what_it_was_built_for(spark, tmp_path):
+    """Links alone follow changes without a pass over the words of texts, the index without names and links; both as a store of all tables has them."""
+
+    def docs(turn):
+        text = {1: "reef coral", 2: "sand"}[turn]
+        held = [("p0.md", text, "A", ["p1", "New"], turn), ("p1.md", "reef", "B", ["A"], 1), (f"q{turn}.md", "shoal reef", "New" if turn == 2 else "Old", [], turn)]
+        return spark.createDataFrame([(*page("w", r, b, t, s), links) for r, b, t, links, s in held], f"{DOCS}, links array<string>")
+
+    stores = {}
+    for kept in (("links",), ("index",), (), delta.KEPT):
+        store = stores[kept] = delta.Store(spark, str(tmp_path / "-".join(["s", *kept])))
+        assert [delta.follow(store, docs(turn), kept)[0] for turn in (1, 2)] == ["rebuilt", "updated"]
+        own = {"documents", "state"} | ({"entries", "pages", "blocks", "sums"} if "index" in kept else set()) | ({"names", "edges"} if "links" in kept else set())
+        assert [set(s["tables"]) for s in store.meta()["segments"]] == [own, own | {"gone"}]
+        assert rows(store.read("state"), delta.STATE) == rows(docs(2), delta.STATE)
+    edges = ["wiki", "relative", "pos", "target", "to_wiki", "to_relative", "broken"]
+    for kept in (("links",), delta.KEPT):
+        assert rows(stores[kept].read("edges"), edges) == rows(graph.edges(docs(2)), edges)
+    for kept in (("index",), delta.KEPT):
+        assert rows(stores[kept].read("entries"), TABLES["entries"]) == rows(index.entries(docs(2)), TABLES["entries"])
+        assert rows(search.search(stores[kept].index(), "reef"), ["rank", "relative", "score"]) == rows(search.search(docs(2), "reef"), ["rank", "relative", "score"])
+    with pytest.raises(IndexMissing):
+        stores["links",].index()
+
+
 @pytest.fixture(scope="module")
 def frequent(spark):
     """3,000 pages: a word that two in three hold more or less often, one that a tenth holds, one that few do, some of it in titles."""
