@@ -100,7 +100,7 @@ def test_a_store_keeps_what_it_was_built_for(spark, tmp_path):
     for kept in (("links",), ("index",), (), delta.KEPT):
         store = stores[kept] = delta.Store(spark, str(tmp_path / "-".join(["s", *kept])))
         assert [delta.follow(store, docs(turn), kept)[0] for turn in (1, 2)] == ["rebuilt", "updated"]
-        own = {"documents", "state"} | ({"entries", "pages", "blocks", "sums"} if "index" in kept else set()) | ({"names", "edges"} if "links" in kept else set())
+        own = {"documents", "state"} | ({"entries", "pages", "sums"} if "index" in kept else set()) | ({"names", "edges"} if "links" in kept else set())
         assert [set(s["tables"]) for s in store.meta()["segments"]] == [own, own | {"gone"}]
         assert rows(store.read("state"), delta.STATE) == rows(docs(2), delta.STATE)
     edges = ["wiki", "relative", "pos", "target", "to_wiki", "to_relative", "broken"]
@@ -113,6 +113,36 @@ def test_a_store_keeps_what_it_was_built_for(spark, tmp_path):
         stores["links",].index()
 
 
+def test_blocks_are_counted_from_the_entries_of_the_words_asked_for(spark, tmp_path):
+    """Nothing is written for them, and a query's words reach the files of entries as filters, below the count and below what has gone."""
+    store = delta.Store(spark, str(tmp_path))
+    for turn in (1, 2):
+        delta.follow(store, spark.createDataFrame([page("w", f"p{i}.md", "reef " * (i + turn), "Page", turn if i < 3 else 1) for i in range(9)], DOCS))
+    assert not any("blocks" in s["tables"] for s in store.meta()["segments"])
+    asked = store.index().blocks.filter(F.col("term").isin(["reef"]))
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") >= 2 and plan.count("EqualTo(term,reef)") + plan.count("In(term, [reef])") >= 2 and plan.count("MapInArrow") == 0
+    assert asked.agg(F.sum("n"), F.sum("df_body"), F.max("tf_body")).first() == (9, 9, 10)
+
+
+def test_documents_of_one_file_are_dealt_out_to_several_tasks(spark, tmp_path, monkeypatch):
+    """A file of documents has several row groups, so more than one task of the pass over their words has rows."""
+    monkeypatch.setattr(index, "GROUP_BYTES", 1 << 18)
+    body = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.md5(F.concat(F.col("id"), i).cast("string"))))
+    none = F.array().cast("array<string>")
+    docs = spark.range(0, 1500, 1, 1).select(
+        F.lit("w").alias("wiki"), F.format_string("%05d.md", F.col("id")).alias("relative"), F.lit("").alias("title"), none.alias("aliases"), none.alias("headings"), body.alias("body")
+    )
+    index.write_table(docs, str(tmp_path / "d"), "documents")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400k")
+    try:
+        found = index.entries(spark.read.parquet(str(tmp_path / "d"))).select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert len(found) > 2
+
+
 @pytest.fixture(scope="module")
 def frequent(spark):
     """3,000 pages: a word that two in three hold more or less often, one that a tenth holds, one that few do, some of it in titles."""
